@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word 1- and 2-grams, trained by FTRL-proximal updates.
 
 A text is split into runs of letters or digits and runs of other marks. Each distinct token of a batch is hashed
-once; pairs mix the hashes of neighbours. A score is one sparse dot product over the text's hashed grams, each gram
+once; pairs mix the hashes of neighbours, and all pairs of a token with itself are one gram. A score is one sparse dot product over the text's hashed grams, each gram
 weighing by its share of the text.
 """
 
@@ -22,6 +22,8 @@ TRAIN_ROWS = 6000
 BITS = 20
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for every pair of a token with itself, whatever the token.
+AGAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Hasher:
@@ -53,6 +55,7 @@ def grams(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarr
     words = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
     h = hasher(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
     pair = (h[:-1] * MIX) ^ (h[1:] >> np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair[h[1:] == h[:-1]] = AGAIN
     ends = np.cumsum(n)
     inside = np.ones(len(h), dtype=bool)
     inside[ends[n > 0] - 1] = False  # the last token of a text starts no pair

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, quality, simhash, tokencount
+from corpusloom.llm import fingerprint, langid, mixing, pieces, quality, simhash, tokencount, tokenfile, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,26 @@ def _id_hash(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = tokenfile.new_folder(spark)
+    tokenfile.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return tokenfile.digest_token_files(spark, path)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(_id_hash(5) != 0)
@@ -33,6 +53,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify_languages(docs.select("doc_id", "text"), docs.filter(_id_hash(3) != 1))
@@ -45,8 +70,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_url_filter": op2_url_filter,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_token_files": op4_token_files,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
+    "op8_source_mix": op8_source_mix,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
