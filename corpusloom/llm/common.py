@@ -92,11 +92,12 @@ def text_slices(
 def with_columns(
     df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.Array], dict[str, pa.Array]], text: str = "text"
 ) -> DataFrame:
-    """All columns of ``df`` plus ``fields`` (name, DDL type), made from its text column batch by batch."""
+    """All columns of ``df`` plus ``fields`` (name, DDL type), made from its text column batch by batch.
+
+    A column of ``df`` that has the name of a new field is replaced.
+    """
     spark = df.sparkSession
-    clash = {n for n, _ in fields} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns already present: {sorted(clash)}")
+    df = df.drop(*[n for n, _ in fields])
     schema = spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in fields)).schema
     out = type(df.schema)([*df.schema.fields, *schema.fields])
     names = [n for n, _ in fields]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fingerprint, langid, mixing, pieces, quality, simhash, tokencount, tokenfile, urlfilter
+from corpusloom.llm import fingerprint, forest, langid, mixing, pieces, quality, simhash, tokencount, tokenfile, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest_token_files(spark, path)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicate_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(_id_hash(5) != 0)
@@ -74,6 +78,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_fingerprints": op3_fingerprints,
     "op4_token_files": op4_token_files,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op8_source_mix": op8_source_mix,

@@ -1,7 +1,8 @@
 """SimHash near-duplicates: 64-bit fingerprints, bit-sliced comparison inside candidate cells, components.
 
-Two fingerprints within ``radius`` bits agree on at least two of ``radius + 2`` slices of the word, so each
-fingerprint enters one group per pair of slices; no link can be missed. Groups larger than ``cell_rows`` are cut
+Two fingerprints within ``radius`` bits agree on at least ``agree`` of ``radius + agree`` slices of the word, so each
+fingerprint enters one group per choice of ``agree`` slices; no link can be missed. More agreeing slices make smaller
+groups and more of them: 2 suits some hundred million distinct fingerprints at radius 3, 3 suits more. Groups larger than ``cell_rows`` are cut
 into chunks and every pair of chunks becomes its own cell. Inside a cell the bits are stored as vertical planes and
 distances of many pairs advance together in carry-save counters.
 """
@@ -112,14 +113,13 @@ def local_roots(fps: np.ndarray, ids: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def fingerprint_links(vertices: DataFrame, radius: int = 3, cell_rows: int = 2048) -> DataFrame:
+def fingerprint_links(vertices: DataFrame, radius: int = 3, cell_rows: int = 2048, agree: int = 2) -> DataFrame:
     """Edges (u, v) that join all fingerprints of ``vertices`` (fp bigint, rep bigint) linked within ``radius`` bits."""
-    spark = vertices.sparkSession
-    slices = radius + 2
+    slices = radius + agree
     edges = [round(i * 64 / slices) for i in range(slices + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(slices)]
     keys = []
-    for t, pair in enumerate(combinations(range(slices), slices - radius)):
+    for t, pair in enumerate(combinations(range(slices), agree)):
         mask = sum(masks[i] for i in pair)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("key")))
@@ -169,7 +169,9 @@ def fingerprint_links(vertices: DataFrame, radius: int = 3, cell_rows: int = 204
     return placed.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, cell_rows: int = 2048) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, cell_rows: int = 2048, agree: int = 2
+) -> DataFrame:
     """Rows (doc_id, fingerprint: 16 hex digits, component_id) for every row of ``docs``.
 
     Documents link where their fingerprints differ in ``radius`` bits or fewer; ``component_id`` is the smallest
@@ -179,7 +181,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     """
     prints = staged(fingerprints(docs, shingle, seed), "fingerprints")
     vertices = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "vertices")
-    links = staged(fingerprint_links(vertices.filter("rep IS NOT NULL"), radius, cell_rows), "links")
+    links = staged(fingerprint_links(vertices.filter("rep IS NOT NULL"), radius, cell_rows, agree), "links")
     moved = connected_components(links).withColumnRenamed("node", "rep")
     classes = vertices.join(moved, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, "fp").select(
