@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_ranges, range_of, shared_folder, staged, text_slices
+from corpusloom.llm.tokencount import byte_letters
 
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 19
@@ -46,6 +47,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = dict(enumerate(byte_letters()))
+        self.folds = False
+        probes = ["a", "words", "straße", "été", "ñandú"]
+        #: whether the file folds case and takes a word of letters as one piece of byte letters
+        self.folds = self._ids(probes) == [self._direct(w) for w in probes] == self._ids([w.upper().replace("SS", "ß") for w in probes])
         self.mark = {m: self._ids([m])[0] for m in ",."}
         self.at: dict[str, int] = {}
         self.starts, self.ends, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
@@ -53,11 +59,29 @@ class WordIds:
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _direct(self, word: str) -> list[int]:
+        letters = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+
+    def _word_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of stems: lower-case words of Latin-1 letters, which normalisation and splitting leave as they are, go
+        straight to the library's model in its byte letters; all others take the whole way."""
+        rows, rest = [], []
+        for i, w in enumerate(words):
+            if self.folds and w.isalpha() and w.islower() and max(w) < "\u0100":
+                rows.append(self._direct(w))
+            else:
+                rows.append(None)
+                rest.append(i)
+        for i, ids in zip(rest, self._ids([words[i] for i in rest]), strict=True):
+            rows[i] = ids
+        return rows
+
     def _learn(self, words: list[str]) -> None:
         """Append the ids of new stems to the arrays, in batches so that the library's objects stay few."""
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            rows = self._ids(part)
+            rows = self._word_ids(part)
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
             ends = self.used + np.cumsum(sizes)
             first, n = len(self.at), int(ends[-1])
@@ -79,13 +103,13 @@ class WordIds:
         distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
         if len(self.at) > KEEP_WORDS:
             self.at, self.used = {}, 0
-        stems, marks = [], np.zeros(len(distinct), dtype=np.uint32)
+        folds, stems, marks = self.folds, [], np.zeros(len(distinct), dtype=np.uint32)
         comma, stop = (np.uint32(i[0]) if len(i) == 1 else None for i in (self.mark[","], self.mark["."]))
         for i, w in enumerate(distinct):
             if w[-1:] in (",", ".") and w[-2:-1].isalpha() and None not in (comma, stop):
                 marks[i] = (comma if w[-1] == "," else stop) + np.uint32(1)
                 w = w[:-1]
-            stems.append(w.lower() if w.isascii() and w.isalpha() else w)
+            stems.append(w.lower() if folds and w.isalpha() and max(w) < "\u0100" else w)
         new = list({s for s in stems if s not in self.at})
         self._learn(new)
         at = np.fromiter(map(self.at.__getitem__, stems), np.int64, len(stems))
