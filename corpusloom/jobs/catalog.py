@@ -2,5 +2,531 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import scalars as S
+from corpusloom.operators import gates, graph, intervals, probe, relational
+from corpusloom.streaming import sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call-graph edges of the event tables: (user_id, src, dst) where an event's value rises to the user's next event."""
+    from pyspark.sql import Window as W
+
+    line = W.partitionBy("user_id").orderBy("ts", "event_id")
+    led = _t(spark, sf_dir, "events").select("user_id", "event_type", "value", F.lead("event_type").over(line).alias("dst"), F.lead("value").over(line).alias("after"))
+    return led.filter("dst IS NOT NULL AND after > value * 3").select("user_id", F.col("event_type").alias("src"), "dst").distinct()
+
+
+_MOVES = """
+WITH led AS (SELECT user_id, event_type AS src, value,
+    lead(event_type) OVER w AS dst, lead(value) OVER w AS after
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+moves AS (SELECT DISTINCT user_id, src, dst FROM led WHERE dst IS NOT NULL AND after > value * 3)
+"""
+_ASCII = r"(length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g')))"
+_LINES = r"(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR right(text, 1) = chr(10) THEN 0 ELSE 1 END)"
+_INVENTORY = f"""
+WITH sums AS (SELECT source, count(*) AS files, sum({_LINES})::BIGINT AS lines, sum(length(text))::BIGINT AS chars,
+    sum({_ASCII})::BIGINT AS ascii FROM documents GROUP BY source),
+inventory AS (SELECT printf('M%02d', row_number() OVER (ORDER BY source)) AS id, source AS name, files, lines, chars,
+    (round_even(ascii / 4.0, 0) + chars - ascii)::BIGINT AS estimated_tokens FROM sums)
+"""
+
+
+# --- inventory and routing ------------------------------------------------------------------------------------------
+
+
+@_query(_INVENTORY + "SELECT * FROM inventory")
+def q_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.inventory(_t(spark, sf_dir, "documents").select("source", "text"))
+
+
+@_query(_INVENTORY + "SELECT CASE WHEN lines > 200 THEN 'large' ELSE 'small' END AS route, count(*) AS modules, sum(lines)::BIGINT AS lines FROM inventory GROUP BY 1")
+def q_size_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.size_routes(q_inventory(spark, sf_dir), 200)
+
+
+# --- joins ----------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def q_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    return relational.unanswered(docs, _t(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@_query("""
+WITH last AS (SELECT doc_id, arg_max(CASE quality WHEN 1 THEN '维持' ELSE '已被反驳' END, (quality, toxic)) AS c FROM labels GROUP BY doc_id)
+SELECT d.doc_id, d.source, coalesce(c, '待确认') AS conclusion FROM documents d LEFT JOIN last USING (doc_id)""")
+def q_left_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    answers = _t(spark, sf_dir, "labels")
+    stand = F.when(F.col("quality") == 1, S.CONCLUSIONS[0]).otherwise(S.CONCLUSIONS[2])
+    return relational.concluded(docs, answers, ["doc_id"], stand, F.struct("quality", "toxic"))
+
+
+@_query("""
+WITH names AS (SELECT source, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS word FROM documents),
+sole AS (SELECT word, min(source) AS owner FROM names WHERE word <> '' GROUP BY word HAVING count(DISTINCT source) = 1),
+uses AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
+SELECT u.source, u.word, s.owner FROM uses u JOIN sole s USING (word) WHERE u.source <> s.owner""")
+def q_cross_module_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("source", "text")
+    names = docs.select("source", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("word")).filter("word <> ''")
+    uses = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    index = relational.sole_owner(names, "word", "source")
+    return relational.foreign_uses(uses, index, "word", "source").distinct()
+
+
+_TOKENS = """
+WITH tokens AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS token FROM documents),
+known AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM benchmark)
+"""
+
+
+def _doc_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tokens = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    known = _t(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("token")).distinct()
+    return tokens, known
+
+
+@_query(_TOKENS + "SELECT doc_id, count(*) AS n FROM tokens WHERE token IN (SELECT token FROM known) GROUP BY doc_id")
+def q_known_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, known = _doc_tokens(spark, sf_dir)
+    return tokens.join(known, "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@_query(_TOKENS + "SELECT doc_id, count(*) AS n FROM tokens WHERE token NOT IN (SELECT token FROM known) GROUP BY doc_id")
+def q_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, known = _doc_tokens(spark, sf_dir)
+    return tokens.join(known, "token", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@_query(r"""
+WITH calls AS (SELECT unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)[ \t\n]*\.', 1)) AS name FROM documents)
+SELECT name, count(*) AS n FROM calls GROUP BY name""")
+def q_call_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)[ \t\n]*\."), F.lit(1))
+    return _t(spark, sf_dir, "documents").select(F.explode(calls).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@_query("""
+SELECT u.conv_id, a.turn, u.turn AS matched FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id
+WHERE a.role = 'assistant' AND u.role = 'user' AND abs(a.turn - u.turn) <= 1""")
+def q_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    findings, truth = turns.filter("role = 'assistant'").drop("role"), turns.filter("role = 'user'").drop("role")
+    found = relational.close_matches(findings, truth, ["conv_id"], "turn", 1)
+    return found.select("conv_id", "turn", F.col("_truth").alias("matched"))
+
+
+@_query("""
+SELECT o_orderpriority AS priority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY GROUP BY 1""")
+def q_interval_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    near = items.join(orders, "o_orderkey").filter("l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAYS")
+    return near.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+
+
+# --- windows --------------------------------------------------------------------------------------------------------
+
+_OWNERS = """
+SELECT event_id, user_id, {owner} AS owner FROM events
+WINDOW ahead AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+       behind AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+_AHEAD = "first_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER ahead"
+_BEHIND = "last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER behind"
+
+
+def _owners(spark: SparkSession, sf_dir: str, tail: bool) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    owner = F.when(F.col("event_type") == "error", F.col("event_id"))
+    return intervals.next_owner(events, "user_id", ["ts", "event_id"], owner, tail).select("event_id", "user_id", "owner")
+
+
+@_query(_OWNERS.format(owner=_AHEAD))
+def q_line_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _owners(spark, sf_dir, False)
+
+
+@_query(_OWNERS.format(owner=f"coalesce({_AHEAD}, {_BEHIND})"))
+def q_line_owner_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _owners(spark, sf_dir, True)
+
+
+@_query("""
+WITH marked AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS s FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+grouped AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM marked)
+SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last, count(*) AS n
+FROM grouped GROUP BY user_id, run, event_type""")
+def q_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return intervals.runs(events, "user_id", ["ts", "event_id"], "event_type", "event_id")
+
+
+@_query("""
+WITH span AS (SELECT conv_id, min(turn) AS low, max(turn) AS high FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT c.conv_id, c.turn, c.role FROM conversations c JOIN span USING (conv_id) WHERE c.turn BETWEEN low AND high""")
+def q_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return intervals.inside_span(turns, "conv_id", "turn", F.col("role") == "user")
+
+
+@_query("""
+WITH marks AS (SELECT page_id, generate_subscripts(m, 1) AS i, unnest(m) AS c FROM (SELECT page_id, regexp_extract_all(html, '[<>]') AS m FROM pages)),
+sums AS (SELECT page_id, i, sum(CASE c WHEN '>' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM marks),
+depth AS (SELECT page_id, i, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS d FROM sums)
+SELECT p.page_id, coalesce(arg_max(d, i), 0)::INT AS final, coalesce(max(d), 0)::INT AS deepest FROM pages p LEFT JOIN depth USING (page_id) GROUP BY p.page_id""")
+def q_clamped_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    depth = _t(spark, sf_dir, "pages").select("page_id", intervals.bracket_depth(F.col("html"), ">", "<").alias("d"))
+    return depth.select("page_id", "d.final", "d.deepest")
+
+
+@_query("""
+WITH spent AS (SELECT conv_id, turn, length(text) AS size,
+  coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+SELECT conv_id, turn, least(size, 1000 - before)::BIGINT AS keep, size > 1000 - before AS truncated FROM spent WHERE before < 1000""")
+def q_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return relational.within_budget(turns, "conv_id", ["turn"], F.col("size"), 1000).select("conv_id", "turn", "keep", "truncated")
+
+
+@_query("""
+WITH ranked AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+  count(*) OVER (PARTITION BY user_id) AS c FROM events)
+SELECT user_id, event_id, rn, c > 20 AS truncated FROM ranked WHERE rn <= 20""")
+def q_topn_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return relational.top_per_key(events, "user_id", ["ts", "event_id"], 20).select("user_id", "event_id", "rn", "truncated")
+
+
+@_query("""
+WITH gaps AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+runs AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM gaps)
+SELECT user_id, min(ts) AS started, count(*) AS n FROM runs GROUP BY user_id, run""")
+def q_idle_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.idle_sessions(_t(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", "30 minutes")
+
+
+# --- distinct, counts, order ----------------------------------------------------------------------------------------
+
+
+@_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def q_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    return docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("key")
+
+
+@_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
+def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_first_seen(spark, sf_dir).filter("copies > 1")
+
+
+@_query("""
+SELECT user_id, count(*) FILTER (event_type = 'signup') AS n_signup, count(*) FILTER (event_type = 'purchase') AS n_purchase,
+  count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error,
+  count(*) FILTER (event_type = 'view') AS n_view FROM events GROUP BY user_id""")
+def q_pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select("user_id", "event_type")
+    return relational.counts_by(events, "user_id", "event_type", ["signup", "purchase", "click", "error", "view"])
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@_query("""
+SELECT o_orderpriority AS severity, (left(o_orderpriority, 1)::INT - 1) AS rank, count(*) AS n FROM orders GROUP BY o_orderpriority""")
+def q_severity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("severity"))
+    return orders.groupBy("severity").agg(F.count("*").alias("n")).withColumn("rank", S.ranked(F.col("severity"), _PRIORITIES))
+
+
+@_query("""
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey
+  ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) AS position FROM orders""")
+def q_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    block, severity = S.ranked(F.col("o_orderstatus"), ["F", "O", "P"]), S.ranked(F.col("o_orderpriority"), _PRIORITIES)
+    return relational.report_order(orders, "o_custkey", block, severity, "o_orderkey").select("o_custkey", "o_orderkey", "position")
+
+
+@_query("SELECT count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'")
+def q_urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = _t(spark, sf_dir, "orders").filter("o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'")
+    return urgent.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@_query("""
+SELECT 'union' AS op, count(*) AS n FROM (SELECT l_orderkey FROM lineitem UNION SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'except', count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_orderkey FROM orders INTERSECT SELECT l_orderkey FROM lineitem)""")
+def q_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return relational.setop_counts([("union", items.union(orders).distinct()), ("except", orders.subtract(items)), ("intersect", orders.intersect(items))])
+
+
+# --- graphs ---------------------------------------------------------------------------------------------------------
+
+_REACH = _MOVES.replace("WITH led", "WITH RECURSIVE led") + """
+, reach AS (SELECT user_id, src, dst FROM moves UNION SELECT r.user_id, r.src, m.dst FROM reach r JOIN moves m ON r.user_id = m.user_id AND r.dst = m.src)
+"""
+
+
+@_query(_REACH + "SELECT user_id, src, dst FROM reach")
+def q_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(_moves(spark, sf_dir), "user_id")
+
+
+@_query(_REACH + """
+, mutual AS (SELECT a.user_id, a.src, min(b.src) AS label FROM reach a JOIN reach b ON a.user_id = b.user_id AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2)
+SELECT user_id, label, string_agg(src, '、' ORDER BY src) AS members FROM mutual GROUP BY user_id, label""")
+def q_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = graph.cycles(graph.closure(_moves(spark, sf_dir), "user_id"), "user_id")
+    return groups.withColumn("members", F.array_join("members", "、"))
+
+
+@_query(_REACH + """
+, mutual AS (SELECT a.user_id, a.src, min(b.src) AS label FROM reach a JOIN reach b ON a.user_id = b.user_id AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2)
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY label))::INT AS group_no, string_agg(src, '、' ORDER BY src) AS members
+FROM mutual GROUP BY user_id, label""")
+def q_module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.module_cycles(_moves(spark, sf_dir), "user_id").withColumn("members", F.array_join("members", "、"))
+
+
+@_query(_MOVES + "SELECT user_id, src, string_agg(dst, '、' ORDER BY dst) AS callees FROM moves GROUP BY user_id, src")
+def q_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.adjacency(_moves(spark, sf_dir), "user_id")
+
+
+@_query(_MOVES + """
+SELECT 'callers' AS kind, dst AS target, user_id, src AS hit FROM moves WHERE dst = 'error'
+UNION ALL SELECT 'callees', src, user_id, dst FROM moves WHERE src = 'error'
+UNION ALL SELECT 'search', 'pur', user_id, src FROM (SELECT DISTINCT user_id, src FROM moves) WHERE regexp_matches(src, 'pur')
+UNION ALL SELECT 'fields', 'error', NULL, '不支持的取证类型：fields'
+UNION ALL SELECT 'callers', 'nobody', NULL, '（没有命中）'""")
+def q_probe_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _moves(spark, sf_dir).withColumnRenamed("user_id", "module_id")
+    asked = [("callers", "error"), ("callees", "error"), ("search", "pur"), ("fields", "error"), ("callers", "nobody")]
+    tables = {"edges": edges, "lines": edges.select("module_id", F.col("src").alias("line")).distinct()}
+    return probe.dispatch(spark.createDataFrame(asked, "kind string, target string"), tables).withColumnRenamed("module_id", "user_id")
+
+
+# --- gates ----------------------------------------------------------------------------------------------------------
+
+
+@_query("""
+WITH bad AS (SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant', 'system') THEN 'role' WHEN trim(text) = '' THEN 'blank'
+  WHEN length(text) > 2000 THEN 'long' END AS problem FROM conversations)
+SELECT conv_id, arg_min('第 ' || turn || ' 条：' || problem, turn) AS reason FROM bad WHERE problem IS NOT NULL GROUP BY conv_id""")
+def q_gate_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.first_problem(_t(spark, sf_dir, "conversations"), "conv_id", "turn", _turn_problem())
+
+
+def _turn_problem():
+    known = F.col("role").isin("user", "assistant", "system")
+    return F.when(~known, "role").when(F.trim("text") == "", "blank").when(F.length("text") > 2000, "long")
+
+
+@_query("""
+WITH bad AS (SELECT conv_id FROM conversations WHERE role NOT IN ('user', 'assistant', 'system') OR trim(text) = '' OR length(text) > 2000)
+SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM bad)""")
+def q_gate_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound, _ = gates.all_or_nothing(_t(spark, sf_dir, "conversations"), "conv_id", "turn", _turn_problem())
+    return sound.select("conv_id", "turn")
+
+
+@_query("""
+WITH judged AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN o_orderkey IS NULL THEN 'not pending' WHEN l_returnflag NOT IN ('A', 'N') THEN 'conclusion'
+    WHEN l_quantity < 5 THEN 'reason' END AS bad
+  FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY l_orderkey, bad IS NULL ORDER BY l_linenumber, l_partkey, l_suppkey) > 1 THEN 'duplicate' ELSE 'accepted' END) AS verdict
+FROM judged""")
+def q_gate_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    pending = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("pending"))
+    checks = [(F.col("pending"), "not pending"), (F.col("l_returnflag").isin("A", "N"), "conclusion"), (F.col("l_quantity") >= 5, "reason")]
+    judged = gates.row_gate(items.join(pending, "l_orderkey", "left"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], checks)
+    return judged.select("l_orderkey", "l_linenumber", "l_partkey", "verdict")
+
+
+@_query("""
+WITH found AS (SELECT doc_id, CASE quality WHEN 1 THEN '维持' ELSE '已被反驳' END AS conclusion, '标注' AS reason FROM labels)
+SELECT doc_id, conclusion, reason FROM found UNION ALL
+SELECT doc_id, '待确认', '多次补问后仍无结论' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def q_give_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stand = F.when(F.col("quality") == 1, S.CONCLUSIONS[0]).otherwise(S.CONCLUSIONS[2])
+    answers = _t(spark, sf_dir, "labels").select("doc_id", stand.alias("conclusion"), F.lit("标注").alias("reason"))
+    return gates.give_up(_t(spark, sf_dir, "documents").select("doc_id"), answers, ["doc_id"])
+
+
+_PLAN = """
+WITH first AS (SELECT l_partkey, arg_min(l_suppkey, (l_orderkey, l_linenumber, l_suppkey)) AS s FROM lineitem GROUP BY l_partkey),
+plan AS (SELECT p_partkey, coalesce(s::VARCHAR, '残余') AS chunk FROM part LEFT JOIN first ON p_partkey = l_partkey)
+"""
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").cast("string").alias("supplier"), "l_orderkey", "l_linenumber", "l_suppkey")
+    order = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    return gates.repaired_plan(claims, _t(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], order, "supplier")
+
+
+@_query(_PLAN + "SELECT p_partkey, chunk FROM plan")
+def q_plan_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir)
+
+
+@_query(_PLAN + """
+SELECT l_orderkey, count(DISTINCT chunk) AS owners FROM lineitem JOIN plan ON l_partkey = p_partkey GROUP BY l_orderkey HAVING count(DISTINCT chunk) > 1""")
+def q_group_split_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(_plan(spark, sf_dir), "p_partkey")
+    return gates.split_groups(members, ["l_orderkey"], "chunk")
+
+
+# --- scalar functions -----------------------------------------------------------------------------------------------
+
+
+@_query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def q_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@_query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def q_json_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # replies as models give them: fenced, wrapped in prose, or with a trailing comma
+    events = _t(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    loose = F.regexp_replace("props", r"\}$", ",}")
+    reply = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), loose, F.lit("\n```")))
+        .when(F.col("event_type") == "view", F.concat(F.lit("结果如下："), F.col("props"), F.lit(" 完毕")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("result: "), loose)).otherwise(F.col("props"))
+    )
+    return events.select("event_id", F.from_json(S.extracted_json(reply), "k bigint")["k"].alias("k"))
+
+
+@_query("SELECT doc_id, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> ''))::INT AS n FROM documents")
+def q_csv_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(S.csv_items(F.col("text"))).alias("n"))
+
+
+@_query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM documents")
+def q_collapse_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(S.collapse_blanks(F.col("text"))).alias("digest"))
+
+
+@_query("SELECT doc_id, 'lang=' || coalesce(nullif(trim(lang), ''), 'xx') || ';from=' || coalesce(nullif(trim(source), ''), '') || ';${OTHER}' AS text FROM documents")
+def q_env_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = F.lit("lang=${LANG:-xx};from=${SRC};${OTHER}")
+    return _t(spark, sf_dir, "documents").select("doc_id", S.expanded(template, {"LANG": F.col("lang"), "SRC": F.col("source")}).alias("text"))
+
+
+@_query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/@]*@', ''), '/+$', '') AS bare FROM pages")
+def q_url_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", S.scrubbed_url(F.col("url")).alias("bare"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE left(text, 60) || '…（共 ' || length(text) || ' 字）' END AS digest FROM documents")
+def q_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", S.digest(F.col("text")).alias("digest"))
+
+
+@_query("SELECT conv_id, turn, '    ' || replace(text, chr(10), chr(10) || '    ') AS block FROM conversations")
+def q_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", S.indented(F.col("text")).alias("block"))
+
+
+@_query("SELECT conv_id, turn, '[' || role || '.c:' || (turn + 1) || '](src/' || role || '.c#L' || (turn + 1) || ')' AS link FROM conversations")
+def q_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", S.source_link("src", F.concat("role", F.lit(".c")), F.col("turn") + 1).alias("link"))
+
+
+@_query("SELECT doc_id, array_to_string(regexp_extract_all(text, '(?m)^([A-Za-z]+)', 1), ',') AS heads FROM documents")
+def q_macro_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.regexp_extract_all("text", F.lit("(?m)^([A-Za-z]+)"), F.lit(1))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(heads, ",").alias("heads"))
+
+
+@_query("""
+WITH ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+hit AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches(x, '[,;] [a-z]+ing')), true) AS p FROM ls)
+SELECT doc_id, left(array_to_string(l[p:p + 9], chr(10)), 240) AS context FROM hit WHERE p > 0""")
+def q_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", intervals.context(F.col("text"), "[,;] [a-z]+ing").alias("context")).filter("context IS NOT NULL")
+
+
+@_query("SELECT doc_id, array_to_string((string_split(text, chr(10)))[2:3], chr(10)) AS slice FROM documents")
+def q_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", intervals.slice_text(F.col("text"), F.lit(2), F.lit(3)).alias("slice"))
+
+
+@_query("""
+SELECT c_custkey, coalesce(CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END, CASE WHEN n_regionkey <> 2 THEN n_name END,
+  CASE WHEN c_acctbal > 0 THEN r_name END, 'none') AS setting
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def q_config_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = (
+        _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    )
+    layers = [F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")), F.when(F.col("n_regionkey") != 2, F.col("n_name")), F.when(F.col("c_acctbal") > 0, F.col("r_name"))]
+    return rows.select("c_custkey", relational.layered(*layers, builtin=F.lit("none")).alias("setting"))
+
+
+@_query("SELECT page_id, try_cast(regexp_extract(url, '/([^/?#]*)[^/]*$', 1) AS BIGINT) AS number FROM pages")
+def q_safe_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"/([^/?#]*)[^/]*$", 1).try_cast("bigint").alias("number"))
+
+
+@_query("""
+WITH w AS (SELECT max(length(n_name)) AS a, max(length(r_name)) AS b FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_nationkey, rpad(n_name, a::INT, ' ') || '  ' || rpad(r_name, b::INT, ' ') AS line FROM nation JOIN region ON n_regionkey = r_regionkey, w""")
+def q_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return relational.fixed_width(rows.select("n_nationkey", "n_name", "r_name"), ["n_name", "r_name"], "n_nationkey")
+
+
+@_query("""
+WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+SELECT event_type, n, repeat('█', round_even(n * 20.0 / (SELECT sum(n) FROM c), 0)::INT) AS bar FROM c""")
+def q_distribution_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("event_type", "n", S.bar(F.col("n") / total).alias("bar"))
+
+
+@_query("""
+SELECT page_id, array_to_string(list_filter([CASE WHEN url LIKE 'https%' THEN 'tls' END, CASE WHEN url LIKE '%www.%' THEN 'www' END,
+  CASE WHEN url LIKE '%utm%' THEN 'tracked' END], lambda x: x IS NOT NULL), ' · ') AS summary FROM pages""")
+def q_summary_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.when(F.col("url").like(p), n) for p, n in (("https%", "tls"), ("%www.%", "www"), ("%utm%", "tracked"))]
+    return _t(spark, sf_dir, "pages").select("page_id", F.concat_ws(" · ", *parts).alias("summary"))
