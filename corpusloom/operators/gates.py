@@ -51,10 +51,10 @@ def give_up(items: DataFrame, answers: DataFrame, on: list[str]) -> DataFrame:
     return answers.select(*on, "conclusion", "reason").unionByName(missing)
 
 
-def repaired_plan(claims: DataFrame, known: DataFrame, keys: list[str], order: list[Column], chunk: str, rest: str = "残余") -> DataFrame:
+def repaired_plan(claims: DataFrame, known: DataFrame, keys: list[str], order: list[Column], chunk: str, rest: str | Column = "残余") -> DataFrame:
     """One chunk for every known item: its first claim, or the residual chunk; claims of unknown items drop out."""
     first = claims.groupBy(*keys).agg(F.min_by(F.col(chunk), F.struct(*order)).alias("chunk"))
-    return known.select(*keys).join(first, keys, "left").withColumn("chunk", F.coalesce("chunk", F.lit(rest)))
+    return known.select(*keys).join(first, keys, "left").withColumn("chunk", F.coalesce("chunk", F.lit(rest) if isinstance(rest, str) else rest))
 
 
 def split_groups(members: DataFrame, group: list[str], owner: str) -> DataFrame:

@@ -57,14 +57,14 @@ def _accessors(asked: DataFrame, t: Tables) -> DataFrame:
 
 def _definition(asked: DataFrame, t: Tables) -> DataFrame:
     """Text of the named type; it comes whole from the symbol table."""
-    return t["types"].join(F.broadcast(asked), F.col("name") == F.col("target")).select("kind", "target", "module_id", F.left("text", F.lit(HIT_CHARS)).alias("hit"))
+    return t["types"].select("module_id", "name", "text").join(F.broadcast(asked), F.col("name") == F.col("target")).select("kind", "target", "module_id", F.left("text", F.lit(HIT_CHARS)).alias("hit"))
 
 
 def _source(asked: DataFrame, t: Tables) -> DataFrame:
     """Body of the first function of that name in each module."""
-    named = t["functions"].join(F.broadcast(asked), F.col("name") == F.col("target"))
+    named = t["functions"].select("module_id", "file", "name", "line", "end_line").join(F.broadcast(asked), F.col("name") == F.col("target"))
     first = named.groupBy("kind", "target", "module_id").agg(F.min(F.struct("file", "line", "end_line")).alias("f")).select("kind", "target", "module_id", "f.*")
-    body = first.select("kind", "target", "module_id", "file", F.explode(F.sequence("line", "end_line")).alias("line_no")).join(t["lines"], ["module_id", "file", "line_no"])
+    body = first.select("kind", "target", "module_id", "file", F.explode(F.sequence("line", "end_line")).alias("line_no")).join(t["lines"].select("module_id", "file", "line_no", "line"), ["module_id", "file", "line_no"])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     return body.groupBy("kind", "target", "module_id").agg(text.alias("hit"))
 
