@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import staged
 from corpusloom.llm.components import connected_components
 
-TREES, SPILL = 6, 0.06
+TREES, SPILL = 8, 0.07
 #: Vectors of one leaf that may fit its next splits, and the fewest that may.
 SAMPLE_ROWS, SAMPLE_LEAST = 1000, 16
 #: Vectors that one task compares with as many others at once; larger leaves are split into pairs of chunks.
