@@ -1,6 +1,6 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-Every tree splits recursively along random directions at the median, and both sides keep the vectors near the cut
+Every tree splits recursively along random directions near the median, and both sides keep the vectors near the cut
 (spill overlap), so close vectors part only with small probability in one tree and hardly ever in all. Splits are fitted
 round by round: each leaf that is still too large gives a bounded sample of its vectors, chosen by hash, and the
 sample's quantiles cut it further; all vectors then descend. Vectors are compared within leaves only, in double
@@ -23,6 +23,8 @@ from corpusloom.llm.common import staged
 from corpusloom.llm.components import connected_components
 
 TREES, SPILL = 8, 0.07
+#: Shares of a node's vectors below the cut that are tried, and the share of linked pairs from which a node stays whole.
+CUTS, DENSE = np.linspace(0.3, 0.7, 9), 0.5
 #: Vectors of one leaf that may fit its next splits, and the fewest that may.
 SAMPLE_ROWS, SAMPLE_LEAST = 1000, 16
 #: Vectors that one task compares with as many others at once; larger leaves are split into pairs of chunks.
@@ -37,17 +39,27 @@ def direction(seed: int, tree: int, node: int, dim: int) -> np.ndarray:
     return np.random.default_rng([seed, tree, node]).standard_normal(dim)
 
 
-def fit_splits(x: np.ndarray, tree: int, node: int, size: int, seed: int, leaf_rows: int, spill: float) -> list[tuple[int, int, float, float]]:
-    """Splits (tree, node, low, high) below ``node``, whose ``size`` vectors the sample ``x`` stands for."""
+def fit_splits(
+    x: np.ndarray, tree: int, node: int, size: int, seed: int, leaf_rows: int, spill: float, threshold: float
+) -> list[tuple[int, int, float, float]]:
+    """Splits (tree, node, low, high) below ``node``, whose ``size`` vectors the sample ``x`` stands for.
+
+    The cut lies where the overlap of ``spill`` on each side is widest, so it rather passes between groups than
+    through one. A node most of whose pairs link stays whole: cutting it would only lose links, and its vectors are
+    compared chunk by chunk.
+    """
     out, stack = [], [(node, x, float(size))]
     while stack:
         at, rows, n = stack.pop()
         if n <= leaf_rows or len(rows) < SAMPLE_LEAST or at >= 1 << 56:
             continue
         p = rows @ direction(seed, tree, at, x.shape[1])
-        low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
-        if low == p.min() and high == p.max():
+        some = rows[:128]
+        if ((some @ some.T >= threshold).sum() - len(some)) > DENSE * len(some) * (len(some) - 1):
             continue
+        lows, highs = np.quantile(p, CUTS - spill), np.quantile(p, CUTS + spill)
+        at_cut = int(np.argmax(highs - lows))
+        low, high = lows[at_cut], highs[at_cut]
         out.append((tree, at, float(low), float(high)))
         for child, side in ((2 * at, p <= high), (2 * at + 1, p >= low)):
             if side.sum() < len(rows):
@@ -93,20 +105,20 @@ def unit_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _fitter(wanted, seed: int, leaf_rows: int, spill: float):
+def _fitter(wanted, seed: int, leaf_rows: int, spill: float, threshold: float):
     """Function that fits the splits of one leaf from its sample; ``wanted`` broadcasts the leaves' sizes."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         # of vectors of several lengths the most frequent length fits the splits
         tree, leaf, dim = int(pdf["tree"].iloc[0]), int(pdf["leaf"].iloc[0]), pdf["dim"].mode().iloc[0]
         rows = pdf[pdf["dim"] == dim].sort_values("h", kind="stable")
-        got = fit_splits(np.stack(rows["x"].to_numpy()), tree, leaf, wanted.value[tree, leaf], seed, leaf_rows, spill)
+        got = fit_splits(np.stack(rows["x"].to_numpy()), tree, leaf, wanted.value[tree, leaf], seed, leaf_rows, spill, threshold)
         return pd.DataFrame(got, columns=["tree", "node", "low", "high"])
 
     return fit
 
 
-def _fit(reps: DataFrame, trees: int, seed: int, leaf_rows: int, spill: float) -> dict[tuple[int, int], tuple[float, float]]:
+def _fit(reps: DataFrame, trees: int, seed: int, leaf_rows: int, spill: float, threshold: float) -> dict[tuple[int, int], tuple[float, float]]:
     """Rounds of splitting until no leaf is larger than ``leaf_rows`` or nothing can be split any more."""
     spark = reps.sparkSession
     splits: dict[tuple[int, int], tuple[float, float]] = {}
@@ -140,7 +152,7 @@ def _fit(reps: DataFrame, trees: int, seed: int, leaf_rows: int, spill: float) -
         rows = reps.select("v", F.xxhash64(F.lit(seed), "rep").alias("h")).mapInArrow(candidates, "tree long, leaf long, dim int, h long, x array<double>")
         first = F.row_number().over(W.partitionBy("tree", "leaf").orderBy("h"))
         sample = rows.withColumn("rn", first).filter(F.col("rn") <= SAMPLE_ROWS).drop("rn")
-        new = sample.groupBy("tree", "leaf").applyInPandas(_fitter(wanted, seed, leaf_rows, spill), "tree long, node long, low double, high double").collect()
+        new = sample.groupBy("tree", "leaf").applyInPandas(_fitter(wanted, seed, leaf_rows, spill, threshold), "tree long, node long, low double, high double").collect()
         if not new:
             break
         splits = splits | {(r["tree"], r["node"]): (r["low"], r["high"]) for r in new}
@@ -199,7 +211,7 @@ def near_duplicate_vectors(
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))
     live = rows.filter(sound)
     reps = staged(live.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    splits = _fit(reps, trees, seed, leaf_rows, spill)
+    splits = _fit(reps, trees, seed, leaf_rows, spill, threshold)
     forest = vectors.sparkSession.sparkContext.broadcast(Forest(splits, trees, seed))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
