@@ -86,4 +86,51 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+OP5_SQL = """
+WITH RECURSIVE sound AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+degree AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+component AS (SELECT u, min(w) AS c FROM reach GROUP BY u)
+SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+FROM embeddings v JOIN component c ON v.vec_id = c.u LEFT JOIN degree d ON v.vec_id = d.u
+"""
+
+#: Seats are dealt one by one here, in the order of their quotients.
+OP8_SQL = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+known AS (SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM known),
+weighed AS (SELECT *, [3.0, 1.0, 2.0][k % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM ranked),
+levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY source_size / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+settled AS (SELECT *, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS common FROM levels),
+targets AS (SELECT *, least(cap, coalesce(common * weight, cap)) AS target, ceil(docs / 2000.0)::INT AS shards FROM settled),
+seats AS (SELECT *, round(sum(target) OVER () / 32)::BIGINT AS seats FROM targets),
+bids AS (SELECT k, seats, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, k, i) AS place
+  FROM (SELECT k, seats, target, unnest(range(ceil(source_size * 2 / 32.0)::BIGINT)) AS i FROM seats WHERE target > 0)),
+won AS (SELECT k, count(*) AS quota FROM bids WHERE place <= seats GROUP BY k),
+sources AS (SELECT s.*, coalesce(w.quota, 0) AS source_quota FROM seats s LEFT JOIN won w USING (k)),
+dealt AS (SELECT d.doc_id, d.size, s.k, s.source_size, s.target, s.source_quota, substr(md5('42' || coalesce(':' || d.doc_id, '')), 1, 16) AS draw, s.shards
+  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+placed AS (SELECT *, (('0x' || substr(draw, 1, 8))::BIGINT % shards)::INT AS shard FROM dealt),
+words AS (SELECT k, shard, source_quota, sum(size)::BIGINT AS words, greatest(1, round(sum(size) / 32.0))::BIGINT AS blocks FROM placed GROUP BY k, shard, source_quota),
+shard_bids AS (SELECT k, shard, source_quota, row_number() OVER (PARTITION BY k ORDER BY words::DOUBLE / (2 * i + 1) DESC, shard, i) AS place
+  FROM (SELECT *, unnest(range(blocks * 2)) AS i FROM words WHERE words > 0)),
+shard_won AS (SELECT k, shard, count(*) AS quota FROM shard_bids WHERE place <= source_quota GROUP BY k, shard),
+line AS (SELECT p.*, w.words, w.blocks, coalesce(q.quota, 0) AS quota,
+    (sum(size) OVER (PARTITION BY p.k, p.shard ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
+  FROM placed p JOIN words w ON p.k = w.k AND p.shard = w.shard LEFT JOIN shard_won q ON p.k = q.k AND p.shard = q.shard),
+ready AS (SELECT *, stop - size AS start, quota % blocks AS rest, quota // blocks AS passes,
+    ('0x' || substr(md5('42:phase:' || k || ':' || shard), 1, 8))::BIGINT % blocks AS phase FROM line),
+ends AS (SELECT *, least(stop * blocks // greatest(words, 1), blocks - 1) AS b1, least(start * blocks // greatest(words, 1), blocks - 1) AS b0 FROM ready),
+sums AS (SELECT *,
+    ((b1 * rest + phase) // blocks) * words + (((b1 + 1) * rest + phase) // blocks - (b1 * rest + phase) // blocks) * (stop * blocks - b1 * words) AS g1,
+    ((b0 * rest + phase) // blocks) * words + (((b0 + 1) * rest + phase) // blocks - (b0 * rest + phase) // blocks) * (start * blocks - b0 * words) AS g0 FROM ends)
+SELECT doc_id, size, source_size, target, (passes * size + (2 * g1 + blocks) // (2 * blocks) - (2 * g0 + blocks) // (2 * blocks))::BIGINT AS taken FROM sums
+"""
+
+ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_source_mix": OP8_SQL}
