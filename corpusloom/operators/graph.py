@@ -55,7 +55,8 @@ def module_cycles(edges: DataFrame, module: str) -> DataFrame:
             graph.setdefault(s, []).append(d)
         groups = sorted(_strong(graph))
         return pd.DataFrame({
-            module: [pdf[module].iloc[0]] * len(groups), "group_no": range(1, len(groups) + 1), "members": groups,
+            module: pd.Series([pdf[module].iloc[0]] * len(groups), dtype=pdf[module].dtype),
+            "group_no": pd.Series(range(1, len(groups) + 1), dtype="int32"), "members": pd.Series(groups, dtype=object),
         })
 
     kind = dict(edges.dtypes)[module]
