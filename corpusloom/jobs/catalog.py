@@ -95,9 +95,9 @@ SELECT u.source, u.word, s.owner FROM uses u JOIN sole s USING (word) WHERE u.so
 def q_cross_module_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("source", "text")
     names = docs.select("source", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("word")).filter("word <> ''")
-    uses = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    uses = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).distinct()
     index = relational.sole_owner(names, "word", "source")
-    return relational.foreign_uses(uses, index, "word", "source").distinct()
+    return relational.foreign_uses(uses, index, "word", "source")
 
 
 _TOKENS = """
