@@ -68,3 +68,26 @@ def test_sessions_on_a_stream_equal_the_batch(spark, tmp_path):
     closed = {(r["user_id"], r["started"], r["n"]) for r in spark.table("sessions").collect()}
     whole = {(r["user_id"], r["started"], r["n"]) for r in sessions.idle_sessions(table, "user_id", "ts", "30 minutes").collect()}
     assert closed == {x for x in whole if x[1] < base + datetime.timedelta(minutes=600)} and len(whole) == 8
+
+
+def test_entry_works_without_the_optional_parts(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+    from corpusloom.jobs import catalog
+
+    def missing(name):
+        raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    monkeypatch.setattr(importlib, "import_module", missing)
+    assert entry.queries() == catalog.QUERIES and entry.oracle_sql() == catalog.ORACLES
+
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'numpy'", name="numpy")
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    try:
+        entry.queries()
+    except ModuleNotFoundError:
+        return
+    raise AssertionError("another missing module must not be hidden")
