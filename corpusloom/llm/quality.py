@@ -53,7 +53,7 @@ def grams(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarr
     if not n.sum():
         return np.empty(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
     words = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
-    h = hasher(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+    h = hasher(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy(zero_copy_only=False)]
     pair = (h[:-1] * MIX) ^ (h[1:] >> np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)
     pair[h[1:] == h[:-1]] = AGAIN
     ends = np.cumsum(n)

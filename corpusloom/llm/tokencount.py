@@ -108,7 +108,7 @@ class MergeCounter:
         if not flat:
             return totals
         words = pa.array(flat, pa.string()).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.seen) > KEEP:
             self.seen.clear()
         known = np.array([self.seen.get(w, -1) for w in distinct], dtype=np.int64)

@@ -68,7 +68,7 @@ class WordIds:
         straight to the library's model in its byte letters; all others take the whole way."""
         rows, rest = [], []
         for i, w in enumerate(words):
-            if self.folds and w.isalpha() and w.islower() and max(w) < "\u0100":
+            if self.folds and w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100"):
                 rows.append(self._direct(w))
             else:
                 rows.append(None)
@@ -100,16 +100,18 @@ class WordIds:
         lists = pc.split_pattern(texts, " ")
         per_text = np.diff(lists.offsets.to_numpy())
         words = lists.flatten().dictionary_encode()
-        distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        distinct, index = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False)
         if len(self.at) > KEEP_WORDS:
             self.at, self.used = {}, 0
         folds, stems, marks = self.folds, [], np.zeros(len(distinct), dtype=np.uint32)
-        comma, stop = (np.uint32(i[0]) if len(i) == 1 else None for i in (self.mark[","], self.mark["."]))
+        comma, stop = (i[0] + 1 for i in (self.mark[","], self.mark["."]))  # 0 says no mark
+        splits = all(len(i) == 1 for i in self.mark.values())
         for i, w in enumerate(distinct):
-            if w[-1:] in (",", ".") and w[-2:-1].isalpha() and None not in (comma, stop):
-                marks[i] = (comma if w[-1] == "," else stop) + np.uint32(1)
+            last = w[-1:]
+            if (last == "," or last == ".") and w[-2:-1].isalpha() and splits:
+                marks[i] = comma if last == "," else stop
                 w = w[:-1]
-            stems.append(w.lower() if folds and w.isalpha() and max(w) < "\u0100" else w)
+            stems.append(w.lower() if folds and w.isalpha() and (w.isascii() or max(w) < "\u0100") else w)
         new = list({s for s in stems if s not in self.at})
         self._learn(new)
         at = np.fromiter(map(self.at.__getitem__, stems), np.int64, len(stems))
@@ -144,7 +146,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """(doc_id, n_tokens, ids: little-endian 32-bit integers) of every row, the end id appended to each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, max_bytes=6_000_000):
             flat, n = word_ids(vocabulary).encode(part.column(1))
             ends = np.cumsum(n)
             full = np.insert(flat, ends, end_id).astype("<u4")
