@@ -70,7 +70,7 @@ def range_of(column: Column, cuts: list[int]) -> Column:
 
 
 def text_slices(
-    batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 6_000_000
+    batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 3_000_000
 ) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about ``max_bytes`` of text (one row at least)."""
     for batch in batches:

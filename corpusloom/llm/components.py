@@ -30,12 +30,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         # large star: every neighbour above u points at the smallest node around u
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written first: a join of two plain shuffles can split the partition of a node with many edges
+        least = staged(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least{k}")
         large = (
             around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         )
         # small star: every neighbour at or below u, and u, point at the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, f"large{k}")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), f"low{k}")
         small = (
             large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
