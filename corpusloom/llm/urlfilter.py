@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let
+from corpusloom.llm.common import let, staged
 
 BUCKETS = 4096
 GRAMS = (3, 4)
@@ -141,14 +141,13 @@ def train(labelled: DataFrame, buckets: int = BUCKETS) -> list[float]:
         return F.aggregate(F.sequence(F.lit(1), F.lit(EPOCHS)), F.transform("rows", lambda r: F.lit(0.0)), epoch)
 
     fitted = one.select(let(products, lambda kernel: F.arrays_zip(F.col("rows").alias("rows"), descent(kernel).alias("coef"))).alias("z"))
-    weights = let(F.col("z"), lambda z: F.transform(
-        F.sequence(F.lit(0), F.lit(buckets)),
-        lambda k: F.aggregate(
-            z, F.lit(0.0),
-            lambda s, x: s + F.when(k == buckets, x["coef"]).when(F.array_contains(x["rows"]["b"], k), x["coef"] * scale(x["rows"]["b"])).otherwise(0.0),
-        ),
-    ))
-    return list(fitted.select(weights.alias("w")).first()["w"])
+    per_row = staged(fitted.select(F.inline("z")), "coefficients")  # one row for each labelled url
+    shares = per_row.select((F.col("coef") * scale(F.col("rows.b"))).alias("share"), F.explode("rows.b").alias("bucket"))
+    weights = [0.0] * (buckets + 1)
+    for r in shares.groupBy("bucket").agg(F.sum("share").alias("w")).collect():  # a row for each bucket at most
+        weights[r["bucket"]] = r["w"]
+    weights[buckets] = per_row.agg(F.sum("coef").alias("w")).first()["w"] or 0.0
+    return weights
 
 
 def score(host: Column, path: Column, weights: list[float], buckets: int = BUCKETS) -> Column:
