@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import staged
 from corpusloom.llm.components import connected_components
 
-TREES, SPILL = 8, 0.07
+TREES, SPILL = 6, 0.04
 #: Shares of a node's vectors below the cut that are tried, and the share of linked pairs from which a node stays whole.
-CUTS, DENSE = np.linspace(0.3, 0.7, 9), 0.5
+CUTS, DENSE = np.linspace(0.4, 0.6, 5), 0.5
 #: Vectors of one leaf that may fit its next splits, and the fewest that may.
 SAMPLE_ROWS, SAMPLE_LEAST = 1000, 16
 #: Vectors that one task compares with as many others at once; larger leaves are split into pairs of chunks.
