@@ -2,7 +2,7 @@
 
 1. language ID: documents whose language cannot be determined with confidence go;
 2. quality classifier: documents below the quality threshold go;
-3. SimHash near-duplicates on five-word shingles: the smallest doc_id of each group stays;
+3. near-duplicates on five-word shingles by SimHash and MinHash, verified: the smallest doc_id of each group stays;
 4. mixing of sources to target weights: documents appear as often as the mix takes them whole;
 5. SentencePiece encoding, with the decoded text compared to the original.
 
@@ -16,13 +16,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, mixing, pieces, quality, simhash
-from corpusloom.llm.common import shared_folder
+from corpusloom.llm import langid, mixing, pieces, quality, similar
+from corpusloom.llm.common import shared_folder, staged
 
 #: Least probability of the predicted language, and least quality score.
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.3
-#: Five-word shingles; 6 of 64 bits is a cosine of 0.957, which shingle sets of similarity 0.92 have on average.
-SHINGLE, RADIUS = 5, 6
+#: Five-word shingles; documents link where their sets have this similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of 64 within which SimHash proposes candidates: about similarity 0.92; banded MinHash proposes the others.
+RADIUS = 6
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share a doc_id share its fate; rows without one stay.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), radius=RADIUS, shingle=SHINGLE)
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
+    rows = staged(similar.sketched(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), SHINGLE), "rows")
+    groups = similar.grouped(rows, SHINGLE, SIMILARITY, RADIUS)
+    placed = rows.select("doc_id", "_fp", "_set").join(groups, ["_fp", "_set"])
+    first = placed.groupBy("component").agg(F.min("doc_id").alias("first"))
+    gone = placed.join(first, "component").filter("doc_id <> first").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

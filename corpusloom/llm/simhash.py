@@ -24,27 +24,36 @@ from corpusloom.llm.components import connected_components
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of one text over XXH64 hashes of its word shingles; 0 where it has no word."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 hashes of the word shingles of one text; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode("utf-8").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, dtype=">u8")
     joined = b" ".join(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=">u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[: n - shingle] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=">u8"
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 of none."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         counts += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes)).view(">u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of one text over XXH64 hashes of its word shingles; 0 where it has no word."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id bigint, fp bigint: the 64 bits as a signed long) of every row; a null text counts as empty."""
 

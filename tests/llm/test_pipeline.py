@@ -1,5 +1,7 @@
 """The pipeline's stages on the small tables: each stage keeps its contract, and the end result is consistent."""
 
+import random
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -61,3 +63,33 @@ def test_empty_and_odd_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, SF)
         assert rows.count() >= 0
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_dedup_against_brute_force_similarity(spark):
+    r = random.Random(5)
+    rows = []
+    for _ in range(60):
+        words = [f"w{r.randrange(4000)}" for _ in range(200)]
+        rows.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 6):
+            near = list(words)
+            for at in r.sample(range(5, 195), edits):
+                near[at] = f"x{r.randrange(4000)}"
+            rows.append(" ".join(near))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets, group = [shingle_set(t) for t in rows], list(range(len(rows)))
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                changed = True
+    kept = sorted(d for d, g in enumerate(group) if d == g)
+    assert sorted(d["doc_id"] for d in corpus_pipeline.dedup_stage(spark, docs, SF).collect()) == kept
