@@ -25,12 +25,16 @@ from corpusloom.llm.components import connected_components
 TREES, SPILL = 8, 0.07
 #: Shares of a node's vectors below the cut that are tried, and the share of linked pairs from which a node stays whole.
 CUTS, DENSE = np.linspace(0.3, 0.7, 9), 0.5
-#: Vectors of one leaf that may fit its next splits, and the fewest that may.
-SAMPLE_ROWS, SAMPLE_LEAST = 1000, 16
+#: Multiples of the overlap that are tried, and the largest share of a sample's linked pairs that one cut may part.
+WIDER, PARTED = (1, 1.5, 2), 0.02
+#: Vectors of one leaf that may fit its next splits, the fewest that may, and those whose pairs are looked at.
+SAMPLE_ROWS, SAMPLE_LEAST, PAIR_ROWS = 1000, 32, 256
 #: Vectors that one task compares with as many others at once; larger leaves are split into pairs of chunks.
 LEAF_ROWS = 768
 #: Splits kept in all (three numbers each); leaves beyond are compared chunk by chunk instead of being split.
 MAX_SPLITS = 2_000_000
+#: Vectors of one chunk of a leaf that stays whole.
+CHUNK_ROWS = 3072
 MAX_ROUNDS = 12
 
 
@@ -45,8 +49,9 @@ def fit_splits(
     """Splits (tree, node, low, high) below ``node``, whose ``size`` vectors the sample ``x`` stands for.
 
     The cut lies where the overlap of ``spill`` on each side is widest, so it rather passes between groups than
-    through one. A node most of whose pairs link stays whole: cutting it would only lose links, and its vectors are
-    compared chunk by chunk.
+    through one. Where it parts more than ``PARTED`` of the sample's linked pairs, the cut that parts fewest is taken,
+    then a wider overlap. A node that no cut spares, or most of whose pairs link, stays whole: cutting it would only
+    lose links, and its vectors are compared chunk by chunk.
     """
     out, stack = [], [(node, x, float(size))]
     while stack:
@@ -54,11 +59,21 @@ def fit_splits(
         if n <= leaf_rows or len(rows) < SAMPLE_LEAST or at >= 1 << 56:
             continue
         p = rows @ direction(seed, tree, at, x.shape[1])
-        some = rows[:128]
-        if ((some @ some.T >= threshold).sum() - len(some)) > DENSE * len(some) * (len(some) - 1):
+        some = rows[:PAIR_ROWS]
+        i, j = np.nonzero(np.triu(some @ some.T >= threshold, 1))
+        if len(i) > DENSE * len(some) * (len(some) - 1) / 2:
+            continue
+        near, far = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
+        for wider in WIDER:
+            lows, highs = np.quantile(p, np.maximum(CUTS - wider * spill, 0)), np.quantile(p, np.minimum(CUTS + wider * spill, 1))
+            at_cut = int(np.argmax(highs - lows))
+            parted = ((near < lows[:, None]) & (far > highs[:, None])).sum(axis=1)
+            if parted[at_cut] > PARTED * len(i):
+                at_cut = int(np.argmin(parted))
+            if parted[at_cut] <= PARTED * len(i):
+                break
+        else:
             continue
-        lows, highs = np.quantile(p, CUTS - spill), np.quantile(p, CUTS + spill)
-        at_cut = int(np.argmax(highs - lows))
         low, high = lows[at_cut], highs[at_cut]
         out.append((tree, at, float(low), float(high)))
         for child, side in ((2 * at, p <= high), (2 * at + 1, p >= low)):
@@ -165,34 +180,61 @@ def leaf_links(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, codes: np.nda
     A pair counts only if no smaller leaf code holds both. With ``side`` only pairs across its two values are compared.
     """
     n = len(x)
-    gained, label = np.zeros(n, dtype=np.int64), ids.copy()
-    left, right = [], []
-    for at in range(0, n, 512):
-        cos = x[at : at + 512] @ x.T
-        i, j = np.nonzero(cos >= threshold)
-        i += at
-        keep = i < j
-        if side is not None:
-            keep &= side[i] != side[j]
-        i, j = i[keep], j[keep]
-        left.append(i)
-        right.append(j)
+    gained, root = np.zeros(n), np.arange(n)
+    # smaller codes of the cell as bits: a pair that shares one counts elsewhere
+    smaller, at_code = np.unique(np.where(codes < code, codes, code), return_inverse=True)
+    at_code = at_code.reshape(codes.shape)
+    bits = np.zeros((n, len(smaller) // 64 + 1), dtype=np.uint64)
+    for k in range(codes.shape[1]):
+        r = np.flatnonzero(smaller[at_code[:, k]] < code)
+        bits[r, at_code[r, k] // 64] |= np.uint64(1) << (at_code[r, k] % 64).astype(np.uint64)
+    first = np.arange(n) if side is None else np.flatnonzero(side == side.min())
+    second = first if side is None else np.flatnonzero(side != side.min())
+    for at in range(0, len(first), 256):
+        q, t = first[at : at + 256], second[at:] if side is None else second
+        hit = x[q] @ x[t].T >= threshold
+        if side is None:
+            hit = np.triu(hit, 1)
+        i, j = np.nonzero(hit)
+        i, j = q[i], t[j]
         for c in range(0, len(i), 50_000):
             a, b = i[c : c + 50_000], j[c : c + 50_000]
             earlier = np.zeros(len(a), dtype=bool)
-            for k in range(codes.shape[1]):
-                ours = codes[a, k]
-                earlier |= (ours < code) & (codes[b] == ours[:, None]).any(axis=1)
+            for k in range(bits.shape[1]):
+                earlier |= (bits[a, k] & bits[b, k]) != 0
             a, b = a[~earlier], b[~earlier]
-            gained += np.bincount(a, weights=weight[b], minlength=n).astype(np.int64) + np.bincount(b, weights=weight[a], minlength=n).astype(np.int64)
-    i, j = np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        if (low == label[i]).all() and (low == label[j]).all():
-            break
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-    return gained, label
+            gained += np.bincount(a, weights=weight[b], minlength=n) + np.bincount(b, weights=weight[a], minlength=n)
+        # larger roots hook onto smaller ones until every pair of the block has one root
+        i, j = root[i], root[j]
+        while (apart := i != j).any():
+            i, j = i[apart], j[apart]
+            up = np.arange(n)
+            np.minimum.at(up, np.maximum(i, j), np.minimum(i, j))
+            while (up[up] != up).any():
+                up = up[up]
+            root, i, j = up[root], up[i], up[j]
+    least = ids.copy()
+    np.minimum.at(least, root, ids)
+    return gained.astype(np.int64), least[root]
+
+
+def _without_repeats(placed: DataFrame, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(``placed`` without leaves all of whose vectors lie in one large leaf, the large leaves left (code, c))."""
+    sizes = staged(placed.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("c")), "leaves")
+    hot = sizes.filter(F.col("c") > 2 * leaf_rows)
+    if hot.isEmpty():
+        return placed, hot
+    each = placed.select("rep", F.explode("codes").alias("code"))
+    inside = each.join(hot.select(F.col("code").alias("large"), F.col("c").alias("n_large")).join(
+        each.withColumnsRenamed({"code": "large", "rep": "r"}), "large"), F.col("rep") == F.col("r")
+    ).filter("code <> large").groupBy("code", "large", "n_large").agg(F.count("*").alias("n"))
+    # of leaves with the same vectors the smallest code stays
+    repeats = inside.join(sizes, "code").filter((F.col("n") == F.col("c")) & ((F.col("n_large") > F.col("c")) | (F.col("large") < F.col("code"))))
+    repeats = staged(repeats.select("code").distinct(), "repeats")
+    if repeats.isEmpty():
+        return placed, hot
+    left = each.join(repeats, "code", "left_anti").groupBy("rep").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    return staged(placed.drop("codes").join(left, "rep").select("v", "rep", "n", "codes"), "pruned"), hot.join(repeats, "code", "left_anti")
 
 
 def near_duplicate_vectors(
@@ -227,8 +269,9 @@ def near_duplicate_vectors(
 
     element = dict(reps.dtypes)["v"]
     placed = staged(reps.select("v", "rep", "n").mapInArrow(place, f"v {element}, rep long, n long, codes array<bigint>"), "placed")
-    hot = placed.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * leaf_rows)
-    chunks = hot.select("code", F.ceil(F.col("c") / leaf_rows).cast("int").alias("chunks"))
+    placed, hot = _without_repeats(placed, leaf_rows)
+    chunk_rows = CHUNK_ROWS * leaf_rows / LEAF_ROWS
+    chunks = hot.filter(F.col("c") > chunk_rows).select("code", F.ceil(F.col("c") / chunk_rows).cast("int").alias("chunks"))
     cells = (
         placed.select("*", F.explode("codes").alias("code"), F.size("v").alias("dim"))
         .join(chunks, "code", "left")

@@ -277,3 +277,18 @@ def test_mixed_documents_repeat_rows(spark, docs):
     times = Counter(r["doc_id"] for r in out.select("doc_id").collect())
     assert set(times.values()) <= {1, 2} and 1.2 * docs.count() < sum(times.values()) < 1.8 * docs.count()
     assert table.count() == docs.count()
+
+
+@pytest.mark.parametrize("spread", [0.0325, 0.0307])
+def test_forest_keeps_links_of_a_loose_group(spark, spread):
+    r = np.random.default_rng(3)
+    base = r.standard_normal(64)
+    x = base / np.linalg.norm(base) + spread * r.standard_normal((20_000, 64))
+    x = np.concatenate([x, r.standard_normal((2000, 64))]).astype(np.float32)
+    unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = np.concatenate([(unit[a : a + 500] @ unit.T >= 0.95).sum(axis=1) - 1 for a in range(0, len(x), 500)])
+    assert 0.1 < links.sum() / 20_000**2 < 0.4
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {g["vec_id"]: g["n_links"] for g in forest.near_duplicate_vectors(table).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
