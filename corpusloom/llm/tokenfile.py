@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ BLOCK_IDS = 1 << 19
 MAX_BITS = 18
 #: Documents in one range of ids; a range is the unit that one task sorts and writes.
 RANGE_ROWS = 400
-KEEP_WORDS = 600_000
+#: Words of Latin-1 letters with at most one final mark: lower-casing keeps their number of letters.
+PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]?$"
+#: Bytes that remembered words may take, counting WORD_BYTES for each besides its letters (a speed-up only).
+KEEP_BYTES, WORD_BYTES = 130_000_000, 130
 
 
 # --- tokenising -----------------------------------------------------------------------------------------------------
@@ -39,8 +43,9 @@ KEEP_WORDS = 600_000
 class WordIds:
     """Ids of texts under a tokenizers file that cuts words at white space, one library call per distinct word.
 
-    Only blanks and line feeds, which such files drop, are cut here; a final comma or full stop after a letter is a
-    word of its own there too. Everything else, special strings included, goes to the library as it stands.
+    Only blanks and line feeds, which such files drop, are cut here. A word of Latin-1 letters, whose lower case has as
+    many letters, goes to the library's model in its byte letters, and one final comma or full stop after it is a word
+    of its own. Everything else, special strings included, goes to the library as it stands.
     """
 
     def __init__(self, path: str):
@@ -48,13 +53,16 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = dict(enumerate(byte_letters()))
-        self.folds = False
+        self.marks = {m: i for m in ",." if len(i := self._ids([m])[0]) == 1}
         probes = ["a", "words", "straße", "été", "ñandú"]
-        #: whether the file folds case and takes a word of letters as one piece of byte letters
-        self.folds = self._ids(probes) == [self._direct(w) for w in probes] == self._ids([w.upper().replace("SS", "ß") for w in probes])
-        self.mark = {m: self._ids([m])[0] for m in ",."}
+        #: whether the file folds case, takes a word of letters as one piece of byte letters and marks as single ids
+        self.folds = len(self.marks) == 2 and self._ids(probes) == [self._direct(w) for w in probes] == self._ids([w.upper().replace("SS", "ß") for w in probes])
+        self._forget()
+
+    def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.starts, self.ends, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.held = 0
+        self.starts, self.sizes, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -63,36 +71,32 @@ class WordIds:
         letters = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenizer.model.tokenize(letters)]
 
-    def _word_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of stems: lower-case words of Latin-1 letters, which normalisation and splitting leave as they are, go
-        straight to the library's model in its byte letters; all others take the whole way."""
-        rows, rest = [], []
-        for i, w in enumerate(words):
-            if self.folds and w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100"):
-                rows.append(self._direct(w))
-            else:
-                rows.append(None)
-                rest.append(i)
-        for i, ids in zip(rest, self._ids([words[i] for i in rest]), strict=True):
-            rows[i] = ids
-        return rows
-
-    def _learn(self, words: list[str]) -> None:
-        """Append the ids of new stems to the arrays, in batches so that the library's objects stay few."""
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            rows = self._word_ids(part)
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            ends = self.used + np.cumsum(sizes)
-            first, n = len(self.at), int(ends[-1])
-            while n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(part) > len(self.starts):
-                self.starts, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.ends))
-            self.flat[self.used : n] = np.fromiter((x for r in rows for x in r), np.uint32, n - self.used)
-            self.starts[first : first + len(part)], self.ends[first : first + len(part)] = ends - sizes, ends
-            self.at.update(zip(part, range(first, first + len(part)), strict=True))
-            self.used = n
+    def _learn(self, words: list[str], rows: list[list[int]]) -> None:
+        """Append the ids of new words to the arrays."""
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        ends = self.used + np.cumsum(sizes)
+        first, n = len(self.at), self.used + int(sizes.sum())
+        while n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(rows) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
+        self.flat[self.used : n] = np.fromiter(chain.from_iterable(rows), np.uint32, n - self.used)
+        self.starts[first : first + len(rows)], self.sizes[first : first + len(rows)] = ends - sizes, sizes
+        self.at.update(zip(words, range(first, first + len(rows)), strict=True))
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words)
+        self.used = n
+
+    def _rows(self, words: pa.Array, ids_of: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
+        """Row of each distinct word in the arrays; new ones are learned in batches, so that the library's objects stay few."""
+        names = words.to_pylist()
+        at = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        first = len(self.at)
+        for i in range(0, len(new), 20_000):
+            part = [names[k] for k in new[i : i + 20_000].tolist()]
+            self._learn(part, ids_of(part))
+        at[new] = np.arange(first, first + len(new))
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text)."""
@@ -100,37 +104,30 @@ class WordIds:
         lists = pc.split_pattern(texts, " ")
         per_text = np.diff(lists.offsets.to_numpy())
         words = lists.flatten().dictionary_encode()
-        distinct, index = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False)
-        if len(self.at) > KEEP_WORDS:
-            self.at, self.used = {}, 0
-        folds, stems, marks = self.folds, [], np.zeros(len(distinct), dtype=np.uint32)
-        comma, stop = (i[0] + 1 for i in (self.mark[","], self.mark["."]))  # 0 says no mark
-        splits = all(len(i) == 1 for i in self.mark.values())
-        for i, w in enumerate(distinct):
-            last = w[-1:]
-            if (last == "," or last == ".") and w[-2:-1].isalpha() and splits:
-                marks[i] = comma if last == "," else stop
-                w = w[:-1]
-            stems.append(w.lower() if folds and w.isalpha() and (w.isascii() or max(w) < "\u0100") else w)
-        new = list({s for s in stems if s not in self.at})
-        self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, stems), np.int64, len(stems))
-        begin, end = self.starts[at], self.ends[at]
-        sizes = end - begin
-        # distinct words end to end, then every occurrence copies its span
-        own = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        table_sizes = sizes + (marks > 0)
-        table_ends = np.cumsum(table_sizes)
-        table = np.zeros(int(table_ends[-1]) if len(distinct) else 0, dtype=np.uint32)
-        is_mark = np.zeros(len(table), dtype=bool)
-        is_mark[table_ends[marks > 0] - 1] = True
-        table[is_mark], table[~is_mark] = marks[marks > 0] - 1, self.flat[own]
-        n = table_sizes[index]
-        first = (table_ends - table_sizes)[index]
-        where = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        bounds = np.append(0, np.cumsum(n))
+        distinct, index = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+        if self.held > KEEP_BYTES:
+            self._forget()
+        plain = pc.match_substring_regex(distinct, PLAIN) if self.folds else pa.array(np.zeros(len(distinct), bool))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        rows, marks = np.empty(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.uint32)
+        rows[~is_plain] = self._rows(distinct.filter(pc.invert(plain)), self._ids)
+        letters = distinct.filter(plain)
+        stems = pc.utf8_lower(pc.utf8_rtrim(letters, ",.")).dictionary_encode()
+        rows[is_plain] = self._rows(stems.dictionary, lambda part: list(map(self._direct, part)))[stems.indices.to_numpy(zero_copy_only=False)]
+        for mark, ids in self.marks.items():
+            marks[np.flatnonzero(is_plain)[pc.ends_with(letters, mark).to_numpy(zero_copy_only=False)]] = ids[0] + 1  # 0 says no mark
+        # every occurrence copies the span of its word, and its mark
+        n = (self.sizes[rows] + (marks > 0))[index]
+        ends = np.cumsum(n)
+        where = np.repeat(self.starts[rows][index] - (ends - n), n)
+        where += np.arange(len(where))
+        out = np.take(self.flat, where, mode="clip")
+        mark = marks[index]
+        marked = np.flatnonzero(mark)
+        out[ends[marked] - 1] = mark[marked] - 1
+        bounds = np.append(0, ends)
         text_ends = np.cumsum(per_text)
-        return table[where], bounds[text_ends] - bounds[text_ends - per_text]
+        return out, bounds[text_ends] - bounds[text_ends - per_text]
 
 
 _word_ids: dict[str, WordIds] = {}

@@ -16,7 +16,7 @@ from corpusloom.llm import langid, pieces, quality, tokencount, tokenfile
 SF = "/root/testdata/sf0.001"
 ODD = [
     None, "", " ", "   a  b ", "\n\n x\ty", "a" * 3000, " " * 90, "日本語 テキスト 😀😀", "Ünïcödé é̂ x", "<s> </s> <unk> <0x41>", "it's I'LL we're",
-    "<|endoftext|>hello <|endoftext|>", "a,b .x, ,. A's It's., é,́ x.\x1c y\tz w,. 12, 3. Ⅷ. İ µΣ ΑΣ. ß ÀÉ. ÿ, Ÿ", "aaaa" * 50 + " zzzz", "\r\n \u00a0x\u2003y", "word " * 5000,
+    "<|endoftext|>hello <|endoftext|>", "a,b .x, ,. A's It's., é,́ x.\x1c y\tz w,. 12, 3. Ⅷ. İ İ, Aİ. µΣ ΑΣ. ß ÀÉ. ÿ, Ÿ", "aaaa" * 50 + " zzzz", "\r\n \u00a0x\u2003y", "word " * 5000,
 ]
 SCHEMA = "doc_id long, text string, n_tokens string, lang string"
 
@@ -134,6 +134,18 @@ def test_word_ids_equal_the_library(texts):
     assert words.folds and got == [e.ids for e in words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_word_ids_of_random_texts_equal_the_library():
+    r = random.Random(1)
+    letters = "aAbBzZßẞİıſKÅÉéñÑÀàÿŸΣςσʼnǰΐªºµ×÷\u0327\u0301\u0307,.,.,.'’-_ \n\t 12Ⅷ日😀<|>"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 30))) for _ in range(6000)] + ["a<|endoftext|>.", "ALİ. b"]
+    words = tokenfile.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    flat, n = words.encode(pa.array(texts, pa.string()))
+    got = [part.tolist() for part in np.split(flat, np.cumsum(n)[:-1])]
+    assert got == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    words.held = tokenfile.KEEP_BYTES + 1  # forgetting what was learned changes nothing
+    assert (words.encode(pa.array(texts, pa.string()))[0] == flat).all()
+
+
 def test_token_files_round_trip(spark, docs, odd, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "RANGE_ROWS", 30)
     monkeypatch.setattr(tokenfile, "BLOCK_IDS", 5000)
