@@ -199,6 +199,33 @@ def test_forest_against_brute_force(spark):
     assert forest.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_one_tree_parts_few_pairs_at_the_threshold():
+    r = np.random.default_rng(8)
+    x = forest.units(r.standard_normal((20_000, 32)))
+    aside = r.standard_normal(x.shape)
+    aside = forest.units(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * aside
+    loss = 1 - (1 - forest.LOSS) ** (1 / 5)
+    for tree in range(3):
+        grown = forest.Forest(4, 23).grown(forest.fit_splits(x[:2048], tree, 1, len(x), 23, 640, 0.95, loss))
+        assert len(grown.keys) >= 15
+        homes = []
+        for z in (x, y):
+            at, codes = grown.leaves(z)
+            homes.append(set(zip(at[codes % 4 == tree].tolist(), codes[codes % 4 == tree].tolist(), strict=True)))
+        together = {at for at, _ in homes[0] & homes[1]}
+        assert len(together) >= (1 - forest.LOSS - 0.05) * len(x)
+
+
+def test_signs_keep_close_pairs():
+    r = np.random.default_rng(9)
+    x = forest.units(r.standard_normal((20_000, 48)))
+    y = forest.units(x + 0.3286 * forest.units(r.standard_normal(x.shape)))
+    near = (x * y).sum(axis=1) >= 0.95
+    differ = np.bitwise_count((forest.signs_of(x, 1) ^ forest.signs_of(y, 1)).view(np.uint64)).sum(axis=1)
+    assert near.sum() > 5000 and (differ[near] <= forest.sign_limit(0.95)).mean() > 0.9995
+
+
 def test_pairs_count_once_across_cells():
     r = np.random.default_rng(9)
     x = r.standard_normal((40, 8))
