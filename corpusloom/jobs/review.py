@@ -6,8 +6,6 @@ shared folder. Nothing disappears: failed modules end in ``failed``, unanswered
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +15,7 @@ from corpusloom.functions import scalars as S
 from corpusloom.jobs.model import ModelClient, ask_model
 from corpusloom.operators import gates, intervals, lexer, relational, symbols
 from corpusloom.sources import files as sources
+from corpusloom.sources.staging import staged
 
 FINDINGS = "findings array<struct<file:string,line:string,severity:string,description:string,evidence:string,suggestion:string>>"
 REBUTTALS = "items array<struct<id:string,conclusion:string,reason:string>>"
@@ -39,13 +38,6 @@ class Review:
     report: DataFrame
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    path = f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _parsed(replies: DataFrame, schema: str) -> DataFrame:
     """``replies`` plus ``parsed``; a reply without JSON in it sets ``error``."""
     text = S.extracted_json(F.col("reply"))
@@ -71,7 +63,7 @@ def plan_chunks(client: ModelClient, lexed: DataFrame, lines: DataFrame, large:
     prompts = large.select("module_id").join(listed, "module_id", "left").select(
         "module_id", F.lit("plan").alias("schema"), F.concat(F.lit("模块 "), "module_id", F.lit("\n函数："), F.coalesce("names", F.lit("无"))).alias("prompt")
     )
-    plans = _kept(_parsed(ask_model(prompts, client, ["module_id"]), PLAN))
+    plans = staged(_parsed(ask_model(prompts, client, ["module_id"]), PLAN))
     chunks = plans.select("module_id", F.posexplode("parsed.chunks").alias("pos", "c"))
     claims = chunks.select("module_id", "pos", F.col("c.name").alias("chunk"), F.posexplode("c.functions").alias("at", "name"))
     known = functions.select("module_id", "file", "name", "line")
@@ -101,24 +93,24 @@ def chunk_sources(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 def review(spark: SparkSession, root: str, client: ModelClient, large_lines: int = LARGE_LINES, re_asks: int = RE_ASKS) -> Review:
     """Review every module below ``root``."""
-    files = _kept(sources.modules(sources.source_tree(spark, root)))
-    inventory = _kept(sources.module_inventory(files))
-    lexed = _kept(lexer.lexed(files))
+    files = staged(sources.modules(sources.source_tree(spark, root)))
+    inventory = staged(sources.module_inventory(files))
+    lexed = staged(lexer.lexed(files))
     lines = intervals.line_table(files.select("module_id", "file", "text").withColumn("k", F.struct("module_id", "file")), "k").select("k.*", "line_no", "line")
     large = inventory.filter(F.col("lines") > large_lines)
-    chunks = _kept(plan_chunks(client, lexed, lines, large))
+    chunks = staged(plan_chunks(client, lexed, lines, large))
     small = sources.joined_sources(inventory.filter(F.col("lines") <= large_lines), files).select("module_id", F.lit(0).alias("chunk_no"), "source")
     units = small.unionByName(chunk_sources(chunks, files)).join(symbols.backgrounds(lexed), "module_id", "left")
     prompt = F.concat(F.lit("审查模块 "), "module_id", F.lit("\n背景：\n"), F.coalesce("background", F.lit("")), F.lit("\n代码：\n"), "source")
     asked = units.select("module_id", "chunk_no", F.lit("findings").alias("schema"), prompt.alias("prompt"))
-    replies = _kept(_parsed(ask_model(asked, client, ["module_id", "chunk_no"]), FINDINGS))
+    replies = staged(_parsed(ask_model(asked, client, ["module_id", "chunk_no"]), FINDINGS))
     unanswered = replies.filter("error IS NOT NULL").groupBy("module_id").agg(F.min("error").alias("reason"))
     raw = replies.select("module_id", "chunk_no", F.posexplode("parsed.findings").alias("pos", "f")).select("module_id", "chunk_no", "pos", "f.*")
     arrival = F.row_number().over(_by_module("chunk_no", "pos"))
-    numbered = _kept(raw.withColumn("no", arrival).drop("chunk_no", "pos"))
+    numbered = staged(raw.withColumn("no", arrival).drop("chunk_no", "pos"))
     sound, rejected = gates.all_or_nothing(numbered, "module_id", "no", gates.finding_problem())
-    failed = _kept(rejected.unionByName(unanswered).groupBy("module_id").agg(F.min("reason").alias("reason")))
-    findings = _kept(sound.join(failed, "module_id", "left_anti").withColumns({"id": F.concat(F.lit("f"), F.col("no").cast("string")), "line": F.expr("try_cast(line AS bigint)")}))
+    failed = staged(rejected.unionByName(unanswered).groupBy("module_id").agg(F.min("reason").alias("reason")))
+    findings = staged(sound.join(failed, "module_id", "left_anti").withColumns({"id": F.concat(F.lit("f"), F.col("no").cast("string")), "line": F.expr("try_cast(line AS bigint)")}))
 
     answers = spark.createDataFrame([], "module_id string, id string, conclusion string, reason string")
     for turn in range(re_asks + 1):
@@ -126,13 +118,13 @@ def review(spark: SparkSession, root: str, client: ModelClient, large_lines: int
         if pending.isEmpty():
             break  # nothing to ask: no model call
         text = finding_lines(pending).select("module_id", F.lit("rebuttals").alias("schema"), F.concat(F.lit("复核模块 "), "module_id", F.lit("\n"), "digest").alias("prompt"))
-        got = _kept(_parsed(ask_model(text, client, ["module_id"]), REBUTTALS))
+        got = staged(_parsed(ask_model(text, client, ["module_id"]), REBUTTALS))
         items = got.select("module_id", F.posexplode("parsed.items").alias("pos", "i")).select("module_id", "pos", "i.*")
         open_ids = pending.select("module_id", "id", F.lit(True).alias("open"))
         checks = [(F.col("open"), "unknown"), (F.col("conclusion").isin(S.CONCLUSIONS), "conclusion"), (S.blank_free(F.col("reason")).isNotNull(), "reason")]
         judged = gates.row_gate(items.join(open_ids, ["module_id", "id"], "left"), ["module_id", "id"], ["pos"], checks)
-        answers = _kept(answers.unionByName(judged.filter("verdict = 'accepted'").select("module_id", "id", "conclusion", "reason")))
-    conclusions = _kept(gates.give_up(findings, answers, ["module_id", "id"]))
+        answers = staged(answers.unionByName(judged.filter("verdict = 'accepted'").select("module_id", "id", "conclusion", "reason")))
+    conclusions = staged(gates.give_up(findings, answers, ["module_id", "id"]))
     return Review(inventory, findings, conclusions, failed, chunks, reports(inventory, findings, conclusions, failed))
 
 

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _saved(df: DataFrame) -> DataFrame:
-    """Parquet copy in the shared checkpoint folder: cuts the lineage of the loop."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    path = f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from corpusloom.sources.staging import staged
 
 
 def closure(edges: DataFrame, module: str) -> DataFrame:
@@ -24,11 +15,11 @@ def closure(edges: DataFrame, module: str) -> DataFrame:
     A module's closure is bounded by the square of its own nodes; modules never mix, so the join key is
     (module, node) and work spreads over modules.
     """
-    now = _saved(edges.select(module, "src", "dst").distinct())
+    now = staged(edges.select(module, "src", "dst").distinct())
     size = now.count()
     while True:
         step = now.select(module, F.col("dst").alias("src"), F.col("src").alias("_from")).join(now, [module, "src"]).select(module, F.col("_from").alias("src"), "dst")
-        grown = _saved(now.unionByName(step).distinct())
+        grown = staged(now.unionByName(step).distinct())
         more = grown.count()
         if more == size:
             return grown
