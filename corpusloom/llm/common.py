@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges of ids that one range table may have; each boundary is one long on the driver.
-MAX_RANGES = 16_384
+from corpusloom.sources.staging import shared_folder, staged
 
+__all__ = ["bounded_sample", "id_ranges", "let", "long_table", "plain_names", "range_of", "shared_folder", "staged", "text_slices", "with_columns"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Ranges of ids that one range table may have, and sampled rows of each: at most a million longs reach the driver.
+MAX_RANGES, SAMPLED = 65_536, 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,36 +24,64 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def id_ranges(df: DataFrame, column: str, rows_per_range: int) -> list[int]:
-    """Upper boundaries (exclusive) that cut ``column`` into ranges of about ``rows_per_range`` rows.
+def id_ranges(df: DataFrame, column: str, rows_per_range: int) -> list[int | None]:
+    """Upper boundaries (exclusive, nulls first) that cut ``column`` into ranges of about ``rows_per_range`` rows.
 
-    Boundaries come from the quantile sketch over all rows; at most ``MAX_RANGES`` of them reach the driver.
+    Boundaries are quantiles of a seeded sample of ``SAMPLED`` rows a range. A value that fills several ranges comes as
+    often among the boundaries. Beyond ``MAX_RANGES * rows_per_range`` rows the ranges grow: 65,536 of them hold 1.5 GB
+    each of 100 TB.
     """
     n = df.count()
     parts = min(MAX_RANGES, max(1, -(-n // rows_per_range)))
     if parts == 1:
         return []
-    cuts = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
-        "v", [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts)
-    )
-    return sorted({int(c) for c in cuts})
+    share = min(1.0, SAMPLED * parts / n)
+    drawn = (df if share == 1 else df.sample(share, seed=29)).select(F.col(column).cast("long").alias("v")).toPandas()["v"]
+    known = np.sort(drawn.dropna().to_numpy(dtype=np.int64))
+    values = [None] * int(drawn.isna().sum()) + known.tolist()
+    return [values[i * len(values) // parts] for i in range(1, parts)] if values else []
+
 
+def long_table(values: list[int | None]) -> Column:
+    """A constant array of longs, one literal however many there are."""
+    if not values:
+        return F.array().cast("array<bigint>")
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
 
-def range_of(column: Column, cuts: list[int]) -> Column:
-    """Index of the range that holds ``column``: the number of boundaries at or below it (null: 0)."""
+
+def range_of(column: Column, cuts: list[int | None], tie: Column) -> Column:
+    """Index of the range that holds ``column``: the number of boundaries at or below it.
+
+    Rows of a value that fills several ranges spread over them by ``tie``, a hash of the row from 0 to 2 ** 63, so
+    (column, tie) still ascends from range to range.
+    """
     if not cuts:
         return F.lit(0)
-    table = F.lit(cuts).cast("array<bigint>")
-    steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    known = [c for c in cuts if c is not None]
+    nulls, table = len(cuts) - len(known), long_table(known)
+    steps = long_table([1 << b for b in reversed(range(len(known).bit_length()))])
 
-    def step(at: Column, by: Column) -> Column:
-        return F.when(
-            (at + by <= len(cuts)) & (F.get(table, at + by - 1) <= column), at + by
-        ).otherwise(at)
+    def below(fits: Callable[[Column], Column]) -> Column:
+        def step(at: Column, by: Column) -> Column:
+            return F.when((at + by <= len(known)) & fits(F.get(table, (at + by - 1).cast("int"))), at + by).otherwise(at)
 
-    return F.when(column.isNull(), F.lit(0)).otherwise(
-        F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), step)
-    )
+        return F.aggregate(steps, F.lit(0).cast("bigint"), step) + F.lit(nulls)
+
+    upper = F.when(column.isNull(), F.lit(nulls)).otherwise(below(lambda c: c <= column)).cast("int")
+    if len(set(cuts)) == len(cuts):
+        return upper
+
+    def spread(up: Column) -> Column:
+        low = F.when(column.isNull(), F.lit(0)).otherwise(below(lambda c: c < column)).cast("int")
+        return F.when(up - low < 2, up).otherwise(low + F.floor((up - low + 1) * (tie / F.lit(float(1 << 63)))).cast("int"))
+
+    return let(upper, spread)
+
+
+def plain_names(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` with columns other than ``keep`` renamed by position, so that none clashes with what an operator adds;
+    ``toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*[c if c in keep else f"column_{i}" for i, c in enumerate(df.columns)])
 
 
 def text_slices(
@@ -112,6 +127,17 @@ def with_columns(
     return df.mapInArrow(run, out)
 
 
-def sampled_ids(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The ``rows`` rows whose hashed key is smallest: a bounded sample, the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key)).limit(rows)
+def bounded_sample(df: DataFrame, rows: int, max_bytes: int) -> pd.DataFrame:
+    """At most ``rows`` rows of ``df`` (doc_id, text, ...) with ``max_bytes`` of text together, sorted by id and text.
+
+    Rows come in the order of a hash of id and text, the same on every run; rows equal in both count once. Only ids,
+    hashes and sizes are ordered; then the chosen rows alone are fetched.
+    """
+    marked = df.withColumns({"_hash": F.xxhash64("text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    order = [F.xxhash64(F.lit(17), "doc_id", "_hash"), F.col("doc_id"), F.col("_hash")]
+    first = marked.select("doc_id", "_hash", "_bytes").orderBy(*order).limit(rows).toPandas().drop_duplicates(["doc_id", "_hash"])
+    first = first[first["_bytes"].cumsum() <= max_bytes].dropna()
+    chosen = df.sparkSession.createDataFrame([(int(d), int(h)) for d, h in zip(first["doc_id"], first["_hash"], strict=True)], "doc_id long, _hash long")
+    others = [c for c in df.columns if c != "doc_id"]
+    found = marked.join(F.broadcast(chosen), ["doc_id", "_hash"]).groupBy("doc_id", "_hash").agg(F.min(F.struct(*others)).alias("_row"))
+    return found.select("doc_id", "_row.*").toPandas().sort_values(["doc_id", "text"], kind="stable")

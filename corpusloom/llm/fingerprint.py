@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_ranges, let, range_of
+from corpusloom.llm.common import id_ranges, let, long_table, range_of
 
 BINS, BITS, PROBES = 128, 4, 16
 SHINGLE = 5
@@ -116,22 +116,23 @@ def neighbours(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` plus next_<column>: the values of the row with the next larger doc_id; the last row meets the first.
 
     Rows sort inside ranges of ids; only the first row of each range travels to the range before it. Rows that repeat
-    a doc_id follow one another by the first of ``columns``; a null doc_id sorts first.
+    a doc_id follow one another by a hash of the first of ``columns``, then by itself; a null doc_id sorts first.
     """
     cuts = id_ranges(docs, "doc_id", RANGE_ROWS)
-    own = range_of(F.col("doc_id"), cuts)
+    tie = F.shiftrightunsigned(F.xxhash64(F.col(columns[0])), 1)
+    own = range_of(F.col("doc_id"), cuts, tie)
     found = docs.groupBy(own.alias("r")).agg(F.min("doc_id").alias("id"), F.bool_or(F.col("doc_id").isNull()).alias("null"))
     heads = sorted((r["r"], None if r["null"] else r["id"]) for r in found.collect())  # MAX_RANGES rows at most
     ids, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
     for (r, head), (previous, _) in zip(heads, heads[-1:] + heads[:-1], strict=True):
         ids[r], before[r] = head, previous
-    is_head = F.col("doc_id").eqNullSafe(F.get(F.array(*map(F.lit, ids)).cast("array<bigint>"), own))
-    guest = F.get(F.lit(before).cast("array<int>"), own)
+    ranged = docs.withColumn("_own", own)
+    is_head = F.col("doc_id").eqNullSafe(F.get(long_table(ids), F.col("_own")))
+    guest = F.get(long_table(before), F.col("_own"))
     # a head row enters its own range and, as a guest, the range before it
-    placed = docs.withColumn(
-        "_at", F.explode(F.when(is_head, F.array(_place(own, False), _place(guest, True))).otherwise(F.array(_place(own, False))))
-    )
-    order = [F.col("_at.guest"), F.col("doc_id").asc_nulls_first(), F.col(columns[0])]
+    at_home = _place(F.col("_own"), False)
+    placed = ranged.withColumn("_at", F.explode(F.when(is_head, F.array(at_home, _place(guest, True))).otherwise(F.array(at_home))))
+    order = [F.col("_at.guest"), F.col("doc_id").asc_nulls_first(), tie, F.col(columns[0])]
     led = placed.withColumn("_next", F.lead(F.struct(*columns)).over(W.partitionBy("_at.range").orderBy(*order))).filter("NOT _at.guest")
     return led.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col("_next")[c].alias(f"next_{c}") for c in columns])
 

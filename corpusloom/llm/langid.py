@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import sampled_ids, with_columns
+from corpusloom.llm.common import bounded_sample, with_columns
 
 UNDETERMINED = "und"
-#: Documents that training may read.
-TRAIN_ROWS = 3000
+#: Documents that training may read, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 3000, 40_000_000
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
 REACH = max(WIDTHS)
 
@@ -54,6 +54,30 @@ class ByteCNN:
             out[at : at + rows] = np.maximum(z + self.bias, 0) @ self.out + self.out_bias
         return out
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean cross-entropy of windows ``x`` with classes ``y``, by name of the weights."""
+        batch, at = len(x), np.arange(len(x))
+        patches = self._patches(x)
+        z = patches @ self.conv
+        top = z.argmax(axis=1)
+        best = np.take_along_axis(z, top[:, None, :], axis=1)[:, 0, :] + self.bias
+        hidden = np.maximum(best, 0)
+        logits = hidden @ self.out + self.out_bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[at, y] -= 1
+        p /= batch
+        g = {"out": hidden.T @ p, "out_bias": p.sum(axis=0)}
+        back = (p @ self.out.T) * (best > 0)
+        g["bias"] = back.sum(axis=0)
+        chosen = patches[at[:, None], top]  # (batch, filters, REACH * DIM)
+        g["conv"] = np.einsum("bf,bfk->kf", back, chosen) * self.mask
+        spread = (back[:, :, None] * self.conv.T[None]).reshape(batch, -1, REACH, DIM)
+        where = x[at[:, None, None], top[:, :, None] + np.arange(REACH)]
+        g["emb"] = np.zeros_like(self.emb)
+        np.add.at(g["emb"], where.ravel(), spread.reshape(-1, DIM))
+        return g
+
     def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = 400, batch: int = 64, seed: int = 11, rate: float = 0.01) -> None:
         r = np.random.default_rng(seed)
         # every language is drawn equally often
@@ -65,25 +89,7 @@ class ByteCNN:
         for t in range(1, steps + 1):
             pick = np.array([p[r.integers(len(p))] for p in (pools[i] for i in r.integers(len(pools), size=batch))])
             x, y = windows[pick], labels[pick]
-            patches = self._patches(x)
-            z = patches @ self.conv
-            top = z.argmax(axis=1)
-            best = np.take_along_axis(z, top[:, None, :], axis=1)[:, 0, :] + self.bias
-            hidden = np.maximum(best, 0)
-            logits = hidden @ self.out + self.out_bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(batch), y] -= 1
-            p /= batch
-            g = {"out": hidden.T @ p, "out_bias": p.sum(axis=0)}
-            back = (p @ self.out.T) * (best > 0)
-            g["bias"] = back.sum(axis=0)
-            chosen = patches[np.arange(batch)[:, None], top]  # (batch, filters, REACH * DIM)
-            g["conv"] = np.einsum("bf,bfk->kf", back, chosen) * self.mask
-            spread = (back[:, :, None] * self.conv.T[None]).reshape(batch, -1, REACH, DIM)
-            where = x[np.arange(batch)[:, None, None], top[:, :, None] + np.arange(REACH)]
-            g["emb"] = np.zeros_like(self.emb)
-            np.add.at(g["emb"], where.ravel(), spread.reshape(-1, DIM))
+            g = self.gradients(x, y)
             for k in names:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
@@ -100,11 +106,10 @@ def windows_of(data: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, windows_per_text: int = 6, seed: int = 7) -> ByteCNN | None:
-    """Fit on at most ``rows`` documents of ``docs`` (doc_id, text, lang) with a text and a language; None without any."""
-    usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND rlike(text, '\\\\p{L}')")
-    ids = sampled_ids(usable.select("doc_id"), "doc_id", rows).distinct()
-    sample = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi").toPandas()
-    sample = sample.sort_values(["doc_id", "text", "lang"], kind="stable").drop_duplicates()
+    """Fit on at most ``rows`` documents of ``docs`` (doc_id, text, lang) with an id, a text and a language, of
+    ``TRAIN_BYTES`` together; None without any."""
+    usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND rlike(text, '\\\\p{L}')")
+    sample = bounded_sample(usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), rows, TRAIN_BYTES)
     if sample.empty:
         return None
     classes = sorted(sample["lang"].unique())

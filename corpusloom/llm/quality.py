@@ -15,10 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import sampled_ids, with_columns
+from corpusloom.llm.common import bounded_sample, with_columns
 
-#: Labelled documents that training may read.
-TRAIN_ROWS = 6000
+#: Labelled documents that training may read, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 6000, 60_000_000
 BITS = 20
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -128,15 +128,14 @@ def score(texts: list[str | None], weights: np.ndarray, bias: float, hasher: Has
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float] | None:
-    """Fit on at most ``rows`` labelled documents; None where nothing is labelled.
+    """Fit on at most ``rows`` labelled documents of ``TRAIN_BYTES`` together; None where nothing is labelled.
 
     ``labels`` has doc_id and quality (0 or 1; other values and nulls teach nothing; of several labels of one
     document the smallest counts).
     """
     marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = sampled_ids(marked, "doc_id", rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()
-    sample = sample.sort_values(["doc_id", "text"], kind="stable").drop_duplicates()
+    chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows)
+    sample = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), rows, TRAIN_BYTES)
     if sample.empty:
         return None
     return fit(sample["text"].tolist(), sample["quality"].tolist())

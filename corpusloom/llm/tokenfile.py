@@ -20,6 +20,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +141,8 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids: little-endian 32-bit integers) of every row, the end id appended to each text."""
+    """(doc_id, n_tokens, ids: little-endian 32-bit integers, tie: a hash of them) of every row, the end id appended to
+    each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, max_bytes=6_000_000):
@@ -150,10 +152,12 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             n = n + 1
             offsets = np.append(0, np.cumsum(n))
             data = full.tobytes()
-            ids = pa.array([data[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
+            rows = [data[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            tie = pa.array(np.array([xxhash.xxh64_intdigest(r) for r in rows], dtype=np.uint64) >> np.uint64(1)).cast(pa.int64())
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(rows, pa.binary()), tie]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "tie"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, tie long")
 
 
 # --- the code -------------------------------------------------------------------------------------------------------
@@ -278,8 +282,8 @@ BLOCK_SCHEMA = (
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, max_bits: int = MAX_BITS) -> None:
     """Tokenise ``docs`` (doc_id, text) and write the file set below ``path`` in ascending doc_id order.
 
-    A null text counts as empty and so holds the end id alone; rows that repeat a doc_id stand in the order of their
-    contents; a null doc_id comes first. An empty table writes empty tables.
+    A null text counts as empty and so holds the end id alone; rows that repeat a doc_id stand in the order of a
+    hash of their ids; a null doc_id comes first. An empty table writes empty tables.
     """
     spark = docs.sparkSession
     tokens = staged(tokenised(docs, vocabulary, end_id), "tokens")
@@ -289,7 +293,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     book.coalesce(1).write.parquet(f"{path}/codebook")
     code = spark.sparkContext.broadcast((canonical(lengths), lengths))
     cuts = id_ranges(tokens, "doc_id", RANGE_ROWS)
-    ranged = tokens.withColumn("range", range_of(F.col("doc_id"), cuts))
+    ranged = tokens.withColumn("range", range_of(F.col("doc_id"), cuts, F.col("tie")))
     sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("n_tokens").alias("n")).collect()}
     starts, total = {}, 0
     for r in range(len(cuts) + 1):  # one number for each range; there are MAX_RANGES at most
@@ -305,15 +309,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
                 packed.append(data)
                 marks.append(at[::CHECKPOINT])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(packed, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
-                names=["doc_id", "n_tokens", "range", "bits", "marks"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(packed, pa.binary()), pa.array(marks, pa.list_(pa.int64())), batch.column(4)],
+                names=["doc_id", "n_tokens", "range", "bits", "marks", "tie"],
             )
 
     rows = (
-        ranged.select("doc_id", "n_tokens", "ids", "range")
-        .mapInArrow(coded, "doc_id long, n_tokens long, range int, bits binary, marks array<bigint>")
+        ranged.select("doc_id", "n_tokens", "ids", "range", "tie")
+        .mapInArrow(coded, "doc_id long, n_tokens long, range int, bits binary, marks array<bigint>, tie long")
         .repartition("range")
-        .sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "bits")
+        .sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "tie")
     )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
