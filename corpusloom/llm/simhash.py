@@ -2,8 +2,8 @@
 
 Two fingerprints within ``radius`` bits agree on at least ``agree`` of ``radius + agree`` slices of the word, so each
 fingerprint enters one group per choice of ``agree`` slices; no link can be missed. More agreeing slices make smaller
-groups and more of them: 2 suits some hundred million distinct fingerprints at radius 3, 3 suits more. Groups larger than ``cell_rows`` are cut
-into chunks and every pair of chunks becomes its own cell. Inside a cell the bits are stored as vertical planes and
+groups and more of them, so their number follows the number of distinct fingerprints (``slices_for``). Groups larger
+than ``cell_rows`` are cut into chunks and every pair of chunks becomes its own cell. Inside a cell the bits are stored as vertical planes and
 distances of many pairs advance together in carry-save counters.
 """
 
@@ -122,8 +122,17 @@ def local_roots(fps: np.ndarray, ids: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def fingerprint_links(vertices: DataFrame, radius: int = 3, cell_rows: int = 2048, agree: int = 2) -> DataFrame:
+def slices_for(n: int, radius: int) -> int:
+    """Fewest slices, 2 at least, that make a group hold some four of ``n`` random fingerprints at most."""
+    agree = 2
+    while agree < 8 and n > 4 * 2.0 ** (64 * agree / (radius + agree)):
+        agree += 1
+    return agree
+
+
+def fingerprint_links(vertices: DataFrame, radius: int = 3, cell_rows: int = 2048, agree: int | None = None) -> DataFrame:
     """Edges (u, v) that join all fingerprints of ``vertices`` (fp bigint, rep bigint) linked within ``radius`` bits."""
+    agree = agree or slices_for(vertices.count(), radius)
     slices = radius + agree
     edges = [round(i * 64 / slices) for i in range(slices + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(slices)]
@@ -179,7 +188,7 @@ def fingerprint_links(vertices: DataFrame, radius: int = 3, cell_rows: int = 204
 
 
 def near_duplicates(
-    docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, cell_rows: int = 2048, agree: int = 2
+    docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, cell_rows: int = 2048, agree: int | None = None
 ) -> DataFrame:
     """Rows (doc_id, fingerprint: 16 hex digits, component_id) for every row of ``docs``.
 
