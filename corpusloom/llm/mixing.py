@@ -13,18 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import staged
+from corpusloom.llm.common import plain_names, staged
 
 #: Word pattern that measures sizes (fixed).
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 32
 SHARD_ROWS = 2000
+#: Equal rows that one task takes apart at once.
+ENTRY_ROWS = 10_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size: words of the text)."""
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", _words().alias("size"))
+
+
+def _words() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
 
 
 def _seeded(seed: int, *more: Column) -> Column:
@@ -98,7 +104,7 @@ def taken_words(
     ``taken`` counts the words the mix takes from the document, repeats included, at most ``max_epochs`` times its
     size; ``copies`` is the number of times the middle of the document is taken, for mixes of whole documents. Rows
     that repeat a doc_id are documents of their own; null sources form one source; empty documents give nothing; an
-    empty table gives no rows.
+    empty table gives no rows. Equal rows are laid out as one entry, so a doc_id that many rows share is no large group.
     """
     sources = staged(targets(sized, budget, max_epochs, weights).withColumns({
         "seats": F.round(F.sum("target").over(W.partitionBy()) / block_words).cast("long"), "g": F.lit(0),
@@ -107,18 +113,21 @@ def taken_words(
     quotas = apportioned(sources, ["g"], "k", "target", "seats", "cap")
     quotas = staged(quotas.select("source", "k", "source_size", "target", "shards", F.col("quota").alias("source_quota")), "quotas")
     by_source = F.col("d.source").eqNullSafe(F.col("q.source"))
+    entries = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
     # the source table has one row per source; Spark broadcasts it while it is small and sorts it otherwise
-    dealt = sized.alias("d").join(quotas.alias("q"), by_source).select(
-        "doc_id", "d.source", "size", "k", "source_size", "target", "source_quota",
+    dealt = entries.alias("d").join(quotas.alias("q"), by_source).select(
+        "doc_id", "d.source", "size", "rows", "k", "source_size", "target", "source_quota",
         _seeded(seed, F.col("doc_id").cast("string")).alias("draw"), "shards",
     )
     dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.col("shards")).cast("int"))
-    shards = dealt.groupBy("k", "shard", "source_quota").agg(F.sum("size").alias("words"))
+    shards = dealt.groupBy("k", "shard", "source_quota").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
     blocks = F.greatest(F.lit(1), F.round(F.col("words") / block_words)).cast("long")
     shards = shards.withColumns({"blocks": blocks, "cap": F.when(F.col("words") > 0, blocks * max_epochs).otherwise(F.lit(0).cast("long"))})
     given = apportioned(shards, ["k"], "shard", "words", "source_quota", "cap").select("k", "shard", "words", "blocks", "quota")
     line = W.partitionBy("k", "shard").orderBy(F.col("draw"), F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    laid = dealt.join(given, ["k", "shard"]).withColumn("end", F.sum("size").over(line))
+    laid = dealt.join(given, ["k", "shard"]).withColumn("_end", F.sum(F.col("size") * F.col("rows")).over(line))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("i")
+    laid = _spread(laid).select("*", each).withColumn("end", F.col("_end") - (F.col("rows") - F.col("i")) * F.col("size"))
     rest, passes = F.pmod("quota", "blocks"), F.floor(F.col("quota") / F.col("blocks"))
     phase = F.pmod(F.conv(F.substring(_seeded(seed, F.lit("phase"), F.col("k").cast("string"), F.col("shard").cast("string")), 1, 8), 16, 10).cast("long"), F.col("blocks"))
     ready = laid.withColumns({"rest": rest, "passes": passes, "phase": phase, "begin": F.col("end") - F.col("size")})
@@ -143,17 +152,43 @@ def taken_words(
     )
 
 
+def _spread(entries: DataFrame) -> DataFrame:
+    """``entries`` with those of more than ENTRY_ROWS rows cut into several (rows, _end), dealt to tasks of their own."""
+    saved = staged(entries, "entries")
+    large = saved.filter(F.col("rows") > ENTRY_ROWS)
+    if large.isEmpty():
+        return saved
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(ENTRY_ROWS).cast("long"))).alias("_first")
+    parts = large.select("*", first).withColumn("_n", F.least(F.lit(ENTRY_ROWS).cast("long"), F.col("rows") - F.col("_first")))
+    parts = parts.withColumns({"_end": F.col("_end") - (F.col("rows") - F.col("_first") - F.col("_n")) * F.col("size"), "rows": F.col("_n")})
+    parts = parts.repartition("doc_id", "_first").drop("_first", "_n")
+    return saved.filter(F.col("rows") <= ENTRY_ROWS).unionByName(parts)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``taken_words`` of the texts of ``docs`` (doc_id, source, text); sizes are measured once."""
     return taken_words(staged(sizes(docs), "sizes"), **options)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them whole: ``copies`` times each, all columns kept.
+    """The rows of ``docs`` (doc_id, source, text, ...) as often as the mix takes them whole, all columns kept.
 
-    Rows that repeat a doc_id count once for the decision and share it.
+    Each row has its own number of copies; rows of equal doc_id, source and size share theirs evenly. Names of other
+    columns may clash with anything; an empty table gives no rows.
     """
-    counts = mix(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies")).filter("_copies > 0")
-    hit = docs.alias("d").join(counts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    rows = hit.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return rows.drop("_copy")
+    key = ["doc_id", "source", "size"]
+    named = plain_names(docs, "doc_id", "source", "text")
+    counted = mix(named, **options).groupBy(*key).agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).filter("total > 0")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}"))
+    hit = named.withColumn("size", _words()).alias("d").join(counted.alias("c"), same).select("d.*", "c.total", "c.rows")
+    # the j-th of several equal rows takes what the first j take together beyond the first j - 1
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("rows") / ENTRY_ROWS))
+    place = F.row_number().over(W.partitionBy(*key, "salt").orderBy(F.xxhash64("text"), F.col("text")))
+    rest = F.pmod("total", "rows")
+    more = F.floor(F.col("place") * rest / F.col("rows")) - F.floor((F.col("place") - 1) * rest / F.col("rows"))
+    several = hit.filter("rows > 1").withColumn("salt", salt).withColumn("place", place).withColumn("copies", F.floor(F.col("total") / F.col("rows")) + more)
+    copies = hit.filter("rows = 1").withColumn("copies", F.col("total")).unionByName(several.drop("salt", "place")).filter("copies > 0")
+    rows = copies.select(*named.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy"))
+    return rows.drop("copy").toDF(*docs.columns)
