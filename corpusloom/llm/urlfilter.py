@@ -1,12 +1,15 @@
 """URL filters in DataFrame expressions only: host and path rules, else a logistic regression on hashed n-grams.
 
 The regression sees character n-grams of host and path, hashed into ``BUCKETS`` columns. It learns from a small
-labelled URL table, folded into one row and trained by gradient descent inside one SQL expression. Scoring is a sum of
+labelled URL table (a file by default), folded into one row and trained by gradient descent inside one SQL expression. Scoring is a sum of
 weights over an array literal, so the page table is scanned once and never shuffled.
 """
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,41 +33,8 @@ RULES = [
     ("block", "com/de/"),
 ]
 
-#: The small labelled table: (url, 1 = block).
-LABELLED = [
-    ("https://www.cheap-pills.example.com/en/1", 1), ("http://cheap-pills.example.net/buy", 1),
-    ("https://casino-win.example.com/de/22", 1), ("http://www.casino-bonus.example.org/fr/play", 1),
-    ("https://free-casino.example.net/en/7?ref=x", 1), ("http://xxx-cams.example.com/live", 1),
-    ("https://adult-xxx.example.net/en/44", 1), ("http://hot-adult.example.com/es/8", 1),
-    ("https://replica-watches.example.com/shop", 1), ("http://www.loan-fast.example.net/apply", 1),
-    ("https://payday-loan.example.com/en/3", 1), ("http://viagra-online.example.net/order", 1),
-    ("https://www.online-viagra.example.com/de/5", 1), ("http://pills-rx.example.org/en/9", 1),
-    ("https://click-win.example.net/prize", 1), ("http://free-money.example.com/fr/2", 1),
-    ("https://poker-bet.example.com/en/61", 1), ("http://bet-casino.example.net/de/70", 1),
-    ("https://warez-crack.example.com/download", 1), ("http://keygen-crack.example.net/en/15", 1),
-    ("https://library.example.org/en/100", 0), ("http://www.news.example.com/fr/2031", 0),
-    ("https://blog.weather.example.net/de/81", 0), ("http://m.history.example.com/en/7002", 0),
-    ("https://school.example.org/es/55", 0), ("http://docs.science.example.net/en/330.html", 0),
-    ("https://museum.example.com/fr/12040", 0), ("http://www.recipes.example.net/en/9181/", 0),
-    ("https://blog.garden.example.com/de/410", 0), ("http://music.example.org/en/5120?page=2", 0),
-    ("https://m.travel.example.net/es/12100", 0), ("http://www.sports.example.com/en/773", 0),
-    ("https://health.example.org/fr/3901", 0), ("http://wiki.example.net/en/48000", 0),
-    ("https://blog.photo.example.com/en/22111", 0), ("http://maps.example.net/de/6002.html", 0),
-    ("http://m.ads-track.example.com/en/310", 1), ("https://ads-click.example.net/banner/4", 1),
-    ("http://m.casino-win.example.net/en/6351", 1), ("https://free-bets.example.com/fr/18", 1),
-    ("http://www.free-bets.example.org/en/77", 1), ("https://win-prize.example.net/de/9/", 1),
-    ("http://track-ads.example.com/es/1", 1), ("https://blog.cheap-watches.example.com/en/8", 1),
-    ("http://adult-x.example.org/en/2", 1), ("http://spam-farm.example.net/en/4", 1),
-    ("http://tionsh.example.net/fr/25930", 0), ("https://blog.tionble.example.com/en/7198#top", 0),
-    ("http://www.thering.example.org/de/39547.html", 0), ("https://therha.example.net/en/35332/", 0),
-    ("https://ththnd.example.net/en/12213?utm_source=feed", 0), ("https://m.thernd.example.com/en/9897/", 0),
-    ("http://m.therwh.example.net/de/35296?page=2&ref=x", 0), ("https://ththhe.example.com/en/11629", 0),
-    ("https://m.ththin.example.org/en/45348#top", 0), ("https://www.thertion.example.com/es/7484/", 0),
-    ("https://blog.ththan.example.net/en/330", 0), ("http://therst.example.com/en/29167/", 0),
-    ("https://therea.example.net/de/24571", 0), ("http://m.ththat.example.com/fr/907.html", 0),
-    ("https://books.example.com/es/910", 0), ("http://radio.example.org/en/1410", 0),
-    ("https://www.nature.example.net/en/27100#top", 0), ("http://blog.theatre.example.com/fr/830", 0),
-]
+#: The small labelled table (url, blocked: 1 or 0) that training reads where none is given.
+LABELLED = Path(__file__).with_name("labelled_urls.csv")
 
 
 def host_of(url: Column) -> Column:
@@ -161,9 +131,11 @@ def score(host: Column, path: Column, weights: list[float], buckets: int = BUCKE
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-let(F.array_distinct(gram_buckets(host, path, buckets)), logit)))
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in small labelled table."""
-    return spark.createDataFrame(LABELLED, "url string, blocked int")
+def labelled_urls(spark: SparkSession, path: str | Path = LABELLED) -> DataFrame:
+    """A small labelled table from a CSV file that the driver reads."""
+    with open(path, encoding="utf-8", newline="") as f:
+        rows = [(r["url"], int(r["blocked"])) for r in csv.DictReader(f)]
+    return spark.createDataFrame(rows, "url string, blocked int")
 
 
 def filter_urls(
