@@ -1,95 +1,134 @@
-"""The pipeline's stages on the small tables: each stage keeps its contract, and the end result is consistent."""
+"""The pipeline's stages against plain versions of their own, on the small tables."""
 
 import random
+from collections import Counter
 
 import public_tokenizers
+import pytest
+import sentencepiece
+from plain import WORD, classes_at, ftrl, language, mix, quality_score
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import langid, mixing, pieces, quality, simhash
+from corpusloom.llm import langid, similar
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_keep_columns_and_act(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = {}
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """(input, output) of every stage over the small tables, written and read again."""
+    root, docs, seen = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{SF}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        out.write.parquet(f"{tmp_path}/{name}")
-        out = spark.read.parquet(f"{tmp_path}/{name}")
-        seen[name] = (docs, out)
-        docs = out
-    for name, (before, after) in list(seen.items())[:-1]:
+        stage(spark, docs, SF).write.parquet(f"{root}/{name}")
+        seen[name] = (docs, spark.read.parquet(f"{root}/{name}"))
+        docs = seen[name][1]
+    return seen
+
+
+def ids(df):
+    return sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+
+def test_first_stages_keep_columns(stages):
+    for name, (before, after) in list(stages.items())[:-1]:
         assert after.columns == before.columns, name
-    before, after = seen["language_id"]
-    kept = {r["doc_id"] for r in langid.identify_languages(before, before).filter("lang_pred <> 'und' AND lang_score >= 0.5").collect()}
-    assert {r["doc_id"] for r in after.collect()} == kept
-    before, after = seen["quality_classifier"]
-    kept = {r["doc_id"] for r in quality.classify_quality(before, spark.read.parquet(f"{SF}/labels.parquet")).filter("quality_pred = 1").collect()}
-    assert {r["doc_id"] for r in after.collect()} == kept
-    before, after = seen["simhash_dedup"]
-    prints = sorted((r["doc_id"], simhash.fingerprint(r["text"], corpus_pipeline.SHINGLE)) for r in before.collect())
-    group = {d: d for d, _ in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a, x in prints:
-            for b, y in prints:
-                if (x ^ y).bit_count() <= corpus_pipeline.RADIUS and group[b] > group[a]:
-                    group[b], changed = group[a], True
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(d for d in group if group[d] == d)
-    before, after = seen["source_mixing"]
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(before).collect() if r["copies"]}
-    assert {r["doc_id"]: r["n"] for r in after.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == copies
-    before, after = seen["sentencepiece"]
-    library = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_language_stage(stages):
+    before, after = stages["language_id"]
+    net = langid.train(before)
+    found = {r["doc_id"]: language(net, r["text"]) for r in before.collect()}
+    assert ids(after) == sorted(d for d, (lang, p) in found.items() if lang != "und" and p >= 0.5)
+
+
+def test_quality_stage(spark, stages):
+    before, after = stages["quality_classifier"]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+    known = [(t, labels[d]) for d, t in rows if d in labels]
+    weights = ftrl([t for t, _ in known], [y for _, y in known])
+    assert ids(after) == [d for d, t in rows if quality_score(weights, t) >= 0.3]
+
+
+def test_dedup_stage(stages):
+    before, after = stages["simhash_dedup"]
+    rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+    group = classes_at([t for _, t in rows])
+    assert ids(after) == [d for i, (d, _) in enumerate(rows) if group[i] == i]
+
+
+def test_mixing_stage(stages):
+    before, after = stages["source_mixing"]
+    rows = [(r["doc_id"], r["source"], len(WORD.findall(r["text"]))) for r in before.collect()]
+    assert Counter(ids(after)) == Counter({d: c for d, _, _, _, c in mix(rows) if c})
+
+
+def test_encoding_stage(stages):
+    before, after = stages["sentencepiece"]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     n = {r["doc_id"]: len(library.encode(r["text"])) for r in before.collect()}
     assert all(r["n_tokens"] == n[r["doc_id"]] and r["round_trip"] for r in after.collect()) and after.count() == before.count()
 
 
-def test_run_equals_the_stages(spark):
+def test_run_equals_the_stages(spark, stages):
     rows = corpus_pipeline.run(spark, SF)
-    assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "ids_crc32", "round_trip"] and rows.count() > 0
-    again = corpus_pipeline.run(spark, SF)
-    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, again.collect()))
+    assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "ids_crc32", "round_trip"]
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, stages["sentencepiece"][1].collect()))
 
 
 def test_empty_and_odd_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(None, "no id here", "en", "s", 10), (77_001, None, None, None, None), (77_002, "", "fr", None, 0)], docs.schema)
-    for table in (docs.limit(0), docs.unionByName(odd).withColumn("extra", F.lit(1))):
-        rows = table
-        for _, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, rows, SF)
-        assert rows.count() >= 0
+    stages = dict(corpus_pipeline.STAGES)
+    odd = spark.createDataFrame([(None, docs.first()["text"] + " no id here", "en", "s", 10), (77_001, None, None, None, None), (77_002, "", "fr", None, 0)], docs.schema)
+    clash = {"lang_score": "mine", "lang_pred": "mine", "quality_score": "mine", "quality_pred": "mine", "_copies": "mine", "_copy": "mine", "_row": "mine", "_fp": "mine", "size": "mine", "column_1": "mine"}
+    table = docs.unionByName(odd).withColumns({k: F.lit(v) for k, v in clash.items()})
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        table = seen[name] = stage(spark, table, SF)
+        assert set(table.columns) == {*docs.columns, *clash}, name
+        assert all(r[c] == "mine" for r in table.collect() for c in clash), name
+    kept = {r["doc_id"] for r in seen["language_id"].collect()}
+    assert None in kept and not kept & {77_001, 77_002}  # no letter, no language
+    assert stages["sentencepiece"](spark, table, SF).filter("round_trip").count() == table.count() > 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_each_row_of_a_group_stands_for_itself(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, base), (5, base), (None, base), (5, other), (None, other), (7, "alone here"), (None, None), (8, ""), (None, "x y z"), (None, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in similar.one_of_each(docs).collect())
+    assert got == Counter([(5, base), (5, other), (7, "alone here"), (8, ""), (None, "x y z")])
+    assert similar.one_of_each(docs.limit(0)).count() == 0
 
 
-def shingle_set(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def edited(words, at, r):
+    near = list(words)
+    for k in at:
+        near[k] = f"x{r.randrange(10**6)}"
+    return " ".join(near)
 
 
-def test_dedup_against_brute_force_similarity(spark):
-    r = random.Random(5)
-    rows = []
-    for _ in range(60):
+@pytest.mark.parametrize("star_rows, cell_rows", [(2048, 1024), (3, 4)])
+def test_dedup_against_brute_force_similarity(spark, monkeypatch, star_rows, cell_rows):
+    monkeypatch.setattr(similar, "STAR_ROWS", star_rows)
+    monkeypatch.setattr(similar, "CELL_ROWS", cell_rows)
+    r, rows = random.Random(5), []
+    for _ in range(40):
         words = [f"w{r.randrange(4000)}" for _ in range(200)]
         rows.append(" ".join(words))
-        for edits in (1, 2, 3, 4, 6):
-            near = list(words)
-            for at in r.sample(range(5, 195), edits):
-                near[at] = f"x{r.randrange(4000)}"
-            rows.append(" ".join(near))
+        rows += [edited(words, r.sample(range(5, 195), edits), r) for edits in (1, 2, 3, 4, 6)]
+    # a template whose first half all share: candidates of one another that do not link, but for some pairs
+    template = [f"t{i}" for i in range(100)]
+    for k in range(60):
+        own = template + [f"k{k}_{i}" for i in range(100)]
+        rows.append(" ".join(own))
+        if k % 6 == 0:
+            rows.append(edited(own, [150], r))
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    sets, group = [shingle_set(t) for t in rows], list(range(len(rows)))
-    links = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    changed = True
-    while changed:
-        changed = False
-        for a, b in links:
-            if group[a] != group[b]:
-                group[a] = group[b] = min(group[a], group[b])
-                changed = True
-    kept = sorted(d for d, g in enumerate(group) if d == g)
-    assert sorted(d["doc_id"] for d in corpus_pipeline.dedup_stage(spark, docs, SF).collect()) == kept
+    group = classes_at(rows)
+    kept = [d for d, g in enumerate(group) if d == g]
+    assert ids(similar.one_of_each(docs)) == kept

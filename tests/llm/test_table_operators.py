@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import plain
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components, fingerprint, forest, mixing, simhash, urlfilter
+from corpusloom.llm import common, components, fingerprint, forest, mixing, simhash, urlfilter
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +77,32 @@ def test_url_regression_learns_and_generalises(spark):
     assert set(urlfilter.train(urlfilter.labelled_urls(spark).limit(0))) == {0.0}
 
 
+def test_url_regression_equals_plain_descent(spark):
+    labelled = urlfilter.labelled_urls(spark)
+    buckets = urlfilter.gram_buckets(urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url")))
+    rows = labelled.select("blocked", F.array_distinct(buckets).alias("b")).collect()
+    x, y = np.zeros((len(rows), urlfilter.BUCKETS + 1)), np.array([r["blocked"] for r in rows], float)
+    for i, r in enumerate(rows):
+        x[i, r["b"]] = 1 / np.sqrt(max(1, len(r["b"])))
+    x[:, -1] = 1.0
+    w = np.zeros(urlfilter.BUCKETS + 1)
+    for _ in range(urlfilter.EPOCHS):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w * (1 - urlfilter.SHRINK) + urlfilter.RATE / len(rows) * (y - p) @ x
+    assert np.allclose(urlfilter.train(labelled), w, atol=1e-9)
+
+
+def test_url_regression_on_held_out_urls(spark):
+    rows = [(r["url"], r["blocked"]) for r in urlfilter.labelled_urls(spark).collect()]
+    right = 0
+    for fold in range(4):
+        weights = urlfilter.train(spark.createDataFrame([r for i, r in enumerate(rows) if i % 4 != fold], "url string, blocked int"))
+        score = urlfilter.score(urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url")), weights)
+        held = spark.createDataFrame([r for i, r in enumerate(rows) if i % 4 == fold], "url string, blocked int")
+        right += sum((r["s"] >= 0.5) == r["blocked"] for r in held.select("blocked", score.alias("s")).collect())
+    assert right >= 0.75 * len(rows)
+
+
 # --- fingerprints ---------------------------------------------------------------------------------------------------
 
 
@@ -117,6 +144,21 @@ def test_neighbours_of_few_rows(spark):
     assert {(r["text"], r["next_text"]) for r in fingerprint.neighbours(ties, ["text"]).collect()} == {("z", "a"), ("a", "b"), ("b", "c"), ("c", "z")}
 
 
+def test_neighbours_when_many_rows_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 20)
+    rows = [(i if i % 4 == 0 else 7 if i % 4 == 1 else None, f"text {i} {i * i}") for i in range(800)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["text"]: (r["doc_id"], r["next_text"]) for r in fingerprint.neighbours(table, ["text"]).collect()}
+    assert len(got) == 800
+    key = {t: (d is not None, d or 0, xxhash.xxh64_intdigest(t.encode(), 42) >> 1) for d, t in rows}
+    order = sorted(key, key=key.get)
+    assert all(got[t][1] == after for t, after in zip(order, order[1:] + order[:1], strict=True))
+    cuts = common.id_ranges(table, "doc_id", 20)
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    spread = table.groupBy("doc_id").agg(F.count_distinct(common.range_of(F.col("doc_id"), cuts, tie)).alias("n")).filter("doc_id IS NULL OR doc_id = 7").collect()
+    assert all(r["n"] > 5 for r in spread)
+
+
 # --- SimHash --------------------------------------------------------------------------------------------------------
 
 
@@ -140,6 +182,13 @@ def test_simhash_against_python(spark, docs, cell_rows):
     assert got == sorted((d, f"{p:016x}", rows[g][0]) for (d, _), p, g in zip(rows, prints, group, strict=True))
 
 
+def test_more_slices_find_the_same_links(spark, docs):
+    assert [simhash.slices_for(n, 3) for n in (0, 10**7, 10**9, 10**11)] == [2, 2, 3, 4]
+    table = docs.select("doc_id", "text")
+    two, four = (sorted(map(tuple, simhash.near_duplicates(table, agree=a).collect())) for a in (2, 4))
+    assert two == four
+
+
 def test_simhash_nulls_and_empty(spark):
     table = spark.createDataFrame([(None, "a b c d"), (2, "a b c d"), (None, "other words here now")], "doc_id long, text string")
     got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(table).collect())
@@ -245,23 +294,6 @@ def test_pairs_count_once_across_cells():
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
-def plain_targets(sizes, budget=1.5, top=2.0):
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-8")))
-    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
-    open_, target, left = set(sizes), {}, budget * sum(sizes.values())
-    while open_:
-        level = left / sum(weight[s] for s in open_)
-        full = {s for s in open_ if level * weight[s] > top * sizes[s]}
-        if not full:
-            target |= {s: level * weight[s] for s in open_}
-            break
-        for s in full:
-            target[s] = top * sizes[s]
-            left -= target[s]
-        open_ -= full
-    return target
-
-
 def test_mix_against_python(spark, docs):
     odd = [(900, "one two", None), (901, None, None), (902, "", "zz"), (903, "a\u00a0b c", "é"), (904, "w " * 4000, "big"), (904, "w " * 4000, "big"), (None, "x y z", "big")]
     table = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(odd, "doc_id long, text string, source string")).withColumn("size", F.lit("clash"))
@@ -270,7 +302,7 @@ def test_mix_against_python(spark, docs):
     sizes = Counter()
     for r in table.collect():
         sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
-    target = plain_targets(dict(sizes))
+    target = plain.targets(dict(sizes))
     taken = Counter()
     for r in rows:
         taken[r["source"]] += r["taken"]
@@ -298,12 +330,31 @@ def test_apportionment_equals_seat_by_seat(spark):
 
 
 def test_mixed_documents_repeat_rows(spark, docs):
-    table = docs.withColumn("_copies", F.lit("clash"))
-    out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns
+    table = docs.withColumns({"_copies": F.lit("mine"), "_copy": F.lit("mine"), "size": F.lit("mine"), "total": F.lit("mine")})
+    out = mixing.mixed_documents(table)
+    assert out.columns == table.columns and out.filter("_copies = 'mine' AND _copy = 'mine' AND size = 'mine'").count() == out.count()
     times = Counter(r["doc_id"] for r in out.select("doc_id").collect())
-    assert set(times.values()) <= {1, 2} and 1.2 * docs.count() < sum(times.values()) < 1.8 * docs.count()
-    assert table.count() == docs.count()
+    assert times == Counter({d: c for d, _, _, _, c in plain.mix([(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in docs.collect()]) if c})
+    assert mixing.mixed_documents(table.limit(0)).count() == 0
+
+
+def test_mixed_documents_decide_row_by_row(spark):
+    r = np.random.default_rng(2)
+    rows = [(None if k % 3 else 4, "a" if k % 2 else "b", " ".join(f"w{v}" for v in r.integers(0, 99, int(r.integers(1, 60))))) for k in range(400)]
+    out = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, source string, text string"), shard_rows=50)
+    have, taken = Counter((s, t) for _, s, t in rows), Counter((x["source"], x["text"]) for x in out.collect())
+    assert all(taken[k] <= 2 * have[k] for k in taken)
+    sizes = {s: sum(len(WORD.findall(t)) for _, x, t in rows if x == s) for s in "ab"}
+    for s, target in plain.targets(sizes).items():
+        assert abs(sum(len(WORD.findall(t)) * n for (x, t), n in taken.items() if x == s) - target) < 0.1 * target
+
+
+def test_mix_of_one_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ENTRY_ROWS", 100)
+    rows = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") < 2000, "same three words").otherwise(F.repeat(F.lit("w "), F.pmod("id", F.lit(9)).cast("int"))).alias("text"))
+    got = mixing.mix(rows).collect()
+    assert len(got) == 3000 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= mixing.BLOCK_WORDS and got[0]["source_size"] == sum(r["size"] for r in got)
 
 
 @pytest.mark.parametrize("spread", [0.0325, 0.0307])

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import plain
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-from corpusloom.llm import langid, pieces, quality, tokencount, tokenfile
+from corpusloom.llm import common, langid, pieces, quality, tokencount, tokenfile
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -166,6 +167,19 @@ def test_token_files_round_trip(spark, docs, odd, tmp_path, monkeypatch):
     assert tokenfile.digest_token_files(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_files_when_all_rows_share_an_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "RANGE_ROWS", 20)
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.range(600).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit(" more"), F.pmod("id", F.lit(7)).cast("int"))).alias("text"))
+    tokenfile.write_token_files(rows, vocabulary, f"{tmp_path}/f")
+    assert spark.read.parquet(f"{tmp_path}/f/blocks").select("range").distinct().count() > 10
+    got = sorted(tokenfile.digest_token_files(spark, f"{tmp_path}/f").collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got[:-1]]).tolist() and len(got) == 600
+    library = Tokenizer.from_file(vocabulary)
+    expected = [zlib.crc32(np.array([*e.ids, 2], "<u4").tobytes()) for e in library.encode_batch([r["text"] for r in rows.collect()], add_special_tokens=False)]
+    assert sorted(r["ids_crc32"] for r in got) == sorted(expected)
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
@@ -184,7 +198,43 @@ def test_languages_of_odd_rows(spark, docs, odd):
     assert langid.identify_languages(odd.limit(0), docs).count() == 0
 
 
-def test_gradients_of_the_network():
+def test_network_equals_plain_convolution(docs):
+    net = langid.train(docs, rows=60)
+    some = [r["text"] for r in docs.orderBy("doc_id").limit(12).collect()] + ["é", "1 2 3", None, ""]
+    langs, scores = langid.predict(net, some)
+    for text, lang, p in zip(some, langs, scores, strict=True):
+        other, q = plain.language(net, text)
+        assert lang == other and p == pytest.approx(q, abs=1e-4)
+
+
+def test_gradients_equal_finite_differences():
+    net = langid.ByteCNN(["a", "b", "c"], seed=3)
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    for k in ("emb", "conv", "bias", "out", "out_bias"):
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    net.bias += 0.3
+
+    def loss():
+        z = (net._patches(x) @ net.conv).max(axis=1) + net.bias
+        logits = np.maximum(z, 0) @ net.out + net.out_bias
+        return float(np.mean(np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(len(x)), y]))
+
+    g = net.gradients(x, y)
+    for k in ("emb", "conv", "bias", "out", "out_bias"):
+        w = getattr(net, k)
+        places = np.argwhere(net.mask) if k == "conv" else np.argwhere(np.ones_like(w))
+        for at in map(tuple, r.permutation(places)[:25]):
+            old, step = w[at], 1e-6
+            w[at] = old + step
+            up = loss()
+            w[at] = old - step
+            down = loss()
+            w[at] = old
+            assert g[k][at] == pytest.approx((up - down) / (2 * step), abs=1e-5), (k, at)
+
+
+def test_network_learns():
     net = langid.ByteCNN(["a", "b"])
     r = np.random.default_rng(0)
     x = r.integers(0, 256, (200, langid.WINDOW)).astype(np.uint8)
@@ -203,6 +253,24 @@ def test_quality_held_out(spark):
     assert auc > 0.98 and ((s >= 0.3) == y).mean() > 0.96
 
 
+def test_quality_equals_plain_ftrl(spark, docs):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    weights = plain.ftrl([t for d, t in rows if d in labels], [labels[d] for d, _ in rows if d in labels])
+    odd = [(9_000 + i, t) for i, t in enumerate(ODD)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    scored = quality.classify_quality(table, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), training=docs)
+    got = {r["doc_id"]: r["quality_score"] for r in scored.collect()}
+    assert all(got[d] == pytest.approx(plain.quality_score(weights, t), abs=1e-4) for d, t in rows + odd)
+
+
+def test_training_samples_are_bounded(spark):
+    rows = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.pmod("id", F.lit(100)).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    sample = common.bounded_sample(rows, 300, 400)
+    assert 0 < len(sample) <= 100 and sample["text"].str.len().sum() <= 400 and not sample.duplicated().any()
+    assert len(common.bounded_sample(rows, 7, 10**6)) <= 7 and common.bounded_sample(rows.limit(0), 7, 100).empty
+
+
 def test_quality_of_odd_rows(spark, docs, odd):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(0, 1), (1, None), (2, 9), (None, 1)], "doc_id long, quality int")
     scored = quality.classify_quality(odd, labels, training=docs, rows=50).collect()
