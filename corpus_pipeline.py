@@ -6,8 +6,8 @@
 4. mixing of sources to target weights: documents appear as often as the mix takes them whole;
 5. SentencePiece encoding, with the decoded text compared to the original.
 
-Stages 1 to 4 return the columns they were given. SQL cannot express the trained stages, so ``ORACLE_SQL`` is None and
-a test holds ``run`` against a brute-force version.
+Stages 1 to 4 return the columns they were given, whatever their names. SQL cannot express the trained stages, so
+``ORACLE_SQL`` is None; tests hold each stage and the result against plain versions of their own.
 """
 
 from __future__ import annotations
@@ -17,41 +17,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, mixing, pieces, quality, similar
-from corpusloom.llm.common import shared_folder, staged
+from corpusloom.llm.common import plain_names, shared_folder
 
 #: Least probability of the predicted language, and least quality score.
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.3
 #: Five-word shingles; documents link where their sets have this similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of 64 within which SimHash proposes candidates: about similarity 0.92; banded MinHash proposes the others.
-RADIUS = 6
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is one of those learned from the documents' own labels."""
-    found = langid.identify_languages(docs, docs.select("doc_id", "text", "lang"))
+    named = plain_names(docs, "text")
+    found = langid.identify_languages(named, docs.select("doc_id", "text", "lang"))
     kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LANGUAGE_SCORE))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*named.columns).toDF(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier, trained on the labelled ones, accepts; all of them without labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = quality.classify_quality(docs, labels, threshold=QUALITY_SCORE)
-    return scored.filter("quality_pred = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = plain_names(docs, "text")
+    scored = quality.classify_quality(named, labels, threshold=QUALITY_SCORE, training=docs.select("doc_id", "text"))
+    return scored.filter("quality_pred = 1").select(*named.columns).toDF(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest doc_id.
-
-    Rows that share a doc_id share its fate; rows without one stay.
-    """
-    rows = staged(similar.sketched(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), SHINGLE), "rows")
-    groups = similar.grouped(rows, SHINGLE, SIMILARITY, RADIUS)
-    placed = rows.select("doc_id", "_fp", "_set").join(groups, ["_fp", "_set"])
-    first = placed.groupBy("component").agg(F.min("doc_id").alias("first"))
-    gone = placed.join(first, "component").filter("doc_id <> first").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Keeps one document of each group of near-duplicates: the one with the smallest doc_id."""
+    return similar.one_of_each(docs, SHINGLE, SIMILARITY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids_crc32, round_trip) of every document of the mix."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.digests(docs, path).select("doc_id", "lang", "source", "n_tokens", "ids_crc32", "round_trip")
+    return pieces.digests(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
 
 
 STAGES = [
