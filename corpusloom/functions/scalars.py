@@ -89,9 +89,14 @@ def json_candidates(text: Column) -> list[Column]:
     return first + [F.regexp_replace(c, r",\s*([}\]])", "$1") for c in first]
 
 
+def extracted_variant(text: Column) -> Column:
+    """The first candidate that parses, as a variant; each is parsed once and only where those before it failed."""
+    return F.coalesce(*[F.try_parse_json(c) for c in json_candidates(text)])
+
+
 def extracted_json(text: Column) -> Column:
-    """The first candidate that parses, as text; null if none does."""
-    return F.coalesce(*[F.when(F.try_parse_json(c).isNotNull(), c) for c in json_candidates(text)])
+    """The first candidate that parses, as JSON text; null if none does."""
+    return F.to_json(extracted_variant(text))
 
 
 def ranked(value: Column, order: list[str]) -> Column:

@@ -1,40 +1,58 @@
-"""Gated model review of source modules: ask, gate, rebut, re-ask what is unanswered, report.
+"""Gated model review of source modules: plan, ask, gate, gather evidence, rebut, re-ask what is unanswered, report.
 
 All modules advance together as rows; rounds are a bounded driver loop over DataFrames, each written once in the
-shared folder. Nothing disappears: failed modules end in ``failed``, unanswered findings end as pending.
+shared folder. Nothing disappears: failed modules end in ``failed``, chunks without a reply in ``incomplete``, plans
+that stay out of bounds in ``plans``, unanswered findings as pending.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
 from corpusloom.jobs.model import ModelClient, ask_model
-from corpusloom.operators import gates, intervals, lexer, relational, symbols
+from corpusloom.operators import gates, graph, intervals, lexer, probe, relational, symbols
 from corpusloom.sources import files as sources
 from corpusloom.sources.staging import staged
 
 FINDINGS = "findings array<struct<file:string,line:string,severity:string,description:string,evidence:string,suggestion:string>>"
-REBUTTALS = "items array<struct<id:string,conclusion:string,reason:string>>"
+REBUTTALS = "items array<struct<id:string,conclusion:string,reason:string>>, queries array<struct<kind:string,target:string>>"
 PLAN = "patterns array<string>, summary string, strategy string, chunks array<struct<name:string,purpose:string,functions:array<string>>>"
-#: Modules with more lines than this are planned into chunks first; rounds of asking for missing conclusions.
-LARGE_LINES, RE_ASKS = 2000, 2
+#: Modules with more lines than this are planned into chunks first; rounds of redoing a plan, of asking for missing
+#: conclusions, and of judging with evidence (the last of them asks for no more).
+LARGE_LINES, PLAN_REDOS, RE_ASKS, PROBE_ROUNDS = 2000, 2, 2, 2
 #: Chunk names of the plan repair (fixed values).
-REST, WHOLE = "残余", "整模块"
+REST, WHOLE, NUMBERED = "残余", "整模块", "子块"
+#: Order of the residual chunk among those of a plan.
+_LAST = 1 << 20
 
 
 @dataclass
 class Review:
-    """Tables of one run: inventory, findings with ids, one conclusion per finding, failed modules, report texts."""
+    """Tables of one run.
+
+    inventory (module_id, module, files, lines, chars, estimated_tokens); findings with ids; conclusions, one per
+    finding; failed (module_id, reason); incomplete (module_id, chunk_no, chunk, error); plans (module_id, patterns,
+    summary, strategy, violations, unknown); chunks, one row per range of lines; evidence (module_id, round, n, kind,
+    target, result, truncated); raw, every reply (module_id, stage, turn, chunk_no, reply, error); judged, every
+    rebuttal item with its verdict; report texts.
+    """
 
     inventory: DataFrame
     findings: DataFrame
     conclusions: DataFrame
     failed: DataFrame
+    incomplete: DataFrame
+    plans: DataFrame
     chunks: DataFrame
+    evidence: DataFrame
+    raw: DataFrame
+    judged: DataFrame
     report: DataFrame
 
 
@@ -45,113 +63,290 @@ def _parsed(replies: DataFrame, schema: str) -> DataFrame:
     return replies.withColumns({"parsed": F.from_json(text, schema), "error": error})
 
 
+def _raw(replies: DataFrame, stage: str, turn: int) -> DataFrame:
+    chunk = F.col("chunk_no") if "chunk_no" in replies.columns else F.lit(None).cast("int").alias("chunk_no")
+    return replies.select("module_id", F.lit(stage).alias("stage"), F.lit(turn).alias("turn"), chunk, "reply", "error")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ordered(order: Column, text: Column, between: str = "\n") -> Column:
+    """Aggregate: ``text`` of all rows in ``order``, joined."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), between)
+
+
 def finding_lines(rows: DataFrame) -> DataFrame:
     """(module_id, digest): each module's findings as text for a prompt, in order of their number."""
-    text = F.format_string("[%s] %s:%s %s %s", "id", "file", "line", "severity", "description")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("no", text.alias("t")))), lambda x: x["t"])
-    return rows.groupBy("module_id").agg(F.array_join(ordered, "\n").alias("digest"))
+    text = F.concat(
+        F.format_string("%s [%s] %s:%s\n", "id", "severity", "file", "line"), F.lit("  描述："), "description", F.lit("\n  证据："), "evidence", F.lit("\n  建议："), "suggestion",
+    )
+    return rows.groupBy("module_id").agg(_ordered(F.col("no"), text).alias("digest"))
+
+
+# --- plans ----------------------------------------------------------------------------------------------------------
 
 
-def plan_chunks(client: ModelClient, lexed: DataFrame, lines: DataFrame, large: DataFrame) -> DataFrame:
-    """(module_id, chunk_no, chunk, file, start, end) of large modules from the model's plan, repaired.
+def cut_by_plan(plans: DataFrame, functions: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, owners, unknown) of ``plans`` (module_id, parsed), repaired.
 
-    Unknown functions drop out, the first claim of a function wins, unclaimed functions form the residual chunk, and a
-    module without functions is one chunk of all its lines.
+    Unknown functions drop out and are listed in ``unknown`` (module_id, name), the first claim of a function wins,
+    unclaimed functions form the residual chunk, chunks without a function vanish and unnamed ones are numbered. A
+    module without functions is one chunk of all its lines. ``chunks`` has a row for each range (module_id, chunk_no,
+    chunk, purpose, functions, file, start, end), ``owners`` the chunk_no of every function name.
     """
-    functions = symbols.functions(lexed).join(large.select("module_id"), "module_id", "left_semi")
-    listed = functions.groupBy("module_id").agg(F.array_join(F.sort_array(F.collect_set("name")), "、").alias("names"))
-    prompts = large.select("module_id").join(listed, "module_id", "left").select(
-        "module_id", F.lit("plan").alias("schema"), F.concat(F.lit("模块 "), "module_id", F.lit("\n函数："), F.coalesce("names", F.lit("无"))).alias("prompt")
+    claims = plans.select("module_id", F.posexplode("parsed.chunks").alias("pos", "c")).select(
+        "module_id", "pos", S.blank_free(F.col("c.name")).alias("chunk"), F.coalesce("c.purpose", F.lit("")).alias("purpose"), F.posexplode("c.functions").alias("at", "name")
     )
-    plans = staged(_parsed(ask_model(prompts, client, ["module_id"]), PLAN))
-    chunks = plans.select("module_id", F.posexplode("parsed.chunks").alias("pos", "c"))
-    claims = chunks.select("module_id", "pos", F.col("c.name").alias("chunk"), F.posexplode("c.functions").alias("at", "name"))
-    known = functions.select("module_id", "file", "name", "line")
-    claimed = claims.join(known, ["module_id", "name"])
-    owned = gates.repaired_plan(
-        claimed.withColumn("claim", F.struct(F.col("pos").alias("no"), "chunk")), known, ["module_id", "file", "name", "line"], [F.col("pos"), F.col("at")], "claim",
-        rest=F.struct(F.lit(1 << 20).alias("no"), F.lit(REST).alias("chunk")),
+    known = functions.select("module_id", "file", "name", "line", "end_line")
+    unknown = claims.select("module_id", "name").distinct().join(known.select("module_id", "name").distinct(), ["module_id", "name"], "left_anti")
+    claim = F.struct("pos", "chunk", "purpose")
+    rest = F.struct(F.lit(_LAST).alias("pos"), F.lit(REST).alias("chunk"), F.lit("方案未认领的函数").alias("purpose"))
+    named = claims.withColumn("claim", claim).join(known.select("module_id", "name").distinct(), ["module_id", "name"], "left_semi")
+    owned = gates.repaired_plan(named, known.select("module_id", "name").distinct(), ["module_id", "name"], [F.col("pos"), F.col("at")], "claim", rest=rest)
+    owned = owned.select("module_id", "name", F.col("chunk.*"))
+    order = F.dense_rank().over(W.partitionBy("module_id").orderBy("pos")) - 1
+    owned = staged(owned.withColumn("chunk_no", order).withColumn("chunk", F.coalesce("chunk", F.concat(F.lit(NUMBERED), (F.col("chunk_no") + 1).cast("string")))).drop("pos"), "owned")
+    placed = known.join(owned.select("module_id", "name", "chunk_no"), ["module_id", "name"])
+    spans = intervals.owned_lines(known, lines.filter(F.col("file").endswith(".c")).select("module_id", "file", F.col("line_no").alias("line")), placed)
+    per_chunk = owned.groupBy("module_id", "chunk_no", "chunk", "purpose").agg(F.count("*").cast("int").alias("functions"))
+    planned = spans.filter("chunk_no IS NOT NULL").join(per_chunk, ["module_id", "chunk_no"])
+    whole = lines.join(plans.select("module_id"), "module_id", "left_semi").join(planned.select("module_id").distinct(), "module_id", "left_anti")
+    one = whole.groupBy("module_id", "file").agg(F.max("line_no").alias("end")).select(
+        "module_id", F.lit(0).alias("chunk_no"), F.lit(WHOLE).alias("chunk"), F.lit("没有可用的方案").alias("purpose"), F.lit(0).alias("functions"), "file", F.lit(1).alias("start"), "end",
     )
-    owned = owned.select("module_id", "file", "name", "line", F.col("chunk.no").alias("chunk_no"), F.col("chunk.chunk").alias("chunk"))
-    spans = intervals.owned_lines(functions.select("module_id", "file", "name", "line", "end_line"), lines.filter(F.col("file").endswith(".c")).select("module_id", "file", F.col("line_no").alias("line")), owned)
-    names = owned.select("module_id", "chunk_no", "chunk").distinct()
-    planned = spans.filter("chunk_no IS NOT NULL").join(names, ["module_id", "chunk_no"])
-    whole = lines.join(large.select("module_id"), "module_id", "left_semi").join(planned.select("module_id").distinct(), "module_id", "left_anti")
-    rest = whole.groupBy("module_id", "file").agg(F.max("line_no").alias("end")).select(
-        "module_id", F.lit(0).alias("chunk_no"), "file", F.lit(1).alias("start"), "end", F.lit(WHOLE).alias("chunk")
-    )
-    return planned.select("module_id", "chunk_no", "chunk", "file", "start", "end").unionByName(rest.select("module_id", "chunk_no", "chunk", "file", "start", "end"))
+    columns = ["module_id", "chunk_no", "chunk", "purpose", "functions", "file", "start", "end"]
+    return planned.select(*columns).unionByName(one.select(*columns)), owned.select("module_id", "name", "chunk_no"), unknown
+
+
+def chunk_sizes(chunks: DataFrame) -> DataFrame:
+    """(module_id, chunk_no, chunk, functions, lines): total lines of each chunk's ranges."""
+    return chunks.groupBy("module_id", "chunk_no", "chunk", "functions").agg(F.sum(F.col("end") - F.col("start") + 1).alias("lines"))
+
+
+def plan_violations(chunks: DataFrame, owners: DataFrame, cycles: DataFrame, limit: int) -> DataFrame:
+    """(module_id, violations) of plans with a chunk above ``limit`` lines or a call cycle in several chunks."""
+    large = chunk_sizes(chunks).filter(F.col("lines") > limit)
+    sizes = large.select("module_id", F.col("chunk_no").alias("o"), F.format_string(f"子块「%s」有 %d 行，超过 {limit} 行", "chunk", "lines").alias("text"))
+    members = cycles.select("module_id", "group_no", F.explode("members").alias("name")).join(owners, ["module_id", "name"])
+    parted = gates.split_groups(members, ["module_id", "group_no"], "chunk_no").join(cycles, ["module_id", "group_no"])
+    split = parted.select("module_id", (F.col("group_no") + _LAST).alias("o"), F.concat(F.lit("循环调用组分在几个子块里："), F.array_join("members", "、")).alias("text"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("o", "text"))), lambda x: x["text"])
+    return sizes.unionByName(split).groupBy("module_id").agg(each.alias("violations"))
+
+
+@dataclass
+class _Planned:
+    chunks: DataFrame
+    plans: DataFrame
+    failed: DataFrame
+    raw: list[DataFrame]
+
+
+def plan_chunks(client: ModelClient, lexed: DataFrame, lines: DataFrame, large: DataFrame, cycles: DataFrame, digests: DataFrame, limit: int) -> _Planned:
+    """Plans of large modules; those out of bounds go back to the model with what is wrong, ``PLAN_REDOS`` times."""
+    functions = staged(symbols.functions(lexed).join(large.select("module_id"), "module_id", "left_semi"), "functions")
+    todo = large.select("module_id", "lines", F.lit("").alias("feedback"))
+    chunks, plans, failed, raw = [], [], [], []
+    for turn in range(PLAN_REDOS + 1):
+        prompt = F.concat(
+            F.format_string(f"为模块 %s（%d 行）切分子块，每块不超过 {limit} 行，循环调用组不要拆开。\n", "module_id", "lines"), "overview", F.lit("\n循环调用组：\n"), "cycles",
+            F.when(F.col("feedback") != "", F.concat(F.lit("\n上一版方案的问题：\n"), "feedback")).otherwise(F.lit("")),
+        )
+        asked = todo.join(digests, "module_id").select("module_id", F.lit("plan").alias("schema"), prompt.alias("prompt"))
+        replies = staged(_parsed(ask_model(asked, client, ["module_id"]), PLAN), "plans")
+        raw.append(_raw(replies, "plan", turn))
+        failed.append(replies.filter("error IS NOT NULL").select("module_id", F.col("error").alias("reason")))
+        good = replies.filter("error IS NULL")
+        cut, owners, unknown = cut_by_plan(good, functions, lines)
+        cut, owners = staged(cut, "cut"), staged(owners, "owners")
+        names = unknown.groupBy("module_id").agg(F.array_sort(F.collect_set("name")).alias("unknown"))
+        none = F.array().cast("array<string>")
+        checked = good.join(plan_violations(cut, owners, cycles, limit), "module_id", "left").join(names, "module_id", "left").select(
+            "module_id", F.coalesce("parsed.patterns", none).alias("patterns"), F.coalesce("parsed.summary", F.lit("")).alias("summary"), F.coalesce("parsed.strategy", F.lit("")).alias("strategy"),
+            F.coalesce("violations", none).alias("violations"), F.coalesce("unknown", none).alias("unknown"),
+        )
+        checked = staged(checked, "checked")
+        done = checked if turn == PLAN_REDOS else checked.filter(F.size("violations") == 0)
+        plans.append(done)
+        chunks.append(cut.join(done.select("module_id"), "module_id", "left_semi"))
+        if turn == PLAN_REDOS:
+            break
+        text = F.array_join(F.transform("violations", lambda v: F.concat(F.lit("- "), v)), "\n")
+        back = checked.filter(F.size("violations") > 0).select("module_id", text.alias("feedback"))
+        todo = staged(large.select("module_id", "lines").join(back, "module_id"), "redo")
+        if todo.isEmpty():
+            break
+    return _Planned(staged(_all(chunks), "chunks"), staged(_all(plans), "plans"), _all(failed), raw)
 
 
 def chunk_sources(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """(module_id, chunk_no, source): the lines of each chunk under headings, in order of file and line."""
+    """(module_id, chunk_no, chunk, purpose, source): the lines of each chunk under headings, in order of file and line."""
     cut = chunks.join(files.select("module_id", "file", "text"), ["module_id", "file"])
     part = F.concat(F.lit("=== "), "file", F.format_string("（自第 %d 行起）===\n", "start"), intervals.slice_text(F.col("text"), F.col("start"), F.col("end")))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("file", "start", part.alias("p")))), lambda x: x["p"])
-    return cut.groupBy("module_id", "chunk_no").agg(F.array_join(ordered, "\n").alias("source"))
-
-
-def review(spark: SparkSession, root: str, client: ModelClient, large_lines: int = LARGE_LINES, re_asks: int = RE_ASKS) -> Review:
-    """Review every module below ``root``."""
-    files = staged(sources.modules(sources.source_tree(spark, root)))
-    inventory = staged(sources.module_inventory(files))
-    lexed = staged(lexer.lexed(files))
-    lines = intervals.line_table(files.select("module_id", "file", "text").withColumn("k", F.struct("module_id", "file")), "k").select("k.*", "line_no", "line")
-    large = inventory.filter(F.col("lines") > large_lines)
-    chunks = staged(plan_chunks(client, lexed, lines, large))
-    small = sources.joined_sources(inventory.filter(F.col("lines") <= large_lines), files).select("module_id", F.lit(0).alias("chunk_no"), "source")
-    units = small.unionByName(chunk_sources(chunks, files)).join(symbols.backgrounds(lexed), "module_id", "left")
-    prompt = F.concat(F.lit("审查模块 "), "module_id", F.lit("\n背景：\n"), F.coalesce("background", F.lit("")), F.lit("\n代码：\n"), "source")
-    asked = units.select("module_id", "chunk_no", F.lit("findings").alias("schema"), prompt.alias("prompt"))
-    replies = staged(_parsed(ask_model(asked, client, ["module_id", "chunk_no"]), FINDINGS))
-    unanswered = replies.filter("error IS NOT NULL").groupBy("module_id").agg(F.min("error").alias("reason"))
-    raw = replies.select("module_id", "chunk_no", F.posexplode("parsed.findings").alias("pos", "f")).select("module_id", "chunk_no", "pos", "f.*")
-    arrival = F.row_number().over(_by_module("chunk_no", "pos"))
-    numbered = staged(raw.withColumn("no", arrival).drop("chunk_no", "pos"))
+    return cut.groupBy("module_id", "chunk_no", "chunk", "purpose").agg(_ordered(F.struct("file", "start"), part).alias("source"))
+
+
+def chunk_background() -> Column:
+    """What a chunk's prompt says before its code: that the rest is missing, then what the module uses of others."""
+    of = F.count("*").over(W.partitionBy("module_id"))
+    note = F.format_string("模块已切成 %d 个子块，这里只有「%s」（%s）。其余部分未提供，只写本子块能确证的问题；下列跨模块符号可以引用。", of, F.col("chunk"), F.col("purpose"))
+    return F.concat_ws("\n\n", note, F.nullif(F.coalesce("background", F.lit("")), F.lit("")))
+
+
+# --- the review -----------------------------------------------------------------------------------------------------
+
+
+def chosen_modules(inventory: DataFrame, modules: list[str] | None) -> DataFrame:
+    """Rows of the wanted modules (all without a list); a name that the inventory lacks is an error."""
+    if not modules:
+        return inventory
+    wanted = inventory.sparkSession.createDataFrame([(m,) for m in sorted(set(modules))], "module_id string")
+    missing = [r["module_id"] for r in wanted.join(inventory, "module_id", "left_anti").collect()]
+    if missing:
+        raise ValueError(f"modules that the inventory does not have: {missing}")
+    return inventory.join(wanted, "module_id", "left_semi")
+
+
+def _inputs(spark: SparkSession, root: str, inventory: DataFrame | None, modules: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """(inventory, files with module_id): scanned, or as a stored inventory has them."""
+    tree = staged(sources.source_tree(spark, root), "tree")
+    if inventory is None:
+        named = sources.modules(tree)
+        inventory = sources.module_inventory(named)
+    inventory = staged(chosen_modules(inventory, modules), "inventory")
+    gone = [r["file"] for r in sources.missing_files(inventory, tree).limit(20).collect()]
+    if gone:
+        raise ValueError(f"the inventory belongs to another tree; missing: {gone}")
+    listed = inventory.select("module_id", "module", F.explode("files").alias("file"))
+    return inventory, staged(tree.join(listed, "file"), "files")
+
+
+def review(
+    spark: SparkSession, root: str, client: ModelClient, large_lines: int = LARGE_LINES, re_asks: int = RE_ASKS,
+    inventory: DataFrame | None = None, modules: list[str] | None = None,
+) -> Review:
+    """Review the modules below ``root``: all of them, those of a stored ``inventory``, or the listed ``modules``."""
+    inventory, files = _inputs(spark, root, inventory, modules)
+    lexed = staged(lexer.lexed(files), "lexed")
+    lines = staged(intervals.line_table(files.select("module_id", "file", "text").withColumn("k", F.struct("module_id", "file")), "k").select("k.*", "line_no", "line"), "lines")
+    edges = staged(symbols.call_edges(lexed)[0], "edges")
+    large, small = inventory.filter(F.col("lines") > large_lines), inventory.filter(F.col("lines") <= large_lines)
+    cycles = staged(graph.module_cycles(edges.select("module_id", "src", "dst").join(large, "module_id", "left_semi"), "module_id"), "cycles")
+    digests = staged(symbols.digests(large.select("module_id"), lexed, edges, cycles), "digests")
+    planned = plan_chunks(client, lexed, lines, large, cycles, digests, large_lines)
+    chunks, raw = planned.chunks, planned.raw
+
+    background = symbols.backgrounds(lexed)
+    code = sources.joined_sources(small, files)
+    whole = code.join(background, "module_id", "left").select("module_id", F.lit(0).alias("chunk_no"), F.lit("").alias("title"), F.coalesce("background", F.lit("")).alias("background"), "source")
+    parts = chunk_sources(chunks, files).join(background, "module_id", "left")
+    parts = parts.select("module_id", "chunk_no", F.format_string(" 的子块「%s」", "chunk").alias("title"), chunk_background().alias("background"), "source")
+    prompt = F.concat(F.lit("审查模块 "), "module_id", "title", F.lit("\n背景：\n"), "background", F.lit("\n代码：\n"), "source")
+    asked = whole.unionByName(parts).select("module_id", "chunk_no", F.lit("findings").alias("schema"), prompt.alias("prompt"))
+    replies = staged(_parsed(ask_model(asked, client, ["module_id", "chunk_no"]), FINDINGS), "replies")
+    raw.append(_raw(replies, "findings", 0))
+    # a small module fails with its one reply; of a large one the other chunks' findings stay
+    silent = replies.filter("error IS NOT NULL")
+    names = chunks.select("module_id", "chunk_no", "chunk").distinct()
+    incomplete = staged(silent.join(names, ["module_id", "chunk_no"]).select("module_id", "chunk_no", "chunk", "error"), "incomplete")
+    unanswered = silent.join(small, "module_id", "left_semi").select("module_id", F.col("error").alias("reason")).unionByName(planned.failed)
+    found = replies.select("module_id", "chunk_no", F.posexplode("parsed.findings").alias("pos", "f")).select("module_id", "chunk_no", "pos", "f.*")
+    arrival = F.row_number().over(W.partitionBy("module_id").orderBy("chunk_no", "pos"))
+    numbered = staged(found.withColumn("no", arrival).drop("chunk_no", "pos"), "numbered")
     sound, rejected = gates.all_or_nothing(numbered, "module_id", "no", gates.finding_problem())
-    failed = staged(rejected.unionByName(unanswered).groupBy("module_id").agg(F.min("reason").alias("reason")))
-    findings = staged(sound.join(failed, "module_id", "left_anti").withColumns({"id": F.concat(F.lit("f"), F.col("no").cast("string")), "line": F.expr("try_cast(line AS bigint)")}))
+    failed = staged(rejected.unionByName(unanswered).groupBy("module_id").agg(F.min("reason").alias("reason")), "failed")
+    findings = sound.join(failed, "module_id", "left_anti").withColumns({"id": F.concat(F.lit("f"), F.col("no").cast("string")), "line": F.expr("try_cast(line AS bigint)")})
+    findings = staged(findings, "findings")
 
+    tables = {"edges": edges, "lines": lines, "functions": symbols.functions(lexed)}
+    context = code.select("module_id", F.col("source").alias("context"), F.lit(False).alias("large")).unionByName(
+        digests.select("module_id", F.col("overview").alias("context"), F.lit(True).alias("large"))
+    )
     answers = spark.createDataFrame([], "module_id string, id string, conclusion string, reason string")
-    for turn in range(re_asks + 1):
+    shown = spark.createDataFrame([], "module_id string, round int, n int, kind string, target string, result string, truncated boolean")
+    judged = spark.createDataFrame([], "module_id string, turn int, pos int, id string, conclusion string, reason string, verdict string")
+    # large modules have the evidence rounds before the last one in addition
+    for turn in range(re_asks + PROBE_ROUNDS):
+        final = turn + 1 >= PROBE_ROUNDS
         pending = relational.unanswered(findings, answers, ["module_id", "id"])
+        if turn > re_asks:
+            pending = pending.join(large, "module_id", "left_semi")
+        pending = staged(pending, "pending")
         if pending.isEmpty():
             break  # nothing to ask: no model call
-        text = finding_lines(pending).select("module_id", F.lit("rebuttals").alias("schema"), F.concat(F.lit("复核模块 "), "module_id", F.lit("\n"), "digest").alias("prompt"))
-        got = staged(_parsed(ask_model(text, client, ["module_id"]), REBUTTALS))
+        label = "最后一轮：每条都要有结论，证据不足的判为待确认" if final else f"第 {turn + 1} 轮，可以提出取证请求"
+        told = F.concat(F.lit("\n证据：\n"), F.coalesce("evidence", F.lit("（还没有取过证据）")), F.lit(f"\n{label}"))
+        prompt = F.concat(F.lit("复核模块 "), "module_id", F.lit("\n"), "digest", F.when(F.col("large"), F.lit("\n概览：\n")).otherwise(F.lit("\n代码：\n")), "context", F.when(F.col("large"), told).otherwise(F.lit("")))
+        rows = finding_lines(pending).join(context, "module_id").join(evidence_digest(shown), "module_id", "left")
+        got = staged(_parsed(ask_model(rows.select("module_id", "large", F.lit("rebuttals").alias("schema"), prompt.alias("prompt")), client, ["module_id", "large"]), REBUTTALS), "rebuttals")
+        raw.append(_raw(got, "rebuttals", turn))
         items = got.select("module_id", F.posexplode("parsed.items").alias("pos", "i")).select("module_id", "pos", "i.*")
         open_ids = pending.select("module_id", "id", F.lit(True).alias("open"))
         checks = [(F.col("open"), "unknown"), (F.col("conclusion").isin(S.CONCLUSIONS), "conclusion"), (S.blank_free(F.col("reason")).isNotNull(), "reason")]
-        judged = gates.row_gate(items.join(open_ids, ["module_id", "id"], "left"), ["module_id", "id"], ["pos"], checks)
-        answers = staged(answers.unionByName(judged.filter("verdict = 'accepted'").select("module_id", "id", "conclusion", "reason")))
-    conclusions = staged(gates.give_up(findings, answers, ["module_id", "id"]))
-    return Review(inventory, findings, conclusions, failed, chunks, reports(inventory, findings, conclusions, failed))
+        verdicts = gates.row_gate(items.join(open_ids, ["module_id", "id"], "left"), ["module_id", "id"], ["pos"], checks)
+        verdicts = staged(verdicts.select("module_id", F.lit(turn).alias("turn"), "pos", "id", "conclusion", "reason", "verdict"), "verdicts")
+        judged = judged.unionByName(verdicts)
+        answers = staged(answers.unionByName(verdicts.filter("verdict = 'accepted'").select("module_id", "id", "conclusion", "reason")), "answers")
+        if not final:
+            queries = got.filter("large").select("module_id", F.posexplode("parsed.queries").alias("n", "q")).select("module_id", "n", "q.*").filter("kind IS NOT NULL AND target IS NOT NULL")
+            queries = staged(queries, "queries")
+            if not queries.isEmpty():
+                result = probe.evidence(probe.dispatch(queries, tables))
+                shown = staged(shown.unionByName(result.select("module_id", F.lit(turn + 1).alias("round"), "n", "kind", "target", "result", "truncated")), "evidence")
+    conclusions = staged(gates.give_up(findings, answers, ["module_id", "id"]), "conclusions")
+    report = reports(inventory, findings, conclusions, failed, chunks, planned.plans, incomplete)
+    return Review(inventory, findings, conclusions, failed, incomplete, planned.plans, chunks, shown, _all(raw), judged, report)
+
 
+def evidence_digest(shown: DataFrame) -> DataFrame:
+    """(module_id, evidence): results of all rounds as text for a prompt."""
+    mark = F.when(F.col("truncated"), F.lit("（已截断）")).otherwise(F.lit(""))
+    text = F.concat(F.format_string("[第 %d 轮 %s %s]", "round", "kind", "target"), mark, F.lit("\n"), "result")
+    return shown.groupBy("module_id").agg(_ordered(F.struct("round", "n"), text).alias("evidence"))
 
-def _by_module(*order: str):
-    from pyspark.sql import Window as W
 
-    return W.partitionBy("module_id").orderBy(*order)
+# --- the report -----------------------------------------------------------------------------------------------------
 
 
-def reports(inventory: DataFrame, findings: DataFrame, conclusions: DataFrame, failed: DataFrame) -> DataFrame:
-    """(module_id, report): counts, then one block per finding by conclusion, severity (worst first) and arrival."""
+def _decomposition(chunks: DataFrame, plans: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """(module_id, text): how a large module was cut, what was left out and what the plan misses."""
+    sizes = chunk_sizes(chunks).groupBy("module_id").agg(_ordered(F.col("chunk_no"), F.format_string("%s（%d 个函数 / %d 行）", "chunk", "functions", "lines"), "、").alias("cut"))
+    open_ = incomplete.groupBy("module_id").agg(_ordered(F.col("chunk_no"), F.concat("chunk", F.lit("："), "error"), "；").alias("open"))
+
+    def line(name: str, value: Column) -> Column:
+        return F.when(value != "", F.concat(F.lit(f"- {name}："), value))
+
+    rows = plans.join(sizes, "module_id", "left").join(open_, "module_id", "left")
+    return rows.select("module_id", F.concat_ws(
+        "\n", F.lit("## 分解\n"), line("形态", F.coalesce(F.nullif(F.array_join("patterns", "、"), F.lit("")), F.lit("无明显形态"))), line("判断", F.col("summary")), line("分解策略", F.col("strategy")),
+        line("子块", F.col("cut")), line("**未完成的子块**", F.col("open")), line("方案未达标", F.array_join("violations", "；")), line("方案里不存在的函数", F.array_join("unknown", "、")),
+    ).alias("text"))
+
+
+def reports(inventory: DataFrame, findings: DataFrame, conclusions: DataFrame, failed: DataFrame, chunks: DataFrame, plans: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """(module_id, report): summary, overview, decomposition of large modules, then one block per finding by conclusion,
+    severity (worst first) and arrival. Failed modules have none."""
     rows = findings.join(conclusions, ["module_id", "id"])
-    order: list[Column] = [S.ranked(F.col("conclusion"), S.CONCLUSIONS), S.ranked(F.col("severity"), S.SEVERITIES), F.col("no")]
+    order = F.struct(S.ranked(F.col("conclusion"), S.CONCLUSIONS).alias("a"), S.ranked(F.col("severity"), S.SEVERITIES).alias("b"), F.col("no").alias("c"))
     block = F.concat(
-        F.lit("### "), "id", F.lit(" "), "severity", F.lit(" · "), "conclusion", F.lit("\n"), S.source_link("..", F.col("file"), F.col("line")), F.lit("\n\n"),
-        "description", F.lit("\n\n"), S.indented(F.col("evidence")), F.lit("\n\n建议："), "suggestion", F.lit("\n理由："), "reason",
+        F.lit("### "), "id", F.lit(" ["), "severity", F.lit("] "), "conclusion", F.lit("\n\n- 位置："), S.source_link("..", F.col("file"), F.col("line")), F.lit("\n- 描述："), "description",
+        F.lit("\n- 建议："), "suggestion", F.lit("\n- 理由："), "reason", F.lit("\n\n"), S.indented(F.col("evidence")),
     )
-    blocks = F.transform(F.sort_array(F.collect_list(F.struct(order[0].alias("a"), order[1].alias("b"), order[2].alias("c"), block.alias("t")))), lambda x: x["t"])
     counts = [F.count_if(F.col("conclusion") == c) for c in S.CONCLUSIONS]
     grades = [F.count_if(F.col("severity") == s) for s in S.SEVERITIES]
+    urgent = F.col("severity").isin(S.SEVERITIES[:2]) & (F.col("conclusion") == S.CONCLUSIONS[0])
     per = rows.groupBy("module_id").agg(
-        F.concat_ws("，", *[F.concat(F.lit(f"{c} "), n.cast("string")) for c, n in zip(S.CONCLUSIONS, counts, strict=True)]).alias("by_conclusion"),
-        F.concat_ws("，", *[F.when(n > 0, F.concat(F.lit(f"{s} "), n.cast("string"))) for s, n in zip(S.SEVERITIES, grades, strict=True)]).alias("by_severity"),
-        F.array_join(blocks, "\n\n").alias("blocks"),
+        F.count("*").alias("n"), F.concat_ws("、", *[F.concat(F.lit(f"{c} "), n.cast("string")) for c, n in zip(S.CONCLUSIONS, counts, strict=True)]).alias("by_conclusion"),
+        F.concat_ws("、", *[F.when(n > 0, F.concat(F.lit(f"{s} "), n.cast("string"))) for s, n in zip(S.SEVERITIES, grades, strict=True)]).alias("by_severity"),
+        _ordered(F.col("no"), F.when(urgent, F.col("id")), "、").alias("urgent"), _ordered(order, block, "\n\n").alias("blocks"),
+    )
+    whole = inventory.join(failed, "module_id", "left_anti").join(per, "module_id", "left").join(_decomposition(chunks, plans, incomplete), "module_id", "left")
+    summary = F.when(F.col("n").isNull(), F.lit("没有发现需要报告的问题。")).otherwise(F.concat(
+        F.format_string("共 %d 条意见：%s；等级：%s。", "n", "by_conclusion", "by_severity"), F.when(F.col("urgent") != "", F.concat(F.lit("请先处理 "), "urgent", F.lit("。"))).otherwise(F.lit("")),
+    ))
+    overview = F.concat(
+        F.lit("## 概况\n\n- 模块："), "module_id", F.lit("（"), "module", F.lit("）\n- 文件："), F.array_join("files", "、"), F.format_string("\n- 规模：%d 行 / %d 字符 / 约 %d Token", "lines", "chars", "estimated_tokens"),
     )
-    whole = inventory.join(failed, "module_id", "left_anti").join(per, "module_id", "left")
-    return whole.select("module_id", F.concat(
-        F.lit("# "), "module_id", F.lit(" "), "module", F.lit("\n\n结论："), F.coalesce("by_conclusion", F.lit("没有发现")), F.lit("\n级别："), F.coalesce("by_severity", F.lit("-")),
-        F.lit("\n\n"), F.coalesce("blocks", F.lit("")),
-    ).alias("report"))
+    return whole.select("module_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "module_id", F.lit(" 检视报告")), F.lit("## 摘要"), summary, overview, "text", "blocks").alias("report"))

@@ -10,10 +10,12 @@ from corpusloom.functions import scalars as S
 
 
 def next_owner(rows: DataFrame, key: str, order: list[str], owner: Column, fill_tail: bool = True) -> DataFrame:
-    """Adds ``owner``: a row without one takes that of the next row that has one; the tail takes the last one's."""
-    line = W.partitionBy(key).orderBy(*order)
-    ahead = F.first(owner, ignorenulls=True).over(line.rowsBetween(W.currentRow, W.unboundedFollowing))
-    behind = F.last(owner, ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, W.currentRow))
+    """Adds ``owner``: a row without one takes that of the next row that has one; the tail takes the last one's.
+
+    Both frames grow from the start of their order, so a key costs one step a row, however many rows it has.
+    """
+    line, back = W.partitionBy(key).orderBy(*order), W.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    ahead, behind = (F.last(owner, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) for w in (back, line))
     return rows.withColumn("owner", F.coalesce(ahead, behind) if fill_tail else ahead)
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 KEYWORDS = {
     "if", "else", "for", "while", "do", "switch", "case", "return", "sizeof", "goto", "default", "break", "continue", "typedef", "struct", "union", "enum",
 }
+#: Tags of functions that a header declares, and of others (fixed values).
+EXPORTED, INTERNAL = "对外接口", "内部函数"
 #: Longest text kept of a type.
 TYPE_CHARS = 400
 
@@ -149,5 +151,5 @@ def relation(lexed_files: DataFrame, name: str) -> DataFrame:
 
 
 def exported(kind: Column) -> Column:
-    """Tag of a function by whether a header declares it (fixed values)."""
-    return F.when(kind, "对外接口").otherwise("内部函数")
+    """Tag of a function by whether a header declares it."""
+    return F.when(kind, EXPORTED).otherwise(INTERNAL)

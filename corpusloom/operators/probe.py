@@ -1,96 +1,148 @@
-"""Evidence queries: a table of (kind, target) answered from module tables without any model.
+"""Evidence queries: a table of (module_id, n, kind, target) answered from module tables without any model.
 
-Kinds: callers, callees, accessors, definition, source, search, macro. Unknown kinds and queries without a hit get one
-readable row each.
+Kinds: callers, callees, accessors, definition, source, search, macro. A module's first ``MAX_QUERIES`` queries count.
+Unknown kinds, patterns that are no regular expression and queries without a hit get one readable row each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-#: Texts of the report language and limits (fixed values).
-NO_HIT, UNSUPPORTED = "（没有命中）", "不支持的取证类型："
-MAX_QUERIES, MAX_HITS, MAX_CHARS, HIT_CHARS = 12, 20, 8000, 240
-
-Tables = dict[str, DataFrame]
-
-
-def _quoted(name: str = "target") -> F.Column:
-    return F.concat(F.lit(r"\Q"), F.col(name), F.lit(r"\E"))
-
-
-def _callers(asked: DataFrame, t: Tables) -> DataFrame:
-    return t["edges"].join(F.broadcast(asked), F.col("dst") == F.col("target")).select("kind", "target", "module_id", F.col("src").alias("hit"))
-
-
-def _callees(asked: DataFrame, t: Tables) -> DataFrame:
-    return t["edges"].join(F.broadcast(asked), F.col("src") == F.col("target")).select("kind", "target", "module_id", F.col("dst").alias("hit"))
-
+from corpusloom.operators import relational
 
-def _matching(asked: DataFrame, lines: DataFrame, pattern: F.Column) -> DataFrame:
-    # the query table holds MAX_QUERIES rows per round, so the lines are scanned once against a handful of patterns
-    return lines.join(F.broadcast(asked), F.regexp(F.col("line"), pattern))
-
-
-def _search(asked: DataFrame, t: Tables) -> DataFrame:
-    return _matching(asked, t["lines"], F.col("target")).select("kind", "target", "module_id", F.left("line", F.lit(HIT_CHARS)).alias("hit"))
+#: Texts of the report language and limits (fixed values).
+NO_HIT, UNSUPPORTED, BAD_PATTERN = "（没有命中）", "不支持的取证类型：", "检索模式不合法："
+MAX_QUERIES, MAX_HITS, MAX_CHARS = 12, 20, 8000
+#: Characters kept of one line by kind, and lines that show a definition.
+SEARCH_CHARS, MACRO_CHARS, DEFINITION_CHARS, DEFINITION_LINES = 160, 200, 240, 10
 
+#: Which table each kind reads.
+NEEDS = {"callers": "edges", "callees": "edges", "source": "functions", "accessors": "lines", "definition": "lines", "search": "lines", "macro": "lines"}
+KEY = ["module_id", "n", "kind", "target"]
 
-def _macro(asked: DataFrame, t: Tables) -> DataFrame:
-    pattern = F.concat(F.lit(r"^\s*#\s*define\s+"), _quoted(), F.lit(r"\b"))
-    return _matching(asked, t["lines"], pattern).select("kind", "target", "module_id", F.left(F.trim("line"), F.lit(HIT_CHARS)).alias("hit"))
+Tables = dict[str, DataFrame]
 
 
-def _accessors(asked: DataFrame, t: Tables) -> DataFrame:
-    """Lines inside functions that hold the name as a whole word; ``functions`` gives each function's span."""
-    body = t["functions"].select("module_id", "file", F.col("name").alias("function"), F.explode(F.sequence("line", "end_line")).alias("line_no"))
-    hits = _matching(asked, t["lines"], F.concat(F.lit(r"\b"), _quoted(), F.lit(r"\b")))
-    return hits.join(body, ["module_id", "file", "line_no"]).select(
-        "kind", "target", "module_id", F.concat_ws(" ", "function", F.concat("file", F.lit(":"), F.col("line_no").cast("string"))).alias("hit")
+@lru_cache(maxsize=256)
+def _compiled(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern)
+    except re.error:
+        return None
+
+
+@F.pandas_udf(BooleanType())
+def is_pattern(pattern: pd.Series) -> pd.Series:
+    """Whether a text is a regular expression."""
+    return pattern.map(lambda p: p is not None and _compiled(p) is not None)
+
+
+@F.pandas_udf(BooleanType())
+def has_match(line: pd.Series, pattern: pd.Series) -> pd.Series:
+    """Whether a line holds a match; patterns come from a model, so a bad one must not end the job."""
+    return pd.Series([(c := _compiled(p)) is not None and c.search(t or "") is not None for t, p in zip(line, pattern, strict=True)], dtype=bool)
+
+
+def limited(asked: DataFrame, queries: int = MAX_QUERIES) -> DataFrame:
+    """The first ``queries`` queries of each module."""
+    turn = F.row_number().over(W.partitionBy("module_id").orderBy("n"))
+    return asked.select(*KEY).withColumn("_turn", turn).filter(F.col("_turn") <= queries).drop("_turn")
+
+
+def _place() -> Column:
+    return F.struct("file", "line")
+
+
+def _edge_hits(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Callers and callees: the edges are read once, each edge answers in both roles."""
+    text = F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit("  "), "src", F.lit(" 调用 "), "dst")
+    roles = F.array(F.struct(F.lit("callers").alias("kind"), F.col("dst").alias("target")), F.struct(F.lit("callees").alias("kind"), F.col("src").alias("target")))
+    rows = edges.select("module_id", "src", "dst", F.col("file").cast("string").alias("file"), F.col("line").cast("long").alias("line")).distinct()
+    told = rows.select("module_id", _place().alias("at"), text.alias("hit"), F.inline(roles))
+    return told.join(asked, ["module_id", "kind", "target"]).select(*KEY, "at", "hit")
+
+
+def _quoted(name: str) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(F.col(name), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _line_hits(asked: DataFrame, lines: DataFrame, functions: DataFrame | None) -> DataFrame:
+    """Search, macro, accessors and definition: one pass over the lines of the modules that ask."""
+    name = _quoted("target")
+    word = F.concat(F.lit(r"\b"), name, F.lit(r"\b"))
+    macro = F.concat(F.lit(r"^\s*#\s*define\s+"), name, F.lit(r"\b"))
+    definition = F.concat(F.lit(r"\b(?:typedef|struct|union|enum)\b.*"), word, F.lit(r"|^\s*\}?\s*"), name, F.lit(r"\s*;"))
+    pattern = F.when(F.col("kind") == "macro", macro).when(F.col("kind") == "definition", definition).when(F.col("kind") == "accessors", word)
+    body = lines.select("module_id", "file", F.col("line_no").cast("long").alias("line"), F.col("line").alias("text"))
+    met = body.join(asked.withColumn("pattern", pattern), "module_id")
+    plain = met.filter("kind <> 'search'").filter(F.regexp("text", F.col("pattern")))
+    found = plain.unionByName(met.filter("kind = 'search'").filter(has_match("text", "target"))).drop("pattern")
+    at = F.concat("file", F.lit(":"), F.col("line").cast("string"))
+    chars = F.when(F.col("kind") == "macro", MACRO_CHARS).otherwise(SEARCH_CHARS)
+    simple = found.filter("kind IN ('search', 'macro')").select(*KEY, _place().alias("at"), F.concat(at, F.lit("  "), F.left(F.trim("text"), chars)).alias("hit"))
+    # a definition is the first line of a file that has one, shown with the lines after it
+    first = found.filter("kind = 'definition'").groupBy(*KEY, "file").agg(F.min("line").alias("line"))
+    after = first.join(body.withColumnRenamed("line", "_no"), ["module_id", "file"]).filter(F.col("_no").between(F.col("line"), F.col("line") + DEFINITION_LINES - 1))
+    shown = F.left(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_no", "text"))), lambda x: x["text"]), " "), F.lit(DEFINITION_CHARS))
+    definitions = after.groupBy(*KEY, "file", "line").agg(shown.alias("shown")).select(*KEY, _place().alias("at"), F.concat(at, F.lit("  "), "shown").alias("hit"))
+    hits = simple.unionByName(definitions)
+    if functions is None:
+        return hits
+    spans = functions.select("module_id", "file", F.col("name").alias("function"), F.explode(F.sequence("line", "end_line")).alias("line"))
+    spans = spans.withColumn("line", F.col("line").cast("long"))
+    used = found.filter("kind = 'accessors'").join(spans, ["module_id", "file", "line"])
+    return hits.unionByName(used.select(*KEY, _place().alias("at"), F.concat(at, F.lit("（函数 "), "function", F.lit("）  "), F.trim("text")).alias("hit")))
+
+
+def _sources(asked: DataFrame, functions: DataFrame, lines: DataFrame) -> DataFrame:
+    """Body of the first function of that name in the module."""
+    named = functions.select("module_id", F.col("name").alias("target"), "file", "line", "end_line").join(asked.filter("kind = 'source'"), ["module_id", "target"])
+    first = named.groupBy(*KEY).agg(F.min(F.struct("file", "line", "end_line")).alias("f")).select(*KEY, "f.*")
+    body = first.select(*KEY, "file", F.col("line").alias("start"), F.explode(F.sequence("line", "end_line")).alias("line_no")).join(
+        lines.select("module_id", "file", "line_no", "line"), ["module_id", "file", "line_no"]
     )
-
-
-def _definition(asked: DataFrame, t: Tables) -> DataFrame:
-    """Text of the named type; it comes whole from the symbol table."""
-    return t["types"].select("module_id", "name", "text").join(F.broadcast(asked), F.col("name") == F.col("target")).select("kind", "target", "module_id", F.left("text", F.lit(HIT_CHARS)).alias("hit"))
-
-
-def _source(asked: DataFrame, t: Tables) -> DataFrame:
-    """Body of the first function of that name in each module."""
-    named = t["functions"].select("module_id", "file", "name", "line", "end_line").join(F.broadcast(asked), F.col("name") == F.col("target"))
-    first = named.groupBy("kind", "target", "module_id").agg(F.min(F.struct("file", "line", "end_line")).alias("f")).select("kind", "target", "module_id", "f.*")
-    body = first.select("kind", "target", "module_id", "file", F.explode(F.sequence("line", "end_line")).alias("line_no")).join(t["lines"].select("module_id", "file", "line_no", "line"), ["module_id", "file", "line_no"])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return body.groupBy("kind", "target", "module_id").agg(text.alias("hit"))
-
-
-HANDLERS: dict[str, Callable[[DataFrame, Tables], DataFrame]] = {
-    "callers": _callers, "callees": _callees, "accessors": _accessors, "definition": _definition, "source": _source, "search": _search, "macro": _macro,
-}
-_NEEDS = {"callers": "edges", "callees": "edges", "accessors": "functions", "definition": "types", "source": "functions", "search": "lines", "macro": "lines"}
+    return body.groupBy(*KEY, "file", "start").agg(text.alias("hit")).select(*KEY, F.struct("file", F.col("start").cast("long").alias("line")).alias("at"), "hit")
 
 
 def dispatch(asked: DataFrame, tables: Tables) -> DataFrame:
-    """(kind, target, module_id, hit) of every query; ``tables`` holds those that the kinds in use need."""
-    parts = [f(asked.filter(F.col("kind") == k), tables) for k, f in HANDLERS.items() if _NEEDS[k] in tables]
+    """(module_id, n, kind, target, at, hit) of every query; ``at`` (file, line) orders hits, null for plain messages.
+
+    ``tables`` holds what the kinds in use need: edges (module_id, src, dst, file, line), lines (module_id, file,
+    line_no, line), functions (module_id, file, name, line, end_line). Every table is read once, joined by module.
+    """
+    asked = limited(asked)
+    able = [k for k, t in NEEDS.items() if t in tables and (k not in ("accessors", "source") or {"functions", "lines"} <= set(tables))]
+    parts = []
+    if "edges" in tables:
+        parts.append(_edge_hits(asked, tables["edges"]))
+    if "lines" in tables:
+        parts.append(_line_hits(asked.filter(F.col("kind").isin("search", "macro", "definition", "accessors")), tables["lines"], tables.get("functions")))
+    if "source" in able:
+        parts.append(_sources(asked, tables["functions"], tables["lines"]))
     hits = reduce(DataFrame.unionByName, parts)
-    module = dict(hits.dtypes)["module_id"]
-    empty = F.lit(None).cast(module).alias("module_id")
-    known = F.col("kind").isin(*HANDLERS)
-    unsupported = asked.filter(~known).select("kind", "target", empty, F.concat(F.lit(UNSUPPORTED), "kind").alias("hit"))
-    silent = asked.filter(known).join(hits, ["kind", "target"], "left_anti").select("kind", "target", empty, F.lit(NO_HIT).alias("hit"))
-    return hits.unionByName(unsupported).unionByName(silent)
-
-
-def evidence(hits: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Hits per query and module: joined up to MAX_HITS and MAX_CHARS, with ``truncated`` where either cut."""
-    line = W.partitionBy(*keys).orderBy(order)
-    ranked = hits.withColumn("rn", F.row_number().over(line)).filter(F.col("rn") <= MAX_HITS + 1)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= MAX_HITS, F.struct("rn", "hit")))), lambda x: x["hit"]), "\n")
-    made = ranked.groupBy(*keys).agg(text.alias("text"), F.max("rn").alias("n"))
-    return made.select(*keys, F.left("text", F.lit(MAX_CHARS)).alias("result"), ((F.col("n") > MAX_HITS) | (F.length("text") > MAX_CHARS)).alias("truncated"))
+    # one message row where nothing was found: the anti-join becomes a left join with a count of hits per query
+    counted = asked.join(hits.groupBy(*KEY).agg(F.count("*").alias("hits")), KEY, "left")
+    legal = F.col("kind") != "search"
+    message = F.when(~F.col("kind").isin(*able), F.concat(F.lit(UNSUPPORTED), "kind")).when(~(legal | F.col("legal")), F.concat(F.lit(BAD_PATTERN), "target")).otherwise(F.lit(NO_HIT))
+    silent = counted.filter("hits IS NULL").withColumn("legal", is_pattern("target"))
+    at = F.lit(None).cast("struct<file:string,line:bigint>").alias("at")
+    return hits.unionByName(silent.select(*KEY, at, message.alias("hit")))
+
+
+def evidence(hits: DataFrame, max_hits: int = MAX_HITS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(module_id, n, kind, target, result, truncated): hits of each query joined, at most ``max_hits`` of them and
+    ``max_chars`` of a module; the query that crosses the budget keeps the remainder and later ones are left out."""
+    line = W.partitionBy(*KEY).orderBy("at", "hit")
+    ranked = hits.withColumn("rn", F.row_number().over(line)).filter(F.col("rn") <= max_hits + 1)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= max_hits, F.struct("rn", "hit")))), lambda x: x["hit"]), "\n")
+    made = ranked.groupBy(*KEY).agg(text.alias("text"), (F.max("rn") > max_hits).alias("more"))
+    kept = relational.within_budget(made, "module_id", ["n"], F.length("text"), max_chars)
+    return kept.select(*KEY, F.left("text", F.col("keep").cast("int")).alias("result"), (F.col("more") | F.col("truncated")).alias("truncated"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import lexer, relational
 
-MACRO, FUNCTION, TYPE = "宏", "函数", "类型"
+MACRO, FUNCTION, TYPE, GLOBAL = "宏", "函数", "类型", "全局变量"
 
 
 def functions(lexed: DataFrame) -> DataFrame:
@@ -31,6 +31,44 @@ def call_edges(lexed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return edges, looked.filter("n > 1").drop("n"), looked.filter("n IS NULL").drop("n")
 
 
+def symbol_table(lexed: DataFrame) -> DataFrame:
+    """(module_id, file, name, kind, line, end_line, lines, text) of functions and globals in .c files, by their tag."""
+    found = functions(lexed).withColumnRenamed("signature", "text")
+    variables = lexer.relation(lexed, "globals").filter(F.col("file").endswith(".c")).withColumn("kind", F.lit(GLOBAL))
+    rows = found.unionByName(variables.select(*found.columns)).withColumn("lines", F.col("end_line") - F.col("line") + 1)
+    return rows.select("module_id", "file", "name", "kind", "line", "end_line", "lines", "text")
+
+
+def graph_nodes(lexed: DataFrame) -> DataFrame:
+    """(module_id, name, file, line, lines) of functions that their module defines once: the nodes of its call graph."""
+    sole = functions(lexed).groupBy("module_id", "name").agg(F.count("*").alias("n"), F.first("file").alias("file"), F.first("line").alias("line"), F.first("end_line").alias("end"))
+    return sole.filter("n = 1").select("module_id", "name", "file", "line", (F.col("end") - F.col("line") + 1).alias("lines"))
+
+
+def macro_names(lexed: DataFrame) -> DataFrame:
+    """(module_id, macros): the sorted set of macros that a module's files define."""
+    return lexer.relation(lexed, "macros").groupBy("module_id").agg(F.array_sort(F.collect_set("name")).alias("macros"))
+
+
+def digests(modules: DataFrame, lexed: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """(module_id, overview, cycles) of every module of ``modules``: symbols and calls, and cyclic groups, as text."""
+    table = symbol_table(lexed).join(modules, "module_id", "left_semi")
+    rank = F.when(F.col("kind") == lexer.EXPORTED, 0).when(F.col("kind") == GLOBAL, 2).otherwise(1)
+    row = F.concat(F.lit("  ["), "kind", F.lit("] "), "text", F.format_string("   （%s:%d，%d 行）", "file", "line", "lines"))
+    listed = table.groupBy("module_id").agg(_joined(F.struct(rank.alias("a"), F.col("file").alias("b"), F.col("line").alias("c")), row).alias("symbols"))
+    called = relational.adjacency(edges, "module_id").groupBy("module_id").agg(_joined(F.col("src"), F.concat(F.lit("  "), "src", F.lit(" -> "), "callees")).alias("calls"))
+    ring = F.concat(F.format_string("  第 %d 组：", "group_no"), F.array_join("members", "、"))
+    rings = cycles.groupBy("module_id").agg(_joined(F.col("group_no"), ring).alias("cycles"))
+    every = modules.join(listed, "module_id", "left").join(called, "module_id", "left").join(rings, "module_id", "left")
+    overview = F.concat(F.lit("符号：\n"), F.coalesce("symbols", F.lit("  （无）")), F.lit("\n调用：\n"), F.coalesce("calls", F.lit("  （无）")))
+    return every.select("module_id", overview.alias("overview"), F.coalesce("cycles", F.lit("  （无）")).alias("cycles"))
+
+
+def _joined(order: Column, text: Column) -> Column:
+    """Aggregate: one line for each row, in order."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), "\n")
+
+
 def dependency_index(lexed: DataFrame) -> DataFrame:
     """(name, kind, text, file, line, owner): what headers define, names of several modules left out."""
     parts = [("macros", MACRO), ("declarations", FUNCTION), ("types", TYPE)]

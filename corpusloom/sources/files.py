@@ -13,11 +13,12 @@ UNREADABLE = "（文件不可读）"
 
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """(file, text) of every .c and .h file below ``root``: bad UTF-8 is replaced, line ends become line feeds."""
-    base = f"{root.rstrip('/')}/"
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[ch]").text(base, wholetext=True)
-    path = F.col("_metadata.file_path")
-    # the part after the root's own last folder name, whatever scheme Spark prints in front of it
-    tail = F.substring_index(path, f"/{base.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    qualified = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().toString()
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[ch]").text(root, wholetext=True)
+    # what follows the qualified root; schemes print one or three slashes before an absolute path
+    path, prefix = (F.regexp_replace(c, r"^file:/+", "file:/") for c in (F.col("_metadata.file_path"), F.lit(qualified)))
+    tail = F.substr(path, F.length(prefix) + 2)
     return raw.select(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))).alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 

@@ -22,10 +22,15 @@ def write_texts(df: DataFrame, column: str, path: str) -> None:
 
 
 def write_review(run, root: str) -> None:
-    """All tables of a review below ``root``."""
+    """All tables of a review below ``root``; ``raw`` and ``judged`` hold every reply and every judged item."""
     write_json(run.inventory, f"{root}/inventory")
-    write_table(run.findings, f"{root}/findings")
-    write_table(run.conclusions, f"{root}/conclusions")
-    write_table(run.chunks, f"{root}/chunks")
+    for name in ("findings", "conclusions", "chunks", "plans", "incomplete", "raw", "judged"):
+        write_table(getattr(run, name), f"{root}/{name}")
     write_json(run.failed, f"{root}/errors")
+    append_table(run.evidence, f"{root}/evidence")
     write_texts(run.report, "report", f"{root}/reports")
+
+
+def append_table(df: DataFrame, path: str) -> None:
+    """Parquet by module, added to what is there: a log of rounds."""
+    df.write.mode("append").partitionBy("module_id").parquet(path)

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
-from corpusloom.operators import gates, graph, intervals, probe, relational
+from corpusloom.operators import gates, graph, intervals, relational
 from corpusloom.streaming import sessions
 
 
@@ -51,10 +51,18 @@ def test_closure_and_groups_agree(spark):
     assert graph.closure(edges.limit(0), "m").count() == 0
 
 
-def test_evidence_limits(spark):
-    hits = spark.range(25).select(F.lit("k").alias("kind"), F.lit("t").alias("target"), F.col("id").cast("string").alias("hit"), F.format_string("%02d", "id").alias("at"))
-    row = probe.evidence(hits, ["kind", "target"], "at").first()
-    assert row["truncated"] and row["result"].split("\n") == [str(i) for i in range(20)]
+def test_next_owner_equals_a_plain_walk(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, i, r.choice([None, None, i])) for k in range(4) for i in range(60 if k else 1)] + [(9, i, None) for i in range(3)]
+    table = spark.createDataFrame(rows, "k int, p int, o int")
+    for tail in (False, True):
+        got = {(x["k"], x["p"]): x["owner"] for x in intervals.next_owner(table, "k", ["p"], F.col("o"), tail).collect()}
+        for k, i, _ in rows:
+            own = [o for kk, _, o in rows if kk == k and o is not None]
+            ahead = [o for o in own if o >= i]
+            assert got[k, i] == (ahead[0] if ahead else own[-1] if own and tail else None)
 
 
 def test_sessions_on_a_stream_equal_the_batch(spark, tmp_path):
