@@ -173,8 +173,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text, ...) as often as the mix takes them whole, all columns kept.
 
-    Each row has its own number of copies; rows of equal doc_id, source and size share theirs evenly. Names of other
-    columns may clash with anything; an empty table gives no rows.
+    Each row has its own number of copies; rows of equal doc_id, source and size have theirs in common, and a seeded
+    draw for each says whether it gets one more. Names of other columns may clash with anything; an empty table gives
+    no rows.
     """
     key = ["doc_id", "source", "size"]
     named = plain_names(docs, "doc_id", "source", "text")
@@ -182,13 +183,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same = F.lit(True)
     for c in key:
         same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}"))
-    hit = named.withColumn("size", _words()).alias("d").join(counted.alias("c"), same).select("d.*", "c.total", "c.rows")
-    # the j-th of several equal rows takes what the first j take together beyond the first j - 1
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("rows") / ENTRY_ROWS))
-    place = F.row_number().over(W.partitionBy(*key, "salt").orderBy(F.xxhash64("text"), F.col("text")))
-    rest = F.pmod("total", "rows")
-    more = F.floor(F.col("place") * rest / F.col("rows")) - F.floor((F.col("place") - 1) * rest / F.col("rows"))
-    several = hit.filter("rows > 1").withColumn("salt", salt).withColumn("place", place).withColumn("copies", F.floor(F.col("total") / F.col("rows")) + more)
-    copies = hit.filter("rows = 1").withColumn("copies", F.col("total")).unionByName(several.drop("salt", "place")).filter("copies > 0")
-    rows = copies.select(*named.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy"))
+    # the decisions grow with the documents: both sides are sorted at every size, and texts travel once
+    hit = named.withColumn("size", _words()).alias("d").join(counted.hint("merge").alias("c"), same).select("d.*", "c.total", "c.rows")
+    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(7)), F.col("rows"))
+    copies = F.floor(F.col("total") / F.col("rows")) + F.when(draw < F.pmod("total", "rows"), 1).otherwise(0)
+    each = hit.withColumn("copies", copies.cast("long")).filter("copies > 0")
+    rows = each.select(*named.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return rows.drop("copy").toDF(*docs.columns)

@@ -174,7 +174,8 @@ def grouped(rows: DataFrame, shingle: int, similarity: float, radius: int, seed:
     pairs = members.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     pairs = staged(pairs.unionByName(same).unionByName(close).distinct(), "pairs")
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = staged(rows.select(F.col("_row").alias("node"), "text").join(wanted, "node", "left_semi"), "texts")
+    # what joins texts here and at the end grows with the documents, so it is sorted at every size
+    texts = staged(rows.select(F.col("_row").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi"), "texts")
     links = staged(alike_to_hub(pairs, texts, shingle, similarity, seed), "links")
     # groups that the first round joined need no further pair
     now = members.select("band", "key", "node").join(connected_components(links), "node", "left")
@@ -198,5 +199,5 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row")
     first = placed.groupBy("component").agg(F.min_by("_row", order).alias("first"))
     gone = placed.join(first, "component").filter("_row <> first").select("_row")
-    kept = rows.join(gone, "_row", "left_anti")
+    kept = rows.join(gone.hint("merge"), "_row", "left_anti")
     return kept.drop("_row", "_fp", "_set", "_size", "_bands").toDF(*docs.columns)
