@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
-from corpusloom.operators import gates, graph, intervals, probe, relational
+from corpusloom.operators import gates, graph, intervals, plans, probe, relational
+from corpusloom.sources.staging import staged
 from corpusloom.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,11 +41,36 @@ def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MOVES = """
-WITH led AS (SELECT user_id, event_type AS src, value,
+WITH led AS (SELECT user_id, event_id, event_type AS src, value,
     lead(event_type) OVER w AS dst, lead(value) OVER w AS after
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 moves AS (SELECT DISTINCT user_id, src, dst FROM led WHERE dst IS NOT NULL AND after > value * 3)
 """
+
+
+def _calls(spark: SparkSession, sf_dir: str, module: str) -> DataFrame:
+    """Call-graph edges of the order tables: (module, src, dst). Each order calls its customer's next one, and is called
+    back by it where both have one priority; ``module`` is c_nationkey or o_custkey, nodes are orders."""
+    from pyspark.sql import Window as W
+
+    orders = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    line = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    led = orders.withColumns({"next": F.lead("o_orderkey").over(line), "after": F.lead("o_orderpriority").over(line)}).filter("next IS NOT NULL")
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    if module == "c_nationkey":
+        led = led.join(customers, "o_custkey")
+    ahead, back = F.struct(F.col("o_orderkey").alias("s"), F.col("next").alias("d")), F.struct(F.col("next").alias("s"), F.col("o_orderkey").alias("d"))
+    both = F.when(F.col("after") == F.col("o_orderpriority"), F.array(ahead, back)).otherwise(F.array(ahead))
+    return led.select(F.col(module).cast("string").alias("module"), F.inline(both)).select("module", F.col("s").cast("string").alias("src"), F.col("d").cast("string").alias("dst"))
+
+
+_CALLS = """
+line AS (SELECT {module} AS module, o_orderkey AS k, o_orderpriority AS p, lead(o_orderkey) OVER w AS nxt, lead(o_orderpriority) OVER w AS after
+  FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+calls AS (SELECT module::VARCHAR AS module, k::VARCHAR AS src, nxt::VARCHAR AS dst FROM line WHERE nxt IS NOT NULL
+  UNION ALL SELECT module::VARCHAR, nxt::VARCHAR, k::VARCHAR FROM line WHERE nxt IS NOT NULL AND after = p)
+"""
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _ASCII = r"(length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g')))"
 _LINES = r"(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR right(text, 1) = chr(10) THEN 0 ELSE 1 END)"
 _INVENTORY = f"""
@@ -88,13 +114,14 @@ def q_left_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH names AS (SELECT source, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS word FROM documents),
-sole AS (SELECT word, min(source) AS owner FROM names WHERE word <> '' GROUP BY word HAVING count(DISTINCT source) = 1),
+WITH names AS (SELECT source, unnest(regexp_extract_all(lower(text), '(?m)^([a-z]+)', 1)) AS word FROM documents),
+sole AS (SELECT word, min(source) AS owner FROM names GROUP BY word HAVING count(DISTINCT source) = 1),
 uses AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
 SELECT u.source, u.word, s.owner FROM uses u JOIN sole s USING (word) WHERE u.source <> s.owner""")
 def q_cross_module_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("source", "text")
-    names = docs.select("source", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("word")).filter("word <> ''")
+    # a document defines the words that begin its lines
+    names = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?m)^([a-z]+)"), F.lit(1)))).alias("word"))
     uses = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).distinct()
     index = relational.sole_owner(names, "word", "source")
     return relational.foreign_uses(uses, index, "word", "source")
@@ -142,6 +169,16 @@ def q_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.col("_truth").alias("matched"))
 
 
+@_query("""
+SELECT l_orderkey AS o_orderkey, l_linenumber AS line, l_suppkey, (ceil(l_quantity / 10) - 1)::INT AS grade, left(o_orderpriority, 1)::INT - 1 AS expected
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE abs(l_linenumber - 2) <= 1 AND abs((ceil(l_quantity / 10) - 1)::INT - (left(o_orderpriority, 1)::INT - 1)) <= 1""")
+def q_label_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line"), "l_suppkey", (F.ceil(F.col("l_quantity") / 10) - 1).cast("int").alias("grade"))
+    truth = _t(spark, sf_dir, "orders").select("o_orderkey", F.lit(2).alias("line"), S.ranked(F.col("o_orderpriority"), _PRIORITIES).alias("grade"))
+    found = relational.close_matches(findings, truth, ["o_orderkey"], "line", 1, "grade", 1)
+    return found.select("o_orderkey", "line", "l_suppkey", "grade", F.col("_grade").alias("expected"))
+
+
 @_query("""
 SELECT o_orderpriority AS priority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY GROUP BY 1""")
@@ -258,9 +295,6 @@ def q_pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.counts_by(events, "user_id", "event_type", ["signup", "purchase", "click", "error", "view"])
 
 
-_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 @_query("""
 SELECT o_orderpriority AS severity, (left(o_orderpriority, 1)::INT - 1) AS rank, count(*) AS n FROM orders GROUP BY o_orderpriority""")
 def q_severity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,30 +329,29 @@ def q_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graphs ---------------------------------------------------------------------------------------------------------
 
-_REACH = _MOVES.replace("WITH led", "WITH RECURSIVE led") + """
-, reach AS (SELECT user_id, src, dst FROM moves UNION SELECT r.user_id, r.src, m.dst FROM reach r JOIN moves m ON r.user_id = m.user_id AND r.dst = m.src)
+_REACH = "WITH RECURSIVE " + _CALLS + """
+, reach AS (SELECT module, src, dst FROM calls UNION SELECT r.module, r.src, c.dst FROM reach r JOIN calls c ON r.module = c.module AND r.dst = c.src)
+"""
+_GROUPS = """
+, mutual AS (SELECT a.module, a.src, min(b.src) AS label FROM reach a JOIN reach b ON a.module = b.module AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2)
 """
 
 
-@_query(_REACH + "SELECT user_id, src, dst FROM reach")
+@_query(_REACH.format(module="c_nationkey") + "SELECT module, src, dst FROM reach")
 def q_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(_moves(spark, sf_dir), "user_id")
+    return graph.closure(_calls(spark, sf_dir, "c_nationkey"), "module")
 
 
-@_query(_REACH + """
-, mutual AS (SELECT a.user_id, a.src, min(b.src) AS label FROM reach a JOIN reach b ON a.user_id = b.user_id AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2)
-SELECT user_id, label, string_agg(src, '、' ORDER BY src) AS members FROM mutual GROUP BY user_id, label""")
+@_query(_REACH.format(module="c_nationkey") + _GROUPS + "SELECT module, label, string_agg(src, '、' ORDER BY src) AS members FROM mutual GROUP BY module, label")
 def q_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = graph.cycles(graph.closure(_moves(spark, sf_dir), "user_id"), "user_id")
+    groups = graph.cycles(graph.closure(_calls(spark, sf_dir, "c_nationkey"), "module"), "module")
     return groups.withColumn("members", F.array_join("members", "、"))
 
 
-@_query(_REACH + """
-, mutual AS (SELECT a.user_id, a.src, min(b.src) AS label FROM reach a JOIN reach b ON a.user_id = b.user_id AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2)
-SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY label))::INT AS group_no, string_agg(src, '、' ORDER BY src) AS members
-FROM mutual GROUP BY user_id, label""")
+@_query(_REACH.format(module="o_custkey") + _GROUPS + """
+SELECT module, (row_number() OVER (PARTITION BY module ORDER BY label))::INT AS group_no, string_agg(src, '、' ORDER BY src) AS members FROM mutual GROUP BY module, label""")
 def q_module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.module_cycles(_moves(spark, sf_dir), "user_id").withColumn("members", F.array_join("members", "、"))
+    return graph.module_cycles(_calls(spark, sf_dir, "o_custkey"), "module").withColumn("members", F.array_join("members", "、"))
 
 
 @_query(_MOVES + "SELECT user_id, src, string_agg(dst, '、' ORDER BY dst) AS callees FROM moves GROUP BY user_id, src")
@@ -326,17 +359,47 @@ def q_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.adjacency(_moves(spark, sf_dir), "user_id")
 
 
-@_query(_MOVES + """
-SELECT 'callers' AS kind, dst AS target, user_id, src AS hit FROM moves WHERE dst = 'error'
-UNION ALL SELECT 'callees', src, user_id, dst FROM moves WHERE src = 'error'
-UNION ALL SELECT 'search', 'pur', user_id, src FROM (SELECT DISTINCT user_id, src FROM moves) WHERE regexp_matches(src, 'pur')
-UNION ALL SELECT 'fields', 'error', NULL, '不支持的取证类型：fields'
-UNION ALL SELECT 'callers', 'nobody', NULL, '（没有命中）'""")
+_PROBES = _MOVES + """
+, edges AS (SELECT user_id, src, dst, min(event_id) AS line FROM led WHERE dst IS NOT NULL AND after > value * 3 GROUP BY 1, 2, 3),
+asked AS (SELECT user_id, n, kind, target FROM (SELECT DISTINCT user_id FROM edges),
+  (VALUES (0, 'callers', 'error'), (1, 'callees', 'error'), (2, 'search', '^pur|-> si'), (3, 'fields', 'error'), (4, 'callers', 'nobody'), (5, 'search', 'foo(')) q(n, kind, target)),
+told AS (SELECT user_id, line, src, dst, 'u' || user_id || '.c:' || line || '  ' AS place FROM edges),
+hits AS (SELECT a.*, line, place || src || ' 调用 ' || dst AS hit FROM asked a JOIN told USING (user_id) WHERE (kind = 'callers' AND dst = target) OR (kind = 'callees' AND src = target)
+  UNION ALL SELECT a.*, line, place || src || ' -> ' || dst FROM asked a JOIN told USING (user_id) WHERE n = 2 AND (src LIKE 'pur%' OR dst LIKE 'si%')),
+answers AS (SELECT * FROM hits UNION ALL SELECT a.*, NULL, CASE n WHEN 3 THEN '不支持的取证类型：fields' WHEN 5 THEN '检索模式不合法：foo(' ELSE '（没有命中）' END
+  FROM asked a WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.user_id = a.user_id AND h.n = a.n))
+"""
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to six queries about the moves of each user: a user is a module, a move is an edge and a line."""
+    from pyspark.sql import Window as W
+
+    line = W.partitionBy("user_id").orderBy("ts", "event_id")
+    led = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.lead("event_type").over(line).alias("dst"), F.lead("value").over(line).alias("after"))
+    moves = led.filter("dst IS NOT NULL AND after > value * 3").groupBy(F.col("user_id").alias("module_id"), F.col("event_type").alias("src"), "dst").agg(F.min("event_id").alias("line"))
+    edges = moves.withColumn("file", F.concat(F.lit("u"), F.col("module_id").cast("string"), F.lit(".c")))
+    queries = [("callers", "error"), ("callees", "error"), ("search", "^pur|-> si"), ("fields", "error"), ("callers", "nobody"), ("search", "foo(")]
+    asks = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("kind"), F.lit(t).alias("target")) for n, (k, t) in enumerate(queries)])
+    # the moves are few per user; written once, they are read as edges and as lines
+    saved = staged(edges, "moves")
+    lines = saved.select("module_id", "file", F.col("line").alias("line_no"), F.concat("src", F.lit(" -> "), "dst").alias("line"))
+    asked = saved.select("module_id").distinct().select("module_id", F.inline(asks))
+    return probe.dispatch(asked, {"edges": saved, "lines": lines})
+
+
+@_query(_PROBES + "SELECT user_id, n, kind, target, hit FROM answers")
 def q_probe_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _moves(spark, sf_dir).withColumnRenamed("user_id", "module_id")
-    asked = [("callers", "error"), ("callees", "error"), ("search", "pur"), ("fields", "error"), ("callers", "nobody")]
-    tables = {"edges": edges, "lines": edges.select("module_id", F.col("src").alias("line")).distinct()}
-    return probe.dispatch(spark.createDataFrame(asked, "kind string, target string"), tables).withColumnRenamed("module_id", "user_id")
+    return _probed(spark, sf_dir).select(F.col("module_id").alias("user_id"), "n", "kind", "target", "hit")
+
+
+@_query(_PROBES + """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY line, hit) AS rn FROM answers),
+made AS (SELECT user_id, n, string_agg(hit, chr(10) ORDER BY rn) FILTER (rn <= 3) AS text, max(rn) > 3 AS more FROM ranked GROUP BY user_id, n),
+spent AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM made)
+SELECT user_id, n, left(text, (150 - before)::BIGINT) AS result, more OR length(text) > 150 - before AS truncated FROM spent WHERE before < 150""")
+def q_probe_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe.evidence(_probed(spark, sf_dir), max_hits=3, max_chars=150).select(F.col("module_id").alias("user_id"), "n", "result", "truncated")
 
 
 # --- gates ----------------------------------------------------------------------------------------------------------
@@ -344,7 +407,7 @@ def q_probe_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH bad AS (SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant', 'system') THEN 'role' WHEN trim(text) = '' THEN 'blank'
-  WHEN length(text) > 2000 THEN 'long' END AS problem FROM conversations)
+  WHEN length(text) > 1500 THEN 'long' END AS problem FROM conversations)
 SELECT conv_id, arg_min('第 ' || turn || ' 条：' || problem, turn) AS reason FROM bad WHERE problem IS NOT NULL GROUP BY conv_id""")
 def q_gate_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.first_problem(_t(spark, sf_dir, "conversations"), "conv_id", "turn", _turn_problem())
@@ -352,11 +415,11 @@ def q_gate_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turn_problem():
     known = F.col("role").isin("user", "assistant", "system")
-    return F.when(~known, "role").when(F.trim("text") == "", "blank").when(F.length("text") > 2000, "long")
+    return F.when(~known, "role").when(F.trim("text") == "", "blank").when(F.length("text") > 1500, "long")
 
 
 @_query("""
-WITH bad AS (SELECT conv_id FROM conversations WHERE role NOT IN ('user', 'assistant', 'system') OR trim(text) = '' OR length(text) > 2000)
+WITH bad AS (SELECT conv_id FROM conversations WHERE role NOT IN ('user', 'assistant', 'system') OR trim(text) = '' OR length(text) > 1500)
 SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM bad)""")
 def q_gate_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound, _ = gates.all_or_nothing(_t(spark, sf_dir, "conversations"), "conv_id", "turn", _turn_problem())
@@ -411,6 +474,58 @@ def q_group_split_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.split_groups(members, ["l_orderkey"], "chunk")
 
 
+_YEARS = """
+WITH placed AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority, year(o_orderdate) - 1990 AS chunk_no, day(o_orderdate) AS lines FROM orders),
+sizes AS (SELECT o_custkey, chunk_no, count(*) AS functions, sum(lines)::BIGINT AS lines FROM placed GROUP BY 1, 2),
+runs AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS run FROM placed),
+groups AS (SELECT o_custkey, min(o_orderkey::VARCHAR) AS label, string_agg(o_orderkey::VARCHAR, '、' ORDER BY o_orderkey::VARCHAR) AS members, count(DISTINCT chunk_no) AS owners
+  FROM runs GROUP BY o_custkey, o_orderpriority, run HAVING count(*) > 1)
+"""
+
+
+def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of each customer's orders: a year is a chunk, an order a function of as many lines as its day of month."""
+    orders, day = _t(spark, sf_dir, "orders"), F.dayofmonth("o_orderdate").cast("long")
+    year = (F.year("o_orderdate") - 1990).alias("chunk_no")
+    in_year = orders.select(F.col("o_custkey").cast("string").alias("module_id"), year, F.col("o_orderkey").cast("string").alias("file"), F.lit(1).alias("start"), day.alias("end"))
+    return in_year.withColumn("chunk", F.concat(F.lit("y"), F.col("chunk_no").cast("string")))
+
+
+@_query(_YEARS + "SELECT o_custkey::VARCHAR AS module_id, chunk_no, lines FROM sizes")
+def q_chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.chunk_sizes(_years(spark, sf_dir).withColumn("functions", F.lit(1))).select("module_id", F.col("chunk_no").cast("long").alias("chunk_no"), "lines")
+
+
+@_query(_YEARS + """
+, found AS (SELECT o_custkey, 0 AS part, printf('%09d', chunk_no) AS o, '子块「y' || chunk_no || '」有 ' || lines || ' 行，超过 40 行' AS text FROM sizes WHERE lines > 40
+  UNION ALL SELECT o_custkey, 1, label, '循环调用组分在几个子块里：' || members FROM groups WHERE owners > 1)
+SELECT o_custkey::VARCHAR AS module_id, string_agg(text, ';' ORDER BY part, o) AS violations FROM found GROUP BY o_custkey""")
+def q_plan_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _years(spark, sf_dir).withColumn("functions", F.lit(1))
+    cycles = graph.module_cycles(_calls(spark, sf_dir, "o_custkey").withColumnRenamed("module", "module_id"), "module_id")
+    owners = chunks.select("module_id", F.col("file").alias("name"), "chunk_no")
+    found = plans.plan_violations(chunks, owners, cycles, 40)
+    return found.select("module_id", F.array_join("violations", ";").alias("violations"))
+
+
+@_query("""
+SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS kept, string_agg(l_linenumber || '：' || l_linestatus, '；' ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'R') AS unfinished
+FROM lineitem GROUP BY l_orderkey""")
+def q_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("string").alias("unit"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("error"))
+    return gates.unfinished(items, "l_orderkey", F.struct("l_linenumber", "error"), F.col("unit"), F.col("error"))
+
+
+@_query("""
+SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest, arg_max(role, turn) FILTER (role <> 'system') AS finish, arg_min(length(text), turn) FILTER (role = 'assistant') AS usage
+FROM conversations GROUP BY conv_id""")
+def q_reply_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations")
+    finish, usage = F.when(F.col("role") != "system", F.col("role")), F.when(F.col("role") == "assistant", F.length("text").cast("long"))
+    folded = gates.folded_replies(turns.select("conv_id", "turn", "text", finish.alias("finish"), usage.alias("usage")), ["conv_id"], "turn")
+    return folded.select("conv_id", F.md5("reply").alias("digest"), "finish", "usage")
+
+
 # --- scalar functions -----------------------------------------------------------------------------------------------
 
 
@@ -429,7 +544,7 @@ def q_json_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "view", F.concat(F.lit("结果如下："), F.col("props"), F.lit(" 完毕")))
         .when(F.col("event_type") == "error", F.concat(F.lit("result: "), loose)).otherwise(F.col("props"))
     )
-    return events.select("event_id", F.from_json(S.extracted_json(reply), "k bigint")["k"].alias("k"))
+    return events.select("event_id", F.try_variant_get(S.extracted_variant(reply), "$.k", "bigint").alias("k"))
 
 
 @_query("SELECT doc_id, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> ''))::INT AS n FROM documents")

@@ -60,3 +60,21 @@ def repaired_plan(claims: DataFrame, known: DataFrame, keys: list[str], order: l
 def split_groups(members: DataFrame, group: list[str], owner: str) -> DataFrame:
     """Groups whose members lie in more than one chunk: (group, owners)."""
     return members.groupBy(*group).agg(F.count_distinct(owner).alias("owners")).filter("owners > 1")
+
+
+def unfinished(replies: DataFrame, module: str, order: Column, unit: Column, error: Column) -> DataFrame:
+    """(module, kept, unfinished): how many units of a module were answered, and which were not and why; a failed unit
+    takes nothing from the others."""
+    failed = F.when(error.isNotNull(), F.struct(order.alias("o"), F.concat(unit, F.lit("："), error).alias("t")))
+    texts = F.transform(F.sort_array(F.collect_list(failed)), lambda x: x["t"])
+    open_ = F.when(F.count(error) > 0, F.array_join(texts, "；"))
+    return replies.groupBy(module).agg(F.count_if(error.isNull()).alias("kept"), open_.alias("unfinished"))
+
+
+def folded_replies(deltas: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """(keys, reply, finish, usage) of streamed replies (keys, position, text, finish, usage): texts joined in order,
+    the last finish reason that is set and the first usage that is."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct(position, F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"])
+    at = F.col(position)
+    last = F.max_by("finish", F.when(F.nullif(F.col("finish"), F.lit("")).isNotNull(), at))
+    return deltas.groupBy(*keys).agg(F.array_join(texts, "").alias("reply"), last.alias("finish"), F.min_by("usage", F.when(F.col("usage").isNotNull(), at)).alias("usage"))

@@ -110,7 +110,11 @@ def fixed_width(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     return rows.select(key, F.concat_ws("  ", *padded).alias("line"))
 
 
-def close_matches(findings: DataFrame, truth: DataFrame, on: list[str], line: str, within: int) -> DataFrame:
-    """Pairs of a finding and a labelled row of the same place, at most ``within`` lines apart."""
+def close_matches(findings: DataFrame, truth: DataFrame, on: list[str], line: str, within: int, grade: str | None = None, grades: int = 1) -> DataFrame:
+    """Pairs of a finding and a labelled row of the same place: at most ``within`` lines apart and, with a ``grade``
+    column, at most ``grades`` grades. Adds _truth (and _grade), the labelled line (and grade)."""
     other = truth.withColumnRenamed(line, "_truth")
-    return findings.join(other, on).filter(F.abs(F.col(line) - F.col("_truth")) <= within)
+    if grade:
+        other = other.withColumnRenamed(grade, "_grade")
+    near = findings.join(other, on).filter(F.abs(F.col(line) - F.col("_truth")) <= within)
+    return near.filter(F.abs(F.col(grade) - F.col("_grade")) <= grades) if grade else near

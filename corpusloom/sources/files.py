@@ -61,3 +61,16 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+
+
+def label_table(spark: SparkSession, path: str) -> DataFrame:
+    """(no, file, first_line, last_line, category, severity, text) of labelled defects in Markdown tables.
+
+    A row is ``| no | file:line or file:first-last or file:line,line | category | severity | text |``; decoys, whose
+    rows have fewer cells, and everything else drop out. ``no`` is a letter and a number.
+    """
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(F.replace(c, F.lit("`"), F.lit(""))))
+    rows = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\|\s*[A-Z]\d+\s*\|")).select(cells.alias("c")).filter(F.size("c") == 5)
+    place = F.regexp_extract(F.get("c", 1), r"^(.*?):(\d+)", 1)
+    first, last = F.regexp_extract(F.get("c", 1), r":(\d+)", 1).try_cast("int"), F.regexp_extract(F.get("c", 1), r"(\d+)\D*$", 1).try_cast("int")
+    return rows.select(F.get("c", 0).alias("no"), place.alias("file"), first.alias("first_line"), last.alias("last_line"), F.get("c", 2).alias("category"), F.get("c", 3).alias("severity"), F.get("c", 4).alias("text"))

@@ -297,3 +297,10 @@ def test_synthetic_modules_as_a_load_run(spark, tmp_path):
     lexed = lexer.lexed(files).cache()
     rings = graph.module_cycles(symbols.call_edges(lexed)[0].select("module_id", "src", "dst"), "module_id")
     assert {r["module_id"] for r in rings.collect()} == {"M01", "M04"}
+
+
+def test_label_table(spark, tmp_path):
+    text = "# list\n\n| # | place | class | grade | defect |\n| --- | --- | --- | --- | --- |\n| A1 | ring.c:14-15 | errors | 严重 | two `malloc` |\n| A2 | lib/x.c:47,52 | memory | 致命 | past the end |\n\n| B1 | ring.c:20 | fine |\n"
+    (tmp_path / "labels.md").write_text(text)
+    rows = [tuple(r) for r in sources.label_table(spark, str(tmp_path / "labels.md")).orderBy("no").collect()]
+    assert rows == [("A1", "ring.c", 14, 15, "errors", "严重", "two malloc"), ("A2", "lib/x.c", 47, 52, "memory", "致命", "past the end")]
