@@ -28,8 +28,9 @@ from corpusloom.llm.common import with_columns
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words whose ids a worker remembers between batches, and pairs of pieces (speed-ups only).
-KEEP_WORDS, KEEP_PAIRS = 500_000, 400_000
+#: Bytes that the remembered words may take, counting WORD_BYTES for each besides its letters and ids, and pairs of
+#: pieces that a worker remembers (speed-ups only).
+KEEP_BYTES, WORD_BYTES, KEEP_PAIRS = 120_000_000, 160, 400_000
 
 
 class Pieces:
@@ -67,6 +68,7 @@ class Pieces:
         self.tails = {p[i:] for p in self.scores for i in range(1, len(p))}
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def _merged(self, text: str) -> list[str]:
         """Pieces of a short string under the merge rule: best score first, then leftmost."""
@@ -135,6 +137,8 @@ class Pieces:
                                 best, piece = s, p
                     if p not in tails:
                         break
+                if not piece:
+                    raise ValueError(f"no piece ends at {word[:end]!r}")
                 last.append(piece)
                 total.append(best)
             before = word
@@ -155,10 +159,12 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (empty for null and empty ones)."""
         lists = [self.split(t) for t in texts]
-        if len(self.words) > KEEP_WORDS:
+        if self.held > KEEP_BYTES:
             self.words.clear()
-        new = {w for x in lists for w in x}.difference(self.words)
-        self.words.update(self.search(list(new)))
+            self.held = 0
+        new = self.search(list({w for x in lists for w in x}.difference(self.words)))
+        self.words.update(new)
+        self.held += sum(len(w) + 8 * len(ids) + WORD_BYTES for w, ids in new.items())
         known = self.words
         return [
             np.array([i for ids in map(known.__getitem__, x) for i in ids], dtype=np.int32) if x else np.empty(0, np.int32)

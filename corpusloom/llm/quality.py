@@ -27,11 +27,11 @@ AGAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Hasher:
-    """Hashes of tokens, kept for the words seen so far up to a bound (a speed-up only)."""
+    """Hashes of tokens, kept for the short words seen so far up to a bound (a speed-up only)."""
 
-    def __init__(self, keep: int = 200_000):
+    def __init__(self, keep: int = 200_000, letters: int = 64):
         self.seen: dict[str, int] = {}
-        self.keep = keep
+        self.keep, self.letters = keep, letters
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
         seen, digest = self.seen, xxhash.xxh64_intdigest
@@ -41,7 +41,9 @@ class Hasher:
         for i, t in enumerate(tokens):
             h = seen.get(t)
             if h is None:
-                h = seen[t] = digest(t)
+                h = digest(t)
+                if len(t) <= self.letters:
+                    seen[t] = h
             out[i] = h
         return out
 

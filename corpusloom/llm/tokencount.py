@@ -19,8 +19,8 @@ from corpusloom.llm.common import with_columns
 
 #: The vocabulary's own pre-token pattern (fixed value of the byte-level format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose counts a worker remembers between batches (a speed-up only).
-KEEP = 300_000
+#: Bytes that remembered pre-tokens may take, counting WORD_BYTES for each besides its letters (a speed-up only).
+KEEP_BYTES, WORD_BYTES = 50_000_000, 130
 
 
 def byte_letters() -> list[str]:
@@ -34,12 +34,23 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _check(spec: dict) -> None:
+    """Raise for a file that says anything but plain byte-level BPE with its own pattern."""
+    model, before, more = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    cut = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    loose = any(t.get(k) for t in more for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain or not cut or loose or spec.get("normalizer"):
+        raise ValueError("only byte-level BPE files without normalisation, prefix space or merges to ignore are supported")
+
+
 class MergeCounter:
     """Counts tokens of texts under one vocabulary file of the tokenizers library (byte-level BPE)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         vocab = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.base = np.array([vocab[c] for c in byte_letters()], dtype=np.int64)
@@ -54,6 +65,7 @@ class MergeCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(PATTERN)
         self.seen: dict[str, int] = {}
+        self.held = 0
 
     def merged_lengths(self, tokens: list[str]) -> np.ndarray:
         """Number of symbols that each pre-token keeps."""
@@ -109,13 +121,15 @@ class MergeCounter:
             return totals
         words = pa.array(flat, pa.string()).dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.seen) > KEEP:
+        if self.held > KEEP_BYTES:
             self.seen.clear()
+            self.held = 0
         known = np.array([self.seen.get(w, -1) for w in distinct], dtype=np.int64)
         new = np.flatnonzero(known < 0)
         if len(new):
             known[new] = self.merged_lengths([distinct[i] for i in new])
             self.seen.update((distinct[i], int(known[i])) for i in new)
+            self.held += sum(len(distinct[i]) + WORD_BYTES for i in new)
         each = np.append(0, np.cumsum(known[words.indices.to_numpy(zero_copy_only=False)]))
         ends = np.cumsum(sizes)
         return totals + each[ends] - each[ends - sizes]

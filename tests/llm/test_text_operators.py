@@ -1,5 +1,6 @@
 """SentencePiece, token files, token counts and the trained classifiers against libraries and held-out labels."""
 
+import json
 import random
 import zlib
 
@@ -93,6 +94,28 @@ def test_merging_random_strings():
     assert tokencount.MergeCounter(path).count(words).tolist() == [len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"model": {"ignore_merges": True}}])
+def test_other_vocabulary_files_raise(change):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    tokencount._check(spec)
+    spec |= {k: spec[k] | v if k == "model" else v for k, v in change.items()}
+    with pytest.raises(ValueError):
+        tokencount._check(spec)
+
+
+def test_forgetting_words_changes_nothing(texts, monkeypatch):
+    monkeypatch.setattr(tokencount, "KEEP_BYTES", 0)
+    monkeypatch.setattr(pieces, "KEEP_BYTES", 0)
+    path, other = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    counter, fresh = tokencount.MergeCounter(path), tokencount.MergeCounter(path)
+    model = pieces.model(other)
+    for at in range(0, len(texts), 40):
+        part = texts[at : at + 40]
+        assert counter.count(part).tolist() == fresh.count(part).tolist()
+        assert [i.tolist() for i in model.encode(part)] == pieces.load(other).encode([t or "" for t in part])
+
+
 def test_code_lengths_are_optimal_and_limited():
     import heapq
 
