@@ -105,7 +105,7 @@ def text_slices(
 
 
 def with_columns(
-    df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.Array], dict[str, pa.Array]], text: str = "text"
+    df: DataFrame, fields: list[tuple[str, str]], compute: Callable[[pa.Array], dict[str, pa.Array]], text: str = "text", max_bytes: int = 3_000_000
 ) -> DataFrame:
     """All columns of ``df`` plus ``fields`` (name, DDL type), made from its text column batch by batch.
 
@@ -118,7 +118,7 @@ def with_columns(
     names = [n for n, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, text):
+        for part in text_slices(batches, text, max_bytes):
             made = compute(part.column(part.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, *(made[n] for n in names)], names=[*part.schema.names, *names]

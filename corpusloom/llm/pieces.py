@@ -19,18 +19,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
 from corpusloom.llm.common import with_columns
+from corpusloom.llm.spans import SpanTable
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Bytes that the remembered words may take, counting WORD_BYTES for each besides its letters and ids, and pairs of
-#: pieces that a worker remembers (speed-ups only).
-KEEP_BYTES, WORD_BYTES, KEEP_PAIRS = 120_000_000, 160, 400_000
+#: Pairs of pieces that a worker remembers (a speed-up only), and bytes of text that are encoded at once.
+KEEP_PAIRS, SLICE_BYTES = 200_000, 6_000_000
 
 
 class Pieces:
@@ -67,8 +68,7 @@ class Pieces:
         #: proper tails of pieces: a string outside them ends no longer piece
         self.tails = {p[i:] for p in self.scores for i in range(1, len(p))}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.known = SpanTable()
 
     def _merged(self, text: str) -> list[str]:
         """Pieces of a short string under the merge rule: best score first, then leftmost."""
@@ -156,20 +156,47 @@ class Pieces:
         t = text.replace(" ", MARK)
         return WORD.findall(MARK + t if self.prefix else t)
 
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(words of all texts without their first mark, or as they are without ``prefix``; number of words of each text).
+
+        A text without marks of its own, blanks at its ends or two blanks in a row falls at its blanks; others are cut
+        one by one.
+        """
+        odd = pc.or_(pc.match_substring_regex(texts, f"^$|^ | $|  |{MARK}"), pa.scalar(not self.prefix))
+        lists = pc.split_pattern(pc.filter(texts, pc.invert(odd)), " ")
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        n = np.empty(len(texts), dtype=np.int64)
+        n[~is_odd] = np.diff(lists.offsets.to_numpy())
+        if not is_odd.any():
+            return lists.flatten(), n
+        cut = [[w[self.prefix :] for w in self.split(t)] for t in pc.filter(texts, odd).to_pylist()]
+        n[is_odd] = [len(c) for c in cut]
+        # words of plain texts come first, then those of the others; ``place`` puts them in the order of the texts
+        both = pa.concat_arrays([lists.flatten(), pa.array([w for c in cut for w in c], pa.string())])
+        order = np.argsort(np.repeat(np.append(np.flatnonzero(~is_odd), np.flatnonzero(is_odd)), np.append(n[~is_odd], n[is_odd])), kind="stable")
+        return both.take(pa.array(order)), n
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each text); null and empty texts have none."""
+        words, per_text = self._words(pc.fill_null(texts.cast(pa.string()), ""))
+        words = words.dictionary_encode()
+        self.known.make_room()
+        mark = MARK if self.prefix else ""
+
+        def ids_of(part: list[str]) -> list[tuple[int, ...]]:
+            marked = [mark + w for w in part]
+            found = self.search(marked)
+            return list(map(found.__getitem__, marked))
+
+        rows = self.known.rows(words.dictionary, ids_of, batch=200_000)
+        ids, ends = self.known.spans(rows[words.indices.to_numpy(zero_copy_only=False)])
+        bounds, text_ends = np.append(0, ends), np.cumsum(per_text)
+        return ids.astype(np.int32), bounds[text_ends] - bounds[text_ends - per_text]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (empty for null and empty ones)."""
-        lists = [self.split(t) for t in texts]
-        if self.held > KEEP_BYTES:
-            self.words.clear()
-            self.held = 0
-        new = self.search(list({w for x in lists for w in x}.difference(self.words)))
-        self.words.update(new)
-        self.held += sum(len(w) + 8 * len(ids) + WORD_BYTES for w, ids in new.items())
-        known = self.words
-        return [
-            np.array([i for ids in map(known.__getitem__, x) for i in ids], dtype=np.int32) if x else np.empty(0, np.int32)
-            for x in lists
-        ]
+        ids, n = self.encode_flat(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of a sequence of ids: control pieces vanish, byte pieces join into UTF-8, marks turn into spaces."""
@@ -198,12 +225,10 @@ def encode_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def compute(texts: pa.Array) -> dict[str, pa.Array]:
-        rows = model(vocabulary).encode(texts.to_pylist())
-        ends = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        return {"piece_ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))}
+        ids, n = model(vocabulary).encode_flat(texts)
+        return {"piece_ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))}
 
-    return with_columns(docs, [("piece_ids", "array<int>")], compute)
+    return with_columns(docs, [("piece_ids", "array<int>")], compute, max_bytes=SLICE_BYTES)
 
 
 def decode_pieces(rows: DataFrame, vocabulary: str, ids: str = "piece_ids") -> DataFrame:
@@ -227,15 +252,16 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     (the decoded ids equal the text, a null text counting as empty)."""
 
     def compute(texts: pa.Array) -> dict[str, pa.Array]:
-        m, values = model(vocabulary), texts.to_pylist()
-        rows = m.encode(values)
+        m = model(vocabulary)
+        ids, n = m.encode_flat(texts)
+        rows = np.split(ids.astype("<i4"), np.cumsum(n)[:-1])
         return {
-            "n_tokens": pa.array([len(r) for r in rows], pa.int64()),
-            "ids_crc32": pa.array([zlib.crc32(r.astype("<i4").tobytes()) for r in rows], pa.int64()),
-            "round_trip": pa.array([m.decode(r) == (t or "") for r, t in zip(rows, values, strict=True)], pa.bool_()),
+            "n_tokens": pa.array(n, pa.int64()),
+            "ids_crc32": pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64()),
+            "round_trip": pa.array([m.decode(r) == (t.as_py() or "") for r, t in zip(rows, texts, strict=True)], pa.bool_()),
         }
 
-    return with_columns(docs, [("n_tokens", "long"), ("ids_crc32", "long"), ("round_trip", "boolean")], compute)
+    return with_columns(docs, [("n_tokens", "long"), ("ids_crc32", "long"), ("round_trip", "boolean")], compute, max_bytes=SLICE_BYTES)
 
 
 def load(path: str) -> sentencepiece.SentencePieceProcessor:

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_ranges, range_of, shared_folder, staged, text_slices
+from corpusloom.llm.spans import SpanTable
 from corpusloom.llm.tokencount import byte_letters
 
 CHECKPOINT = 256
@@ -34,8 +34,6 @@ MAX_BITS = 18
 RANGE_ROWS = 400
 #: Words of Latin-1 letters with at most one final mark: lower-casing keeps their number of letters.
 PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]?$"
-#: Bytes that remembered words may take, counting WORD_BYTES for each besides its letters (a speed-up only).
-KEEP_BYTES, WORD_BYTES = 130_000_000, 130
 
 
 # --- tokenising -----------------------------------------------------------------------------------------------------
@@ -58,12 +56,7 @@ class WordIds:
         probes = ["a", "words", "straße", "été", "ñandú"]
         #: whether the file folds case, takes a word of letters as one piece of byte letters and marks as single ids
         self.folds = len(self.marks) == 2 and self._ids(probes) == [self._direct(w) for w in probes] == self._ids([w.upper().replace("SS", "ß") for w in probes])
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.held = 0
-        self.starts, self.sizes, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.known = SpanTable()
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -72,33 +65,6 @@ class WordIds:
         letters = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenizer.model.tokenize(letters)]
 
-    def _learn(self, words: list[str], rows: list[list[int]]) -> None:
-        """Append the ids of new words to the arrays."""
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        ends = self.used + np.cumsum(sizes)
-        first, n = len(self.at), self.used + int(sizes.sum())
-        while n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(rows) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
-        self.flat[self.used : n] = np.fromiter(chain.from_iterable(rows), np.uint32, n - self.used)
-        self.starts[first : first + len(rows)], self.sizes[first : first + len(rows)] = ends - sizes, sizes
-        self.at.update(zip(words, range(first, first + len(rows)), strict=True))
-        self.held += sum(map(len, words)) + WORD_BYTES * len(words)
-        self.used = n
-
-    def _rows(self, words: pa.Array, ids_of: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
-        """Row of each distinct word in the arrays; new ones are learned in batches, so that the library's objects stay few."""
-        names = words.to_pylist()
-        at = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(at < 0)
-        first = len(self.at)
-        for i in range(0, len(new), 20_000):
-            part = [names[k] for k in new[i : i + 20_000].tolist()]
-            self._learn(part, ids_of(part))
-        at[new] = np.arange(first, first + len(new))
-        return at
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text)."""
         texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " ")
@@ -106,24 +72,19 @@ class WordIds:
         per_text = np.diff(lists.offsets.to_numpy())
         words = lists.flatten().dictionary_encode()
         distinct, index = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
-        if self.held > KEEP_BYTES:
-            self._forget()
+        self.known.make_room()
         plain = pc.match_substring_regex(distinct, PLAIN) if self.folds else pa.array(np.zeros(len(distinct), bool))
         is_plain = plain.to_numpy(zero_copy_only=False)
         rows, marks = np.empty(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.uint32)
-        rows[~is_plain] = self._rows(distinct.filter(pc.invert(plain)), self._ids)
+        rows[~is_plain] = self.known.rows(distinct.filter(pc.invert(plain)), self._ids)
         letters = distinct.filter(plain)
         stems = pc.utf8_lower(pc.utf8_rtrim(letters, ",.")).dictionary_encode()
-        rows[is_plain] = self._rows(stems.dictionary, lambda part: list(map(self._direct, part)))[stems.indices.to_numpy(zero_copy_only=False)]
+        rows[is_plain] = self.known.rows(stems.dictionary, lambda part: list(map(self._direct, part)))[stems.indices.to_numpy(zero_copy_only=False)]
         for mark, ids in self.marks.items():
             marks[np.flatnonzero(is_plain)[pc.ends_with(letters, mark).to_numpy(zero_copy_only=False)]] = ids[0] + 1  # 0 says no mark
         # every occurrence copies the span of its word, and its mark
-        n = (self.sizes[rows] + (marks > 0))[index]
-        ends = np.cumsum(n)
-        where = np.repeat(self.starts[rows][index] - (ends - n), n)
-        where += np.arange(len(where))
-        out = np.take(self.flat, where, mode="clip")
         mark = marks[index]
+        out, ends = self.known.spans(rows[index], mark > 0)
         marked = np.flatnonzero(mark)
         out[ends[marked] - 1] = mark[marked] - 1
         bounds = np.append(0, ends)

@@ -47,6 +47,15 @@ def test_pieces_equal_the_library(texts):
     assert [model.decode(i) for i in ids] == [library.decode(i.tolist()) for i in ids] == [t or "" for t in texts]
 
 
+def test_pieces_of_random_texts_equal_the_library():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, library, r = pieces.model(path), pieces.load(path), random.Random(2)
+    texts = ["".join(r.choice("aAbeinrstéñ  \n\t▁.,1日😀<|>") for _ in range(r.randrange(30))) for _ in range(6000)]
+    ids = model.encode(texts)
+    assert [i.tolist() for i in ids] == library.encode(texts)
+    assert [model.decode(i) for i in ids] == [library.decode(i.tolist()) for i in ids]
+
+
 def test_unigram_search_finds_the_best_score(texts):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
@@ -106,10 +115,10 @@ def test_other_vocabulary_files_raise(change):
 
 def test_forgetting_words_changes_nothing(texts, monkeypatch):
     monkeypatch.setattr(tokencount, "KEEP_BYTES", 0)
-    monkeypatch.setattr(pieces, "KEEP_BYTES", 0)
     path, other = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     counter, fresh = tokencount.MergeCounter(path), tokencount.MergeCounter(path)
     model = pieces.model(other)
+    monkeypatch.setattr(model.known, "keep_bytes", 0)
     for at in range(0, len(texts), 40):
         part = texts[at : at + 40]
         assert counter.count(part).tolist() == fresh.count(part).tolist()
@@ -166,7 +175,7 @@ def test_word_ids_of_random_texts_equal_the_library():
     flat, n = words.encode(pa.array(texts, pa.string()))
     got = [part.tolist() for part in np.split(flat, np.cumsum(n)[:-1])]
     assert got == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    words.held = tokenfile.KEEP_BYTES + 1  # forgetting what was learned changes nothing
+    words.known.held = words.known.keep_bytes + 1  # forgetting what was learned changes nothing
     assert (words.encode(pa.array(texts, pa.string()))[0] == flat).all()
 
 
