@@ -74,7 +74,8 @@ def _quoted(name: str) -> Column:
 
 
 def _line_hits(asked: DataFrame, lines: DataFrame, functions: DataFrame | None) -> DataFrame:
-    """Search, macro, accessors and definition: one pass over the lines of the modules that ask."""
+    """Search, macro, accessors and definition: the lines meet the queries of their own module only, in the JVM but for
+    search patterns."""
     name = _quoted("target")
     word = F.concat(F.lit(r"\b"), name, F.lit(r"\b"))
     macro = F.concat(F.lit(r"^\s*#\s*define\s+"), name, F.lit(r"\b"))
@@ -116,7 +117,7 @@ def dispatch(asked: DataFrame, tables: Tables) -> DataFrame:
     """(module_id, n, kind, target, at, hit) of every query; ``at`` (file, line) orders hits, null for plain messages.
 
     ``tables`` holds what the kinds in use need: edges (module_id, src, dst, file, line), lines (module_id, file,
-    line_no, line), functions (module_id, file, name, line, end_line). Every table is read once, joined by module.
+    line_no, line), functions (module_id, file, name, line, end_line). All joins are by module.
     """
     asked = limited(asked)
     able = [k for k, t in NEEDS.items() if t in tables and (k not in ("accessors", "source") or {"functions", "lines"} <= set(tables))]

@@ -17,7 +17,10 @@ def _root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="corpusloom-"))
+    name = spark.sparkContext.applicationId
+    if name not in _local:
+        _local[name] = tempfile.mkdtemp(prefix="corpusloom-")
+    return _local[name]
 
 
 def _own(spark: SparkSession) -> str:

@@ -99,3 +99,35 @@ def test_entry_works_without_the_optional_parts(monkeypatch):
     except ModuleNotFoundError:
         return
     raise AssertionError("another missing module must not be hidden")
+
+
+def test_staged_tables_need_a_shared_folder(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from corpusloom.sources import staging
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    table = staging.staged(spark.range(3))
+    assert table.count() == 3 and os.listdir(root)
+
+    class Conf:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+    class Session:
+        sparkContext = spark.sparkContext
+
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    with pytest.raises(ValueError):
+        staging.shared_folder(Session("spark://host:7077"))
+    assert staging.shared_folder(Session("local[2]")) != staging.shared_folder(Session("local[2]"))
+    mine = staging._own(spark)
+    staging.clear(spark)
+    assert not os.path.exists(mine.removeprefix("file:"))
