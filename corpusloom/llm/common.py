@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.staging import shared_folder, staged
 
-__all__ = ["bounded_sample", "id_ranges", "let", "long_table", "plain_names", "range_of", "shared_folder", "staged", "text_slices", "with_columns"]
+__all__ = ["bounded_sample", "id_ranges", "let", "long_table", "plain_names", "range_of", "shared_folder", "staged", "text_slices", "thinned", "with_columns"]
 
 #: Ranges of ids that one range table may have, and sampled rows of each: at most a million longs reach the driver.
 MAX_RANGES, SAMPLED = 65_536, 16
+#: Rows that a training sample is chosen from, for each row of it.
+THINNED = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -127,13 +129,21 @@ def with_columns(
     return df.mapInArrow(run, out)
 
 
-def bounded_sample(df: DataFrame, rows: int, max_bytes: int) -> pd.DataFrame:
-    """At most ``rows`` rows of ``df`` (doc_id, text, ...) with ``max_bytes`` of text together, sorted by id and text.
+def thinned(df: DataFrame, rows: int, of: int) -> DataFrame:
+    """Rows of ``df`` (doc_id, ...), which stem from ``of`` rows, whose hashed id is small: some ``THINNED * rows`` of
+    them, all where there are no more. What is ordered afterwards then stays small however large the table is."""
+    share = THINNED * rows / max(1, of)
+    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
+
+
+def bounded_sample(df: DataFrame, rows: int, max_bytes: int, of: int) -> pd.DataFrame:
+    """At most ``rows`` rows of ``df`` (doc_id, text, ...) with ``max_bytes`` of text together, sorted by id and text;
+    ``of`` is the number of rows of the table that ``df`` filters.
 
     Rows come in the order of a hash of id and text, the same on every run; rows equal in both count once. Only ids,
     hashes and sizes are ordered; then the chosen rows alone are fetched.
     """
-    marked = df.withColumns({"_hash": F.xxhash64("text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    marked = thinned(df, rows, of).withColumns({"_hash": F.xxhash64("text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
     order = [F.xxhash64(F.lit(17), "doc_id", "_hash"), F.col("doc_id"), F.col("_hash")]
     first = marked.select("doc_id", "_hash", "_bytes").orderBy(*order).limit(rows).toPandas().drop_duplicates(["doc_id", "_hash"])
     first = first[first["_bytes"].cumsum() <= max_bytes].dropna()

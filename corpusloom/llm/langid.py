@@ -109,7 +109,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, windows_per_text: int = 6, se
     """Fit on at most ``rows`` documents of ``docs`` (doc_id, text, lang) with an id, a text and a language, of
     ``TRAIN_BYTES`` together; None without any."""
     usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND rlike(text, '\\\\p{L}')")
-    sample = bounded_sample(usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), rows, TRAIN_BYTES)
+    sample = bounded_sample(usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), rows, TRAIN_BYTES, docs.count())
     if sample.empty:
         return None
     classes = sorted(sample["lang"].unique())

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_sample, with_columns
+from corpusloom.llm.common import bounded_sample, thinned, with_columns
 
 #: Labelled documents that training may read, and bytes of their texts.
 TRAIN_ROWS, TRAIN_BYTES = 6000, 60_000_000
@@ -136,8 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     document the smallest counts).
     """
     marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows)
-    sample = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), rows, TRAIN_BYTES)
+    chosen = thinned(marked, rows, labels.count()).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows)
+    # as many labelled documents as there are chosen labels, but for rows that repeat an id
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    sample = bounded_sample(known, rows, TRAIN_BYTES, rows)
     if sample.empty:
         return None
     return fit(sample["text"].tolist(), sample["quality"].tolist())

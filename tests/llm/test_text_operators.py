@@ -298,9 +298,11 @@ def test_quality_equals_plain_ftrl(spark, docs):
 
 def test_training_samples_are_bounded(spark):
     rows = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.pmod("id", F.lit(100)).cast("string")).alias("text"), F.lit("en").alias("lang"))
-    sample = common.bounded_sample(rows, 300, 400)
+    sample = common.bounded_sample(rows, 300, 400, 500)
     assert 0 < len(sample) <= 100 and sample["text"].str.len().sum() <= 400 and not sample.duplicated().any()
-    assert len(common.bounded_sample(rows, 7, 10**6)) <= 7 and common.bounded_sample(rows.limit(0), 7, 100).empty
+    assert len(common.bounded_sample(rows, 7, 10**6, 500)) <= 7 and common.bounded_sample(rows.limit(0), 7, 100, 0).empty
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert 800 < common.thinned(many, 100, 20_000).count() < 2400 and len(common.bounded_sample(many, 100, 10**6, 20_000)) == 100
 
 
 def test_quality_of_odd_rows(spark, docs, odd):
