@@ -115,3 +115,8 @@ def bar(share: Column, width: int = 20) -> Column:
 def blank_free(value: Column) -> Column:
     """Null for null and blank strings."""
     return F.when(F.trim(value) != "", value)
+
+
+def worker_count(asked: Column, items: Column, most: int = 4) -> Column:
+    """Workers of a run: as many as asked for, else one for each item, ``most`` at most and one at least."""
+    return F.when(asked > 0, asked).otherwise(F.greatest(F.least(items, F.lit(most)), F.lit(1)))

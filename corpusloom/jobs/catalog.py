@@ -639,6 +639,13 @@ def q_distribution_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("event_type", "n", S.bar(F.col("n") / total).alias("bar"))
 
 
+@_query("""
+SELECT s_nationkey, CASE WHEN s_nationkey % 5 > 0 THEN s_nationkey % 5 ELSE greatest(least(count(*), 4), 1) END::BIGINT AS workers FROM supplier GROUP BY s_nationkey""")
+def q_worker_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    return counts.select("s_nationkey", S.worker_count((F.col("s_nationkey") % 5).cast("long"), F.col("n")).alias("workers"))
+
+
 @_query("""
 SELECT page_id, array_to_string(list_filter([CASE WHEN url LIKE 'https%' THEN 'tls' END, CASE WHEN url LIKE '%www.%' THEN 'www' END,
   CASE WHEN url LIKE '%utm%' THEN 'tracked' END], lambda x: x IS NOT NULL), ' · ') AS summary FROM pages""")

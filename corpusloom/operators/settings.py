@@ -19,6 +19,17 @@ def merged_maps(upper: Column, lower: Column) -> Column:
     return F.map_concat(rest, set_)
 
 
+def network_overridden(given: Column) -> Column:
+    """Whether a settings map changes how a client reaches the network: by value, so a default written out changes
+    nothing."""
+    named = [S.blank_free(F.try_element_at(given, F.lit(n))) for n in ("proxy", "no_proxy", "ca_bundle", "connect_timeout")]
+    off = [F.lower(F.try_element_at(given, F.lit(n))).eqNullSafe("false") for n in ("verify_ssl", "proxy_from_env")]
+    changed = F.lit(False)
+    for c in [*(n.isNotNull() for n in named), *off]:
+        changed = changed | c
+    return F.coalesce(changed, F.lit(False))
+
+
 def unknown_fields(given: Column, allowed: list[str]) -> Column:
     """Keys of a settings map that are not allowed, sorted."""
     return F.sort_array(F.array_except(F.map_keys(given), F.array(*map(F.lit, allowed))))

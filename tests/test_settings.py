@@ -49,3 +49,9 @@ def test_synthetic_corpus_facts(spark):
     rings = graph.module_cycles(edges.select("module_id", "src", "dst"), "module_id").collect()
     assert {(r["module_id"], len(r["members"])) for r in rings} == {("M01", 5), ("M04", 5), ("M07", 5)}
     assert symbols.functions(lexed).filter("kind = '对外接口'").count() == 35 and symbols.dependencies(lexed).count() == 0
+
+
+def test_network_overridden(spark):
+    rows = [({}, False), ({"verify_ssl": "true", "proxy": " "}, False), ({"verify_ssl": "False"}, True), ({"ca_bundle": "/x"}, True), ({"connect_timeout": "3"}, True), ({"proxy_from_env": "false"}, True), (None, False), ({"other": "x"}, False)]
+    table = spark.createDataFrame(rows, "m map<string,string>, expected boolean")
+    assert all(r["o"] == r["expected"] for r in table.select("expected", settings.network_overridden(F.col("m")).alias("o")).collect())
