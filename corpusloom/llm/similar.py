@@ -197,7 +197,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     rows = staged(sketched(named, shingle, seed), "rows")
     placed = rows.select("_fp", "_set", "_row", "doc_id").join(grouped(rows, shingle, similarity, radius, seed), ["_fp", "_set"])
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row")
-    first = placed.groupBy("component").agg(F.min_by("_row", order).alias("first"))
-    gone = placed.join(first, "component").filter("_row <> first").select("_row")
-    kept = rows.join(gone.hint("merge"), "_row", "left_anti")
+    first = placed.groupBy("component").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    # a row stays where it is its group's first: no join by group, which may hold a third of all rows
+    kept = rows.join(first.hint("merge"), "_row", "left_semi")
     return kept.drop("_row", "_fp", "_set", "_size", "_bands").toDF(*docs.columns)
