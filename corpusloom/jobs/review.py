@@ -27,6 +27,12 @@ PLAN = "patterns array<string>, summary string, strategy string, chunks array<st
 #: Modules with more lines than this are planned into chunks first; rounds of redoing a plan, of asking for missing
 #: conclusions, and of judging with evidence (the last of them asks for no more).
 LARGE_LINES, PLAN_REDOS, RE_ASKS, PROBE_ROUNDS = 2000, 2, 2, 2
+#: Headings and labels of the report (fixed values).
+TITLE, SUMMARY, OVERVIEW, CUT = " 检视报告", "## 摘要", "## 概况", "## 分解"
+MODULE, FILES, SIZE = "- 模块：", "- 文件：", "- 规模："
+PLACE, FIX = "- 位置：", "- 建议："
+FORM, NO_FORM, JUDGEMENT, STRATEGY, PARTS, UNFINISHED = "形态", "无明显形态", "判断", "分解策略", "子块", "**未完成的子块**"
+TRUNCATED = "（已截断）"
 
 
 @dataclass
@@ -251,7 +257,7 @@ def review(
 
 def evidence_digest(shown: DataFrame) -> DataFrame:
     """(module_id, evidence): results of all rounds as text for a prompt."""
-    mark = F.when(F.col("truncated"), F.lit("（已截断）")).otherwise(F.lit(""))
+    mark = F.when(F.col("truncated"), F.lit(TRUNCATED)).otherwise(F.lit(""))
     text = F.concat(F.format_string("[第 %d 轮 %s %s]", "round", "kind", "target"), mark, F.lit("\n"), "result")
     return shown.groupBy("module_id").agg(_ordered(F.struct("round", "n"), text).alias("evidence"))
 
@@ -269,8 +275,8 @@ def _decomposition(chunks: DataFrame, plans: DataFrame, incomplete: DataFrame) -
 
     rows = plans.join(sizes, "module_id", "left").join(open_, "module_id", "left")
     return rows.select("module_id", F.concat_ws(
-        "\n", F.lit("## 分解\n"), line("形态", F.coalesce(F.nullif(F.array_join("patterns", "、"), F.lit("")), F.lit("无明显形态"))), line("判断", F.col("summary")), line("分解策略", F.col("strategy")),
-        line("子块", F.col("cut")), line("**未完成的子块**", F.col("open")), line("方案未达标", F.array_join("violations", "；")), line("方案里不存在的函数", F.array_join("unknown", "、")),
+        "\n", F.lit(f"{CUT}\n"), line(FORM, F.coalesce(F.nullif(F.array_join("patterns", "、"), F.lit("")), F.lit(NO_FORM))), line(JUDGEMENT, F.col("summary")), line(STRATEGY, F.col("strategy")),
+        line(PARTS, F.col("cut")), line(UNFINISHED, F.col("open")), line("方案未达标", F.array_join("violations", "；")), line("方案里不存在的函数", F.array_join("unknown", "、")),
     ).alias("text"))
 
 
@@ -280,8 +286,8 @@ def reports(inventory: DataFrame, findings: DataFrame, conclusions: DataFrame, f
     rows = findings.join(conclusions, ["module_id", "id"])
     order = F.struct(S.ranked(F.col("conclusion"), S.CONCLUSIONS).alias("a"), S.ranked(F.col("severity"), S.SEVERITIES).alias("b"), F.col("no").alias("c"))
     block = F.concat(
-        F.lit("### "), "id", F.lit(" ["), "severity", F.lit("] "), "conclusion", F.lit("\n\n- 位置："), S.source_link("..", F.col("file"), F.col("line")), F.lit("\n- 描述："), "description",
-        F.lit("\n- 建议："), "suggestion", F.lit("\n- 理由："), "reason", F.lit("\n\n"), S.indented(F.col("evidence")),
+        F.lit("### "), "id", F.lit(" ["), "severity", F.lit("] "), "conclusion", F.lit(f"\n\n{PLACE}"), S.source_link("..", F.col("file"), F.col("line")), F.lit("\n- 描述："), "description",
+        F.lit(f"\n{FIX}"), "suggestion", F.lit("\n- 理由："), "reason", F.lit("\n\n"), S.indented(F.col("evidence")),
     )
     counts = [F.count_if(F.col("conclusion") == c) for c in S.CONCLUSIONS]
     grades = [F.count_if(F.col("severity") == s) for s in S.SEVERITIES]
@@ -296,6 +302,6 @@ def reports(inventory: DataFrame, findings: DataFrame, conclusions: DataFrame, f
         F.format_string("共 %d 条意见：%s；等级：%s。", "n", "by_conclusion", "by_severity"), F.when(F.col("urgent") != "", F.concat(F.lit("请先处理 "), "urgent", F.lit("。"))).otherwise(F.lit("")),
     ))
     overview = F.concat(
-        F.lit("## 概况\n\n- 模块："), "module_id", F.lit("（"), "module", F.lit("）\n- 文件："), F.array_join("files", "、"), F.format_string("\n- 规模：%d 行 / %d 字符 / 约 %d Token", "lines", "chars", "estimated_tokens"),
+        F.lit(f"{OVERVIEW}\n\n{MODULE}"), "module_id", F.lit("（"), "module", F.lit(f"）\n{FILES}"), F.array_join("files", "、"), F.format_string(f"\n{SIZE}%d 行 / %d 字符 / 约 %d Token", "lines", "chars", "estimated_tokens"),
     )
-    return whole.select("module_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "module_id", F.lit(" 检视报告")), F.lit("## 摘要"), summary, overview, "text", "blocks").alias("report"))
+    return whole.select("module_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "module_id", F.lit(TITLE)), F.lit(SUMMARY), summary, overview, "text", "blocks").alias("report"))

@@ -19,6 +19,7 @@ from corpusloom.operators import relational
 
 #: Texts of the report language and limits (fixed values).
 NO_HIT, UNSUPPORTED, BAD_PATTERN = "（没有命中）", "不支持的取证类型：", "检索模式不合法："
+CALLS, IN_FUNCTION, END = " 调用 ", "（函数 ", "）  "
 MAX_QUERIES, MAX_HITS, MAX_CHARS = 12, 20, 8000
 #: Characters kept of one line by kind, and lines that show a definition.
 SEARCH_CHARS, MACRO_CHARS, DEFINITION_CHARS, DEFINITION_LINES = 160, 200, 240, 10
@@ -62,7 +63,7 @@ def _place() -> Column:
 
 def _edge_hits(asked: DataFrame, edges: DataFrame) -> DataFrame:
     """Callers and callees: the edges are read once, each edge answers in both roles."""
-    text = F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit("  "), "src", F.lit(" 调用 "), "dst")
+    text = F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit("  "), "src", F.lit(CALLS), "dst")
     roles = F.array(F.struct(F.lit("callers").alias("kind"), F.col("dst").alias("target")), F.struct(F.lit("callees").alias("kind"), F.col("src").alias("target")))
     rows = edges.select("module_id", "src", "dst", F.col("file").cast("string").alias("file"), F.col("line").cast("long").alias("line")).distinct()
     told = rows.select("module_id", _place().alias("at"), text.alias("hit"), F.inline(roles))
@@ -99,7 +100,7 @@ def _line_hits(asked: DataFrame, lines: DataFrame, functions: DataFrame | None)
     spans = functions.select("module_id", "file", F.col("name").alias("function"), F.explode(F.sequence("line", "end_line")).alias("line"))
     spans = spans.withColumn("line", F.col("line").cast("long"))
     used = found.filter("kind = 'accessors'").join(spans, ["module_id", "file", "line"])
-    return hits.unionByName(used.select(*KEY, _place().alias("at"), F.concat(at, F.lit("（函数 "), "function", F.lit("）  "), F.trim("text")).alias("hit")))
+    return hits.unionByName(used.select(*KEY, _place().alias("at"), F.concat(at, F.lit(IN_FUNCTION), "function", F.lit(END), F.trim("text")).alias("hit")))
 
 
 def _sources(asked: DataFrame, functions: DataFrame, lines: DataFrame) -> DataFrame:
