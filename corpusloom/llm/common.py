@@ -38,7 +38,8 @@ def id_ranges(df: DataFrame, column: str, rows_per_range: int) -> list[int | Non
     if parts == 1:
         return []
     share = min(1.0, SAMPLED * parts / n)
-    drawn = (df if share == 1 else df.sample(share, seed=29)).select(F.col(column).cast("long").alias("v")).toPandas()["v"]
+    ids = df.select(F.col(column).cast("long").alias("v"))
+    drawn = (ids if share == 1 else ids.sample(share, seed=29)).toPandas()["v"]
     known = np.sort(drawn.dropna().to_numpy(dtype=np.int64))
     values = [None] * int(drawn.isna().sum()) + known.tolist()
     return [values[i * len(values) // parts] for i in range(1, parts)] if values else []

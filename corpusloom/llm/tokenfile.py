@@ -29,6 +29,8 @@ from corpusloom.llm.tokencount import byte_letters
 
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 19
+#: Bytes of text that are tokenised at once, and ids that are coded at once.
+SLICE_BYTES, PACKED_IDS = 3_000_000, 400_000
 MAX_BITS = 18
 #: Documents in one range of ids; a range is the unit that one task sorts and writes.
 RANGE_ROWS = 400
@@ -102,23 +104,43 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids: little-endian 32-bit integers, tie: a hash of them) of every row, the end id appended to
-    each text."""
+    """(doc_id, n_tokens, ids, tie, counts) of every row, the end id appended to each text.
+
+    ``ids`` are little-endian integers of 16 bits, or 32 where the vocabulary needs them; ``tie`` is a hash of them.
+    Each task adds one row without n_tokens, whose ``counts`` hold the number of times each id occurs in the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, max_bytes=6_000_000):
-            flat, n = word_ids(vocabulary).encode(part.column(1))
-            ends = np.cumsum(n)
-            full = np.insert(flat, ends, end_id).astype("<u4")
+        words = word_ids(vocabulary)
+        width = 2 if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        total = np.zeros(0, dtype=np.int64)
+        for part in text_slices(batches, max_bytes=SLICE_BYTES):
+            flat, n = words.encode(part.column(1))
+            full = np.insert(flat, np.cumsum(n), end_id)
+            total = _added(total, np.bincount(full))
             n = n + 1
-            offsets = np.append(0, np.cumsum(n))
-            data = full.tobytes()
-            rows = [data[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            offsets = (width * np.append(0, np.cumsum(n))).tolist()
+            data = full.astype(f"<u{width}").tobytes()
+            rows = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             tie = pa.array(np.array([xxhash.xxh64_intdigest(r) for r in rows], dtype=np.uint64) >> np.uint64(1)).cast(pa.int64())
-            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(rows, pa.binary()), tie]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "tie"])
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(rows, pa.binary()), tie, pa.nulls(len(rows), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=_TOKEN_COLUMNS)
+        if len(total):
+            last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(last, names=_TOKEN_COLUMNS)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, tie long, counts binary")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, tie long")
+
+_TOKEN_COLUMNS = ["doc_id", "n_tokens", "ids", "tie", "counts"]
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two arrays of counts, the shorter one continued with zeros."""
+    if len(a) < len(b):
+        a, b = b.astype(np.int64), a
+    a[: len(b)] += b
+    return a
 
 
 # --- the code -------------------------------------------------------------------------------------------------------
@@ -176,21 +198,33 @@ def decode_table(lengths: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndar
     return np.append(symbols, np.zeros(short, np.uint32)), np.append(sizes, np.ones(short, np.uint8))
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(bits of all ids, first bit first; bit offset of each id)."""
+def pack_rows(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(bits of all rows, first bit first; first byte of each row, and of what follows; bit offset of each id in its row).
+
+    ``ids`` holds the rows of ``sizes`` ids end to end; every row begins with a byte of its own.
+    """
     n = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n)
-    starts = ends - n
-    total = int(ends[-1]) if len(ids) else 0
-    words = np.zeros(total // 32 + 2, dtype=np.uint64)
-    # each code lies in one or two 32-bit words: shift it into 64 bits and add both halves
-    value = codes[ids] << (np.uint64(64) - (n + (starts & 31)).astype(np.uint64))
-    word = starts >> 5
-    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(ids) else np.empty(0, np.int64)
+    ends = np.append(0, np.cumsum(n))
+    row_ends = np.append(0, np.cumsum(sizes))
+    bits = np.diff(ends[row_ends])
+    first_byte = np.append(0, np.cumsum((bits + 7) // 8))
+    inside = ends[:-1] - np.repeat(ends[row_ends[:-1]], sizes)
+    starts = inside + np.repeat(8 * first_byte[:-1], sizes)
+    words = np.zeros(int(first_byte[-1]) // 4 + 2, dtype=np.uint64)
     if len(ids):
+        # each code lies in one or two 32-bit words: shift it into 64 bits and add both halves
+        value = codes[ids] << (np.uint64(64) - (n + (starts & 31)).astype(np.uint64))
+        word = starts >> 5
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         words[word[first]] += np.add.reduceat(value >> np.uint64(32), first)
         words[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    return words.astype(">u4").tobytes()[: (total + 7) // 8], starts
+    return words.astype(">u4").tobytes()[: int(first_byte[-1])], first_byte, inside
+
+
+def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(bits of all ids, first bit first; bit offset of each id)."""
+    data, _, at = pack_rows(ids, np.array([len(ids)]), codes, lengths)
+    return data, at
 
 
 def unpack(data: bytes, lane_starts: np.ndarray, lane_sizes: np.ndarray, table: tuple[np.ndarray, np.ndarray], max_bits: int = MAX_BITS) -> np.ndarray:
@@ -221,14 +255,12 @@ def _counts(tokens: DataFrame) -> np.ndarray:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for buffer in batch.column(0):
-                got = np.bincount(np.frombuffer(buffer.as_buffer(), dtype="<u4"))
-                if len(got) > len(total):
-                    total = np.append(total, np.zeros(len(got) - len(total), np.int64))
-                total[: len(got)] += got
+                total = _added(total, np.frombuffer(buffer.as_buffer(), dtype="<i8").copy())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    told = tokens.filter("counts IS NOT NULL").select("counts")
+    rows = told.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, dtype=np.int64)
     counts[rows["id"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return counts
@@ -249,6 +281,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     spark = docs.sparkSession
     tokens = staged(tokenised(docs, vocabulary, end_id), "tokens")
     lengths = code_lengths(_counts(tokens), max_bits)
+    tokens = tokens.filter("n_tokens IS NOT NULL").drop("counts")
     used = np.flatnonzero(lengths)
     book = spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id long, bits int")
     book.coalesce(1).write.parquet(f"{path}/codebook")
@@ -264,15 +297,25 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lengths = code.value
         for batch in batches:
-            packed, marks = [], []
-            for ids in batch.column(2):
-                data, at = pack(np.frombuffer(ids.as_buffer(), dtype="<u4"), codes, lengths)
-                packed.append(data)
-                marks.append(at[::CHECKPOINT])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(packed, pa.binary()), pa.array(marks, pa.list_(pa.int64())), batch.column(4)],
-                names=["doc_id", "n_tokens", "range", "bits", "marks", "tie"],
-            )
+            ends = np.cumsum(batch.column(1).to_numpy())
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PACKED_IDS, side="right")))
+                part = batch.slice(at, to - at)
+                at = to
+                sizes = part.column(1).to_numpy()
+                rows = [b.as_buffer() for b in part.column(2)]
+                ids = np.concatenate([np.frombuffer(r, dtype=f"<u{r.size // n}") for r, n in zip(rows, sizes.tolist(), strict=True)])
+                data, first, inside = pack_rows(ids, sizes, codes, lengths)
+                lanes = -(-sizes // CHECKPOINT)
+                lane_ends, row_starts = np.cumsum(lanes), np.cumsum(sizes) - sizes
+                marks = inside[np.repeat(row_starts - CHECKPOINT * (lane_ends - lanes), lanes) + CHECKPOINT * np.arange(lane_ends[-1])]
+                bits = pa.array([data[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+                checkpoints = pa.ListArray.from_arrays(pa.array(np.append(0, lane_ends), pa.int32()), pa.array(marks, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(3), bits, checkpoints, part.column(4)],
+                    names=["doc_id", "n_tokens", "range", "bits", "marks", "tie"],
+                )
 
     rows = (
         ranged.select("doc_id", "n_tokens", "ids", "range", "tie")

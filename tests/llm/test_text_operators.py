@@ -158,6 +158,20 @@ def test_pack_and_unpack():
         assert (tokenfile.unpack(data, lanes, sizes, tokenfile.decode_table(lengths)) == ids).all()
 
 
+def test_rows_begin_with_bytes_of_their_own():
+    r = np.random.default_rng(4)
+    counts = np.bincount(np.minimum(r.zipf(1.3, 20_000), 3_000).astype(np.int64))
+    lengths = tokenfile.code_lengths(counts)
+    codes = tokenfile.canonical(lengths)
+    sizes = r.integers(1, 700, 50)
+    ids = r.choice(np.flatnonzero(counts), int(sizes.sum())).astype(np.uint16)
+    data, first, inside = tokenfile.pack_rows(ids, sizes, codes, lengths)
+    ends = np.cumsum(sizes)
+    for k, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
+        alone, at = tokenfile.pack(ids[a:b], codes, lengths)
+        assert data[first[k] : first[k + 1]] == alone and (inside[a:b] == at).all()
+
+
 def test_word_ids_equal_the_library(texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     words = tokenfile.WordIds(path)
