@@ -93,8 +93,8 @@ class FtrlModel:
         self.n[buckets] += g * g
 
     def freeze(self) -> tuple[np.ndarray, float]:
-        w = self._weights(np.arange(len(self.z)))
-        return w[:-1].astype(np.float32), float(w[-1])
+        w = np.concatenate([self._weights(np.arange(a, min(a + 65_536, len(self.z)))).astype(np.float32) for a in range(0, len(self.z), 65_536)])
+        return w[:-1].copy(), float(self._weights(np.array([1 << BITS]))[0])
 
 
 #: Grams are weighed by SCALE / sqrt(number of grams), so that long and short texts move the weights alike.
@@ -102,19 +102,25 @@ SCALE = 1.0
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, float]:
-    """FTRL over the texts in a seeded order."""
-    model, hasher = FtrlModel(), Hasher()
-    examples = []
-    for at in range(0, len(texts), 500):
-        flat, n = grams(texts[at : at + 500], hasher)
-        for part in np.split(flat, np.cumsum(n)[:-1]):
-            buckets, counts = np.unique(part, return_counts=True)
-            values = counts * SCALE / np.sqrt(max(1, len(part)))
-            examples.append((np.append(buckets, 1 << BITS), np.append(values, 1.0)))
+    """FTRL over the texts in a seeded order; the examples lie end to end in two arrays, which keeps the driver small."""
+    model, hasher = FtrlModel(), Hasher(keep=30_000)
+    buckets, values, sizes = [], [], []
+    for at in range(0, len(texts), 200):
+        flat, n = grams(texts[at : at + 200], hasher)
+        of = np.repeat(np.arange(len(n)), n)
+        keys, counts = np.unique(of << BITS | flat, return_counts=True)
+        of = keys >> BITS
+        buckets.append((keys & (1 << BITS) - 1).astype(np.int32))
+        values.append((counts * SCALE / np.sqrt(n[of])).astype(np.float32))
+        sizes.append(np.bincount(of, minlength=len(n)))
+    ends = np.cumsum(np.concatenate(sizes))
+    all_buckets, all_values = np.concatenate(buckets), np.concatenate(values)
+    del buckets, values
     order = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in order.permutation(len(examples)):
-            model.update(*examples[i], labels[i])
+        for i in order.permutation(len(ends)):
+            part = slice(ends[i - 1] if i else 0, ends[i])
+            model.update(np.append(all_buckets[part], 1 << BITS), np.append(all_values[part], 1.0).astype(np.float64), labels[i])
     return model.freeze()
 
 
