@@ -13,6 +13,7 @@ Decoding is table-driven: every checkpoint starts a lane and all lanes advance t
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -50,6 +51,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # a task has one core: threads of the library's own would only take memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,7 +61,7 @@ class WordIds:
         probes = ["a", "words", "straße", "été", "ñandú"]
         #: whether the file folds case, takes a word of letters as one piece of byte letters and marks as single ids
         self.folds = len(self.marks) == 2 and self._ids(probes) == [self._direct(w) for w in probes] == self._ids([w.upper().replace("SS", "ß") for w in probes])
-        self.known = SpanTable()
+        self.known = SpanTable(keep_bytes=40_000_000)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
