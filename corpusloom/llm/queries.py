@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fingerprint, forest, langid, mixing, pieces, quality, simhash, tokencount, tokenfile, urlfilter
+from corpusloom.llm import audit, fingerprint, forest, langid, mixing, pieces, quality, simhash, substring, tokencount, tokenfile, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, radius=3, shingle=3, seed=42)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.filter_audit(audit.failure_cells(docs, _table(spark, sf_dir, "labels")))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.component_rows(whitening.whiten(vectors, components=8))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
@@ -84,6 +99,9 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 OP5_SQL = """
@@ -133,4 +151,38 @@ sums AS (SELECT *,
 SELECT doc_id, size, source_size, target, (passes * size + (2 * g1 + blocks) // (2 * blocks) - (2 * g0 + blocks) // (2 * blocks))::BIGINT AS taken FROM sums
 """
 
-ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_source_mix": OP8_SQL}
+#: Every order is evaluated step by step over the masks, without stored subsets.
+OP11_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM texts),
+failed AS (SELECT part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND l.quality = 1) AS good,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND l.toxic = 1) AS toxic FROM worded w),
+cells AS (SELECT part, mask, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, bit)),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT o, n::INT AS step, l.bit, coalesce((SELECT sum(p.bit) FROM letters p WHERE strpos(left(o, n - 1), p.f) > 0), 0)::INT AS before
+  FROM orders, range(1, 6) r(n), letters l WHERE l.f = substr(o, n, 1)),
+counted AS (SELECT part, o, step, bit, sum(docs) FILTER (mask & (before | bit) = 0) AS kept, sum(docs) FILTER (mask & before = 0 AND mask & bit > 0) AS removed,
+    sum(docs) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant, sum(docs) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & before = 0 AND mask & bit > 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, o, step, bit)
+SELECT part, o AS filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+"""
+
+#: Windows are compared as texts; words never hold a space.
+OP12_SQL = r"""
+WITH worded AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, doc_id, s, array_to_string(ws[s:s + 49], ' ') AS k FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM worded)),
+repeated AS (SELECT r, s FROM (SELECT r, s, doc_id, min(doc_id) OVER (PARTITION BY k) AS earliest FROM windows) WHERE doc_id > earliest),
+covered AS (SELECT DISTINCT r, unnest(range(s, s + 50)) AS p FROM repeated),
+words AS (SELECT r, ws[p] AS word, p FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM worded)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words w WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.r = w.r AND c.p = w.p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM worded LEFT JOIN kept USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_source_mix": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_substring_dedup": OP12_SQL}
