@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 #: Words of the report vocabulary (fixed values).
 SEVERITIES = ["致命", "严重", "一般", "提示"]
-CONCLUSIONS = ["维持", "待确认", "已被反驳"]
+#: What a reply may conclude, and the titles of the report's blocks in their order with the conclusion of each.
+CONCLUSIONS = ["维持", "反驳", "待确认"]
+BLOCKS = {"维持": "维持", "待确认": "待确认", "已被反驳": "反驳"}
+TITLES = list(BLOCKS)
 PENDING, NO_REASON, NO_ANSWER = "待确认", "（无结论）", "多次补问后仍无结论"
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import replies
 from corpusloom.functions import scalars as S
-from corpusloom.operators import gates, graph, intervals, plans, probe, relational
+from corpusloom.operators import gates, graph, intervals, matching, plans, probe, relational
 from corpusloom.sources.staging import staged
 from corpusloom.streaming import sessions
 
@@ -109,7 +110,7 @@ SELECT d.doc_id, d.source, coalesce(c, '待确认') AS conclusion FROM documents
 def q_left_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
     answers = _t(spark, sf_dir, "labels")
-    stand = F.when(F.col("quality") == 1, S.CONCLUSIONS[0]).otherwise(S.CONCLUSIONS[2])
+    stand = F.when(F.col("quality") == 1, S.TITLES[0]).otherwise(S.TITLES[2])
     return relational.concluded(docs, answers, ["doc_id"], stand, F.struct("quality", "toxic"))
 
 
@@ -183,12 +184,68 @@ def q_label_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderpriority AS priority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY GROUP BY 1""")
 def q_interval_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
-    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    near = items.join(orders, "o_orderkey").filter("l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAYS")
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("timestamp"))
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp"), "o_orderpriority")
+    items = items.select("o_orderkey", F.unix_micros("l_shipdate").alias("shipped"))
+    spans = orders.select("o_orderkey", F.unix_micros("o_orderdate").alias("first"), F.unix_micros(F.expr("o_orderdate + INTERVAL 60 DAYS")).alias("last"), "o_orderpriority")
+    # positions are microseconds; a stretch of a hundred days holds most spans whole
+    near = intervals.covering(items, spans, ["o_orderkey"], "shipped", "first", "last", stretch=100 * 86_400_000_000)
     return near.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
 
 
+_SIDES = """
+WITH items AS (SELECT l_orderkey, l_returnflag AS flag, l_linenumber AS line, floor(l_quantity / 13)::INT AS grade, l_suppkey || ':' || l_partkey AS id FROM lineitem),
+near AS (SELECT DISTINCT a.l_orderkey AS k, a.line AS a_line, a.id AS a, b.line AS b_line, b.id AS b FROM items a JOIN items b
+  ON a.l_orderkey = b.l_orderkey AND a.flag = 'N' AND b.flag = 'R' AND abs(a.line - b.line) <= 1 AND abs(a.grade - b.grade) <= 1),
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY a_line, a) - 1 AS i, dense_rank() OVER (PARTITION BY k ORDER BY b_line, b) - 1 AS j FROM near),
+"""
+#: Which rows of one side the largest matchings keep, earlier ones first: the rank of every prefix is the least, over
+#: its subsets, of the rows outside the subset and the rows near it.
+_KEPT = """
+{s}_near AS (SELECT k, {i} AS p, any_value({s}) AS id, bit_or(1::BIGINT << {j}::INT) AS seen FROM placed GROUP BY k, {i}),
+{s}_sizes AS (SELECT k, count(*) AS c FROM {s}_near GROUP BY k),
+{s}_masks AS (SELECT n.k, m, count(*) AS taken, bit_or(seen) AS seen FROM {s}_near n JOIN {s}_sizes USING (k), range(1, 1::BIGINT << c::INT) r(m) WHERE m & (1::BIGINT << p::INT) > 0 GROUP BY n.k, m),
+{s}_ranks AS (SELECT k, q, least(q, min(q - taken + bit_count(seen)) FILTER (m < 1::BIGINT << q::INT)) AS r FROM {s}_masks JOIN {s}_sizes USING (k), range(0, c + 1) g(q) GROUP BY k, q),
+{s}_kept AS (SELECT n.k, n.id FROM {s}_near n JOIN {s}_ranks a ON a.k = n.k AND a.q = n.p JOIN {s}_ranks b ON b.k = n.k AND b.q = n.p + 1 WHERE b.r > a.r)
+"""
+_MATCHED = _SIDES + _KEPT.format(s="a", i="i", j="j").strip() + ",\n" + _KEPT.format(s="b", i="j", j="i").strip()
+
+
+def _labelled_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, truths, decoys) of the order lines: a flag says which a line is, an order is a file."""
+    items = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_returnflag", F.concat(F.col("l_suppkey").cast("string"), F.lit(":"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_linenumber").alias("line"),
+        F.floor(F.col("l_quantity") / 13).cast("int").alias("grade"), F.col("l_linenumber").alias("order"),
+    )
+    places = lambda flag: items.filter(F.col("l_returnflag") == flag).drop("l_returnflag").withColumnRenamed("line", "first_line").withColumn("last_line", F.lit(None).cast("int"))
+    return items.filter("l_returnflag = 'N'").drop("l_returnflag"), places("R"), places("A")
+
+
+@_query(_MATCHED + """
+SELECT l_orderkey, CASE flag WHEN 'N' THEN 'finding' ELSE 'truth' END AS side, items.id, (a_kept.id IS NOT NULL OR b_kept.id IS NOT NULL) AS matched FROM items
+LEFT JOIN a_kept ON flag = 'N' AND a_kept.k = l_orderkey AND a_kept.id = items.id LEFT JOIN b_kept ON flag = 'R' AND b_kept.k = l_orderkey AND b_kept.id = items.id WHERE flag IN ('N', 'R')""")
+def q_label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, truths, _ = _labelled_items(spark, sf_dir)
+    pairs = matching.one_to_one(findings, truths, ["l_orderkey"], within=1)
+    # a pair gives two rows, one for each side
+    both = F.filter(F.array(F.struct(F.lit("finding").alias("side"), F.col("finding").alias("id")), F.struct(F.lit("truth").alias("side"), F.col("truth").alias("id"))), lambda x: x["id"].isNotNull())
+    return pairs.select("l_orderkey", F.inline(both), (F.col("finding").isNotNull() & F.col("truth").isNotNull()).alias("matched"))
+
+
+@_query(_MATCHED + """,
+judged AS (SELECT i.*, (flag = 'N' AND EXISTS (SELECT 1 FROM a_kept a WHERE a.k = l_orderkey AND a.id = i.id)) OR (flag = 'R' AND EXISTS (SELECT 1 FROM b_kept b WHERE b.k = l_orderkey AND b.id = i.id)) AS hit,
+  flag = 'A' AND EXISTS (SELECT 1 FROM items f WHERE f.flag = 'N' AND f.l_orderkey = i.l_orderkey AND abs(f.line - i.line) <= 1
+    AND NOT EXISTS (SELECT 1 FROM a_kept a WHERE a.k = f.l_orderkey AND a.id = f.id)) AS caught FROM items i),
+summed AS (SELECT grade, count(*) FILTER (flag = 'N') AS findings, count(*) FILTER (flag = 'N' AND hit) AS right_, count(*) FILTER (flag = 'R') AS truths, count(*) FILTER (flag = 'R' AND hit) AS found, 0 AS decoys, 0 AS decoys_hit FROM judged WHERE flag <> 'A' GROUP BY grade
+  UNION ALL SELECT NULL, count(*) FILTER (flag = 'N'), count(*) FILTER (flag = 'N' AND hit), count(*) FILTER (flag = 'R'), count(*) FILTER (flag = 'R' AND hit), count(*) FILTER (flag = 'A'), count(*) FILTER (caught) FROM judged)
+SELECT grade, findings, right_ AS "right", truths, found, decoys::BIGINT AS decoys, decoys_hit::BIGINT AS decoys_hit, right_ / nullif(findings, 0) AS precision, found / nullif(truths, 0) AS recall FROM summed""")
+def q_label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, truths, decoys = _labelled_items(spark, sf_dir)
+    pairs = staged(matching.one_to_one(findings, truths, ["l_orderkey"], within=1), "pairs")
+    hits = matching.decoy_hits(findings, decoys, pairs, ["l_orderkey"], ["l_orderkey"], within=1)
+    return matching.scores(findings, truths, pairs, ["l_orderkey"], hits)
+
+
 # --- windows --------------------------------------------------------------------------------------------------------
 
 _OWNERS = """
@@ -344,7 +401,7 @@ def q_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_REACH.format(module="c_nationkey") + _GROUPS + "SELECT module, label, string_agg(src, '、' ORDER BY src) AS members FROM mutual GROUP BY module, label")
 def q_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = graph.cycles(graph.closure(_calls(spark, sf_dir, "c_nationkey"), "module"), "module")
+    groups = graph.label_groups(graph.strong_labels(_calls(spark, sf_dir, "c_nationkey"), "module"), "module")
     return groups.withColumn("members", F.array_join("members", "、"))
 
 
@@ -445,7 +502,7 @@ WITH found AS (SELECT doc_id, CASE quality WHEN 1 THEN '维持' ELSE '已被反
 SELECT doc_id, conclusion, reason FROM found UNION ALL
 SELECT doc_id, '待确认', '多次补问后仍无结论' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def q_give_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stand = F.when(F.col("quality") == 1, S.CONCLUSIONS[0]).otherwise(S.CONCLUSIONS[2])
+    stand = F.when(F.col("quality") == 1, S.TITLES[0]).otherwise(S.TITLES[2])
     answers = _t(spark, sf_dir, "labels").select("doc_id", stand.alias("conclusion"), F.lit("标注").alias("reason"))
     return gates.give_up(_t(spark, sf_dir, "documents").select("doc_id"), answers, ["doc_id"])
 
@@ -547,6 +604,22 @@ def q_json_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.try_variant_get(S.extracted_variant(reply), "$.k", "bigint").alias("k"))
 
 
+@_query("""
+WITH sent AS (SELECT event_id, event_type, (props->>'$.k')::BIGINT AS k FROM events)
+SELECT event_id, CASE WHEN event_type IN ('click', 'signup') THEN k END AS k, CASE event_type WHEN 'view' THEN 'items[1].k' WHEN 'error' THEN 'items' WHEN 'purchase' THEN 'items[0].k' END AS path,
+  CASE event_type WHEN 'view' THEN '缺少字段' WHEN 'error' THEN '应为数组' WHEN 'purchase' THEN '应为整数' END AS reason FROM sent""")
+def q_reply_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # replies of the right type, as text, with a field missing, without a list, and with half a number
+    events = _t(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    k = F.regexp_extract("props", r"-?\d+", 0)
+    bodies = {"click": ('{"items": [', "props", "], }"), "signup": ('{"items": [{"k": "', k, '"}]}'), "view": ('{"items": [', "props", ', {"n": 1}]}'), "error": ('{"items": ', "props", "}"), "purchase": ('{"items": [{"k": ', k, ".5}]}")}
+    reply = F.lit(None).cast("string")
+    for kind, (before, middle, after) in bodies.items():
+        reply = F.when(F.col("event_type") == kind, F.concat(F.lit(before), middle, F.lit(after))).otherwise(reply)
+    told = replies.validated(events.select("event_id", reply.alias("reply")), "reply", "items array<struct<k:bigint>>")
+    return told.select("event_id", F.from_json("json", "items array<struct<k:bigint>>")["items"][0]["k"].alias("k"), "path", "reason")
+
+
 @_query("SELECT doc_id, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> ''))::INT AS n FROM documents")
 def q_csv_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(S.csv_items(F.col("text"))).alias("n"))

@@ -1,4 +1,4 @@
-"""Model calls as a batch operator: requests in, replies out, with retries inside the worker.
+"""Model calls as a batch operator: requests in, replies out, checked and retried inside the worker.
 
 Calls have side effects and cost money, so callers write the result before anything reads it twice; a lost executor
 repeats only the requests of its unfinished tasks.
@@ -7,12 +7,15 @@ repeats only the requests of its unfinished tasks.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Further attempts after a failed one, and seconds to wait before each, times its number.
+RETRIES, BACKOFF = 2, 3.0
+
 
 class ModelClient(Protocol):
     """Anything picklable that answers a prompt; ``schema`` names the expected reply."""
@@ -20,25 +23,32 @@ class ModelClient(Protocol):
     def ask(self, schema: str, prompt: str) -> str: ...
 
 
-def ask_model(requests: DataFrame, client: ModelClient, keys: list[str], retries: int = 2, backoff: float = 3.0) -> DataFrame:
-    """(keys, reply, error) of every request (keys, schema, prompt): a failed one has a null reply and the last error."""
+def ask_model(
+    requests: DataFrame, client: ModelClient, keys: list[str], retries: int = RETRIES, backoff: float = BACKOFF, check: Callable[[str, str], str] | None = None
+) -> DataFrame:
+    """(keys, reply, json, error, attempts) of every request (keys, schema, prompt).
+
+    ``check(schema, reply)`` returns the reply's JSON or raises ValueError; then the model is asked again, as after a
+    lost connection. ``reply`` is the last text that came (null if none did), ``json`` what the check returned (the
+    reply without a check), null where every attempt failed, and ``error`` says why the last one did.
+    """
+
+    def one(schema: str, prompt: str) -> tuple[str | None, str | None, str | None, int]:
+        reply = error = None
+        for attempt in range(1, retries + 2):
+            try:
+                reply = client.ask(schema, prompt)
+                return reply, check(schema, reply) if check else reply, None, attempt
+            except (TimeoutError, ConnectionError, ValueError) as e:
+                error = f"{type(e).__name__}: {e}"
+                if attempt <= retries:
+                    time.sleep(backoff * attempt)
+        return reply, None, error, retries + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            replies, errors = [], []
-            for schema, prompt in zip(pdf["schema"], pdf["prompt"], strict=True):
-                reply, error = None, None
-                for attempt in range(retries + 1):
-                    try:
-                        reply, error = client.ask(schema, prompt), None
-                        break
-                    except (TimeoutError, ConnectionError, ValueError) as e:
-                        error = f"{type(e).__name__}: {e}"
-                        if attempt < retries:
-                            time.sleep(backoff * (attempt + 1))
-                replies.append(reply)
-                errors.append(error)
-            yield pdf[keys].assign(reply=replies, error=errors)
+            told = [one(s, p) for s, p in zip(pdf["schema"], pdf["prompt"], strict=True)]
+            yield pdf[keys].assign(**{n: pd.Series([t[i] for t in told], index=pdf.index, dtype=object) for i, n in enumerate(("reply", "json", "error"))}, attempts=[t[3] for t in told])
 
     types = dict(requests.dtypes)
-    return requests.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", reply string, error string")
+    return requests.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", reply string, json string, error string, attempts int")

@@ -1,8 +1,10 @@
 """Gated model review of source modules: plan, ask, gate, gather evidence, rebut, re-ask what is unanswered, report.
 
 All modules advance together as rows; rounds are a bounded driver loop over DataFrames, each written once in the
-shared folder. Nothing disappears: failed modules end in ``failed``, chunks without a reply in ``incomplete``, plans
-that stay out of bounds in ``plans``, unanswered findings as pending.
+shared folder. Replies are checked against their types
+where they are asked for, and asked again where they do not fit. Nothing disappears: failed modules end in ``failed``,
+chunks without a reply in ``incomplete`` and ``failed``, plans that stay out of bounds in ``plans``, unanswered findings
+as pending.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions import replies as replies_of
 from corpusloom.functions import scalars as S
-from corpusloom.jobs.model import ModelClient, ask_model
-from corpusloom.operators import gates, graph, intervals, lexer, probe, relational, symbols
+from corpusloom.jobs.model import BACKOFF, ModelClient, ask_model
+from corpusloom.operators import gates, graph, intervals, lexer, probe, relational, search, symbols
 from corpusloom.operators import plans as plans_of
 from corpusloom.sources import files as sources
 from corpusloom.sources.staging import staged
 
-FINDINGS = "findings array<struct<file:string,line:string,severity:string,description:string,evidence:string,suggestion:string>>"
+FINDINGS = "findings array<struct<file:string,line:bigint,severity:string,description:string,evidence:string,suggestion:string>>"
 REBUTTALS = "items array<struct<id:string,conclusion:string,reason:string>>, queries array<struct<kind:string,target:string>>"
 PLAN = "patterns array<string>, summary string, strategy string, chunks array<struct<name:string,purpose:string,functions:array<string>>>"
 #: Modules with more lines than this are planned into chunks first; rounds of redoing a plan, of asking for missing
@@ -30,9 +33,9 @@ LARGE_LINES, PLAN_REDOS, RE_ASKS, PROBE_ROUNDS = 2000, 2, 2, 2
 #: Headings and labels of the report (fixed values).
 TITLE, SUMMARY, OVERVIEW, CUT = " 检视报告", "## 摘要", "## 概况", "## 分解"
 MODULE, FILES, SIZE = "- 模块：", "- 文件：", "- 规模："
-PLACE, FIX = "- 位置：", "- 建议："
+PLACE, FIX, VERDICT, EVIDENCE, TOTAL = "- 位置：", "- 修复方案：", "反驳结论：", "证据：", "- 检视意见："
 FORM, NO_FORM, JUDGEMENT, STRATEGY, PARTS, UNFINISHED = "形态", "无明显形态", "判断", "分解策略", "子块", "**未完成的子块**"
-TRUNCATED = "（已截断）"
+TRUNCATED, OPEN = "（已截断）", "子块未完成检视: "
 
 
 @dataclass
@@ -40,7 +43,7 @@ class Review:
     """Tables of one run.
 
     inventory (module_id, module, files, lines, chars, estimated_tokens); findings with ids; conclusions, one per
-    finding; failed (module_id, reason); incomplete (module_id, chunk_no, chunk, error); plans (module_id, patterns,
+    finding; failed (module_id, reason), without a report or, where only chunks stayed open, with one; incomplete (module_id, chunk_no, chunk, error); plans (module_id, patterns,
     summary, strategy, violations, unknown); chunks, one row per range of lines; evidence (module_id, round, n, kind,
     target, result, truncated); raw, every reply (module_id, stage, turn, chunk_no, reply, error); judged, every
     rebuttal item with its verdict; report texts.
@@ -59,11 +62,10 @@ class Review:
     report: DataFrame
 
 
-def _parsed(replies: DataFrame, schema: str) -> DataFrame:
-    """``replies`` plus ``parsed``; a reply without JSON in it sets ``error``."""
-    text = S.extracted_json(F.col("reply"))
-    error = F.coalesce("error", F.when(text.isNull(), F.lit("回复中没有可解析的 JSON")))
-    return replies.withColumns({"parsed": F.from_json(text, schema), "error": error})
+def _asked(requests: DataFrame, client: ModelClient, keys: list[str], schema: str, backoff: float) -> DataFrame:
+    """Checked replies plus ``parsed``, null where ``error`` is set."""
+    check = replies_of.checker({"findings": FINDINGS, "rebuttals": REBUTTALS, "plan": PLAN})
+    return ask_model(requests, client, keys, backoff=backoff, check=check).withColumn("parsed", F.from_json("json", schema))
 
 
 def _raw(replies: DataFrame, stage: str, turn: int) -> DataFrame:
@@ -99,7 +101,7 @@ class _Planned:
     raw: list[DataFrame]
 
 
-def plan_chunks(client: ModelClient, lexed: DataFrame, lines: DataFrame, large: DataFrame, cycles: DataFrame, digests: DataFrame, limit: int) -> _Planned:
+def plan_chunks(client: ModelClient, lexed: DataFrame, lines: DataFrame, large: DataFrame, cycles: DataFrame, digests: DataFrame, limit: int, backoff: float = BACKOFF) -> _Planned:
     """Plans of large modules; those out of bounds go back to the model with what is wrong, ``PLAN_REDOS`` times."""
     functions = staged(symbols.functions(lexed).join(large.select("module_id"), "module_id", "left_semi"), "functions")
     todo = large.select("module_id", "lines", F.lit("").alias("feedback"))
@@ -110,7 +112,7 @@ def plan_chunks(client: ModelClient, lexed: DataFrame, lines: DataFrame, large:
             F.when(F.col("feedback") != "", F.concat(F.lit("\n上一版方案的问题：\n"), "feedback")).otherwise(F.lit("")),
         )
         asked = todo.join(digests, "module_id").select("module_id", F.lit("plan").alias("schema"), prompt.alias("prompt"))
-        replies = staged(_parsed(ask_model(asked, client, ["module_id"]), PLAN), "plans")
+        replies = staged(_asked(asked, client, ["module_id"], PLAN, backoff), "plans")
         raw.append(_raw(replies, "plan", turn))
         failed.append(replies.filter("error IS NOT NULL").select("module_id", F.col("error").alias("reason")))
         good = replies.filter("error IS NULL")
@@ -180,7 +182,7 @@ def _inputs(spark: SparkSession, root: str, inventory: DataFrame | None, modules
 
 def review(
     spark: SparkSession, root: str, client: ModelClient, large_lines: int = LARGE_LINES, re_asks: int = RE_ASKS,
-    inventory: DataFrame | None = None, modules: list[str] | None = None,
+    inventory: DataFrame | None = None, modules: list[str] | None = None, backoff: float = BACKOFF,
 ) -> Review:
     """Review the modules below ``root``: all of them, those of a stored ``inventory``, or the listed ``modules``."""
     inventory, files = _inputs(spark, root, inventory, modules)
@@ -190,7 +192,7 @@ def review(
     large, small = inventory.filter(F.col("lines") > large_lines), inventory.filter(F.col("lines") <= large_lines)
     cycles = staged(graph.module_cycles(edges.select("module_id", "src", "dst").join(large, "module_id", "left_semi"), "module_id"), "cycles")
     digests = staged(symbols.digests(large.select("module_id"), lexed, edges, cycles), "digests")
-    planned = plan_chunks(client, lexed, lines, large, cycles, digests, large_lines)
+    planned = plan_chunks(client, lexed, lines, large, cycles, digests, large_lines, backoff)
     chunks, raw = planned.chunks, planned.raw
 
     background = symbols.backgrounds(lexed)
@@ -200,7 +202,7 @@ def review(
     parts = parts.select("module_id", "chunk_no", F.format_string(" 的子块「%s」", "chunk").alias("title"), chunk_background().alias("background"), "source")
     prompt = F.concat(F.lit("审查模块 "), "module_id", "title", F.lit("\n背景：\n"), "background", F.lit("\n代码：\n"), "source")
     asked = whole.unionByName(parts).select("module_id", "chunk_no", F.lit("findings").alias("schema"), prompt.alias("prompt"))
-    replies = staged(_parsed(ask_model(asked, client, ["module_id", "chunk_no"]), FINDINGS), "replies")
+    replies = staged(_asked(asked, client, ["module_id", "chunk_no"], FINDINGS, backoff), "replies")
     raw.append(_raw(replies, "findings", 0))
     # a small module fails with its one reply; of a large one the other chunks' findings stay
     silent = replies.filter("error IS NOT NULL")
@@ -211,11 +213,13 @@ def review(
     arrival = F.row_number().over(W.partitionBy("module_id").orderBy("chunk_no", "pos"))
     numbered = staged(found.withColumn("no", arrival).drop("chunk_no", "pos"), "numbered")
     sound, rejected = gates.all_or_nothing(numbered, "module_id", "no", gates.finding_problem())
-    failed = staged(rejected.unionByName(unanswered).groupBy("module_id").agg(F.min("reason").alias("reason")), "failed")
-    findings = sound.join(failed, "module_id", "left_anti").withColumns({"id": F.concat(F.lit("f"), F.col("no").cast("string")), "line": F.expr("try_cast(line AS bigint)")})
+    stopped = staged(rejected.unionByName(unanswered).groupBy("module_id").agg(F.min("reason").alias("reason")), "stopped")
+    findings = sound.join(stopped, "module_id", "left_anti").withColumn("id", F.concat(F.lit("f"), F.col("no").cast("string")))
     findings = staged(findings, "findings")
 
-    tables = {"edges": edges, "lines": lines, "functions": symbols.functions(lexed)}
+    # only large modules ask for evidence; their lines are indexed once for all rounds
+    asked_lines = lines.join(large.select("module_id"), "module_id", "left_semi")
+    tables = {"edges": edges, "lines": asked_lines, "functions": symbols.functions(lexed), "postings": staged(search.postings(asked_lines), "postings")}
     context = code.select("module_id", F.col("source").alias("context"), F.lit(False).alias("large")).unionByName(
         digests.select("module_id", F.col("overview").alias("context"), F.lit(True).alias("large"))
     )
@@ -235,7 +239,7 @@ def review(
         told = F.concat(F.lit("\n证据：\n"), F.coalesce("evidence", F.lit("（还没有取过证据）")), F.lit(f"\n{label}"))
         prompt = F.concat(F.lit("复核模块 "), "module_id", F.lit("\n"), "digest", F.when(F.col("large"), F.lit("\n概览：\n")).otherwise(F.lit("\n代码：\n")), "context", F.when(F.col("large"), told).otherwise(F.lit("")))
         rows = finding_lines(pending).join(context, "module_id").join(evidence_digest(shown), "module_id", "left")
-        got = staged(_parsed(ask_model(rows.select("module_id", "large", F.lit("rebuttals").alias("schema"), prompt.alias("prompt")), client, ["module_id", "large"]), REBUTTALS), "rebuttals")
+        got = staged(_asked(rows.select("module_id", "large", F.lit("rebuttals").alias("schema"), prompt.alias("prompt")), client, ["module_id", "large"], REBUTTALS, backoff), "rebuttals")
         raw.append(_raw(got, "rebuttals", turn))
         items = got.select("module_id", F.posexplode("parsed.items").alias("pos", "i")).select("module_id", "pos", "i.*")
         open_ids = pending.select("module_id", "id", F.lit(True).alias("open"))
@@ -251,7 +255,10 @@ def review(
                 result = probe.evidence(probe.dispatch(queries, tables))
                 shown = staged(shown.unionByName(result.select("module_id", F.lit(turn + 1).alias("round"), "n", "kind", "target", "result", "truncated")), "evidence")
     conclusions = staged(gates.give_up(findings, answers, ["module_id", "id"]), "conclusions")
-    report = reports(inventory, findings, conclusions, failed, chunks, planned.plans, incomplete)
+    # a module with an open chunk has its report and counts as failed all the same
+    unfinished = gates.unfinished(incomplete, "module_id", F.col("chunk_no"), F.col("chunk"), F.col("error")).join(stopped, "module_id", "left_anti")
+    failed = staged(stopped.unionByName(unfinished.select("module_id", F.concat(F.lit(OPEN), "unfinished").alias("reason"))), "failed")
+    report = reports(inventory, findings, conclusions, stopped, chunks, planned.plans, incomplete)
     return Review(inventory, findings, conclusions, failed, incomplete, planned.plans, chunks, shown, _all(raw), judged, report)
 
 
@@ -280,28 +287,30 @@ def _decomposition(chunks: DataFrame, plans: DataFrame, incomplete: DataFrame) -
     ).alias("text"))
 
 
-def reports(inventory: DataFrame, findings: DataFrame, conclusions: DataFrame, failed: DataFrame, chunks: DataFrame, plans: DataFrame, incomplete: DataFrame) -> DataFrame:
-    """(module_id, report): summary, overview, decomposition of large modules, then one block per finding by conclusion,
-    severity (worst first) and arrival. Failed modules have none."""
+def reports(inventory: DataFrame, findings: DataFrame, conclusions: DataFrame, stopped: DataFrame, chunks: DataFrame, plans: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """(module_id, report): summary, overview, decomposition of large modules, then one block with heading and count for
+    each conclusion that occurs, its findings by severity (worst first) and arrival. ``stopped`` modules have none."""
     rows = findings.join(conclusions, ["module_id", "id"])
-    order = F.struct(S.ranked(F.col("conclusion"), S.CONCLUSIONS).alias("a"), S.ranked(F.col("severity"), S.SEVERITIES).alias("b"), F.col("no").alias("c"))
-    block = F.concat(
-        F.lit("### "), "id", F.lit(" ["), "severity", F.lit("] "), "conclusion", F.lit(f"\n\n{PLACE}"), S.source_link("..", F.col("file"), F.col("line")), F.lit("\n- 描述："), "description",
-        F.lit(f"\n{FIX}"), "suggestion", F.lit("\n- 理由："), "reason", F.lit("\n\n"), S.indented(F.col("evidence")),
+    order = F.struct(S.ranked(F.col("severity"), S.SEVERITIES).alias("a"), F.col("no").alias("b"))
+    section = F.concat(
+        F.lit("### "), "id", F.lit(" ["), "severity", F.lit("] "), "description", F.lit(f"\n\n{PLACE}"), S.source_link("..", F.col("file"), F.col("line")), F.lit(f"\n{FIX}"), "suggestion",
+        F.lit(f"\n\n{VERDICT}**"), "conclusion", F.lit("** —— "), "reason", F.lit(f"\n\n{EVIDENCE}\n\n"), S.indented(F.col("evidence")),
     )
-    counts = [F.count_if(F.col("conclusion") == c) for c in S.CONCLUSIONS]
+    counts = {title: F.count_if(F.col("conclusion") == c) for title, c in S.BLOCKS.items()}
+    blocks = [F.concat(F.format_string(f"## {title}（%d 条）\n\n", counts[title]), _ordered(order, F.when(F.col("conclusion") == c, section), "\n\n")) for title, c in S.BLOCKS.items()]
     grades = [F.count_if(F.col("severity") == s) for s in S.SEVERITIES]
     urgent = F.col("severity").isin(S.SEVERITIES[:2]) & (F.col("conclusion") == S.CONCLUSIONS[0])
     per = rows.groupBy("module_id").agg(
-        F.count("*").alias("n"), F.concat_ws("、", *[F.concat(F.lit(f"{c} "), n.cast("string")) for c, n in zip(S.CONCLUSIONS, counts, strict=True)]).alias("by_conclusion"),
-        F.concat_ws("、", *[F.when(n > 0, F.concat(F.lit(f"{s} "), n.cast("string"))) for s, n in zip(S.SEVERITIES, grades, strict=True)]).alias("by_severity"),
-        _ordered(F.col("no"), F.when(urgent, F.col("id")), "、").alias("urgent"), _ordered(order, block, "\n\n").alias("blocks"),
+        F.count("*").alias("n"), F.concat_ws("、", *[F.format_string(f"{title} %d", n) for title, n in counts.items()]).alias("by_conclusion"),
+        F.concat_ws("、", *[F.when(n > 0, F.format_string(f"{s} %d", n)) for s, n in zip(S.SEVERITIES, grades, strict=True)]).alias("by_severity"),
+        _ordered(F.col("no"), F.when(urgent, F.col("id")), "、").alias("urgent"), F.concat_ws("\n\n", *[F.when(counts[t] > 0, b) for t, b in zip(S.TITLES, blocks, strict=True)]).alias("blocks"),
     )
-    whole = inventory.join(failed, "module_id", "left_anti").join(per, "module_id", "left").join(_decomposition(chunks, plans, incomplete), "module_id", "left")
+    whole = inventory.join(stopped, "module_id", "left_anti").join(per, "module_id", "left").join(_decomposition(chunks, plans, incomplete), "module_id", "left")
     summary = F.when(F.col("n").isNull(), F.lit("没有发现需要报告的问题。")).otherwise(F.concat(
         F.format_string("共 %d 条意见：%s；等级：%s。", "n", "by_conclusion", "by_severity"), F.when(F.col("urgent") != "", F.concat(F.lit("请先处理 "), "urgent", F.lit("。"))).otherwise(F.lit("")),
     ))
     overview = F.concat(
         F.lit(f"{OVERVIEW}\n\n{MODULE}"), "module_id", F.lit("（"), "module", F.lit(f"）\n{FILES}"), F.array_join("files", "、"), F.format_string(f"\n{SIZE}%d 行 / %d 字符 / 约 %d Token", "lines", "chars", "estimated_tokens"),
+        F.lit(f"\n{TOTAL}"), F.when(F.col("n").isNotNull(), F.format_string("%d 条（%s）", "n", "by_conclusion")).otherwise(F.lit("0 条（" + "、".join(f"{t} 0" for t in S.TITLES) + "）")),
     )
     return whole.select("module_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "module_id", F.lit(TITLE)), F.lit(SUMMARY), summary, overview, "text", "blocks").alias("report"))

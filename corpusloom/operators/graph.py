@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.sources.staging import staged
 
+#: Edges of a class that one task solves whole: some 20 MB of Python.
+IN_TASK = 50_000
+
 
 def closure(edges: DataFrame, module: str) -> DataFrame:
     """Every (module, src, dst) with a path from src to dst, by doubling path lengths until nothing is new.
@@ -34,24 +41,110 @@ def cycles(reach: DataFrame, module: str) -> DataFrame:
     return label.groupBy(module, "label").agg(F.sort_array(F.collect_list("src")).alias("members")).select(module, "label", "members")
 
 
-def module_cycles(edges: DataFrame, module: str) -> DataFrame:
-    """(module, group_no, members): the same groups, each module's small graph solved in one task.
+def strong_labels(edges: DataFrame, module: str, in_task: int = IN_TASK) -> DataFrame:
+    """(module, node, label) of every node on a cycle; ``label`` is the smallest node of its cyclic group.
 
-    For call graphs of some hundred functions; use ``closure`` and ``cycles`` where one module is large.
+    Classes of edges that no group crosses (at first the modules) are solved whole inside tasks, many to a task, while
+    they have at most ``in_task`` edges. Larger ones are coloured: every node takes the least of a random order among
+    all nodes that reach it, the nodes of a colour that reach its root are the root's group, and what is left falls into
+    smaller classes, one for each colour. A round is one join with the edges, so work is linear in them; rounds grow with
+    the longest shortest path of a large class. Nulls in an edge make it none.
     """
+    known = edges.select(F.col(module).alias("_m"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).dropna().distinct()
+    known = staged(known, "edges")
+    loops = known.filter("src = dst").select("_m", F.col("src").alias("node"))
+    rest = known.filter("src <> dst").select("_m", F.lit("").alias("cls"), "src", "dst")
+    found: list[DataFrame] = []
+    while True:
+        rest = staged(rest, "classes")
+        sized = rest.groupBy("_m", "cls").agg(F.count("*").alias("n"))
+        large = staged(sized.filter(F.col("n") > in_task).select("_m", "cls"), "large")
+        found.append(_solved_in_tasks(rest.join(large, ["_m", "cls"], "left_anti")))
+        if large.isEmpty():
+            break
+        big = staged(_trimmed(rest.join(large, ["_m", "cls"], "left_semi")), "big")
+        labels, rest = _coloured(big)
+        found.append(labels)
+    grouped = reduce(DataFrame.unionByName, found)
+    alone = loops.join(grouped.select("_m", "node"), ["_m", "node"], "left_anti").select("_m", "node", F.col("node").alias("label"))
+    return staged(grouped.unionByName(alone), "labels").withColumnRenamed("_m", module)
+
+
+def _trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges without those that begin at a node nothing leads to or end at one that leads nowhere, a few layers deep."""
+    key = ["_m", "cls"]
+    for _ in range(rounds):
+        edges = staged(edges, "trim")
+        reached, leading = edges.select(*key, F.col("dst").alias("src")).distinct(), edges.select(*key, F.col("src").alias("dst")).distinct()
+        edges = edges.join(reached, [*key, "src"], "left_semi").join(leading, [*key, "dst"], "left_semi")
+    return edges.select(*key, "src", "dst")
+
+
+def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels, edges left) of one round of colouring of (_m, cls, src, dst)."""
+    key = ["_m", "cls"]
+    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"))
+    nodes = edges.select(*key, F.col("src").alias("node")).union(edges.select(*key, F.col("dst").alias("node"))).distinct()
+    colours = staged(nodes.select(*key, "node", own.alias("colour"), F.lit(True).alias("new")), "colours")
+    while True:
+        step = colours.filter("new").select(*key, F.col("node").alias("src"), F.col("colour").alias("from")).join(edges, [*key, "src"]).groupBy(*key, F.col("dst").alias("node")).agg(F.min("from").alias("from"))
+        better = F.col("from").isNotNull() & (F.col("from") < F.col("colour"))
+        colours = staged(colours.join(step, [*key, "node"], "left").select(*key, "node", F.when(better, F.col("from")).otherwise(F.col("colour")).alias("colour"), better.alias("new")), "colours")
+        if colours.filter("new").isEmpty():
+            break
+    of = colours.select(*key, "node", F.col("colour.v").alias("colour"))
+    ends = [of.select(*key, F.col("node").alias(n), F.col("colour").alias(f"c_{n}")) for n in ("src", "dst")]
+    inside = staged(edges.join(ends[0], [*key, "src"]).join(ends[1], [*key, "dst"]).filter("c_src = c_dst").select(*key, F.col("c_src").alias("colour"), "src", "dst"), "inside")
+    # backwards from the root of every colour, inside it
+    front = staged(of.filter("node = colour").select(*key, "colour", "node"), "roots")
+    marked = front
+    while True:
+        back = front.select(*key, "colour", F.col("node").alias("dst")).join(inside, [*key, "colour", "dst"]).select(*key, "colour", F.col("src").alias("node")).distinct()
+        front = staged(back.join(marked, [*key, "colour", "node"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        marked = staged(marked.unionByName(front), "marked")
+    group = [*key, "colour"]
+    least = marked.groupBy(*group).agg(F.min("node").alias("label"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    labels = staged(marked.join(least, group).select("_m", "node", "label"), "labels")
+    gone = [marked.select(*group, F.col("node").alias(n)) for n in ("src", "dst")]
+    left = inside.join(gone[0], [*group, "src"], "left_anti").join(gone[1], [*group, "dst"], "left_anti")
+    return labels, left.select("_m", F.col("colour").alias("cls"), "src", "dst")
+
+
+def _solved_in_tasks(edges: DataFrame) -> DataFrame:
+    """Labels of classes that are small enough: sorted by class, and solved one after the other as a stream."""
+    kind = dict(edges.dtypes)["_m"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, near = None, {}
+
+        def solved() -> list[tuple]:
+            return [(key[0], node, group[0]) for group in _strong(near) for node in group]
+
+        for pdf in batches:
+            done: list[tuple] = []
+            for m, cls, s, d in zip(pdf["_m"], pdf["cls"], pdf["src"], pdf["dst"], strict=True):
+                if (m, cls) != key:
+                    done += solved()
+                    key, near = (m, cls), {}
+                near.setdefault(s, []).append(d)
+            yield pd.DataFrame(done, columns=["_m", "node", "label"], dtype=object)
+        yield pd.DataFrame(solved(), columns=["_m", "node", "label"], dtype=object)
+
+    return edges.repartition("_m", "cls").sortWithinPartitions("_m", "cls", "src", "dst").mapInPandas(run, f"_m {kind}, node string, label string")
+
+
+def label_groups(labels: DataFrame, module: str) -> DataFrame:
+    """(module, label, members) of ``strong_labels``, members sorted."""
+    return labels.groupBy(module, "label").agg(F.sort_array(F.collect_list("node")).alias("members"))
+
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph: dict[str, list[str]] = {}
-        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
-            graph.setdefault(s, []).append(d)
-        groups = sorted(_strong(graph))
-        return pd.DataFrame({
-            module: pd.Series([pdf[module].iloc[0]] * len(groups), dtype=pdf[module].dtype),
-            "group_no": pd.Series(range(1, len(groups) + 1), dtype="int32"), "members": pd.Series(groups, dtype=object),
-        })
-
-    kind = dict(edges.dtypes)[module]
-    return edges.groupBy(module).applyInPandas(solve, f"{module} {kind}, group_no int, members array<string>")
+def module_cycles(edges: DataFrame, module: str, in_task: int = IN_TASK) -> DataFrame:
+    """(module, group_no, members): cyclic groups of every module, numbered by their smallest member."""
+    groups = label_groups(strong_labels(edges, module, in_task), module)
+    number = F.row_number().over(W.partitionBy(module).orderBy("label"))
+    return groups.select(module, number.alias("group_no"), "members")
 
 
 def _strong(graph: dict[str, list[str]]) -> list[list[str]]:

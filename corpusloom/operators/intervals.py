@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,6 +72,64 @@ def context(text: Column, pattern: str, following: int = 9, width: int = 240) ->
     return F.element_at(F.transform(F.array(S.lines(text)), found), 1)
 
 
+def covering(points: DataFrame, spans: DataFrame, on: list[str], position: str, start: str, end: str, stretch: int = 1 << 20) -> DataFrame:
+    """Every point with every span of its key that covers it: columns of ``points``, then those of ``spans`` but ``on``.
+
+    Keys are cut into stretches of ``stretch`` positions, so a key of any length spreads; a span is one row for each
+    stretch that it touches, whatever its length, and is never taken apart into positions. Points and spans of a stretch
+    are sorted together by Spark and read once: a batch joins its points to the spans that began in it or are still open,
+    and only open spans are held. Spans may overlap; nulls and spans that end before they start cover nothing.
+    """
+    clash = set(points.columns) & (set(spans.columns) - set(on))
+    if clash:
+        raise ValueError(f"columns of both sides: {sorted(clash)}")
+    others = [c for c in spans.columns if c not in on]
+    keys = [f"_key{i}" for i in range(len(on))]
+    keyed = [F.col(c).alias(k) for c, k in zip(on, keys, strict=True)]
+    whole = lambda c: F.col(c).cast("long")
+    given = F.lit(True)
+    for c in on:
+        given = given & F.col(c).isNotNull()
+    p = points.filter(given & F.col(position).isNotNull()).select(*keyed, F.floor(whole(position) / stretch).alias("_stretch"), whole(position).alias("_at"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_point"))
+    touched = F.sequence(F.floor(whole(start) / stretch), F.floor(whole(end) / stretch))
+    s = spans.filter(given & (F.col(start) <= F.col(end))).select(*keyed, F.explode(touched).alias("_stretch"), whole(start).alias("_at"), F.lit(0).alias("_side"), whole(end).alias("_end"), F.struct(*others).alias("_span"))
+    rows = p.unionByName(s, allowMissingColumns=True).repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_at", "_side")
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = type(rows.schema)([fields["_point"], fields["_span"]])
+    return rows.mapInArrow(lambda batches: _met(batches, [*keys, "_stretch"]), schema).select("_point.*", "_span.*")
+
+
+def _met(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Points with the spans around them, from rows sorted by ``keys``, position and side."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch], schema=held.schema)])
+        rows = rows.combine_chunks()
+        if not rows.num_rows:
+            continue
+        changed = np.zeros(rows.num_rows, dtype=bool)
+        for k in keys:
+            column = rows.column(k)
+            changed[1:] |= pa.compute.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
+        group = np.cumsum(changed)
+        at, end = rows.column("_at").to_numpy(), pa.compute.fill_null(rows.column("_end"), 0).to_numpy()
+        is_span = rows.column("_side").to_numpy() == 0
+        spans, points = np.flatnonzero(is_span), np.flatnonzero(~is_span)
+        # positions as ranks, so that (group, position) is one integer; held spans come first and are out of order
+        places = np.unique(np.concatenate([at, end]))
+        code = lambda g, v: g * (len(places) + 1) + np.searchsorted(places, v)
+        line = code(group[points], at[points])
+        first = np.searchsorted(line, code(group[spans], at[spans]), side="left")
+        count = np.maximum(np.searchsorted(line, code(group[spans], end[spans]), side="right") - first, 0)
+        of_span = np.repeat(spans, count)
+        of_point = points[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())] if len(points) else of_span[:0]
+        for k in range(0, len(of_point), 10_000):
+            part = slice(k, k + 10_000)
+            yield pa.record_batch({"_point": rows.column("_point").take(pa.array(of_point[part])).combine_chunks(), "_span": rows.column("_span").take(pa.array(of_span[part])).combine_chunks()})
+        open_ = spans[(group[spans] == group[-1]) & (end[spans] >= at[-1])]
+        held = rows.take(pa.array(open_))
+
+
 def owned_lines(functions: DataFrame, lines: DataFrame, claims: DataFrame) -> DataFrame:
     """Chunk of every line of a module's file, as ranges (module_id, chunk_no, file, start, end).
 

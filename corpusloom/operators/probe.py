@@ -10,19 +10,22 @@ import re
 from functools import lru_cache, reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from corpusloom.operators import relational
+from corpusloom.operators import intervals, relational, search
 
 #: Texts of the report language and limits (fixed values).
-NO_HIT, UNSUPPORTED, BAD_PATTERN = "（没有命中）", "不支持的取证类型：", "检索模式不合法："
+NO_HIT, UNSUPPORTED, BAD_PATTERN, TOO_SLOW = "（没有命中）", "不支持的取证类型：", "检索模式不合法：", "检索超时："
 CALLS, IN_FUNCTION, END = " 调用 ", "（函数 ", "）  "
 MAX_QUERIES, MAX_HITS, MAX_CHARS = 12, 20, 8000
 #: Characters kept of one line by kind, and lines that show a definition.
 SEARCH_CHARS, MACRO_CHARS, DEFINITION_CHARS, DEFINITION_LINES = 160, 200, 240, 10
+#: Seconds that a pattern may take on one line; patterns come from a model and may backtrack without end.
+PATTERN_SECONDS = 1.0
 
 #: Which table each kind reads.
 NEEDS = {"callers": "edges", "callees": "edges", "source": "functions", "accessors": "lines", "definition": "lines", "search": "lines", "macro": "lines"}
@@ -45,10 +48,22 @@ def is_pattern(pattern: pd.Series) -> pd.Series:
     return pattern.map(lambda p: p is not None and _compiled(p) is not None)
 
 
-@F.pandas_udf(BooleanType())
-def has_match(line: pd.Series, pattern: pd.Series) -> pd.Series:
-    """Whether a line holds a match; patterns come from a model, so a bad one must not end the job."""
-    return pd.Series([(c := _compiled(p)) is not None and c.search(t or "") is not None for t, p in zip(line, pattern, strict=True)], dtype=bool)
+@lru_cache(maxsize=256)
+def _stoppable(pattern: str) -> regex.Pattern | None:
+    try:
+        return regex.compile(pattern, regex.V0)
+    except regex.error:
+        return None
+
+
+def has_match(line: str | None, pattern: str) -> bool:
+    """Whether a line holds a match; no pattern matches nothing, one that takes too long raises TimeoutError."""
+    if _compiled(pattern) is None:
+        return False
+    stoppable = _stoppable(pattern)
+    if stoppable is None:  # known to the standard library only
+        return _compiled(pattern).search(line or "") is not None
+    return stoppable.search(line or "", timeout=PATTERN_SECONDS) is not None
 
 
 def limited(asked: DataFrame, queries: int = MAX_QUERIES) -> DataFrame:
@@ -74,21 +89,24 @@ def _quoted(name: str) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(F.col(name), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def _line_hits(asked: DataFrame, lines: DataFrame, functions: DataFrame | None) -> DataFrame:
-    """Search, macro, accessors and definition: the lines meet the queries of their own module only, in the JVM but for
-    search patterns."""
+def _line_hits(asked: DataFrame, lines: DataFrame, functions: DataFrame | None, index: DataFrame | None, most: int) -> DataFrame:
+    """Search, macro, accessors and definition: queries meet the lines that the index names, in the JVM but for search
+    patterns, which stop at ``most`` hits."""
     name = _quoted("target")
     word = F.concat(F.lit(r"\b"), name, F.lit(r"\b"))
     macro = F.concat(F.lit(r"^\s*#\s*define\s+"), name, F.lit(r"\b"))
     definition = F.concat(F.lit(r"\b(?:typedef|struct|union|enum)\b.*"), word, F.lit(r"|^\s*\}?\s*"), name, F.lit(r"\s*;"))
     pattern = F.when(F.col("kind") == "macro", macro).when(F.col("kind") == "definition", definition).when(F.col("kind") == "accessors", word)
     body = lines.select("module_id", "file", F.col("line_no").cast("long").alias("line"), F.col("line").alias("text"))
-    met = body.join(asked.withColumn("pattern", pattern), "module_id")
-    plain = met.filter("kind <> 'search'").filter(F.regexp("text", F.col("pattern")))
-    found = plain.unionByName(met.filter("kind = 'search'").filter(has_match("text", "target"))).drop("pattern")
+    wanted = asked.withColumn("pattern", pattern).withColumn("grams", search.needed_grams("kind", "target"))
+    met = search.candidates(wanted, KEY, search.postings(lines) if index is None else index, lines).withColumnsRenamed({"line": "text", "line_no": "line"})
+    plain = met.filter("kind <> 'search'").filter(F.regexp("text", F.col("pattern"))).withColumn("gave_up", F.lit(False))
+    searched = search.first_hits(met.filter("kind = 'search'"), KEY, ["file", "line"], has_match, ["text", "target"], most)
+    found = plain.unionByName(searched).drop("pattern")
     at = F.concat("file", F.lit(":"), F.col("line").cast("string"))
     chars = F.when(F.col("kind") == "macro", MACRO_CHARS).otherwise(SEARCH_CHARS)
-    simple = found.filter("kind IN ('search', 'macro')").select(*KEY, _place().alias("at"), F.concat(at, F.lit("  "), F.left(F.trim("text"), chars)).alias("hit"))
+    shown = F.when(F.col("gave_up"), F.concat(F.lit(TOO_SLOW), "target")).otherwise(F.concat(at, F.lit("  "), F.left(F.trim("text"), chars)))
+    simple = found.filter("kind IN ('search', 'macro')").select(*KEY, _place().alias("at"), shown.alias("hit"))
     # a definition is the first line of a file that has one, shown with the lines after it
     first = found.filter("kind = 'definition'").groupBy(*KEY, "file").agg(F.min("line").alias("line"))
     after = first.join(body.withColumnRenamed("line", "_no"), ["module_id", "file"]).filter(F.col("_no").between(F.col("line"), F.col("line") + DEFINITION_LINES - 1))
@@ -97,9 +115,8 @@ def _line_hits(asked: DataFrame, lines: DataFrame, functions: DataFrame | None)
     hits = simple.unionByName(definitions)
     if functions is None:
         return hits
-    spans = functions.select("module_id", "file", F.col("name").alias("function"), F.explode(F.sequence("line", "end_line")).alias("line"))
-    spans = spans.withColumn("line", F.col("line").cast("long"))
-    used = found.filter("kind = 'accessors'").join(spans, ["module_id", "file", "line"])
+    spans = functions.select("module_id", "file", F.col("name").alias("function"), F.col("line").alias("_from"), F.col("end_line").alias("_to"))
+    used = intervals.covering(found.filter("kind = 'accessors'"), spans, ["module_id", "file"], "line", "_from", "_to")
     return hits.unionByName(used.select(*KEY, _place().alias("at"), F.concat(at, F.lit(IN_FUNCTION), "function", F.lit(END), F.trim("text")).alias("hit")))
 
 
@@ -114,11 +131,13 @@ def _sources(asked: DataFrame, functions: DataFrame, lines: DataFrame) -> DataFr
     return body.groupBy(*KEY, "file", "start").agg(text.alias("hit")).select(*KEY, F.struct("file", F.col("start").cast("long").alias("line")).alias("at"), "hit")
 
 
-def dispatch(asked: DataFrame, tables: Tables) -> DataFrame:
+def dispatch(asked: DataFrame, tables: Tables, most: int = MAX_HITS + 1) -> DataFrame:
     """(module_id, n, kind, target, at, hit) of every query; ``at`` (file, line) orders hits, null for plain messages.
 
     ``tables`` holds what the kinds in use need: edges (module_id, src, dst, file, line), lines (module_id, file,
-    line_no, line), functions (module_id, file, name, line, end_line). All joins are by module.
+    line_no, line), functions (module_id, file, name, line, end_line), and, where several rounds ask, the postings of
+    the lines (``search.postings``). A search pattern has ``most`` hits at most, one that takes too long a line that says
+    so. All joins are by module.
     """
     asked = limited(asked)
     able = [k for k, t in NEEDS.items() if t in tables and (k not in ("accessors", "source") or {"functions", "lines"} <= set(tables))]
@@ -126,7 +145,7 @@ def dispatch(asked: DataFrame, tables: Tables) -> DataFrame:
     if "edges" in tables:
         parts.append(_edge_hits(asked, tables["edges"]))
     if "lines" in tables:
-        parts.append(_line_hits(asked.filter(F.col("kind").isin("search", "macro", "definition", "accessors")), tables["lines"], tables.get("functions")))
+        parts.append(_line_hits(asked.filter(F.col("kind").isin("search", "macro", "definition", "accessors")), tables["lines"], tables.get("functions"), tables.get("postings"), most))
     if "source" in able:
         parts.append(_sources(asked, tables["functions"], tables["lines"]))
     hits = reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,9 @@ import sys
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from corpusloom.functions import replies
 from corpusloom.jobs.review import review
 from corpusloom.operators import graph, intervals, lexer, probe, symbols
 from corpusloom.sources import files as sources
@@ -209,8 +211,8 @@ class Scripted:
 
         if schema == "plan":
             again = prompt.count("上一版方案的问题")
-            parted = {"chunks": [{"name": "A", "purpose": "", "functions": ["ping", "nobody"]}, {"name": " ", "purpose": "", "functions": ["pong", "ping"]}]}
-            good = {"patterns": ["环"], "summary": "互相调用", "strategy": "按环切", "chunks": [{"name": "A", "purpose": "p", "functions": ["ping", "pong"]}, {"name": "空", "functions": ["nobody"]}]}
+            parted = {"summary": "", "strategy": "", "chunks": [{"name": "A", "purpose": "", "functions": ["ping", "nobody"]}, {"name": " ", "purpose": "", "functions": ["pong", "ping"]}]}
+            good = {"patterns": ["环"], "summary": "互相调用", "strategy": "按环切", "chunks": [{"name": "A", "purpose": "p", "functions": ["ping", "pong"]}, {"name": "空", "purpose": "", "functions": ["nobody"]}]}
             assert "循环调用组" in prompt and ("M02" not in prompt or "ping、pong" in prompt)
             return json.dumps(parted if self.split > again else good)
         if schema == "findings":
@@ -225,7 +227,7 @@ class Scripted:
             return json.dumps({"items": [{"id": "f1", "conclusion": "维持", "reason": "r"}], "queries": [{"kind": "callers", "target": "pong"}, {"kind": "search", "target": "foo("}]})
         if "概览" in prompt:
             seen = "pair.c:11  ping 调用 pong" in prompt and "检索模式不合法：foo(" in prompt
-            return json.dumps({"items": [{"id": "f2", "conclusion": "已被反驳" if seen else "维持", "reason": "凭证据"}], "queries": [{"kind": "callers", "target": "ping"}]})
+            return json.dumps({"items": [{"id": "f2", "conclusion": "反驳" if seen else "维持", "reason": "凭证据"}], "queries": [{"kind": "callers", "target": "ping"}]})
         assert "int ping(int n)" in prompt  # the code comes with the findings
         if "f1 " in prompt:
             return json.dumps({"items": [{"id": "f9", "conclusion": "维持", "reason": "r"}, {"id": "f1", "conclusion": "不知", "reason": "r"}, {"id": "f1", "conclusion": "维持", "reason": "r"}, {"id": "f1", "conclusion": "待确认", "reason": "r"}]})
@@ -239,12 +241,78 @@ def test_review_of_small_modules(spark, tree):
     assert set(report) == {"M01", "M02"} and "没有发现" in report["M01"] and "## 分解" not in report["M02"]
     got = {r["id"]: (r["conclusion"], r["reason"]) for r in run.conclusions.collect()}
     assert got == {"f1": ("维持", "r"), "f2": ("待确认", "多次补问后仍无结论")}
+    blocks = [line for line in report["M02"].split("\n") if line.startswith("## ")]
+    assert blocks == ["## 摘要", "## 概况", "## 维持（1 条）", "## 待确认（1 条）"] and "- 检视意见：2 条（维持 1、待确认 1、已被反驳 0）" in report["M02"]
+    assert "- 检视意见：0 条（维持 0、待确认 0、已被反驳 0）" in report["M01"] and "反驳结论：**维持** —— r" in report["M02"]
     assert report["M02"].index("### f1") < report["M02"].index("### f2") and "[pair.c:7](../pair.c#L7)" in report["M02"]
     assert "共 2 条意见" in report["M02"] and "pair.c、pair.h" in report["M02"] and run.evidence.isEmpty() and run.plans.isEmpty()
     assert {(r["id"], r["verdict"]) for r in run.judged.collect()} >= {("f9", "unknown"), ("f1", "conclusion"), ("f1", "accepted"), ("f1", "duplicate"), ("f2", "reason")}
     assert {r["stage"] for r in run.raw.collect()} == {"findings", "rebuttals"}
 
 
+class Wrong:
+    """Findings of a wrong type a few times, then sound ones; every call leaves a file."""
+
+    def __init__(self, folder, reply, times):
+        self.folder, self.reply, self.times = folder, reply, times
+
+    def ask(self, schema, prompt):
+        import os
+        import uuid
+
+        open(os.path.join(self.folder, f"{schema}-{uuid.uuid4()}"), "w").close()
+        if schema == "rebuttals":
+            return json.dumps({"items": [{"id": "f1", "conclusion": "反驳", "reason": "r"}]})
+        if sum(n.startswith("findings") for n in os.listdir(self.folder)) <= self.times:
+            return self.reply
+        return json.dumps({"findings": [{"file": "pair.c", "line": "2", "severity": "严重", "description": "d", "evidence": "e", "suggestion": "s", "more": 1}]})
+
+
+@pytest.mark.parametrize(
+    "reply, reason",
+    [
+        ('{"findings": "none of them fits"}', "findings：应为数组"), ('{"findings": [1, 2]}', "findings[0]：应为对象"), ('{"findings": {"file": "x.c"}}', "findings：应为数组"), ("[1]", "回复：应为对象"),
+        ('{"findings": [{"file": "a.c", "line": 1}]}', "findings[0].severity：缺少字段"), ('{"findings": [{"file": "a.c", "line": 1.5}]}', "findings[0].line：应为整数"), ("nothing", "回复：回复中没有可解析的 JSON"),
+    ],
+)
+def test_wrong_typed_replies_are_asked_again_and_fail_with_their_place(spark, tree, tmp_path, reply, reason):
+    run = review(spark, tree, Wrong(str(tmp_path), reply, 9), modules=["M02"], backoff=0)
+    assert [tuple(r) for r in run.failed.collect()] == [("M02", f"ReplyError: {reason}")] and run.report.isEmpty() and run.findings.isEmpty()
+    assert len(list(tmp_path.iterdir())) == 3 and run.raw.first()["reply"] == reply
+
+
+def test_a_reply_that_fits_at_last_counts(spark, tree, tmp_path):
+    run = review(spark, tree, Wrong(str(tmp_path), "[1]", 2), modules=["M02"], backoff=0)
+    assert run.failed.isEmpty() and [(r["line"], r["severity"]) for r in run.findings.collect()] == [(2, "严重")]
+    assert [(r["id"], r["conclusion"]) for r in run.conclusions.collect()] == [("f1", "反驳")]
+    assert "## 已被反驳（1 条）" in run.report.first()["report"] and run.report.first()["report"].count("### ") == 1
+
+
+def test_types_of_replies():
+    kind = StructType.fromDDL("n int, big bigint, x double, ok boolean, s string, l array<int>, deep array<struct<a:array<string>>>")
+    sound = {"n": "2", "big": 4e3, "x": "1.5", "ok": "yes", "s": "t"}
+    assert json.loads(replies.checked(json.dumps(sound), kind)) == {"n": 2, "big": 4000, "x": 1.5, "ok": True, "s": "t", "l": [], "deep": []}
+    wrong = [
+        ("n", "2.5", "n", replies.NO_INTEGER), ("n", 1 << 31, "n", replies.NO_INTEGER), ("n", None, "n", replies.NO_INTEGER), ("big", 1e300, "big", replies.NO_INTEGER), ("x", "nan", "x", replies.NO_NUMBER),
+        ("ok", 2, "ok", replies.NO_BOOLEAN), ("s", 5, "s", replies.NO_TEXT), ("s", None, "s", replies.NO_TEXT), ("l", [1, "x"], "l[1]", replies.NO_INTEGER), ("l", None, "l", replies.NO_LIST),
+        ("deep", [{"a": ["x"]}, {"a": ["x", 1]}], "deep[1].a[1]", replies.NO_TEXT), ("deep", [[]], "deep[0]", replies.NO_OBJECT),
+    ]
+    for name, value, path, reason in wrong:
+        with pytest.raises(replies.ReplyError) as found:
+            replies.checked(json.dumps(sound | {name: value}), kind)
+        assert (found.value.path, found.value.reason) == (path, reason)
+    for text in (None, "", "{", '{"n": NaN}', "[" * 100_000):
+        with pytest.raises(replies.ReplyError):
+            replies.checked(text, kind)
+
+
+def test_validated_rows(spark):
+    rows = spark.createDataFrame([(1, '```\n{"k": true,}\n```', "x"), (2, '{"k": [1]}', "y"), (3, None, "z")], "id int, text string, path string")
+    found = {r["id"]: tuple(r)[2:] for r in replies.validated(rows, "text", "k bigint").collect()}
+    assert found == {1: ('{"k": 1}', None, None), 2: (None, "k", "应为整数"), 3: (None, "", "回复中没有可解析的 JSON")}
+    assert replies.validated(rows.limit(0), "text", "k int").count() == 0
+
+
 @pytest.mark.parametrize("split, rounds", [(0, 1), (1, 2), (9, 3)])
 def test_plans_go_back_with_what_is_wrong(spark, tree, split, rounds):
     run = review(spark, tree, Scripted(split), large_lines=20, modules=["M02"])
@@ -261,10 +329,12 @@ def test_plans_go_back_with_what_is_wrong(spark, tree, split, rounds):
 
 
 def test_evidence_rounds_and_a_chunk_without_reply(spark, tree, tmp_path):
-    run = review(spark, tree, Scripted(fail="残余"), large_lines=20, modules=["M02"])
-    assert [(r["module_id"], r["chunk"]) for r in run.incomplete.collect()] == [("M02", "残余")] and run.failed.isEmpty()
+    run = review(spark, tree, Scripted(fail="残余"), large_lines=20, modules=["M02"], backoff=0)
+    assert [(r["module_id"], r["chunk"]) for r in run.incomplete.collect()] == [("M02", "残余")]
+    # the module counts as failed although it has a report
+    assert [tuple(r) for r in run.failed.collect()] == [("M02", "子块未完成检视: 残余：ReplyError: 回复：回复中没有可解析的 JSON")]
     got = {r["id"]: (r["conclusion"], r["reason"]) for r in run.conclusions.collect()}
-    assert got == {"f1": ("维持", "r"), "f2": ("已被反驳", "凭证据")}
+    assert got == {"f1": ("维持", "r"), "f2": ("反驳", "凭证据")}
     log = {(r["round"], r["kind"]): r["result"] for r in run.evidence.collect()}
     assert log == {(1, "callers"): "pair.c:11  ping 调用 pong", (1, "search"): "检索模式不合法：foo("}
     assert run.raw.filter("stage = 'rebuttals'").count() == 2  # the last round asks for no more evidence
