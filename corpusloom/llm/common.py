@@ -17,7 +17,7 @@ __all__ = ["bounded_sample", "id_ranges", "let", "long_table", "plain_names", "r
 
 #: Ranges of ids that one range table may have, and sampled rows of each: at most a million longs reach the driver.
 MAX_RANGES, SAMPLED = 65_536, 16
-#: Rows that a training sample is chosen from, for each row of it.
+#: Distinct rows that a training sample is chosen from, for each row of it.
 THINNED = 16
 
 
@@ -130,25 +130,27 @@ def with_columns(
     return df.mapInArrow(run, out)
 
 
-def thinned(df: DataFrame, rows: int, of: int) -> DataFrame:
-    """Rows of ``df`` (doc_id, ...), which stem from ``of`` rows, whose hashed id is small: some ``THINNED * rows`` of
-    them, all where there are no more. What is ordered afterwards then stays small however large the table is."""
-    share = THINNED * rows / max(1, of)
-    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
+def thinned(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Rows of ``df`` whose hashed ``keys`` are small: those of some ``THINNED * rows`` distinct keys, all rows where
+    there are no more. Keys are counted (approximately) among the rows of ``df`` itself, so few rows stay whole whatever
+    table they come from; what is ordered afterwards is small however large ``df`` is."""
+    known = df.agg(F.approx_count_distinct(F.xxhash64(*keys)).alias("n")).first()["n"]
+    share = THINNED * rows / max(1, known)
+    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(F.lit(5), *keys), F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
 
 
-def bounded_sample(df: DataFrame, rows: int, max_bytes: int, of: int) -> pd.DataFrame:
-    """At most ``rows`` rows of ``df`` (doc_id, text, ...) with ``max_bytes`` of text together, sorted by id and text;
-    ``of`` is the number of rows of the table that ``df`` filters.
+def bounded_sample(df: DataFrame, rows: int, max_bytes: int) -> pd.DataFrame:
+    """At most ``rows`` rows of ``df`` (doc_id, text, ...) with ``max_bytes`` of text together, sorted by id and text.
 
     Rows come in the order of a hash of id and text, the same on every run; rows equal in both count once. Only ids,
     hashes and sizes are ordered; then the chosen rows alone are fetched.
     """
-    marked = thinned(df, rows, of).withColumns({"_hash": F.xxhash64("text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
-    order = [F.xxhash64(F.lit(17), "doc_id", "_hash"), F.col("doc_id"), F.col("_hash")]
-    first = marked.select("doc_id", "_hash", "_bytes").orderBy(*order).limit(rows).toPandas().drop_duplicates(["doc_id", "_hash"])
-    first = first[first["_bytes"].cumsum() <= max_bytes].dropna()
+    key = ["doc_id", "_hash"]
+    marked = df.filter("doc_id IS NOT NULL").withColumns({"_hash": F.xxhash64("text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    sizes = thinned(marked.select(*key, "_bytes"), key, rows).groupBy(*key).agg(F.max("_bytes").alias("_bytes"))
+    first = sizes.orderBy(F.xxhash64(F.lit(17), *key), *key).limit(rows).toPandas()
+    first = first[first["_bytes"].cumsum() <= max_bytes]
     chosen = df.sparkSession.createDataFrame([(int(d), int(h)) for d, h in zip(first["doc_id"], first["_hash"], strict=True)], "doc_id long, _hash long")
     others = [c for c in df.columns if c != "doc_id"]
-    found = marked.join(F.broadcast(chosen), ["doc_id", "_hash"]).groupBy("doc_id", "_hash").agg(F.min(F.struct(*others)).alias("_row"))
+    found = marked.join(F.broadcast(chosen), key).groupBy(*key).agg(F.min(F.struct(*others)).alias("_row"))
     return found.select("doc_id", "_row.*").toPandas().sort_values(["doc_id", "text"], kind="stable")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_sample, thinned, with_columns
+from corpusloom.llm.common import bounded_sample, staged, thinned, with_columns
 
 #: Labelled documents that training may read, and bytes of their texts.
 TRAIN_ROWS, TRAIN_BYTES = 6000, 60_000_000
@@ -139,13 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     """Fit on at most ``rows`` labelled documents of ``TRAIN_BYTES`` together; None where nothing is labelled.
 
     ``labels`` has doc_id and quality (0 or 1; other values and nulls teach nothing; of several labels of one
-    document the smallest counts).
+    document the smallest counts). Ids are chosen among those that have both a label and a document.
     """
-    marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = thinned(marked, rows, labels.count()).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows)
-    # as many labelled documents as there are chosen labels, but for rows that repeat an id
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    sample = bounded_sample(known, rows, TRAIN_BYTES, rows)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    present = staged(marked.join(known.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    chosen = thinned(present, ["doc_id"], rows).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows)
+    sample = bounded_sample(known.join(F.broadcast(chosen), "doc_id"), rows, TRAIN_BYTES)
     if sample.empty:
         return None
     return fit(sample["text"].tolist(), sample["quality"].tolist())

@@ -312,11 +312,31 @@ def test_quality_equals_plain_ftrl(spark, docs):
 
 def test_training_samples_are_bounded(spark):
     rows = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.pmod("id", F.lit(100)).cast("string")).alias("text"), F.lit("en").alias("lang"))
-    sample = common.bounded_sample(rows, 300, 400, 500)
+    sample = common.bounded_sample(rows, 300, 400)
     assert 0 < len(sample) <= 100 and sample["text"].str.len().sum() <= 400 and not sample.duplicated().any()
-    assert len(common.bounded_sample(rows, 7, 10**6, 500)) <= 7 and common.bounded_sample(rows.limit(0), 7, 100, 0).empty
+    assert len(common.bounded_sample(rows, 7, 10**6)) == 7 and common.bounded_sample(rows.limit(0), 7, 100).empty
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    assert 800 < common.thinned(many, 100, 20_000).count() < 2400 and len(common.bounded_sample(many, 100, 10**6, 20_000)) == 100
+    assert 800 < common.thinned(many, ["doc_id"], 100).count() < 2400 and len(common.bounded_sample(many, 100, 10**6)) == 100
+
+
+def test_training_samples_are_full_where_labels_are_sparse(spark):
+    few = spark.range(400_000).filter("id % 100 = 0").select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    assert len(common.bounded_sample(few, 3000, 10**9)) == 3000
+    # one id for all rows, and a text that most rows share
+    one = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.greatest(F.lit(190_000), "id").cast("string")).alias("text"))
+    assert len(common.bounded_sample(one, 3000, 10**9)) == 3000
+    letters = one.withColumn("lang", F.lit("en"))
+    assert {r["lang_pred"] for r in langid.identify_languages(one.limit(50), letters, rows=20).collect()} == {"en"}
+
+
+def test_quality_learns_from_labels_that_have_documents(spark, monkeypatch):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.pmod("id", F.lit(2)).cast("int").alias("quality"))
+    docs = spark.range(0, 60_000, 10).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, marks: seen.append(len(texts)))
+    quality.train(docs, labels, rows=6000)
+    quality.train(docs, labels, rows=2000)
+    assert seen == [6000, 2000]
 
 
 def test_quality_of_odd_rows(spark, docs, odd):
