@@ -113,11 +113,12 @@ class Forest:
         self.trees, self.seed = trees, seed
         self.keys, self.low, self.high = np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32)
 
-    def grown(self, splits: list[tuple[int, int, float, float]]) -> Forest:
+    def grown(self, splits: pa.Table) -> Forest:
+        """The forest with more ``splits`` (tree, node, low, high): arrays throughout, 16 bytes a split."""
         out = Forest(self.trees, self.seed)
-        keys = np.append(self.keys, np.array([node * self.trees + tree for tree, node, _, _ in splits], np.int64))
+        keys = np.append(self.keys, splits["node"].to_numpy() * self.trees + splits["tree"].to_numpy())
         order = np.argsort(keys)
-        low, high = (np.append(a, np.array([s[k] for s in splits], np.float32)) for k, a in ((2, self.low), (3, self.high)))
+        low, high = (np.append(a, splits[k].to_numpy().astype(np.float32)) for k, a in (("low", self.low), ("high", self.high)))
         out.keys, out.low, out.high = keys[order], low[order], high[order]
         return out
 
@@ -155,14 +156,15 @@ def units(x: np.ndarray) -> np.ndarray:
 
 
 def _fitter(weigh, trees: int, seed: int, leaf_rows: int, threshold: float, loss: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Function that fits the splits of one leaf from its sample; ``weigh`` broadcasts the leaves' sizes."""
+    """Function that fits the splits of one leaf from its sample; ``weigh`` broadcasts the leaves' codes, sorted, and sizes."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         # of vectors of several lengths the most frequent length fits the splits
         code, dims = int(pdf["code"].iloc[0]), pdf["x"].map(len)
         pdf = pdf[dims == dims.mode().iloc[0]].sort_values("draw", kind="stable")
         x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-        splits = fit_splits(x, code % trees, code // trees, weigh.value[code], seed, leaf_rows, threshold, loss)
+        codes, sizes = weigh.value
+        splits = fit_splits(x, code % trees, code // trees, int(sizes[np.searchsorted(codes, code)]), seed, leaf_rows, threshold, loss)
         return pd.DataFrame(splits, columns=["tree", "node", "low", "high"])
 
     return fit
@@ -183,13 +185,14 @@ def _fit(reps: DataFrame, rows: int, trees: int, seed: int, leaf_rows: int, thre
 
         sizes = reps.select("v").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         # at most one row for each split that the forest may still get
-        large = {r["code"]: r["n"] for r in sizes.filter(F.col("n") > leaf_rows).collect()}
-        if not large:
+        large = sizes.filter(F.col("n") > leaf_rows).toArrow()
+        if not large.num_rows:
             break
+        order = np.argsort(large["code"].to_numpy())
+        codes, n = large["code"].to_numpy()[order], large["n"].to_numpy()[order]
         # so many vectors that even the last cuts see SAMPLE_LEAST of them
-        share = {c: min(1.0, min(SAMPLE_ROWS, 2 * SAMPLE_LEAST * 2.0 ** math.ceil(math.log2(n / leaf_rows))) / n) for c, n in large.items()}
-        wanted = context.broadcast((np.array(sorted(share), np.int64), np.array([share[c] for c in sorted(share)])))
-        weigh = context.broadcast(large)
+        share = np.minimum(1.0, np.minimum(SAMPLE_ROWS, 2 * SAMPLE_LEAST * 2.0 ** np.ceil(np.log2(n / leaf_rows))) / n)
+        wanted, weigh = context.broadcast((codes, share)), context.broadcast((codes, n))
 
         def sample(batches: Iterator[pa.RecordBatch], shared=shared, wanted=wanted) -> Iterator[pa.RecordBatch]:
             keys, shares = wanted.value
@@ -207,12 +210,12 @@ def _fit(reps: DataFrame, rows: int, trees: int, seed: int, leaf_rows: int, thre
         # a uniform number of each vector, the same on every run
         draw = (F.xxhash64(F.lit(seed), "rep").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("draw")
         sampled = reps.select("v", draw).mapInArrow(sample, "code long, draw double, x array<float>")
-        new = sampled.groupBy("code").applyInPandas(_fitter(weigh, trees, seed, leaf_rows, threshold, loss), "tree long, node long, low double, high double").collect()
+        new = sampled.groupBy("code").applyInPandas(_fitter(weigh, trees, seed, leaf_rows, threshold, loss), "tree long, node long, low double, high double").toArrow()
         for b in (shared, wanted, weigh):
             b.unpersist()
-        if not new:
+        if not new.num_rows:
             break
-        forest = forest.grown([tuple(r) for r in new])
+        forest = forest.grown(new)
     return forest
 
 

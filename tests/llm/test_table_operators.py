@@ -338,6 +338,34 @@ def test_mixed_documents_repeat_rows(spark, docs):
     assert mixing.mixed_documents(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_copies_equal_the_decision_whatever_the_partitions(spark, monkeypatch, parts):
+    monkeypatch.setattr(mixing, "ENTRY_ROWS", 100)
+    texts = [("same words here", i % 3) for i in range(1001)] + [(f"w{i} x y", 0) for i in range(700)] + [("equal in everything", 5)] * 301
+    rows = spark.createDataFrame([(1, "a", t, m) for t, m in texts] + [(None, None, f"n{i % 9} b c", i % 2) for i in range(400)], "doc_id long, source string, text string, more int").repartition(parts)
+    wanted = {(r["doc_id"], r["source"]): r["n"] for r in mixing.mix(rows).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()}
+    out = mixing.mixed_documents(rows)
+    got = Counter(map(tuple, out.collect()))
+    have = Counter(map(tuple, rows.collect()))
+    assert {k: sum(n for r, n in got.items() if r[:2] == k) for k in wanted} == wanted
+    assert got == Counter(map(tuple, mixing.mixed_documents(rows.repartition(3)).collect()))
+    for r, n in have.items():  # even shares: the copies of equal rows differ by one at most
+        base = wanted[r[:2]] // sum(m for x, m in have.items() if x[:2] == r[:2])
+        assert base * n <= got[r] <= (base + 1) * n
+
+
+@pytest.mark.parametrize(("buckets", "seed"), [(4096, 1), (3, 2), (1, 3)])
+def test_seats_go_to_the_highest_quotients(spark, monkeypatch, buckets, seed):
+    monkeypatch.setattr(mixing, "BUCKETS", buckets)
+    r = np.random.default_rng(seed)
+    rows = [(g, k, int(r.integers(0, 4) * 50 if g == 2 else r.integers(0, 900)), [0, 37, 300, 5000][g]) for g in range(4) for k in range(30 * g + 1)]
+    table = spark.createDataFrame([(*x, int(x[2] // 3 + 5)) for x in rows], "g int, k int, share long, seats long, cap long").repartition(5)
+    got = {(x["g"], x["k"]): x["quota"] for x in mixing.apportioned(table, "g", "k", "share", "seats", "cap").collect()}
+    for g in range(4):
+        bids = sorted(((-s / (2 * i + 1), k, i) for h, k, s, _ in rows if h == g and s for i in range(s // 3 + 5)))[: [0, 37, 300, 5000][g]]
+        assert {k: got[g, k] for h, k, *_ in rows if h == g} == {k: 0 for h, k, *_ in rows if h == g} | Counter(k for _, k, _ in bids)
+
+
 def test_mixed_documents_decide_row_by_row(spark):
     r = np.random.default_rng(2)
     rows = [(None if k % 3 else 4, "a" if k % 2 else "b", " ".join(f"w{v}" for v in r.integers(0, 99, int(r.integers(1, 60))))) for k in range(400)]
