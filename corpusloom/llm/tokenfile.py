@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_ranges, range_of, shared_folder, staged, text_slices
-from corpusloom.llm.spans import SpanTable
+from corpusloom.llm.spans import SpanTable, gathered
 from corpusloom.llm.tokencount import byte_letters
 
 CHECKPOINT = 256
@@ -35,8 +35,9 @@ SLICE_BYTES, PACKED_IDS = 3_000_000, 400_000
 MAX_BITS = 18
 #: Documents in one range of ids; a range is the unit that one task sorts and writes.
 RANGE_ROWS = 400
-#: Words of Latin-1 letters with at most one final mark: lower-casing keeps their number of letters.
-PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]?$"
+#: Words of Latin-1 letters, whose lower case has as many letters, with ASCII marks after them.
+MARKS = ",.;:!?*$%&#/()+-="
+PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[" + MARKS.replace("-", r"\-") + r"]*$"
 
 
 # --- tokenising -----------------------------------------------------------------------------------------------------
@@ -46,8 +47,8 @@ class WordIds:
     """Ids of texts under a tokenizers file that cuts words at white space, one library call per distinct word.
 
     Only blanks and line feeds, which such files drop, are cut here. A word of Latin-1 letters, whose lower case has as
-    many letters, goes to the library's model in its byte letters, and one final comma or full stop after it is a word
-    of its own. Everything else, special strings included, goes to the library as it stands.
+    many letters, goes to the library's model in its byte letters, and the marks after it are a word of their own.
+    Everything else, special strings included, goes to the library as it stands.
     """
 
     def __init__(self, path: str):
@@ -57,11 +58,14 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = dict(enumerate(byte_letters()))
-        self.marks = {m: i for m in ",." if len(i := self._ids([m])[0]) == 1}
         probes = ["a", "words", "straße", "été", "ñandú"]
-        #: whether the file folds case, takes a word of letters as one piece of byte letters and marks as single ids
-        self.folds = len(self.marks) == 2 and self._ids(probes) == [self._direct(w) for w in probes] == self._ids([w.upper().replace("SS", "ß") for w in probes])
-        self.known = SpanTable(keep_bytes=40_000_000)
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        #: whether the file folds case, takes a word of letters as one piece of byte letters and marks after it as another
+        self.folds = (
+            self._ids(probes) == [self._direct(w) for w in probes] == self._ids([w.upper().replace("SS", "ß") for w in probes])
+            and not set(MARKS) & set(added) and all(self._ids(["a" + m, "a" + 2 * m + "."]) == [self._direct("a") + i for i in self._ids([m, 2 * m + "."])] for m in MARKS)
+        )
+        self.known = SpanTable(keep_bytes=80_000_000)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -80,18 +84,24 @@ class WordIds:
         self.known.make_room()
         plain = pc.match_substring_regex(distinct, PLAIN) if self.folds else pa.array(np.zeros(len(distinct), bool))
         is_plain = plain.to_numpy(zero_copy_only=False)
-        rows, marks = np.empty(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.uint32)
-        rows[~is_plain] = self.known.rows(distinct.filter(pc.invert(plain)), self._ids)
+        # of each distinct word the row of its letters, or of the whole word, and that of its marks (-1 without any)
+        rows = np.full((len(distinct), 2), -1, dtype=np.int64)
+        rows[~is_plain, 0] = self.known.rows(distinct.filter(pc.invert(plain)), self._ids)
         letters = distinct.filter(plain)
-        stems = pc.utf8_lower(pc.utf8_rtrim(letters, ",.")).dictionary_encode()
-        rows[is_plain] = self.known.rows(stems.dictionary, lambda part: list(map(self._direct, part)))[stems.indices.to_numpy(zero_copy_only=False)]
-        for mark, ids in self.marks.items():
-            marks[np.flatnonzero(is_plain)[pc.ends_with(letters, mark).to_numpy(zero_copy_only=False)]] = ids[0] + 1  # 0 says no mark
-        # every occurrence copies the span of its word, and its mark
-        mark = marks[index]
-        out, ends = self.known.spans(rows[index], mark > 0)
-        marked = np.flatnonzero(mark)
-        out[ends[marked] - 1] = mark[marked] - 1
+        stems = pc.utf8_rtrim(letters, MARKS)
+        marks = (pc.binary_length(letters).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False)).astype(np.int64)
+        stems = pc.utf8_lower(stems).dictionary_encode()
+        rows[is_plain, 0] = self.known.rows(stems.dictionary, lambda part: list(map(self._direct, part)))[stems.indices.to_numpy(zero_copy_only=False)]
+        for n in np.unique(marks[marks > 0]).tolist():
+            at = np.flatnonzero(marks == n)
+            tails = pc.utf8_slice_codeunits(letters.take(pa.array(at)), -n).dictionary_encode()
+            rows[np.flatnonzero(is_plain)[at], 1] = self.known.rows(tails.dictionary, self._ids)[tails.indices.to_numpy(zero_copy_only=False)]
+        # the spans of the distinct words, then every occurrence copies that of its word
+        parts = rows.ravel()
+        flat, ends = self.known.spans(parts[parts >= 0])
+        stops = np.append(0, ends)[np.cumsum((rows >= 0).sum(axis=1))]
+        starts = np.append(0, stops[:-1]) if len(stops) else stops
+        out, ends = gathered(flat, starts, stops - starts, index)
         bounds = np.append(0, ends)
         text_ends = np.cumsum(per_text)
         return out, bounds[text_ends] - bounds[text_ends - per_text]
