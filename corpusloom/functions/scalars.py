@@ -123,3 +123,23 @@ def blank_free(value: Column) -> Column:
 def worker_count(asked: Column, items: Column, most: int = 4) -> Column:
     """Workers of a run: as many as asked for, else one for each item, ``most`` at most and one at least."""
     return F.when(asked > 0, asked).otherwise(F.greatest(F.least(items, F.lit(most)), F.lit(1)))
+
+
+def names_before(text: Column, mark: str) -> Column:
+    """Identifiers that stand before a mark, white space between them allowed: calls where the mark is a bracket."""
+    return F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)[ \t\n]*" + mark), F.lit(1))
+
+
+def line_heads(text: Column) -> Column:
+    """The runs of letters that begin lines."""
+    return F.regexp_extract_all(text, F.lit("(?m)^([A-Za-z]+)"), F.lit(1))
+
+
+def json_field(text: Column, field: str, kind: str) -> Column:
+    """One field of a JSON object as ``kind``; null where it is absent, of another type, or there is no JSON."""
+    return F.from_json(text, f"`{field}` {kind}")[field]
+
+
+def whole_number(text: Column) -> Column:
+    """A text as a long; null where it is none."""
+    return text.try_cast("bigint")

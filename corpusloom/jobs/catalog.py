@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import replies
 from corpusloom.functions import scalars as S
-from corpusloom.operators import gates, graph, intervals, matching, plans, probe, relational
+from corpusloom.operators import gates, graph, intervals, matching, planner, plans, probe, relational
 from corpusloom.sources.staging import staged
-from corpusloom.streaming import sessions
+from corpusloom.streaming import sessions, timeouts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,20 +143,20 @@ def _doc_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 @_query(_TOKENS + "SELECT doc_id, count(*) AS n FROM tokens WHERE token IN (SELECT token FROM known) GROUP BY doc_id")
 def q_known_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, known = _doc_tokens(spark, sf_dir)
-    return tokens.join(known, "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return relational.resolved(tokens, known, ["token"])[0].groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @_query(_TOKENS + "SELECT doc_id, count(*) AS n FROM tokens WHERE token NOT IN (SELECT token FROM known) GROUP BY doc_id")
 def q_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, known = _doc_tokens(spark, sf_dir)
-    return tokens.join(known, "token", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return relational.resolved(tokens, known, ["token"])[2].groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @_query(r"""
 WITH calls AS (SELECT unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)[ \t\n]*\.', 1)) AS name FROM documents)
 SELECT name, count(*) AS n FROM calls GROUP BY name""")
 def q_call_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)[ \t\n]*\."), F.lit(1))
+    calls = S.names_before(F.col("text"), r"\.")
     return _t(spark, sf_dir, "documents").select(F.explode(calls).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
@@ -334,8 +334,7 @@ def q_idle_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def q_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
-    return docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("key")
+    return relational.first_and_copies(_t(spark, sf_dir, "documents"), F.col("text"), "doc_id")
 
 
 @_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
@@ -356,7 +355,7 @@ def q_pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderpriority AS severity, (left(o_orderpriority, 1)::INT - 1) AS rank, count(*) AS n FROM orders GROUP BY o_orderpriority""")
 def q_severity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("severity"))
-    return orders.groupBy("severity").agg(F.count("*").alias("n")).withColumn("rank", S.ranked(F.col("severity"), _PRIORITIES))
+    return relational.graded_counts(orders, "severity", _PRIORITIES)
 
 
 @_query("""
@@ -370,8 +369,7 @@ def q_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'")
 def q_urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urgent = _t(spark, sf_dir, "orders").filter("o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'")
-    return urgent.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    return relational.urgent(_t(spark, sf_dir, "orders"), "o_orderpriority", _PRIORITIES[:2], F.col("o_orderstatus") == "F", "o_orderkey")
 
 
 @_query("""
@@ -565,6 +563,29 @@ def q_plan_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("module_id", F.array_join("violations", ";").alias("violations"))
 
 
+@_query(_REACH.format(module="o_custkey") + """
+, mutual AS (SELECT a.module, a.src AS name, min(a.dst) AS unit FROM reach a JOIN reach b ON a.module = b.module AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2),
+member AS (SELECT o_custkey::VARCHAR AS module_id, o_orderkey::VARCHAR AS name, coalesce(unit, o_orderkey::VARCHAR) AS unit, day(o_orderdate) AS lines FROM orders LEFT JOIN mutual ON module = o_custkey::VARCHAR AND name = o_orderkey::VARCHAR),
+sized AS (SELECT module_id, unit, sum(lines) AS lines FROM member GROUP BY ALL)
+SELECT module_id, count(DISTINCT name) AS functions, count(DISTINCT unit) AS units, (SELECT count(*) FROM sized s WHERE s.module_id = m.module_id AND s.lines > 40) AS too_large, 0::BIGINT AS split, 0::BIGINT AS over
+FROM member m GROUP BY module_id""")
+def q_packed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of each customer's orders from their calls: units above the limit, and, none of either, units that are split
+    and chunks above the limit that hold more than one unit."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("module_id"), F.col("o_orderkey").cast("string").alias("name"), F.dayofmonth("o_orderdate").cast("long").alias("end_line"))
+    functions = orders.select("module_id", F.col("name").alias("file"), "name", F.lit(1).cast("long").alias("line"), "end_line")
+    edges = _calls(spark, sf_dir, "o_custkey").withColumnRenamed("module", "module_id")
+    lines = functions.select("module_id", "file", F.col("end_line").alias("line_no"))
+    chunks = staged(planner.packed(functions, edges, 40, lines), "packed")
+    members, _ = planner.units(functions, edges)
+    placed = members.join(chunks, ["module_id", "name"], "left").join(orders, ["module_id", "name"])
+    units = placed.groupBy("module_id", "unit").agg(F.count("*").alias("n"), F.sum("end_line").alias("lines"), F.count_distinct("chunk_no").alias("chunks"), F.min("chunk_no").alias("chunk_no"))
+    full = units.groupBy("module_id", "chunk_no").agg(F.sum("lines").alias("lines"), F.count("*").alias("units"), F.sum("n").alias("n"), F.count_if(F.col("lines") > 40).alias("large"), F.count_if("chunks <> 1").alias("split"))
+    return full.groupBy("module_id").agg(
+        F.sum("n").alias("functions"), F.sum("units").alias("units"), F.sum("large").alias("too_large"), F.sum("split").alias("split"), F.count_if("lines > 40 AND units > 1").alias("over"),
+    )
+
+
 @_query("""
 SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS kept, string_agg(l_linenumber || '：' || l_linestatus, '；' ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'R') AS unfinished
 FROM lineitem GROUP BY l_orderkey""")
@@ -583,12 +604,40 @@ def q_reply_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("conv_id", F.md5("reply").alias("digest"), "finish", "usage")
 
 
+@_query("""
+SELECT conv_id, count(*) AS chunks, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'user'), '')) AS reply, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'user'), '')) AS reasoning,
+  coalesce(round_even(sum(length(text)) FILTER (role = 'user') * 100.0 / nullif(sum(length(text)), 0), 0), 0)::INT AS reasoning_pct
+FROM conversations GROUP BY conv_id""")
+def q_reply_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channel = F.when(F.col("role") == "user", "reasoning").otherwise("text").alias("channel")
+    deltas = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text", channel, F.lit(None).cast("string").alias("finish"), F.lit(None).cast("long").alias("usage"))
+    folded = gates.folded_replies(deltas, ["conv_id"], "turn")
+    return folded.select("conv_id", "chunks", F.md5("reply").alias("reply"), F.md5("reasoning").alias("reasoning"), "reasoning_pct")
+
+
+@_query("""
+WITH line AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS reply, ts, CASE event_type WHEN 'signup' THEN 'asked' WHEN 'purchase' THEN 'done' ELSE 'chunk' END AS kind, event_id FROM events),
+seen AS (SELECT *, ts + CASE kind WHEN 'asked' THEN INTERVAL 3 HOUR ELSE INTERVAL 90 MINUTE END AS due, coalesce(lead(ts) OVER w, TIMESTAMP '2024-02-01') AS next,
+  bool_or(kind = 'done') OVER (PARTITION BY reply ORDER BY ts, array_position(['asked', 'chunk', 'done'], kind) ROWS UNBOUNDED PRECEDING) AS closed,
+  count(*) FILTER (kind = 'chunk') OVER (PARTITION BY reply ORDER BY ts, array_position(['asked', 'chunk', 'done'], kind) ROWS UNBOUNDED PRECEDING) AS chunks
+  FROM line WINDOW w AS (PARTITION BY reply ORDER BY ts, array_position(['asked', 'chunk', 'done'], kind)))
+SELECT reply, due AS failed_at, CASE kind WHEN 'asked' THEN 'first' ELSE 'next' END AS phase, chunks
+FROM seen WHERE NOT closed AND next > due QUALIFY row_number() OVER (PARTITION BY reply ORDER BY ts, array_position(['asked', 'chunk', 'done'], kind)) = 1""")
+def q_late_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a user's day is a reply
+    events, at = _t(spark, sf_dir, "events"), F.col("ts").cast("timestamp")
+    kind = F.when(F.col("event_type") == "signup", "asked").when(F.col("event_type") == "purchase", "done").otherwise("chunk")
+    reply = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
+    found = timeouts.late_replies(events.select(reply.alias("reply"), kind.alias("kind"), at.alias("at")), F.lit("2024-02-01").cast("timestamp"), 3 * 3600, 90 * 60)
+    return found.withColumn("failed_at", F.col("failed_at").cast("timestamp_ntz"))
+
+
 # --- scalar functions -----------------------------------------------------------------------------------------------
 
 
 @_query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def q_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return _t(spark, sf_dir, "events").select("event_id", S.json_field(F.col("props"), "k", "bigint").alias("k"))
 
 
 @_query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
@@ -659,8 +708,7 @@ def q_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, array_to_string(regexp_extract_all(text, '(?m)^([A-Za-z]+)', 1), ',') AS heads FROM documents")
 def q_macro_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = F.regexp_extract_all("text", F.lit("(?m)^([A-Za-z]+)"), F.lit(1))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(heads, ",").alias("heads"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(S.line_heads(F.col("text")), ",").alias("heads"))
 
 
 @_query("""
@@ -692,7 +740,7 @@ def q_config_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT page_id, try_cast(regexp_extract(url, '/([^/?#]*)[^/]*$', 1) AS BIGINT) AS number FROM pages")
 def q_safe_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"/([^/?#]*)[^/]*$", 1).try_cast("bigint").alias("number"))
+    return _t(spark, sf_dir, "pages").select("page_id", S.whole_number(F.regexp_extract("url", r"/([^/?#]*)[^/]*$", 1)).alias("number"))
 
 
 @_query("""

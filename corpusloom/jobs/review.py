@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import replies as replies_of
 from corpusloom.functions import scalars as S
-from corpusloom.jobs.model import BACKOFF, ModelClient, ask_model
-from corpusloom.operators import gates, graph, intervals, lexer, probe, relational, search, symbols
+from corpusloom.jobs.model import BACKOFF, Ledger, ModelClient, ask_model
+from corpusloom.operators import evidence, gates, graph, intervals, lexer, planner, probe, relational, search, symbols
 from corpusloom.operators import plans as plans_of
 from corpusloom.sources import files as sources
-from corpusloom.sources.staging import staged
+from corpusloom.sources import sinks
+from corpusloom.sources.staging import scope, staged
 
 FINDINGS = "findings array<struct<file:string,line:bigint,severity:string,description:string,evidence:string,suggestion:string>>"
 REBUTTALS = "items array<struct<id:string,conclusion:string,reason:string>>, queries array<struct<kind:string,target:string>>"
@@ -46,7 +47,8 @@ class Review:
     finding; failed (module_id, reason), without a report or, where only chunks stayed open, with one; incomplete (module_id, chunk_no, chunk, error); plans (module_id, patterns,
     summary, strategy, violations, unknown); chunks, one row per range of lines; evidence (module_id, round, n, kind,
     target, result, truncated); raw, every reply (module_id, stage, turn, chunk_no, reply, error); judged, every
-    rebuttal item with its verdict; report texts.
+    rebuttal item with its verdict; places, where the quoted evidence of each finding really stands (module_id, id, place,
+    found_file, found_line, share, same_as); report texts.
     """
 
     inventory: DataFrame
@@ -59,13 +61,15 @@ class Review:
     evidence: DataFrame
     raw: DataFrame
     judged: DataFrame
+    places: DataFrame
     report: DataFrame
 
 
-def _asked(requests: DataFrame, client: ModelClient, keys: list[str], schema: str, backoff: float) -> DataFrame:
+def _asked(requests: DataFrame, model: tuple[ModelClient, float, Ledger | None], keys: list[str], schema: str) -> DataFrame:
     """Checked replies plus ``parsed``, null where ``error`` is set."""
     check = replies_of.checker({"findings": FINDINGS, "rebuttals": REBUTTALS, "plan": PLAN})
-    return ask_model(requests, client, keys, backoff=backoff, check=check).withColumn("parsed", F.from_json("json", schema))
+    client, backoff, ledger = model
+    return ask_model(requests, client, keys, backoff=backoff, check=check, ledger=ledger).withColumn("parsed", F.from_json("json", schema))
 
 
 def _raw(replies: DataFrame, stage: str, turn: int) -> DataFrame:
@@ -101,21 +105,33 @@ class _Planned:
     raw: list[DataFrame]
 
 
-def plan_chunks(client: ModelClient, lexed: DataFrame, lines: DataFrame, large: DataFrame, cycles: DataFrame, digests: DataFrame, limit: int, backoff: float = BACKOFF) -> _Planned:
-    """Plans of large modules; those out of bounds go back to the model with what is wrong, ``PLAN_REDOS`` times."""
+def plan_chunks(model: tuple[ModelClient, float, Ledger | None], lexed: DataFrame, lines: DataFrame, large: DataFrame, cycles: DataFrame, digests: DataFrame, limit: int, edges: DataFrame | None = None) -> _Planned:
+    """Plans of large modules; those out of bounds go back to the model with what is wrong, ``PLAN_REDOS`` times.
+
+    ``model`` is a client, the seconds to wait between attempts and a ledger. With ``edges`` (module_id, src, dst), modules that then still have no plan within bounds get one from the call graph.
+    """
     functions = staged(symbols.functions(lexed).join(large.select("module_id"), "module_id", "left_semi"), "functions")
     todo = large.select("module_id", "lines", F.lit("").alias("feedback"))
     chunks, plans, failed, raw = [], [], [], []
-    for turn in range(PLAN_REDOS + 1):
+    last = PLAN_REDOS + (edges is not None)
+    for turn in range(last + 1):
         prompt = F.concat(
             F.format_string(f"为模块 %s（%d 行）切分子块，每块不超过 {limit} 行，循环调用组不要拆开。\n", "module_id", "lines"), "overview", F.lit("\n循环调用组：\n"), "cycles",
             F.when(F.col("feedback") != "", F.concat(F.lit("\n上一版方案的问题：\n"), "feedback")).otherwise(F.lit("")),
         )
         asked = todo.join(digests, "module_id").select("module_id", F.lit("plan").alias("schema"), prompt.alias("prompt"))
-        replies = staged(_asked(asked, client, ["module_id"], PLAN, backoff), "plans")
-        raw.append(_raw(replies, "plan", turn))
-        failed.append(replies.filter("error IS NOT NULL").select("module_id", F.col("error").alias("reason")))
-        good = replies.filter("error IS NULL")
+        if turn > PLAN_REDOS:
+            own = [df.join(todo.select("module_id"), "module_id", "left_semi") for df in (functions, edges, lines)]
+            good = staged(planner.planned(own[0], own[1], limit, own[2]), "planned")
+            # a module without functions has nothing to pack; it becomes one chunk
+            bare = todo.select("module_id").join(good.select("module_id"), "module_id", "left_anti")
+            good = good.unionByName(bare.withColumn("parsed", F.lit(None).cast(good.schema["parsed"].dataType)))
+        else:
+            replies = staged(_asked(asked, model, ["module_id"], PLAN), "plans")
+            raw.append(_raw(replies, "plan", turn))
+            lost = replies.filter("error IS NOT NULL").select("module_id", F.col("error").alias("reason"))
+            failed.append(lost)
+            good = replies.filter("error IS NULL")
         cut, owners, unknown = plans_of.cut_by_plan(good, functions, lines)
         cut, owners = staged(cut, "cut"), staged(owners, "owners")
         names = unknown.groupBy("module_id").agg(F.array_sort(F.collect_set("name")).alias("unknown"))
@@ -125,17 +141,20 @@ def plan_chunks(client: ModelClient, lexed: DataFrame, lines: DataFrame, large:
             F.coalesce("violations", none).alias("violations"), F.coalesce("unknown", none).alias("unknown"),
         )
         checked = staged(checked, "checked")
-        done = checked if turn == PLAN_REDOS else checked.filter(F.size("violations") == 0)
+        done = checked if turn == last else checked.filter(F.size("violations") == 0)
         plans.append(done)
         chunks.append(cut.join(done.select("module_id"), "module_id", "left_semi"))
-        if turn == PLAN_REDOS:
+        if turn == last:
             break
         text = F.array_join(F.transform("violations", lambda v: F.concat(F.lit("- "), v)), "\n")
         back = checked.filter(F.size("violations") > 0).select("module_id", text.alias("feedback"))
+        if turn == PLAN_REDOS:
+            back, failed = back.unionByName(_all(failed).select("module_id", F.lit("").alias("feedback"))), []
         todo = staged(large.select("module_id", "lines").join(back, "module_id"), "redo")
         if todo.isEmpty():
             break
-    return _Planned(staged(_all(chunks), "chunks"), staged(_all(plans), "plans"), _all(failed), raw)
+    unplanned = _all(failed) if failed else large.select("module_id", F.lit("").alias("reason")).limit(0)
+    return _Planned(staged(_all(chunks), "chunks"), staged(_all(plans), "plans"), unplanned, raw)
 
 
 def chunk_sources(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -182,9 +201,15 @@ def _inputs(spark: SparkSession, root: str, inventory: DataFrame | None, modules
 
 def review(
     spark: SparkSession, root: str, client: ModelClient, large_lines: int = LARGE_LINES, re_asks: int = RE_ASKS,
-    inventory: DataFrame | None = None, modules: list[str] | None = None, backoff: float = BACKOFF,
+    inventory: DataFrame | None = None, modules: list[str] | None = None, backoff: float = BACKOFF, plan_without_model: bool = False,
+    ledger: Ledger | None = None,
 ) -> Review:
-    """Review the modules below ``root``: all of them, those of a stored ``inventory``, or the listed ``modules``."""
+    """Review the modules below ``root``: all of them, those of a stored ``inventory``, or the listed ``modules``.
+
+    With ``plan_without_model`` a large module whose plans stay out of bounds, or never come, is cut by its call graph;
+    otherwise such plans are used as they are and said so, and a module without one fails. A ``ledger`` keeps replies.
+    """
+    model = (client, backoff, ledger)
     inventory, files = _inputs(spark, root, inventory, modules)
     lexed = staged(lexer.lexed(files), "lexed")
     lines = staged(intervals.line_table(files.select("module_id", "file", "text").withColumn("k", F.struct("module_id", "file")), "k").select("k.*", "line_no", "line"), "lines")
@@ -192,7 +217,7 @@ def review(
     large, small = inventory.filter(F.col("lines") > large_lines), inventory.filter(F.col("lines") <= large_lines)
     cycles = staged(graph.module_cycles(edges.select("module_id", "src", "dst").join(large, "module_id", "left_semi"), "module_id"), "cycles")
     digests = staged(symbols.digests(large.select("module_id"), lexed, edges, cycles), "digests")
-    planned = plan_chunks(client, lexed, lines, large, cycles, digests, large_lines, backoff)
+    planned = plan_chunks(model, lexed, lines, large, cycles, digests, large_lines, edges if plan_without_model else None)
     chunks, raw = planned.chunks, planned.raw
 
     background = symbols.backgrounds(lexed)
@@ -202,7 +227,7 @@ def review(
     parts = parts.select("module_id", "chunk_no", F.format_string(" 的子块「%s」", "chunk").alias("title"), chunk_background().alias("background"), "source")
     prompt = F.concat(F.lit("审查模块 "), "module_id", "title", F.lit("\n背景：\n"), "background", F.lit("\n代码：\n"), "source")
     asked = whole.unionByName(parts).select("module_id", "chunk_no", F.lit("findings").alias("schema"), prompt.alias("prompt"))
-    replies = staged(_asked(asked, client, ["module_id", "chunk_no"], FINDINGS, backoff), "replies")
+    replies = staged(_asked(asked, model, ["module_id", "chunk_no"], FINDINGS), "replies")
     raw.append(_raw(replies, "findings", 0))
     # a small module fails with its one reply; of a large one the other chunks' findings stay
     silent = replies.filter("error IS NOT NULL")
@@ -239,7 +264,7 @@ def review(
         told = F.concat(F.lit("\n证据：\n"), F.coalesce("evidence", F.lit("（还没有取过证据）")), F.lit(f"\n{label}"))
         prompt = F.concat(F.lit("复核模块 "), "module_id", F.lit("\n"), "digest", F.when(F.col("large"), F.lit("\n概览：\n")).otherwise(F.lit("\n代码：\n")), "context", F.when(F.col("large"), told).otherwise(F.lit("")))
         rows = finding_lines(pending).join(context, "module_id").join(evidence_digest(shown), "module_id", "left")
-        got = staged(_asked(rows.select("module_id", "large", F.lit("rebuttals").alias("schema"), prompt.alias("prompt")), client, ["module_id", "large"], REBUTTALS, backoff), "rebuttals")
+        got = staged(_asked(rows.select("module_id", "large", F.lit("rebuttals").alias("schema"), prompt.alias("prompt")), model, ["module_id", "large"], REBUTTALS), "rebuttals")
         raw.append(_raw(got, "rebuttals", turn))
         items = got.select("module_id", F.posexplode("parsed.items").alias("pos", "i")).select("module_id", "pos", "i.*")
         open_ids = pending.select("module_id", "id", F.lit(True).alias("open"))
@@ -259,7 +284,16 @@ def review(
     unfinished = gates.unfinished(incomplete, "module_id", F.col("chunk_no"), F.col("chunk"), F.col("error")).join(stopped, "module_id", "left_anti")
     failed = staged(stopped.unionByName(unfinished.select("module_id", F.concat(F.lit(OPEN), "unfinished").alias("reason"))), "failed")
     report = reports(inventory, findings, conclusions, stopped, chunks, planned.plans, incomplete)
-    return Review(inventory, findings, conclusions, failed, incomplete, planned.plans, chunks, shown, _all(raw), judged, report)
+    # a finding whose quote stands elsewhere, or nowhere, stays; the table says so
+    places = staged(evidence.located(findings, files), "places")
+    places = places.join(evidence.near_equal(findings, places), ["module_id", "id"], "left")
+    return Review(inventory, findings, conclusions, failed, incomplete, planned.plans, chunks, shown, _all(raw), judged, places, report)
+
+
+def review_into(spark: SparkSession, root: str, client: ModelClient, out: str, **options) -> None:
+    """``review`` with every table written below ``out``; nothing that was staged on the way stays behind."""
+    with scope(spark):
+        sinks.write_review(review(spark, root, client, **options), out)
 
 
 def evidence_digest(shown: DataFrame) -> DataFrame:

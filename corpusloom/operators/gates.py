@@ -72,9 +72,23 @@ def unfinished(replies: DataFrame, module: str, order: Column, unit: Column, err
 
 
 def folded_replies(deltas: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """(keys, reply, finish, usage) of streamed replies (keys, position, text, finish, usage): texts joined in order,
-    the last finish reason that is set and the first usage that is."""
-    texts = F.transform(F.sort_array(F.collect_list(F.struct(position, F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"])
-    at = F.col(position)
-    last = F.max_by("finish", F.when(F.nullif(F.col("finish"), F.lit("")).isNotNull(), at))
-    return deltas.groupBy(*keys).agg(F.array_join(texts, "").alias("reply"), last.alias("finish"), F.min_by("usage", F.when(F.col("usage").isNotNull(), at)).alias("usage"))
+    """(keys, reply, finish, usage, chunks) of streamed replies (keys, position, text, finish, usage): texts joined in
+    order, the last finish reason that is set, the first usage that is, and the number of chunks.
+
+    Where ``deltas`` has a ``channel``, only pieces of other channels than ``reasoning`` are the reply; what was
+    reasoning, and its share of all characters in whole percent (half to even, 0 of nothing), come in addition.
+    """
+    at, piece = F.col(position), F.coalesce("text", F.lit(""))
+
+    def joined(keep: Column) -> Column:
+        pieces = F.collect_list(F.when(keep, F.struct(position, piece.alias("t"))))
+        return F.array_join(F.transform(F.sort_array(pieces), lambda x: x["t"]), "")
+
+    last = F.max_by("finish", F.when(F.nullif(F.col("finish"), F.lit("")).isNotNull(), at)).alias("finish")
+    told = [last, F.min_by("usage", F.when(F.col("usage").isNotNull(), at)).alias("usage"), F.count("*").alias("chunks")]
+    if "channel" not in deltas.columns:
+        return deltas.groupBy(*keys).agg(joined(F.lit(True)).alias("reply"), *told)
+    thought = F.col("channel").eqNullSafe("reasoning")
+    folded = deltas.groupBy(*keys).agg(joined(~thought).alias("reply"), *told, joined(thought).alias("reasoning"))
+    total = F.length("reasoning") + F.length("reply")
+    return folded.withColumn("reasoning_pct", F.when(total > 0, F.bround(F.length("reasoning") * 100 / total, 0)).otherwise(F.lit(0)).cast("int"))

@@ -22,15 +22,17 @@ def closure(edges: DataFrame, module: str) -> DataFrame:
     A module's closure is bounded by the square of its own nodes; modules never mix, so the join key is
     (module, node) and work spreads over modules.
     """
-    now = staged(edges.select(module, "src", "dst").distinct())
-    size = now.count()
+    delta = staged(edges.select(module, "src", "dst").distinct())
+    parts = [delta]
     while True:
-        step = now.select(module, F.col("dst").alias("src"), F.col("src").alias("_from")).join(now, [module, "src"]).select(module, F.col("_from").alias("src"), "dst")
-        grown = staged(now.unionByName(step).distinct())
-        more = grown.count()
-        if more == size:
-            return grown
-        now, size = grown, more
+        # only paths with a new half can be new; what is known stays written as it is
+        known = reduce(DataFrame.unionByName, parts)
+        heads = [df.select(module, F.col("dst").alias("src"), F.col("src").alias("_from")) for df in (delta, known)]
+        longer = heads[0].join(known, [module, "src"]).unionByName(heads[1].join(delta, [module, "src"])) if len(parts) > 1 else heads[0].join(known, [module, "src"])
+        delta = staged(longer.select(module, F.col("_from").alias("src"), "dst").distinct().join(known, [module, "src", "dst"], "left_anti"))
+        if delta.isEmpty():
+            return known
+        parts.append(delta)
 
 
 def cycles(reach: DataFrame, module: str) -> DataFrame:

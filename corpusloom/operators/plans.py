@@ -12,6 +12,8 @@ from corpusloom.sources.staging import staged
 
 #: Chunk names of the plan repair (fixed values).
 REST, WHOLE, NUMBERED = "残余", "整模块", "子块"
+#: What may be wrong with a plan, as the report says it (fixed values).
+TOO_LONG, PARTED = "子块「%s」有 %d 行，超过 {limit} 行", "循环调用组分在几个子块里："
 #: Order of the residual chunk among those of a plan.
 _LAST = 1 << 20
 
@@ -56,9 +58,9 @@ def chunk_sizes(chunks: DataFrame) -> DataFrame:
 def plan_violations(chunks: DataFrame, owners: DataFrame, cycles: DataFrame, limit: int) -> DataFrame:
     """(module_id, violations) of plans with a chunk above ``limit`` lines or a call cycle in several chunks."""
     large = chunk_sizes(chunks).filter(F.col("lines") > limit)
-    sizes = large.select("module_id", F.col("chunk_no").alias("o"), F.format_string(f"子块「%s」有 %d 行，超过 {limit} 行", "chunk", "lines").alias("text"))
+    sizes = large.select("module_id", F.col("chunk_no").alias("o"), F.format_string(TOO_LONG.format(limit=limit), "chunk", "lines").alias("text"))
     members = cycles.select("module_id", "group_no", F.explode("members").alias("name")).join(owners, ["module_id", "name"])
     parted = gates.split_groups(members, ["module_id", "group_no"], "chunk_no").join(cycles, ["module_id", "group_no"])
-    split = parted.select("module_id", (F.col("group_no") + _LAST).alias("o"), F.concat(F.lit("循环调用组分在几个子块里："), F.array_join("members", "、")).alias("text"))
+    split = parted.select("module_id", (F.col("group_no") + _LAST).alias("o"), F.concat(F.lit(PARTED), F.array_join("members", "、")).alias("text"))
     each = F.transform(F.sort_array(F.collect_list(F.struct("o", "text"))), lambda x: x["text"])
     return sizes.unionByName(split).groupBy("module_id").agg(each.alias("violations"))

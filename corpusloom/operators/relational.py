@@ -44,6 +44,29 @@ def concluded(items: DataFrame, answers: DataFrame, on: list[str], conclusion: C
     return items.join(last, on, "left").withColumn("conclusion", F.coalesce("conclusion", F.lit(S.PENDING)))
 
 
+def resolved(uses: DataFrame, definitions: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(once, several, never): ``uses`` of names that ``definitions`` has once, several times, or not at all."""
+    counts = definitions.groupBy(*on).agg(F.count("*").alias("_n"))
+    looked = uses.join(counts, on, "left")
+    return looked.filter("_n = 1").drop("_n"), looked.filter("_n > 1").drop("_n"), looked.filter("_n IS NULL").drop("_n")
+
+
+def first_and_copies(rows: DataFrame, content: Column, order: str) -> DataFrame:
+    """(order, copies): the first row of each content and how often the content comes; only hashes travel."""
+    keyed = rows.select(F.sha2(content, 256).alias("_content"), order)
+    return keyed.groupBy("_content").agg(F.min(order).alias(order), F.count("*").alias("copies")).drop("_content")
+
+
+def graded_counts(rows: DataFrame, grade: str, order: list[str]) -> DataFrame:
+    """(grade, n, rank): rows of each grade and its place in the closed list, null outside it."""
+    return rows.groupBy(grade).agg(F.count("*").alias("n")).withColumn("rank", S.ranked(F.col(grade), order))
+
+
+def urgent(rows: DataFrame, grade: str, grades: list[str], conclusion: Column, arrival: str) -> DataFrame:
+    """(n, first) of the rows that stand and have one of the ``grades``: what a summary names first."""
+    return rows.filter(F.col(grade).isin(grades) & conclusion).agg(F.count("*").alias("n"), F.min(arrival).alias("first"))
+
+
 def sole_owner(definitions: DataFrame, name: str, owner: str) -> DataFrame:
     """Names defined by exactly one owner; names of several owners leave altogether."""
     return definitions.groupBy(name).agg(F.min(owner).alias("owner"), F.max(owner).alias("_other")).filter("owner = _other").drop("_other")

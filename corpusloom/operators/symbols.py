@@ -25,10 +25,9 @@ def declared_names(lexed: DataFrame) -> DataFrame:
 def call_edges(lexed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, ambiguous, unresolved): calls of functions the module defines once, several times, or not at all."""
     calls = lexer.relation(lexed, "calls").filter(F.col("file").endswith(".c"))
-    defined = lexer.relation(lexed, "functions").filter(F.col("file").endswith(".c")).groupBy("module_id", "name").agg(F.count("*").alias("n"))
-    looked = calls.join(defined.withColumnRenamed("name", "callee"), ["module_id", "callee"], "left")
-    edges = looked.filter("n = 1").select("module_id", F.col("caller").alias("src"), F.col("callee").alias("dst"), "file", "line")
-    return edges, looked.filter("n > 1").drop("n"), looked.filter("n IS NULL").drop("n")
+    defined = lexer.relation(lexed, "functions").filter(F.col("file").endswith(".c")).select("module_id", F.col("name").alias("callee"))
+    once, several, never = relational.resolved(calls, defined, ["module_id", "callee"])
+    return once.select("module_id", F.col("caller").alias("src"), F.col("callee").alias("dst"), "file", "line"), several, never
 
 
 def symbol_table(lexed: DataFrame) -> DataFrame:

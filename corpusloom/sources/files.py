@@ -63,14 +63,27 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _label_rows(spark: SparkSession, path: str, cells: int) -> DataFrame:
+    """Cells ``c`` and place of the table rows of a Markdown file that begin with a letter and a number and have so many
+    cells; a place is ``file:line``, ``file:first-last`` or ``file:line,line``."""
+    parts = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(F.replace(c, F.lit("`"), F.lit(""))))
+    rows = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\|\s*[A-Z]\d+\s*\|")).select(parts.alias("c")).filter(F.size("c") == cells)
+    place = F.get("c", 1)
+    return rows.select(
+        "c", F.get("c", 0).alias("no"), F.regexp_extract(place, r"^(.*?):(\d+)", 1).alias("file"), F.regexp_extract(place, r":(\d+)", 1).try_cast("int").alias("first_line"),
+        F.regexp_extract(place, r"(\d+)\D*$", 1).try_cast("int").alias("last_line"),
+    )
+
+
 def label_table(spark: SparkSession, path: str) -> DataFrame:
     """(no, file, first_line, last_line, category, severity, text) of labelled defects in Markdown tables.
 
-    A row is ``| no | file:line or file:first-last or file:line,line | category | severity | text |``; decoys, whose
-    rows have fewer cells, and everything else drop out. ``no`` is a letter and a number.
+    A row is ``| no | place | category | severity | text |``; everything else drops out.
     """
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(F.replace(c, F.lit("`"), F.lit(""))))
-    rows = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\|\s*[A-Z]\d+\s*\|")).select(cells.alias("c")).filter(F.size("c") == 5)
-    place = F.regexp_extract(F.get("c", 1), r"^(.*?):(\d+)", 1)
-    first, last = F.regexp_extract(F.get("c", 1), r":(\d+)", 1).try_cast("int"), F.regexp_extract(F.get("c", 1), r"(\d+)\D*$", 1).try_cast("int")
-    return rows.select(F.get("c", 0).alias("no"), place.alias("file"), first.alias("first_line"), last.alias("last_line"), F.get("c", 2).alias("category"), F.get("c", 3).alias("severity"), F.get("c", 4).alias("text"))
+    rows = _label_rows(spark, path, 5)
+    return rows.select("no", "file", "first_line", "last_line", F.get("c", 2).alias("category"), F.get("c", 3).alias("severity"), F.get("c", 4).alias("text"))
+
+
+def decoy_table(spark: SparkSession, path: str) -> DataFrame:
+    """(no, file, first_line, last_line, text) of places that look like defects and are none: ``| no | place | text |``."""
+    return _label_rows(spark, path, 3).select("no", "file", "first_line", "last_line", F.get("c", 2).alias("text"))

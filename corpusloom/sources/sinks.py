@@ -24,7 +24,7 @@ def write_texts(df: DataFrame, column: str, path: str) -> None:
 def write_review(run, root: str) -> None:
     """All tables of a review below ``root``; ``raw`` and ``judged`` hold every reply and every judged item."""
     write_json(run.inventory, f"{root}/inventory")
-    for name in ("findings", "conclusions", "chunks", "plans", "incomplete", "raw", "judged"):
+    for name in ("findings", "conclusions", "chunks", "plans", "incomplete", "raw", "judged", "places"):
         write_table(getattr(run, name), f"{root}/{name}")
     write_json(run.failed, f"{root}/errors")
     append_table(run.evidence, f"{root}/evidence")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: Scopes that are open, the innermost last.
+_scopes: list[str] = []
 
 
 def _root(spark: SparkSession) -> str:
@@ -28,8 +32,20 @@ def _own(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the application's part of the shared folder."""
-    return f"{_own(spark)}/{uuid.uuid4().hex}"
+    """A new folder in the application's part of the shared folder, or in that of the innermost open scope."""
+    return "/".join([_own(spark), *_scopes, uuid.uuid4().hex])
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is removed at the end, so results must be written elsewhere before."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    path = "/".join([_own(spark), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _remove(spark, path)
 
 
 def staged(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
@@ -42,5 +58,9 @@ def staged(df: DataFrame, name: str = "table", compression: str = "zstd") -> Dat
 
 def clear(spark: SparkSession) -> None:
     """Remove all that this application staged; results not yet written are gone with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    _remove(spark, _own(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, intervals, matching, probe, search
+from corpusloom.operators import evidence, graph, intervals, matching, planner, plans, probe, search
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -215,3 +215,68 @@ def test_groups_by_colouring_equal_a_plain_search(spark, in_task, seed):
 
 def test_groups_of_nothing(spark):
     assert graph.module_cycles(spark.createDataFrame([], "m int, src string, dst string"), "m").count() == 0
+
+
+# --- plans without a model, and evidence -----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("size", "limit"), [(40, 120), (2500, 2000)])
+def test_packed_plans_have_no_violation(spark, size, limit):
+    rng = random.Random(size)
+    functions, at = [], {}
+    for f in range(size):
+        file = f"f{f % 3}.c"
+        start = at.get(file, 0) + rng.randint(1, 5)
+        at[file] = start + rng.randint(0, 60)
+        functions.append(("m", file, f"g{f}", start, at[file]))
+    at = {f: n + 7 for f, n in at.items()}
+    # hubs, chains and rings of up to three functions that sit side by side
+    edges = [("m", f"g{rng.randrange(size)}", f"g{rng.randrange(size)}") for _ in range(size // 8)]
+    edges = [e for e in edges if int(e[1][1:]) < int(e[2][1:])]
+    edges += [e for f in range(0, size - 3, 9) for e in [("m", f"g{f}", f"g{f + 1}"), ("m", f"g{f + 1}", f"g{f}"), ("m", f"g{f}", "gone")]]
+    df = spark.createDataFrame(functions, "module_id string, file string, name string, line int, end_line int")
+    calls = spark.createDataFrame(edges, "module_id string, src string, dst string")
+    lines = spark.createDataFrame([("m", f, n) for f, n in at.items()], "module_id string, file string, line_no int").selectExpr("module_id", "file", "explode(sequence(1, line_no)) AS line_no").withColumn("line", F.lit(""))
+    cut, owners, unknown = plans.cut_by_plan(planner.planned(df, calls, limit, lines), df, lines)
+    cycles = graph.module_cycles(calls, "module_id")
+    bad = plans.plan_violations(cut, owners, cycles, limit).collect()
+    if size > 100:
+        assert bad == [] and unknown.isEmpty() and 20 * size > 2000
+    covered = cut.selectExpr("file", "explode(sequence(start, end)) AS n").groupBy("file").agg(F.count("*").alias("c"), F.count_distinct("n").alias("d")).collect()
+    assert {r["file"]: (r["c"], r["d"]) for r in covered} == {f: (n, n) for f, n in at.items()}
+    assert all("循环" not in v for r in bad for v in r["violations"])
+
+
+def test_chunks_keep_hubs_with_callees():
+    lines = {"hub": 10, "a": 10, "b": 10, "c": 25, "shared": 5}
+    got = planner.chunks_of(list(lines), lines, {"a": ["hub"], "b": ["hub"], "c": ["hub"], "shared": ["a", "c"]}, 30)
+    assert got == {"hub": 0, "a": 0, "b": 0, "c": 1, "shared": 1}
+    assert planner.chunks_of(["x"], {"x": 99}, {}, 30) == {"x": 0} and planner.chunks_of([], {}, {}, 30) == {}
+
+
+SOURCE = "int alpha(int n)\n{\n    if (n > 3)\n        return beta(n - 1, 7);\n    return n;\n}\n" + "\n" * 20 + "void gamma(void)\n{\n    total += alpha(4) * beta(2, 1);\n    free(buffer);\n}\n"
+
+
+def test_quotes_are_found_where_they_stand(spark):
+    files = spark.createDataFrame([("m", "a.c", SOURCE), ("m", "b.c", "int other;\n"), ("n", "a.c", SOURCE), ("m", "null.c", None)], "module_id string, file string, text string")
+    quote = "if (n > 3)\n        return beta(n - 1, 7);"
+    rows = [
+        ("m", "f1", 1, "a.c", 3, quote), ("m", "f2", 2, "a.c", 28, quote.replace("\n", " ")), ("m", "f3", 3, "b.c", 1, "if ( n>3 ) return\n\n beta( n-1 ,7 ) ;"), ("m", "f4", 4, "a.c", 3, "if (m < 9) goto error_handler_of_nothing;"),
+        ("m", "f5", 5, "a.c", 3, "n"), ("m", "f6", 6, "a.c", None, "total += alpha(4) * beta(2, 1);"), ("x", "f1", 1, "a.c", 3, quote), ("m", "f7", 7, None, 3, None),
+    ]
+    findings = spark.createDataFrame(rows, "module_id string, id string, no int, file string, line int, evidence string")
+    places = evidence.located(findings, files)
+    got = {(r["module_id"], r["id"]): (r["place"], r["found_file"], r["found_line"]) for r in places.collect()}
+    assert got == {
+        ("m", "f1"): ("at place", "a.c", 3), ("m", "f2"): ("moved", "a.c", 3), ("m", "f3"): ("moved", "a.c", 3), ("m", "f4"): ("missing", None, None), ("m", "f5"): ("too short", None, None),
+        ("m", "f6"): ("moved", "a.c", 29), ("x", "f1"): ("missing", None, None), ("m", "f7"): ("too short", None, None),
+    }
+    assert {r["id"]: r["same_as"] for r in evidence.near_equal(findings, places).collect()} == {"f1": None, "f2": "f1", "f3": "f1", "f6": None}
+
+
+def test_shared_runs_share_a_fingerprint():
+    rng = random.Random(2)
+    for _ in range(200):
+        run = " ".join(rng.choice("abcdefgh") for _ in range(evidence.GRAM + evidence.WINDOW - 1))
+        left, right = (" ".join(rng.choice("abcdefgh") for _ in range(20)) + " " + run + "\n" + "z " * rng.randint(0, 9) for _ in range(2))
+        assert {h for h, _ in evidence.winnowed(left)} & {h for h, _ in evidence.winnowed(right)}

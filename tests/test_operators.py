@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
@@ -101,6 +102,25 @@ def test_entry_works_without_the_optional_parts(monkeypatch):
     raise AssertionError("another missing module must not be hidden")
 
 
+def test_a_scope_removes_what_was_staged_inside(spark, tmp_path):
+    import os
+
+    from corpusloom.sources import staging
+
+    kept = staging.staged(spark.range(3), "kept")
+    with staging.scope(spark):
+        inner = staging.shared_folder(spark)
+        table = staging.staged(spark.range(5), "inside")
+        with staging.scope(spark):
+            staging.staged(spark.range(2), "deeper")
+        assert table.count() == 5 and os.path.isdir(os.path.dirname(inner))
+    assert not os.path.isdir(os.path.dirname(inner)) and kept.count() == 3
+    with pytest.raises(ZeroDivisionError), staging.scope(spark):
+        staging.staged(spark.range(2), "inside")
+        raise ZeroDivisionError
+    assert "scope-" not in staging.shared_folder(spark)
+
+
 def test_staged_tables_need_a_shared_folder(spark, monkeypatch):
     import os
 

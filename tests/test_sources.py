@@ -2,6 +2,7 @@
 
 import json
 import sys
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.functions import replies
-from corpusloom.jobs.review import review
+from corpusloom.jobs.model import Ledger, ask_model
+from corpusloom.jobs.review import FINDINGS, review
 from corpusloom.operators import graph, intervals, lexer, probe, symbols
 from corpusloom.sources import files as sources
 
@@ -268,16 +270,34 @@ class Wrong:
         return json.dumps({"findings": [{"file": "pair.c", "line": "2", "severity": "严重", "description": "d", "evidence": "e", "suggestion": "s", "more": 1}]})
 
 
-@pytest.mark.parametrize(
-    "reply, reason",
-    [
-        ('{"findings": "none of them fits"}', "findings：应为数组"), ('{"findings": [1, 2]}', "findings[0]：应为对象"), ('{"findings": {"file": "x.c"}}', "findings：应为数组"), ("[1]", "回复：应为对象"),
-        ('{"findings": [{"file": "a.c", "line": 1}]}', "findings[0].severity：缺少字段"), ('{"findings": [{"file": "a.c", "line": 1.5}]}', "findings[0].line：应为整数"), ("nothing", "回复：回复中没有可解析的 JSON"),
-    ],
-)
-def test_wrong_typed_replies_are_asked_again_and_fail_with_their_place(spark, tree, tmp_path, reply, reason):
+class Echo:
+    """Answers with the prompt and leaves a file for every call."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def ask(self, schema, prompt):
+        import uuid
+
+        open(f"{self.folder}/{uuid.uuid4()}", "w").close()
+        return prompt
+
+
+def test_wrong_typed_replies_are_asked_again_and_have_a_place(spark, tmp_path):
+    wrong = {
+        '{"findings": "none of them fits"}': "findings：应为数组", '{"findings": [1, 2]}': "findings[0]：应为对象", '{"findings": {"file": "x.c"}}': "findings：应为数组", "[1]": "回复：应为对象",
+        '{"findings": [{"file": "a.c", "line": 1}]}': "findings[0].severity：缺少字段", '{"findings": [{"file": "a.c", "line": 1.5}]}': "findings[0].line：应为整数", "nothing": "回复：回复中没有可解析的 JSON",
+    }
+    requests = spark.createDataFrame([("findings", w) for w in wrong], "schema string, prompt string").withColumn("id", F.col("prompt"))
+    told = ask_model(requests, Echo(str(tmp_path)), ["id"], backoff=0, check=replies.checker({"findings": FINDINGS})).collect()
+    assert {r["id"]: (r["reply"], r["json"], r["error"], r["attempts"]) for r in told} == {w: (w, None, f"ReplyError: {reason}", 3) for w, reason in wrong.items()}
+    assert len(list(tmp_path.iterdir())) == 3 * len(wrong)
+
+
+def test_a_wrong_typed_reply_fails_its_module(spark, tree, tmp_path):
+    reply = '{"findings": [1, 2]}'
     run = review(spark, tree, Wrong(str(tmp_path), reply, 9), modules=["M02"], backoff=0)
-    assert [tuple(r) for r in run.failed.collect()] == [("M02", f"ReplyError: {reason}")] and run.report.isEmpty() and run.findings.isEmpty()
+    assert [tuple(r) for r in run.failed.collect()] == [("M02", "ReplyError: findings[0]：应为对象")] and run.report.isEmpty() and run.findings.isEmpty()
     assert len(list(tmp_path.iterdir())) == 3 and run.raw.first()["reply"] == reply
 
 
@@ -288,6 +308,50 @@ def test_a_reply_that_fits_at_last_counts(spark, tree, tmp_path):
     assert "## 已被反驳（1 条）" in run.report.first()["report"] and run.report.first()["report"].count("### ") == 1
 
 
+class Fragile:
+    """Leaves a file for every call; the task dies at one prompt as long as a mark is absent."""
+
+    def __init__(self, folder, dies_at):
+        self.folder, self.dies_at = folder, dies_at
+
+    def ask(self, schema, prompt):
+        import os
+        import uuid
+
+        if prompt == self.dies_at and not os.path.exists(f"{self.folder}/again"):
+            open(f"{self.folder}/again", "w").close()
+            raise MemoryError("the task is lost")
+        open(f"{self.folder}/call-{prompt}-{uuid.uuid4()}", "w").close()
+        return "[1]" if prompt == "p3" else json.dumps({"n": prompt[1:]})
+
+
+def test_a_lost_task_asks_nothing_twice(spark, tmp_path):
+    calls, kept = tmp_path / "calls", tmp_path / "ledger"
+    calls.mkdir()
+    kept.mkdir()
+    requests = spark.range(8).coalesce(1).selectExpr("id", "'s' AS schema", "concat('p', id) AS prompt")
+
+    def run():
+        asked = ask_model(requests, Fragile(str(calls), "p5"), ["id"], retries=0, check=replies.checker({"s": "n int"}), ledger=Ledger(kept.as_uri()))
+        return {r["id"]: (r["json"], r["attempts"]) for r in asked.collect()}
+
+    with pytest.raises(Exception, match="the task is lost"):
+        run()
+    again = run()
+    assert {k: v for k, v in again.items() if k != 3} == {k: (json.dumps({"n": k}), 0 if k < 5 else 1) for k in range(8) if k != 3}
+    count = Counter(p.name.split("-")[1] for p in calls.glob("call-*"))
+    assert count == {**{f"p{k}": 1 for k in range(8)}, "p3": 2}  # a reply that does not fit is not kept
+    assert run()[7] == (json.dumps({"n": 7}), 0) and not list(kept.glob("*/*.*"))
+
+
+def test_plans_without_a_model(spark, tree):
+    run = review(spark, tree, Scripted(9), large_lines=20, modules=["M02"], plan_without_model=True)
+    plan = run.plans.first()
+    assert plan["violations"] == [] and plan["strategy"] == "按调用关系自动划分" and run.failed.isEmpty()
+    parts = sorted((r["file"], r["start"], r["end"]) for r in run.chunks.collect())
+    assert parts[0][1] == 1 and parts[-1][2] == 25 and {r["place"] for r in run.places.collect()} == {"too short"}
+
+
 def test_types_of_replies():
     kind = StructType.fromDDL("n int, big bigint, x double, ok boolean, s string, l array<int>, deep array<struct<a:array<string>>>")
     sound = {"n": "2", "big": 4e3, "x": "1.5", "ok": "yes", "s": "t"}
@@ -374,3 +438,4 @@ def test_label_table(spark, tmp_path):
     (tmp_path / "labels.md").write_text(text)
     rows = [tuple(r) for r in sources.label_table(spark, str(tmp_path / "labels.md")).orderBy("no").collect()]
     assert rows == [("A1", "ring.c", 14, 15, "errors", "严重", "two malloc"), ("A2", "lib/x.c", 47, 52, "memory", "致命", "past the end")]
+    assert [tuple(r) for r in sources.decoy_table(spark, str(tmp_path / "labels.md")).collect()] == [("B1", "ring.c", 20, 20, "fine")]
