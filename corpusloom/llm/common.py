@@ -11,9 +11,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.sources.staging import shared_folder, staged
+from corpusloom.sources.staging import scope, shared_folder, staged
 
-__all__ = ["bounded_sample", "id_ranges", "let", "long_table", "plain_names", "range_of", "shared_folder", "staged", "text_slices", "thinned", "with_columns"]
+__all__ = ["bounded_sample", "id_ranges", "let", "long_table", "plain_names", "range_of", "scope", "shared_folder", "staged", "text_slices", "thinned", "with_columns"]
 
 #: Ranges of ids that one range table may have, and sampled rows of each: at most a million longs reach the driver.
 MAX_RANGES, SAMPLED = 65_536, 16
