@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, mixing, pieces, quality, similar
-from corpusloom.llm.common import plain_names, shared_folder
+from corpusloom.llm.common import plain_names, scope, shared_folder
 
 #: Least probability of the predicted language, and least quality score.
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.3
@@ -74,7 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):  # what a stage staged on its way goes when its output is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
