@@ -577,12 +577,11 @@ def q_packed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _calls(spark, sf_dir, "o_custkey").withColumnRenamed("module", "module_id")
     lines = functions.select("module_id", "file", F.col("end_line").alias("line_no"))
     chunks = staged(planner.packed(functions, edges, 40, lines), "packed")
-    members, _ = planner.units(functions, edges)
-    placed = members.join(chunks, ["module_id", "name"], "left").join(orders, ["module_id", "name"])
+    placed = orders.join(chunks, ["module_id", "name"], "left")
     units = placed.groupBy("module_id", "unit").agg(F.count("*").alias("n"), F.sum("end_line").alias("lines"), F.count_distinct("chunk_no").alias("chunks"), F.min("chunk_no").alias("chunk_no"))
-    full = units.groupBy("module_id", "chunk_no").agg(F.sum("lines").alias("lines"), F.count("*").alias("units"), F.sum("n").alias("n"), F.count_if(F.col("lines") > 40).alias("large"), F.count_if("chunks <> 1").alias("split"))
+    full = units.groupBy("module_id", "chunk_no").agg(F.sum("lines").alias("lines"), F.count("*").alias("units"), F.sum("n").alias("n"), F.count_if(F.col("lines") > 40).alias("large"), F.count_if(F.col("chunks") != 1).alias("split"))
     return full.groupBy("module_id").agg(
-        F.sum("n").alias("functions"), F.sum("units").alias("units"), F.sum("large").alias("too_large"), F.sum("split").alias("split"), F.count_if("lines > 40 AND units > 1").alias("over"),
+        F.sum("n").alias("functions"), F.sum("units").alias("units"), F.sum("large").alias("too_large"), F.sum("split").alias("split"), F.count_if((F.col("lines") > 40) & (F.col("units") > 1)).alias("over"),
     )
 
 

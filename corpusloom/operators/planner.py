@@ -38,7 +38,7 @@ def units(functions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def packed(functions: DataFrame, edges: DataFrame, limit: int, lines: DataFrame) -> DataFrame:
-    """(module_id, name, chunk_no) of every function of ``functions`` (module_id, file, name, line, end_line).
+    """(module_id, name, unit, chunk_no) of every function of ``functions`` (module_id, file, name, line, end_line).
 
     The lines of a function are its own and those since the function before it in its file, and the last one has the
     rest of the file (``lines`` with module_id, file, line_no), so the ranges of the plan stay within ``limit`` too. A
@@ -79,7 +79,7 @@ def packed(functions: DataFrame, edges: DataFrame, limit: int, lines: DataFrame)
 
     kind = dict(rows.dtypes)["module_id"]
     chunks = rows.repartition("module_id").sortWithinPartitions("module_id", "dst", "no").mapInPandas(run, f"module_id {kind}, unit string, chunk_no int")
-    return members.join(chunks, ["module_id", "unit"]).select("module_id", "name", "chunk_no")
+    return members.join(chunks, ["module_id", "unit"]).select("module_id", "name", "unit", "chunk_no")
 
 
 def chunks_of(order: list[str], lines: dict[str, int], callers: dict[str, list[str]], limit: int) -> dict[str, int]:

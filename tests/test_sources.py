@@ -3,6 +3,7 @@
 import json
 import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
@@ -11,9 +12,10 @@ from pyspark.sql.types import StructType
 
 from corpusloom.functions import replies
 from corpusloom.jobs.model import Ledger, ask_model
-from corpusloom.jobs.review import FINDINGS, review
+from corpusloom.jobs.review import FINDINGS, review, review_into
 from corpusloom.operators import graph, intervals, lexer, probe, symbols
 from corpusloom.sources import files as sources
+from corpusloom.sources import staging
 
 # workers cannot import this file: the scripted client travels by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -414,6 +416,14 @@ def test_evidence_rounds_and_a_chunk_without_reply(spark, tree, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "evidence")).count() == 4  # the log grows
 
 
+def test_review_into_leaves_nothing_staged(spark, tree, tmp_path):
+    review_into(spark, tree, Scripted(), str(tmp_path / "out"), modules=["M01"])
+    assert "没有发现" in "".join(r["value"] for r in spark.read.text(str(tmp_path / "out" / "reports")).collect())
+    assert spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == 0
+    own = staging.shared_folder(spark).rsplit("/", 1)[0].removeprefix("file:")
+    assert not list(Path(own).glob("scope-*"))
+
+
 def test_modules_and_files_must_exist(spark, tree, tmp_path):
     with pytest.raises(ValueError, match="M77"):
         review(spark, tree, Scripted(), modules=["M01", "M77"])
