@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -256,7 +257,7 @@ def test_one_tree_parts_few_pairs_at_the_threshold():
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * aside
     loss = 1 - (1 - forest.LOSS) ** (1 / 5)
     for tree in range(3):
-        grown = forest.Forest(4, 23).grown(forest.fit_splits(x[:2048], tree, 1, len(x), 23, 640, 0.95, loss))
+        grown = forest.Forest(4, 23).grown(pa.Table.from_pylist([dict(zip(("tree", "node", "low", "high"), s, strict=True)) for s in forest.fit_splits(x[:2048], tree, 1, len(x), 23, 640, 0.95, loss)]))
         assert len(grown.keys) >= 15
         homes = []
         for z in (x, y):
