@@ -5,15 +5,77 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.components import connected_components
 from corpusloom.sources.staging import staged
 
 #: Edges of a class that one task solves whole: some 20 MB of Python.
 IN_TASK = 50_000
+#: Edges that a task joins at a time: some 100 MB of Python.
+IN_CHUNK = 500_000
+
+
+def parted(edges: DataFrame, module: str) -> DataFrame:
+    """Edges as (_m, src, dst, cls), written: edges that touch have one class, whatever else shares it.
+
+    Tasks first join what touches among the edges they hold, ``IN_CHUNK`` at a time; only where a node lies in several
+    such parts the parts are joined over tasks. So edges that come module by module, as a rule, move once, by the hash of
+    their nodes, and no rounds depend on the length of paths. Nodes are compared by hashes: two that collide make a
+    class larger, never smaller. An edge with a null is a class of its own.
+    """
+    whole = F.col("_m").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()
+    at = lambda end: F.when(whole, F.xxhash64("_m", end)).otherwise(F.xxhash64("_m", "src", "dst")).alias(f"_{end}")
+    ends = edges.select(F.col(module).alias("_m"), "src", "dst").select("_m", "src", "dst", at("src"), at("dst"))
+    kinds = ", ".join(f"{c} {k}" for c, k in ends.dtypes[:3])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= IN_CHUNK:
+                yield from _parts(held)
+                held, rows = [], 0
+        if rows:
+            yield from _parts(held)
+
+    part = staged(ends.mapInArrow(run, f"{kinds}, _src bigint, _dst bigint, cls bigint"), "parts")
+    places = part.select("cls", F.explode(F.array("_src", "_dst")).alias("node"))
+    shared = staged(places.groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("node", "low"), "shared")
+    part = part.drop("_src", "_dst")
+    if shared.isEmpty():
+        return part
+    links = places.join(shared, "node").filter("cls <> low").select(F.col("cls").alias("u"), F.col("low").alias("v"))
+    of = connected_components(links).withColumnRenamed("node", "cls")
+    return staged(part.join(of, "cls", "left").select("_m", "src", "dst", F.coalesce("component", "cls").alias("cls")), "parts")
+
+
+def _parts(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with the smallest node hash of the part of each edge, where parts are what touches among them."""
+    src, dst = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (3, 4))
+    nodes, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    u, v = place[: len(src)], place[len(src) :]
+    top = np.arange(len(nodes))
+    while True:
+        # the tops of both ends hang below the lesser one, and nodes climb to their top
+        a, b = top[u], top[v]
+        apart = a != b
+        if not apart.any():
+            break
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (up := top[top]).tobytes() != top.tobytes():
+            top = up
+    cls, at = nodes[top[place[: len(src)]]], 0
+    for b in held:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls[at : at + len(b)])], names=[*b.schema.names, "cls"])
+        at += len(b)
 
 
 def closure(edges: DataFrame, module: str) -> DataFrame:
@@ -46,30 +108,37 @@ def cycles(reach: DataFrame, module: str) -> DataFrame:
 def strong_labels(edges: DataFrame, module: str, in_task: int = IN_TASK) -> DataFrame:
     """(module, node, label) of every node on a cycle; ``label`` is the smallest node of its cyclic group.
 
-    Classes of edges that no group crosses (at first the modules) are solved whole inside tasks, many to a task, while
-    they have at most ``in_task`` edges. Larger ones are coloured: every node takes the least of a random order among
-    all nodes that reach it, the nodes of a colour that reach its root are the root's group, and what is left falls into
-    smaller classes, one for each colour. A round is one join with the edges, so work is linear in them; rounds grow with
-    the longest shortest path of a large class. Nulls in an edge make it none.
+    Classes of edges that no group crosses (at first what touches, see ``parted``) are solved whole inside tasks, many to
+    a task, while they have at most ``in_task`` edges. Larger ones are coloured: every node takes the least of a random
+    order among all nodes that reach it, the nodes of a colour that reach its root are the root's group, and what is left
+    falls into smaller classes, one for each colour. A round is one join with the edges, so work is linear in them;
+    rounds grow with the longest shortest path of a large class. Nulls in an edge make it none.
     """
-    known = edges.select(F.col(module).alias("_m"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).dropna().distinct()
-    known = staged(known, "edges")
-    loops = known.filter("src = dst").select("_m", F.col("src").alias("node"))
-    rest = known.filter("src <> dst").select("_m", F.lit("").alias("cls"), "src", "dst")
+    known = edges.select(F.col(module).alias("_m"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).dropna()
+    rest = parted(known, "_m").select("_m", F.col("cls").cast("string").alias("cls"), "src", "dst")
     found: list[DataFrame] = []
+    loops = None
     while True:
-        rest = staged(rest, "classes")
         sized = rest.groupBy("_m", "cls").agg(F.count("*").alias("n"))
         large = staged(sized.filter(F.col("n") > in_task).select("_m", "cls"), "large")
-        found.append(_solved_in_tasks(rest.join(large, ["_m", "cls"], "left_anti")))
         if large.isEmpty():
+            found.append(_solved_in_tasks(rest))
             break
-        big = staged(_trimmed(rest.join(large, ["_m", "cls"], "left_semi")), "big")
+        found.append(_solved_in_tasks(rest.join(large, ["_m", "cls"], "left_anti")))
+        over = rest.join(large, ["_m", "cls"], "left_semi")
+        if loops is None:
+            over = staged(over.distinct(), "over")
+            loops = over.filter("src = dst").select("_m", F.col("src").alias("node"))
+            over = over.filter("src <> dst")
+        big = staged(_trimmed(over), "big")
         labels, rest = _coloured(big)
+        rest = staged(rest, "classes")
         found.append(labels)
-    grouped = reduce(DataFrame.unionByName, found)
-    alone = loops.join(grouped.select("_m", "node"), ["_m", "node"], "left_anti").select("_m", "node", F.col("node").alias("label"))
-    return staged(grouped.unionByName(alone), "labels").withColumnRenamed("_m", module)
+    grouped = staged(reduce(DataFrame.unionByName, found), "labels")
+    if loops is not None:
+        alone = loops.join(grouped.select("_m", "node"), ["_m", "node"], "left_anti").select("_m", "node", F.col("node").alias("label"))
+        grouped = grouped.unionByName(alone)
+    return grouped.withColumnRenamed("_m", module)
 
 
 def _trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
@@ -134,7 +203,7 @@ def _solved_in_tasks(edges: DataFrame) -> DataFrame:
             yield pd.DataFrame(done, columns=["_m", "node", "label"], dtype=object)
         yield pd.DataFrame(solved(), columns=["_m", "node", "label"], dtype=object)
 
-    return edges.repartition("_m", "cls").sortWithinPartitions("_m", "cls", "src", "dst").mapInPandas(run, f"_m {kind}, node string, label string")
+    return edges.repartition("_m", "cls").sortWithinPartitions("cls", "_m").mapInPandas(run, f"_m {kind}, node string, label string")
 
 
 def label_groups(labels: DataFrame, module: str) -> DataFrame:

@@ -213,6 +213,20 @@ def test_groups_by_colouring_equal_a_plain_search(spark, in_task, seed):
     assert found == plain_groups(edges)
 
 
+def scattered_parts(spark, parts):
+    """One module of many rings and chains that do not touch, its edges dealt over tasks, some of them twice."""
+    edges = [("m", f"r{p:03}.{i}", f"r{p:03}.{(i + 1) % 5}") for p in range(parts) for i in range(5)] + [("m", f"c{p:03}.{i}", f"c{p:03}.{i + 1}") for p in range(parts) for i in range(6)]
+    random.Random(parts).shuffle(edges)
+    return edges, spark.createDataFrame(edges + edges[:50], "m string, src string, dst string").repartition(7)
+
+
+def test_a_large_module_of_small_parts_is_not_coloured(spark, monkeypatch):
+    edges, df = scattered_parts(spark, 40)
+    monkeypatch.setattr(graph, "_coloured", lambda _: pytest.fail("parts of few edges are solved in tasks"))
+    found = sorted(r["members"] for r in graph.module_cycles(df, "m", in_task=30).collect())
+    assert found == plain_groups(edges)["m"] and len(found) == 40
+
+
 def test_groups_of_nothing(spark):
     assert graph.module_cycles(spark.createDataFrame([], "m int, src string, dst string"), "m").count() == 0
 
