@@ -17,7 +17,9 @@ from corpusloom.sources.staging import staged
 
 #: Edges of a class that one task solves whole: some 20 MB of Python.
 IN_TASK = 50_000
-#: Edges that a task joins at a time: some 100 MB of Python.
+#: Edges of a class that one task closes, which may give the square of them as rows.
+CLOSED_IN_TASK = 2_000
+#: Edges that a task joins at a time, and nodes in the lists it gives out at a time: some 100 MB of Python.
 IN_CHUNK = 500_000
 
 
@@ -78,20 +80,103 @@ def _parts(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += len(b)
 
 
-def closure(edges: DataFrame, module: str) -> DataFrame:
-    """Every (module, src, dst) with a path from src to dst, by doubling path lengths until nothing is new.
+def closure(edges: DataFrame, module: str, in_task: int = CLOSED_IN_TASK) -> DataFrame:
+    """Every (module, src, dst) with a path from src to dst.
 
-    A module's closure is bounded by the square of its own nodes; modules never mix, so the join key is
-    (module, node) and work spreads over modules.
+    Edges are parted into classes that no path crosses. Classes of at most ``in_task`` edges are closed inside tasks,
+    many to a task, node by node, and the nodes reached leave as one list. In larger ones path lengths double, by joins,
+    until nothing is new. A class's closure is bounded by the square of its own nodes. Nulls in an edge join nothing.
     """
-    delta = staged(edges.select(module, "src", "dst").distinct())
+    part = parted(edges, module)
+    whole = "_m IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL"
+    torn = part.filter(f"NOT ({whole})").select("_m", "src", "dst").distinct()
+    part = part.filter(whole)
+    large = staged(part.groupBy("_m", "cls").agg(F.count("*").alias("n")).filter(F.col("n") > in_task).select("_m", "cls"), "large")
+    if large.isEmpty():
+        found = _closed_in_tasks(part)
+    else:
+        found = _closed_in_tasks(part.join(large, ["_m", "cls"], "left_anti")).unionByName(_doubled(part.join(large, ["_m", "cls"], "left_semi")))
+    return found.unionByName(torn).withColumnRenamed("_m", module)
+
+
+def _closed_in_tasks(edges: DataFrame) -> DataFrame:
+    """The closure of classes that are small enough: sorted by class, and closed one after the other as a stream."""
+    kind = dict(edges.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_classes(batches):
+            coded = pa.concat_arrays([rows.column(end).combine_chunks() for end in ("src", "dst")]).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            src, dst = codes[: len(rows)].tolist(), codes[len(rows) :].tolist()
+            cuts = _starts(rows)
+            heads, first, reached, sizes = [], [], [], [0]
+
+            def told(heads: list[int], first: list[int], reached: list[int], sizes: list[int]) -> pa.RecordBatch:
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), coded.dictionary.take(pa.array(reached, pa.int32())))
+                of = rows.column("_m").take(pa.array(first, pa.int64())).combine_chunks()
+                return pa.RecordBatch.from_arrays([of, coded.dictionary.take(pa.array(heads, pa.int32())), lists], names=["_m", "src", "dst"])
+
+            for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+                near: dict[int, list[int]] = {}
+                for s, d in zip(src[a:b], dst[a:b], strict=True):
+                    near.setdefault(s, []).append(d)
+                for s in near:
+                    seen = dict.fromkeys(near[s])
+                    todo = list(seen)
+                    for x in todo:
+                        for y in near.get(x, ()):
+                            if y not in seen:
+                                seen[y] = None
+                                todo.append(y)
+                    heads.append(s)
+                    first.append(a)
+                    reached += todo
+                    sizes.append(len(todo))
+                    if len(reached) > IN_CHUNK:
+                        yield told(heads, first, reached, sizes)
+                        heads, first, reached, sizes = [], [], [], [0]
+            if heads:
+                yield told(heads, first, reached, sizes)
+
+    lists = edges.repartition("_m", "cls").sortWithinPartitions("cls", "_m").mapInArrow(run, f"_m {kind['_m']}, src {kind['src']}, dst array<{kind['dst']}>")
+    return lists.select("_m", "src", F.explode("dst").alias("dst"))
+
+
+def _whole_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by class, as tables that end where a class ends."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows < 10_000:
+            continue
+        table = pa.Table.from_batches(held)
+        last = int(_starts(table)[-1])
+        if last:
+            yield table.slice(0, last)
+        held, rows = table.slice(last).to_batches(), 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(table: pa.Table) -> list[int]:
+    """Where the classes of sorted rows begin."""
+    cls = table.column("cls").to_numpy()
+    of = table.column("_m").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero((cls[1:] != cls[:-1]) | (of[1:] != of[:-1])) + 1).tolist()]
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    """The closure of (_m, src, dst) by doubling path lengths; every round is a join by (_m, node)."""
+    delta = staged(edges.select("_m", "src", "dst").distinct())
     parts = [delta]
     while True:
         # only paths with a new half can be new; what is known stays written as it is
         known = reduce(DataFrame.unionByName, parts)
-        heads = [df.select(module, F.col("dst").alias("src"), F.col("src").alias("_from")) for df in (delta, known)]
-        longer = heads[0].join(known, [module, "src"]).unionByName(heads[1].join(delta, [module, "src"])) if len(parts) > 1 else heads[0].join(known, [module, "src"])
-        delta = staged(longer.select(module, F.col("_from").alias("src"), "dst").distinct().join(known, [module, "src", "dst"], "left_anti"))
+        heads = [df.select("_m", F.col("dst").alias("src"), F.col("src").alias("_from")) for df in (delta, known)]
+        longer = heads[0].join(known, ["_m", "src"]).unionByName(heads[1].join(delta, ["_m", "src"])) if len(parts) > 1 else heads[0].join(known, ["_m", "src"])
+        delta = staged(longer.select("_m", F.col("_from").alias("src"), "dst").distinct().join(known, ["_m", "src", "dst"], "left_anti"))
         if delta.isEmpty():
             return known
         parts.append(delta)

@@ -227,6 +227,43 @@ def test_a_large_module_of_small_parts_is_not_coloured(spark, monkeypatch):
     assert found == plain_groups(edges)["m"] and len(found) == 40
 
 
+def plain_closure(edges):
+    near = {}
+    for m, s, d in edges:
+        if None not in (m, s, d):
+            near.setdefault((m, s), set()).add(d)
+    out = {e for e in edges if None in e}
+    for m, s in near:
+        seen, todo = set(), list(near[m, s])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near.get((m, x), ())
+        out |= {(m, s, d) for d in seen}
+    return out
+
+
+@pytest.mark.parametrize(("in_task", "chunk"), [(2000, 500_000), (2000, 3), (12, 500_000), (0, 10)])
+def test_closure_equals_a_plain_search(spark, monkeypatch, in_task, chunk):
+    monkeypatch.setattr(graph, "IN_CHUNK", chunk)
+    rng = random.Random(in_task)
+    edges = [(m, f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for m, (n, k) in {"a": (20, 25), "b": (30, 15), "c": (3, 4)}.items() for _ in range(k)]
+    edges += [("path", f"p{i:02}", f"p{i + 1:02}") for i in range(12)] + [("self", "s", "s"), ("a", None, "n1"), ("a", None, "n1"), (None, "n1", "n2"), ("b", "n1", None)]
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(edges, "m string, src string, dst string").repartition(5), "m", in_task).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_closure(edges)
+
+
+def test_closure_of_small_parts_takes_no_rounds(spark, monkeypatch):
+    edges, df = scattered_parts(spark, 40)
+    monkeypatch.setattr(graph, "_doubled", lambda _: pytest.fail("parts of few edges are closed in tasks"), raising=False)
+    staged, written = graph.staged, []
+    monkeypatch.setattr(graph, "staged", lambda *a: (written.append(1), staged(*a))[1])
+    got = [tuple(r) for r in graph.closure(df, "m").collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_closure(edges)
+    assert len(written) <= 4  # parts, what they share, parts over tasks, large ones
+
+
 def test_groups_of_nothing(spark):
     assert graph.module_cycles(spark.createDataFrame([], "m int, src string, dst string"), "m").count() == 0
 
