@@ -16,6 +16,25 @@ def test_row_gate_lets_a_good_second_copy_through(spark):
     assert got == {(1, 0): "conclusion", (1, 1): "accepted", (1, 2): "duplicate", (2, 0): "conclusion"}
 
 
+def test_dealt_rows_are_judged_in_tasks_of_bounded_size(spark):
+    rows = spark.range(3000).selectExpr("id DIV 3 AS k", "id % 3 AS pos")
+    marks = spark.range(0, 1000, 2).selectExpr("id AS k", "true AS pending")
+    items, pending = gates.dealt(rows, marks, ["k"], per_task=100)
+    got = gates.row_gate(items.join(pending, "k", "left"), ["k"], ["pos"], [(F.col("pending"), "not pending"), (F.col("pos") > 0, "reason")])
+    got = got.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["k"], r["pos"]): r["verdict"] for r in got} == {(k, p): "not pending" if k % 2 else ("reason", "accepted", "duplicate")[p] for k in range(1000) for p in range(3)}
+    sizes = [sum(r["task"] == t for r in got) for t in {r["task"] for r in got}]
+    assert len(got) == 3000 and len(sizes) == 30 and max(sizes) < 200
+
+
+def test_query_of_the_row_gate_deals_its_lines(spark, monkeypatch):
+    from corpusloom.jobs import catalog
+
+    monkeypatch.setattr(gates.dealt, "__defaults__", (500,))
+    got = catalog.QUERIES["q_gate_per_row"](spark, "/root/testdata/sf0.001").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(got) > 8 and max(r["count"] for r in got) < 1000
+
+
 def test_budget_keeps_the_remainder(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 5)], "k string, p int, n int")
     got = sorted((r["p"], r["keep"], r["truncated"]) for r in relational.within_budget(rows, "k", ["p"], F.col("n"), 8).collect())
