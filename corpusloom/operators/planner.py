@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph
+from corpusloom.sources.staging import staged
 
 #: Name and purpose of planned chunks (fixed values).
 NAME, PURPOSE = "子块", "按调用关系自动划分"
@@ -29,11 +30,14 @@ def units(functions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     names = functions.select("module_id", "name").distinct()
     ends = [names.select("module_id", F.col("name").alias(c)) for c in ("src", "dst")]
-    known = edges.select("module_id", "src", "dst").distinct().join(ends[0], ["module_id", "src"], "left_semi").join(ends[1], ["module_id", "dst"], "left_semi")
+    known = edges.select("module_id", "src", "dst").join(ends[0], ["module_id", "src"], "left_semi").join(ends[1], ["module_id", "dst"], "left_semi")
+    # written module by module: what touches lies in one task as a rule, and calls are read twice
+    known = staged(known.repartition("module_id"), "calls")
     labels = graph.strong_labels(known, "module_id").withColumnRenamed("node", "name")
-    members = names.join(labels, ["module_id", "name"], "left").select("module_id", "name", F.coalesce("label", "name").alias("unit"))
-    of = [members.select("module_id", F.col("name").alias(c), F.col("unit").alias(f"u_{c}")) for c in ("src", "dst")]
-    calls = known.join(of[0], ["module_id", "src"]).join(of[1], ["module_id", "dst"]).filter("u_src <> u_dst").select("module_id", F.col("u_src").alias("src"), F.col("u_dst").alias("dst")).distinct()
+    members = staged(names.join(labels, ["module_id", "name"], "left").select("module_id", "name", F.coalesce("label", "name").alias("unit")), "members")
+    of = [labels.select("module_id", F.col("name").alias(c), F.col("label").alias(f"u_{c}")) for c in ("src", "dst")]
+    units_of = known.join(of[0], ["module_id", "src"], "left").join(of[1], ["module_id", "dst"], "left").select("module_id", F.coalesce("u_src", "src").alias("src"), F.coalesce("u_dst", "dst").alias("dst"))
+    calls = units_of.filter("src <> dst").distinct()
     return members, calls
 
 

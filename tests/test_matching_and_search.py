@@ -271,6 +271,23 @@ def test_groups_of_nothing(spark):
 # --- plans without a model, and evidence -----------------------------------------------------------------------------
 
 
+def test_units_read_functions_and_calls_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    functions = spark.createDataFrame([("m", n) for n in "abcde"] + [("n", n) for n in "ab"], "module_id string, name string")
+    edges = spark.createDataFrame([("m", *e) for e in ("ab", "ba", "ba", "bc", "cd", "dd", "dz", "zc", "ec")] + [("n", "a", "b")], "module_id string, src string, dst string")
+    members, calls = planner.units(functions, edges.mapInPandas(counted, edges.schema))
+    assert {tuple(r) for r in members.collect()} == {("m", "a", "a"), ("m", "b", "a"), *(("m", n, n) for n in "cde"), ("n", "a", "a"), ("n", "b", "b")}
+    got = [tuple(r) for r in calls.collect()]
+    assert sorted(got) == [("m", "a", "c"), ("m", "c", "d"), ("m", "e", "c"), ("n", "a", "b")]
+    assert reads.value == 10  # it was read for the groups and again for the calls
+
+
 @pytest.mark.parametrize(("size", "limit"), [(40, 120), (2500, 2000)])
 def test_packed_plans_have_no_violation(spark, size, limit):
     rng = random.Random(size)
